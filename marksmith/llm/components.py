@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by contraction to least neighbours."""
 
 from __future__ import annotations
 
@@ -7,35 +7,35 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Doublings of the pointers to least neighbours in a round.
+JUMPS = 3
 MAX_ROUNDS = 60
 
 
-def _pointed(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return edges.hint("merge").join(least.hint("merge"), "u")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (u, v); self-loops and repeats may occur.
 
-    Every round's edges are checkpointed in the shared folder. Rounds end when a round changes nothing.
+    In each round every node points to its least neighbour, pointers are followed a few steps, and edges
+    are moved to where their ends point; those within one node vanish, so a dense group shrinks at once.
+    Rounds go on until no edge is left. Their tables are checkpointed in the shared folder.
     """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        # large star: each neighbour above a node is tied to the node's least neighbour
+    ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    now = checkpointed(edges.select(*ordered).where("u <> v").distinct())
+    labels = now.selectExpr("u AS node", "u AS component").limit(0)
+    for turn in range(MAX_ROUNDS):
+        if now.isEmpty():
+            return labels
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _pointed(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: each node and its neighbours below it are tied to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _pointed(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.where("u <> v").distinct())
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
-            break
-        mark = found
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+        point = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
+        for _ in range(JUMPS):
+            point = point.join(point.selectExpr("u AS p", "p AS q"), "p").selectExpr("u", "q AS p")
+        point = checkpointed(point)
+        if turn == 0:
+            labels = point.selectExpr("u AS node", "p AS component")
+        else:
+            moved = labels.join(point.selectExpr("u AS component", "p"), "component", "left")
+            labels = checkpointed(moved.select("node", F.coalesce("p", "component").alias("component")))
+        from_u = now.hint("merge").join(point.hint("merge"), "u").selectExpr("p AS u", "v")
+        from_v = from_u.hint("merge").join(point.selectExpr("u AS v", "p").hint("merge"), "v").selectExpr("u", "p AS v")
+        now = checkpointed(from_v.select(*ordered).where("u <> v").distinct())
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
