@@ -1,7 +1,9 @@
 """Exact dedup by content sort, with DataFrame operations only.
 
-Sampled splitters range-partition the texts (as their bytes compare), each range is sorted, so equal
-texts lie next to each other, and one pass over neighbours compares them in full.
+Sampled splitters range-partition the texts, each range is sorted, so equal texts lie next to each
+other, and one pass over neighbours compares them in full. Splitters are the texts' first characters,
+as their bytes compare, and a hash for texts that begin alike: the sample that the driver sees is small
+however long the texts are, and a beginning that many texts share is split over ranges.
 
 Before that sort, copies are merged where they are read: rows are aggregated by (text, salt), which
 Spark combines on the map side. A text that a third of all rows share therefore reaches the sort as
@@ -21,6 +23,8 @@ from .common import shuffle_partitions, texts
 
 #: Rows into which one text's copies are pre-aggregated at most.
 SALTS = 8
+#: Characters of a text that a splitter holds.
+HEAD_CHARS = 32
 
 
 def content_groups(rows: DataFrame, best: Column) -> DataFrame:
@@ -32,8 +36,9 @@ def content_groups(rows: DataFrame, best: Column) -> DataFrame:
         .agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
         .select("text", "best", "n")
     )
-    ordered = merged.repartitionByRange(shuffle_partitions(rows.sparkSession), "text")
-    run = Window.partitionBy("text").orderBy(F.col("best").desc_nulls_last())
+    keyed = merged.withColumns({"head": F.substring("text", 1, HEAD_CHARS), "tie": F.xxhash64("text")})
+    ordered = keyed.repartitionByRange(shuffle_partitions(rows.sparkSession), "head", "tie")
+    run = Window.partitionBy("head", "tie", "text").orderBy(F.col("best").desc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         ordered.withColumn("rank", F.row_number().over(run))
