@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,6)"
+MONEY, PRICE = "decimal(28,10)", "decimal(8,4)"
 #: Dollars per million tokens of a model that the price table lacks.
 UNKNOWN_IN, UNKNOWN_OUT = 1.5, 9.0
 
@@ -13,7 +13,8 @@ UNKNOWN_IN, UNKNOWN_OUT = 1.5, 9.0
 def price_calls(call: DataFrame, price: DataFrame) -> DataFrame:
     """Adds estimate, cost and cost_source: a valid bill wins, else the estimate by the model's price."""
     dearest = F.coalesce("price_in", F.lit(UNKNOWN_IN)), F.coalesce("price_out", F.lit(UNKNOWN_OUT))
-    estimate = ((F.col("input_tokens") * dearest[0] + F.col("output_tokens") * dearest[1]) / 1e6).cast(MONEY)
+    millionths = [F.col(n).cast("decimal(18,0)") * p.cast(PRICE) for n, p in zip(("input_tokens", "output_tokens"), dearest)]
+    estimate = ((millionths[0] + millionths[1]).cast("decimal(24,4)") * F.lit("0.000001").cast("decimal(7,6)")).cast(MONEY)
     valid = F.coalesce((F.col("billed") >= 0) & (F.col("billed") < float("inf")) & ~F.isnan("billed"), F.lit(False))
     return call.join(price, "model", "left").withColumns({"estimate": estimate, "valid": valid}).select(
         *call.columns, "estimate", F.when(F.col("valid"), F.col("billed").cast(MONEY)).otherwise(F.col("estimate")).alias("cost"), F.when(F.col("valid"), "billed").otherwise("estimate").alias("cost_source")

@@ -299,7 +299,7 @@ def c11(page_reading):
     "c12_page_scores",
     ("page_reading",),
     f"""WITH {_CHUNKS} SELECT sheet_id, page_no, count(*) FILTER (WHERE TRY_CAST(tag AS INT) BETWEEN 1 AND 3) AS in_set, count(*) FILTER (WHERE TRY_CAST(tag AS INT) > 3) AS out_of_set,
-    sum(len(regexp_extract_all(text, '[A-Za-z]{{2,}}'))) AS words FROM c GROUP BY 1, 2""",
+    CAST(sum(len(regexp_extract_all(text, '[A-Za-z]{{2,}}'))) AS BIGINT) AS words FROM c GROUP BY 1, 2""",
 )
 def c12(page_reading):
     return text.page_scores(text.split_chunks(page_reading), 3)
@@ -558,8 +558,8 @@ def h9(result):
     return review.review_progress(grading.finalize(result))
 
 
-_PRICED = """pr AS (SELECT c.*, CAST((input_tokens * coalesce(price_in, 1.5) + output_tokens * coalesce(price_out, 9.0)) / 1e6 AS DECIMAL(18, 6)) AS estimate FROM cost_event c LEFT JOIN price USING (model)),
-pc AS (SELECT *, CASE WHEN billed >= 0 THEN CAST(billed AS DECIMAL(18, 6)) ELSE estimate END AS cost, CASE WHEN billed >= 0 THEN 'billed' ELSE 'estimate' END AS cost_source FROM pr)"""
+_PRICED = """pr AS (SELECT c.*, CAST(CAST(CAST(input_tokens AS DECIMAL(14, 0)) * CAST(coalesce(price_in, 1.5) AS DECIMAL(8, 4)) + CAST(output_tokens AS DECIMAL(14, 0)) * CAST(coalesce(price_out, 9.0) AS DECIMAL(8, 4)) AS DECIMAL(24, 4)) * CAST(0.000001 AS DECIMAL(7, 6)) AS DECIMAL(28, 10)) AS estimate FROM cost_event c LEFT JOIN price USING (model)),
+pc AS (SELECT *, CASE WHEN billed >= 0 THEN CAST(billed AS DECIMAL(28, 10)) ELSE estimate END AS cost, CASE WHEN billed >= 0 THEN 'billed' ELSE 'estimate' END AS cost_source FROM pr)"""
 
 
 @query("i1_price_calls", ("cost_event", "price"), f"WITH {_PRICED} SELECT event_id, CAST(cost AS DOUBLE) AS cost, cost_source FROM pc")
@@ -570,7 +570,7 @@ def i1(cost_event, price):
 @query(
     "i2_cost_by_stage",
     ("cost_event", "price"),
-    f"""WITH {_PRICED} SELECT run_id, stage, count(*) AS calls, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, CAST(sum(cost) AS DOUBLE) AS cost,
+    f"""WITH {_PRICED} SELECT run_id, stage, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cost) AS DOUBLE) AS cost,
     CASE WHEN bool_and(cost_source = 'billed') THEN 'billed' ELSE 'estimate' END AS cost_source FROM pc GROUP BY ROLLUP (run_id, stage) HAVING run_id IS NOT NULL""",
 )
 def i2(cost_event, price):
@@ -614,7 +614,7 @@ def i9(result):
 @query(
     "i12_spend_report",
     ("cost_event", "price"),
-    f"""WITH {_PRICED} SELECT stage, count(*) AS calls, sum(input_tokens + output_tokens) AS tokens, CAST(sum(cost) AS DOUBLE) AS cost,
+    f"""WITH {_PRICED} SELECT stage, count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS DOUBLE) AS cost,
     round(CAST(sum(cost) AS DOUBLE) / CAST((SELECT sum(cost) FROM pc) AS DOUBLE), 6) AS share FROM pc GROUP BY 1""",
 )
 def i12(cost_event, price):
