@@ -10,7 +10,8 @@ point has at most 65 classes around it, so either way is linear in the rows, and
 ``drop_near_duplicates`` serves a similarity (Jaccard, of shingles of five words): its fingerprints have
 as many blocks as find a pair of that similarity with probability ``RECALL``, each block's width growing
 with the logarithm of the number of texts, so that the expected candidates of a row stay constant.
-Candidates share a block; they are verified by the Hamming distance of the whole fingerprint.
+Candidates share a block; they are verified by the Hamming distance of the whole fingerprint, and where
+that lies within ``UNSURE`` standard deviations of the limit, by the exact similarity of the two texts.
 
 Defined results: null and empty texts, and those of white space alone, have the fingerprint zero and are
 linked like any other. A text of fewer words than a shingle is one shingle. Rows without id are linked to
@@ -38,8 +39,9 @@ BLOCKS, BLOCK_BITS, SMALL_BUCKET = 4, 16, 16
 #: Shingles whose bits are counted together.
 STEP = 1 << 14
 
-#: The similarity stage: words to a shingle, least similarity, share of such pairs to be found, neighbours compared in a block.
-SIMILAR_WORDS, SIMILARITY, RECALL, NEIGHBOURS = 5, 0.8, 0.95, 4
+#: The similarity stage: words to a shingle, least similarity, share of such pairs that blocks are to find, neighbours
+#: compared in a block, the bits that a pair is verified by at least, and how far from the limit it is checked exactly.
+SIMILAR_WORDS, SIMILARITY, RECALL, NEIGHBOURS, VERIFY_BITS, UNSURE = 5, 0.8, 0.95, 4, 2048, 3.0
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -125,6 +127,10 @@ def layout(n_texts: int, similarity: float = SIMILARITY, recall: float = RECALL)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
+def fingerprint_bits(bits: int, blocks: int) -> int:
+    return 8 * -(-max(VERIFY_BITS, bits * blocks) // 8)
+
+
 #: Values of a hash's byte, times its bytes: a text's shingles are counted in so many places before they are projected.
 PLACES = 8 * 256
 PROJECTED_TOGETHER = 256
@@ -137,7 +143,7 @@ def projection(bits: int, seed: int = SEED) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id and fp (packed bits): the signs of the sums of the shingles' random vectors."""
+    """doc_id and fp (packed bits): the signs of the sums of the distinct shingles' random vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, lane = projection(bits), np.arange(8, dtype=np.int64) * 256
@@ -147,7 +153,7 @@ def wide_fingerprints(docs: DataFrame, bits: int, id_col: str = "doc_id", text_c
                 some = column[at : at + PROJECTED_TOGETHER]
                 counts = np.zeros((len(some), PLACES), dtype=np.float32)
                 for k, text in enumerate(some):
-                    h = shingle_hashes(text.as_py(), words)
+                    h = np.unique(np.ascontiguousarray(shingle_hashes(text.as_py(), words)).view(np.uint64)).view(np.uint8).reshape(-1, 8)
                     for step in range(0, len(h), STEP):
                         counts[k] += np.bincount((h[step : step + STEP] + lane).ravel(), minlength=PLACES)
                 packed = np.packbits(counts @ vectors > 0, axis=1, bitorder="little")
@@ -156,8 +162,8 @@ def wide_fingerprints(docs: DataFrame, bits: int, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
 
 
-def similar_pairs(classes: DataFrame, bits: int, blocks: int, similarity: float) -> DataFrame:
-    """(u, v) of classes (node, fp) that share a block and whose fingerprints are as close as the similarity asks."""
+def similar_pairs(classes: DataFrame, docs: DataFrame, bits: int, blocks: int, words: int, similarity: float) -> DataFrame:
+    """(u, v) of classes (node, fp) that share a block and are as similar as asked; ``docs`` has their texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(blocks, dtype=np.uint64)
@@ -182,8 +188,6 @@ def similar_pairs(classes: DataFrame, bits: int, blocks: int, similarity: float)
     rough = F.bit_count(F.col("check").bitwiseXOR(F.col("o.c"))) <= most
     beside = keyed.select("node", "check", later.alias("later"))
     pairs = beside.select("node", "check", F.explode("later").alias("o")).where(F.col("o.v").isNotNull() & rough).select(F.col("node").alias("u"), F.col("o.v").alias("v")).distinct()
-    limit = int(share * bits * blocks)
-
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(a), dtype=np.uint8) ^ np.frombuffer(b"".join(b), dtype=np.uint8)
@@ -191,7 +195,30 @@ def similar_pairs(classes: DataFrame, bits: int, blocks: int, similarity: float)
 
     left = classes.select(F.col("node").alias("u"), F.col("fp").alias("a"))
     right = classes.select(F.col("node").alias("v"), F.col("fp").alias("b"))
-    return pairs.join(left, "u").join(right, "v").where(distance("a", "b") <= limit).select("u", "v")
+    n_bits = fingerprint_bits(bits, blocks)
+    middle, width = n_bits * share, UNSURE * math.sqrt(n_bits * share * (1 - share))
+    measured = pairs.join(left, "u").join(right, "v").select("u", "v", distance("a", "b").alias("d")).where(F.col("d") <= middle + width)
+    near = written(measured, "near")
+    unsure = near.where(F.col("d") >= middle - width).select("u", "v")
+    return near.where(F.col("d") < middle - width).select("u", "v").unionByName(exactly_similar(unsure, docs, words, similarity))
+
+
+def exactly_similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids whose texts, in ``docs`` (doc_id, text), have sets of shingles as similar as asked."""
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            p, q = (np.unique(np.ascontiguousarray(shingle_hashes(t, words)).view(np.uint64)) for t in (x, y))
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            return shared >= similarity * (len(p) + len(q) - shared)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    wanted = written(docs.join(ids, "doc_id", "left_semi"), "compared")
+    both = pairs.join(wanted.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(wanted.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    return both.where(similar("a", "b")).select("u", "v")
 
 
 def drop_near_duplicates(
@@ -202,9 +229,9 @@ def drop_near_duplicates(
     Rows that repeat an id stand or fall together; rows without id stay.
     """
     bits, blocks = layout(docs.count(), similarity, recall)
-    rows = written(wide_fingerprints(docs, bits * blocks, id_col, text_col, words).where("doc_id IS NOT NULL"), "fingerprints")
+    rows = written(wide_fingerprints(docs, fingerprint_bits(bits, blocks), id_col, text_col, words).where("doc_id IS NOT NULL"), "fingerprints")
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
-    tied = components(similar_pairs(classes, bits, blocks, similarity)).where("node <> component").select("node")
+    tied = components(similar_pairs(classes, texts(docs, id_col, text_col), bits, blocks, words, similarity)).where("node <> component").select("node")
     # rows that are not their class's least id, and classes that are not their component's
     of_class = rows.hint("merge").join(classes.hint("merge"), "fp").select("doc_id", "node")
     losers = of_class.where("doc_id <> node").select("doc_id").unionByName(
