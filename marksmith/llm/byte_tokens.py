@@ -42,9 +42,9 @@ class ByteTokenizer:
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        if self.library.encode(SAMPLE, add_special_tokens=False).ids != self.core.encode_ordinary(SAMPLE):
+        library = Tokenizer.from_file(path)  # not kept: it would hold the vocabulary twice
+        library.encode_special_tokens = True
+        if library.encode(SAMPLE, add_special_tokens=False).ids != self.core.encode_ordinary(SAMPLE):
             raise ValueError("this tokenizer file's ids aren't its merge ranks")
 
     def encode(self, text: str) -> bytes:

@@ -33,7 +33,7 @@ EPOCHS, BATCH_DOCS, RATE, DECAY, DROPPED_WORDS = 8, 32, 0.01, 1e-4, 0.2
 LEAST_POSITIVES = 8
 PAD, PARTS = 0, 3
 #: Words that a worker remembers.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 100_000
 
 #: Frequent function words that tell the language.
 LANGUAGE_WORDS = {
@@ -62,15 +62,22 @@ class Vocabulary(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[int, ...]] = [(PAD,) * PARTS]  # row 0 is the padding
-        self.votes: list[int] = [len(LANGUAGE_WORDS)]
+        # words not taken over yet; row 0 is the padding
+        self.size, self.rows, self.votes = 1, [(PAD,) * PARTS], [len(LANGUAGE_WORDS)]
 
     def __missing__(self, word: str) -> int:
         bare = plain(word)
         self.rows.append(buckets(bare))
         self.votes.append(_LANGUAGE_OF.get(bare, len(LANGUAGE_WORDS)))
-        self[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self[word] = found = self.size
+        self.size += 1
+        return found
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows and votes of words met since the last call."""
+        out = np.array(self.rows, dtype=np.int32).reshape(-1, PARTS), np.array(self.votes, dtype=np.int8)
+        self.rows, self.votes = [], []
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         words = text.lower().split()
@@ -124,9 +131,9 @@ class Scorer:
     """A network with the words that a worker has met."""
 
     def __init__(self, net: Cnn | None):
-        self.net, self.words, self.done = net, Vocabulary(), 0
+        self.net, self.words = net, Vocabulary()
         self.added: dict[int, list[np.ndarray]] = {w: [np.zeros((0, FILTERS), dtype=np.float32)] * w for w in WIDTHS}
-        self.votes = np.zeros(0, dtype=np.int64)
+        self.votes = np.zeros(0, dtype=np.int8)
 
     def __call__(self, found: list[str]) -> np.ndarray:
         if self.net is None:
@@ -134,11 +141,12 @@ class Scorer:
         if len(self.words) > MEMO_WORDS:
             self.__init__(self.net)
         docs = [self.words.ids(t) for t in found]
-        if fresh := self.words.rows[self.done :]:
-            more = self.net.added(np.array(fresh))
-            self.added = {w: [np.concatenate(pair) for pair in zip(self.added[w], more[w])] for w in WIDTHS}
-            self.votes = np.concatenate([self.votes, self.words.votes[self.done :]])
-            self.done = len(self.words.rows)
+        fresh, votes = self.words.taken()
+        if len(fresh):
+            more = self.net.added(fresh)
+            for w in WIDTHS:
+                self.added[w] = [np.concatenate(pair) for pair in zip(self.added[w], more[w])]
+            self.votes = np.concatenate([self.votes, votes])
         spoken = [language(self.votes[d]) for d in docs]
         return sigmoid(self.net.logits(docs, self.added) - self.net.shift[spoken])
 
@@ -147,7 +155,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Cnn | None:
     """A network fitted to (text, label) rows; every fifth row only sets the thresholds. None without both labels."""
     words = Vocabulary()
     docs, labels = [words.ids(t) for t, _ in rows], np.array([y for _, y in rows], dtype=np.float64)
-    parts, votes = np.array(words.rows), np.array(words.votes)
+    parts, votes = words.taken()
     kept_out = np.arange(len(rows)) % 5 == 4
     fit = np.flatnonzero(~kept_out)
     if len(set(labels[fit])) < 2:
@@ -212,7 +220,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Cnn | None:
 
 SCORED = "doc_id long, score double"
 #: Characters of text that are scored together.
-STEP_CHARS = 2 << 20
+STEP_CHARS = 1 << 20
 
 
 def in_steps(scorer: Scorer, found: list[str]) -> np.ndarray:
