@@ -51,8 +51,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Documents that Spark hands to a Python worker at once, where the session has no setting of its own.
+BATCH_DOCS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents are wide rows, so fewer of them make an Arrow batch than Spark's default of 10,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id, text), null text as empty; other columns, whatever their names, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 

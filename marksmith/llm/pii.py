@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import record_batches, texts
+from .common import record_batches, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "local_phone")
 BASE_KINDS = KINDS[:4]
@@ -167,6 +167,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     from pyspark.sql import functions as F
     from pyspark.sql.functions import pandas_udf
 
+    small_batches(docs.sparkSession)
+
     @pandas_udf("string")
     def cover(column):
         return column.map(redact, na_action="ignore")
