@@ -42,6 +42,8 @@ STEP = 1 << 14
 #: The similarity stage: words to a shingle, least similarity, share of such pairs that blocks are to find, neighbours
 #: compared in a block, the bits that a pair is verified by at least, and how far from the limit it is checked exactly.
 SIMILAR_WORDS, SIMILARITY, RECALL, NEIGHBOURS, VERIFY_BITS, UNSURE = 5, 0.8, 0.95, 4, 2048, 3.0
+#: Blocks of the first pass, which chains large groups.
+FIRST_BLOCKS = 10
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -162,40 +164,48 @@ def wide_fingerprints(docs: DataFrame, bits: int, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
 
 
-def similar_pairs(classes: DataFrame, docs: DataFrame, bits: int, blocks: int, words: int, similarity: float) -> DataFrame:
-    """(u, v) of classes (node, fp) that share a block and are as similar as asked; ``docs`` has their texts."""
+def candidate_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, similarity: float) -> DataFrame:
+    """(u, v) of classes (node, fp, tie) that share a block and whose first 64 bits don't part them; not those that are tied already."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(blocks, dtype=np.uint64)
         powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for batch in batches:
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            nodes, ties = batch.column("node").to_numpy(zero_copy_only=False), batch.column("tie")
             fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
             for at in range(0, len(nodes), 1024):
-                flat = np.unpackbits(fps[at : at + 1024], axis=1, bitorder="little")[:, : bits * blocks]
-                keys = (flat.reshape(-1, blocks, bits).astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(blocks) + place
+                flat = np.unpackbits(fps[at : at + 1024], axis=1, bitorder="little")
                 check = np.packbits(flat[:, :64], axis=1, bitorder="little").view(np.int64).ravel()
-                n = len(flat)
-                columns = [keys.view(np.int64).ravel(), np.repeat(nodes[at : at + n], blocks), np.repeat(check, blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["key", "node", "check"])
+                keys = (flat[:, : bits * blocks].reshape(-1, blocks, bits).astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(blocks) + place
+                row = np.repeat(np.arange(len(flat)), blocks)
+                columns = [keys.view(np.int64).ravel(), nodes[at : at + 1024][row], check[row]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, type=pa.int64()) for c in columns], ties[at : at + 1024].take(pa.array(row))], names=["key", "node", "check", "tie"])
 
-    keyed = classes.mapInArrow(cut, "key long, node long, check long")
+    keyed = classes.select("node", "fp", "tie").mapInArrow(cut, "key long, node long, check long, tie long")
     inside = Window.partitionBy("key").orderBy("node")
-    later = F.array(*[F.struct(F.lead("node", k).over(inside).alias("v"), F.lead("check", k).over(inside).alias("c")) for k in range(1, NEIGHBOURS + 1)])
+    later = F.array(*[F.struct(*[F.lead(c, k).over(inside).alias(c) for c in ("node", "check", "tie")]) for k in range(1, neighbours + 1)])
     share = differing_share(similarity)
     # the first 64 bits already part nearly all candidates: a close pair passes but for once in some 10,000 times
     most = math.floor(64 * share + 3.7 * math.sqrt(64 * share * (1 - share)))
-    rough = F.bit_count(F.col("check").bitwiseXOR(F.col("o.c"))) <= most
-    beside = keyed.select("node", "check", later.alias("later"))
-    pairs = beside.select("node", "check", F.explode("later").alias("o")).where(F.col("o.v").isNotNull() & rough).select(F.col("node").alias("u"), F.col("o.v").alias("v")).distinct()
+    rough = F.bit_count(F.col("check").bitwiseXOR(F.col("o.check"))) <= most
+    open_pair = F.col("o.node").isNotNull() & F.coalesce(F.col("tie") != F.col("o.tie"), F.lit(True))
+    beside = keyed.select("node", "check", "tie", later.alias("later")).select("node", "check", "tie", F.explode("later").alias("o"))
+    return beside.where(open_pair & rough).select(F.col("node").alias("u"), F.col("o.node").alias("v")).distinct()
+
+
+def verified_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_bits: int, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose texts, in ``docs``, are as similar as asked: by their distance or, near the limit, exactly."""
+
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(a), dtype=np.uint8) ^ np.frombuffer(b"".join(b), dtype=np.uint8)
         return pd.Series(np.bitwise_count(x).reshape(len(a), -1).sum(axis=1, dtype=np.int32))
 
-    left = classes.select(F.col("node").alias("u"), F.col("fp").alias("a"))
-    right = classes.select(F.col("node").alias("v"), F.col("fp").alias("b"))
-    n_bits = fingerprint_bits(bits, blocks)
+    pairs = written(pairs, "pairs")
+    paired = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = written(classes.select("node", "fp").join(paired, "node", "left_semi"), "paired")
+    left, right = (wanted.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
+    share = differing_share(similarity)
     middle, width = n_bits * share, UNSURE * math.sqrt(n_bits * share * (1 - share))
     measured = pairs.join(left, "u").join(right, "v").select("u", "v", distance("a", "b").alias("d")).where(F.col("d") <= middle + width)
     near = written(measured, "near")
@@ -203,6 +213,22 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, bits: int, blocks: int, w
     return near.where(F.col("d") < middle - width).select("u", "v").unionByName(exactly_similar(unsure, docs, words, similarity))
 
 
+def similar_components(classes: DataFrame, docs: DataFrame, bits: int, blocks: int, words: int, similarity: float) -> DataFrame:
+    """(node, component) of classes (node, fp) that links tie.
+
+    A first pass over few blocks chains each class to the next one beside it, which already ties most of a
+    large group of copies. The full pass then leaves out pairs within one of those components: their links
+    could change nothing, and all pairs that would be compared are as many as the group's rows times the blocks.
+    """
+    n_bits = fingerprint_bits(bits, blocks)
+    few = min(FIRST_BLOCKS, blocks)
+    chained = candidate_pairs(classes.withColumn("tie", F.lit(None).cast("long")), bits, few, 1, similarity)
+    tied = components(verified_pairs(chained, classes, docs, n_bits, words, similarity)).select("node", F.col("component").alias("tie"))
+    rest = candidate_pairs(classes.join(tied, "node", "left"), bits, blocks, NEIGHBOURS, similarity)
+    found = verified_pairs(rest, classes, docs, n_bits, words, similarity)
+    return components(found.unionByName(tied.select(F.col("node").alias("u"), F.col("tie").alias("v"))))
+
+
 def exactly_similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of ids whose texts, in ``docs`` (doc_id, text), have sets of shingles as similar as asked."""
 
@@ -229,11 +255,12 @@ def drop_near_duplicates(
     Rows that repeat an id stand or fall together; rows without id stay.
     """
     bits, blocks = layout(docs.count(), similarity, recall)
-    rows = written(wide_fingerprints(docs, fingerprint_bits(bits, blocks), id_col, text_col, words).where("doc_id IS NOT NULL"), "fingerprints")
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
-    tied = components(similar_pairs(classes, texts(docs, id_col, text_col), bits, blocks, words, similarity)).where("node <> component").select("node")
+    made = wide_fingerprints(docs, fingerprint_bits(bits, blocks), id_col, text_col, words).where("doc_id IS NOT NULL")
+    rows = written(made.withColumn("fp_key", F.unhex(F.md5("fp"))), "fingerprints")  # a short key joins in place of some hundred bytes
+    classes = checkpointed(rows.groupBy("fp_key", "fp").agg(F.min("doc_id").alias("node")))
+    tied = similar_components(classes, texts(docs, id_col, text_col), bits, blocks, words, similarity).where("node <> component").select("node")
     # rows that are not their class's least id, and classes that are not their component's
-    of_class = rows.hint("merge").join(classes.hint("merge"), "fp").select("doc_id", "node")
+    of_class = rows.select("doc_id", "fp_key").hint("merge").join(classes.select("fp_key", "node").hint("merge"), "fp_key").select("doc_id", "node")
     losers = of_class.where("doc_id <> node").select("doc_id").unionByName(
         of_class.where("doc_id = node").select("doc_id").join(tied, F.col("doc_id") == F.col("node"), "left_semi")
     )
