@@ -137,3 +137,13 @@ def totals_guard(result: DataFrame, key_total: DataFrame) -> DataFrame:
 
 def pending_items(universe: DataFrame, done: DataFrame) -> DataFrame:
     return universe.join(done.select("sheet_id", "base"), ["sheet_id", "base"], "left_anti")
+
+
+def failed_replies(item: DataFrame, reply: DataFrame) -> DataFrame:
+    """Items (sheet_id, base, marks_max) without any reply that could be read: no marks, low confidence, for review."""
+    return item.join(reply, ["sheet_id", "base"], "left_anti").select("sheet_id", "base", F.lit(0.0).alias("marks_awarded"), "marks_max", F.lit("low").alias("confidence"), F.lit(True).alias("needs_review"))
+
+
+def unassessed_diagrams(expected: DataFrame, features: DataFrame) -> DataFrame:
+    """Questions with a diagram for which no usable features were found."""
+    return expected.select("sheet_id", "base").distinct().join(features, ["sheet_id", "base"], "left_anti")

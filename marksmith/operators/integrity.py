@@ -159,3 +159,56 @@ def reconcile_marks(key: DataFrame, paper: DataFrame, modes: DataFrame) -> DataF
         F.when(F.col("action").isin("adjusted", "injected"), F.col("paper_marks")).otherwise(F.col("marks")).alias("marks"),
         "action",
     )
+
+
+def choices_or_detect(sidecar: DataFrame, detected: DataFrame) -> DataFrame:
+    """Groups (exam_id, base): an exam's own where it has any, else the detected ones, which are uncertain."""
+    own = sidecar.select("exam_id", "base").distinct()
+    rest = detected.select("exam_id", "base").join(own.select("exam_id"), "exam_id", "left_anti")
+    return own.withColumn("uncertain", F.lit(False)).unionByName(rest.withColumn("uncertain", F.lit(True)))
+
+
+def check_text_volume(doc_text: DataFrame, least: int = 200) -> DataFrame:
+    """Documents (doc, page, text) without text are errors, those with little are warnings."""
+    chars = F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")))
+    severity = F.when(chars == 0, "error").when(chars < least, "warning")
+    return doc_text.select("doc", "page", severity.alias("severity"), chars.alias("chars")).where("severity IS NOT NULL")
+
+
+def align_key(answer: DataFrame, key: DataFrame) -> DataFrame:
+    """Each answer's key entry, by its id or else by the part before the first dot; then the entries that no answer took.
+
+    answer (sheet_id, exam_id, qid), key (exam_id, qid, marks); an entry whose id is the base of an aligned one isn't appended.
+    """
+    stem = F.substring_index("qid", ".", 1)
+    asked = answer.select("sheet_id", "exam_id", "qid", stem.alias("stem"))
+    exact = key.select("exam_id", "qid", F.col("marks").alias("own"))
+    by_stem = key.select("exam_id", F.col("qid").alias("stem"), F.col("marks").alias("of_stem"))
+    aligned = asked.join(exact, ["exam_id", "qid"], "left").join(by_stem, ["exam_id", "stem"], "left").where("own IS NOT NULL OR of_stem IS NOT NULL")
+    taken = aligned.select("sheet_id", F.explode(F.array("qid", "stem")).alias("qid"))
+    every = answer.select("sheet_id", "exam_id").distinct().join(key, "exam_id").select("sheet_id", "exam_id", "qid", "marks")
+    rest = every.join(taken, ["sheet_id", "qid"], "left_anti").select("sheet_id", "exam_id", "qid", "marks", F.lit(False).alias("answered"))
+    return aligned.select("sheet_id", "exam_id", "qid", F.coalesce("own", "of_stem").alias("marks"), F.lit(True).alias("answered")).unionByName(rest)
+
+
+def merge_backfill(paper_entry: DataFrame, recovered: DataFrame, thin: int = 40) -> DataFrame:
+    """Missing questions are installed; thin ones are replaced, by longer texts only (exam_id, qid, question)."""
+    old, new = (F.length(F.trim(F.coalesce(c, F.lit("")))) for c in ("question", "found"))
+    both = paper_entry.select("exam_id", "qid", "question").join(recovered.select("exam_id", "qid", F.col("question").alias("found")), ["exam_id", "qid"], "full")
+    action = F.when(F.col("question").isNull(), "installed").when((old < thin) & (new > old), "replaced").when(old < thin, "still_thin").otherwise("kept")
+    return both.withColumn("action", action).select("exam_id", "qid", F.when(F.col("action").isin("installed", "replaced"), F.col("found")).otherwise(F.col("question")).alias("question"), "action")
+
+
+def gate(issue: DataFrame, exams: DataFrame, paper_entry: DataFrame) -> DataFrame:
+    """Per exam: its issues (exam_id, severity, code), a missing paper counted as an error, and whether any error blocks it."""
+    without = exams.join(paper_entry, "exam_id", "left_anti").select("exam_id", F.lit("error").alias("severity"), F.lit("no_paper").alias("code"))
+    found = issue.select("exam_id", "severity", "code").unionByName(without)
+    counted = found.groupBy("exam_id").agg(F.count(F.lit(1)).alias("issues"), F.bool_or(F.col("severity") == "error").alias("blocked"))
+    return exams.join(counted, "exam_id", "left").select("exam_id", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+
+
+def marks_mode(mismatch: DataFrame, choice: DataFrame) -> DataFrame:
+    """The mode of each exam (exam_id, mismatch) after the teacher's choice (exam_id, source, edited); an edit confirms the key."""
+    by_source = F.when(F.col("source") == "paper", "align_to_paper").when(F.col("source") == "key", "trust_key").otherwise("raise")
+    mode = F.when(F.coalesce("edited", F.lit(False)), "trust_key").when(F.col("mismatch"), by_source).otherwise("raise")
+    return mismatch.join(choice, "exam_id", "left").select("exam_id", mode.alias("mode"))

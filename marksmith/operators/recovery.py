@@ -54,3 +54,17 @@ def offtopic_hosts(affinity: DataFrame, gaps: DataFrame, cross: float = 0.5, mar
     )
     rank = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("margin"), "base"))
     return scored.where((F.col("affinity") >= cross) & (F.col("margin") >= margin)).withColumn("rank", rank)
+
+
+def commit_reread(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per sheet: whether a re-read is rejected, because some answer (sheet_id, base, answer) got shorter, and the questions that grew, if not."""
+    was, now = (F.coalesce(F.length(c), F.lit(0)) for c in ("was", "now"))
+    both = before.select("sheet_id", "base", F.col("answer").alias("was")).join(after.select("sheet_id", "base", F.col("answer").alias("now")), ["sheet_id", "base"], "full")
+    grown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(now > was, F.col("base")))), lambda b: b.cast("string")), ",")
+    found = both.groupBy("sheet_id").agg(F.bool_or(now < was).alias("rejected"), grown.alias("grown"))
+    return found.withColumn("grown", F.when(F.col("rejected"), "").otherwise(F.col("grown")))
+
+
+def merge_flags(flag: DataFrame) -> DataFrame:
+    """The first layer's reason for each question (sheet_id, base, layer, reason)."""
+    return flag.groupBy("sheet_id", "base").agg(F.min_by("reason", "layer").alias("reason"))

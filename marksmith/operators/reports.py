@@ -71,3 +71,29 @@ def pending_by_hash(found: DataFrame, cache: DataFrame, version: str, model: str
     """Texts (id, text) whose key, the hash of version, model and text, isn't in the cache (cache_key)."""
     key = F.sha2(F.concat_ws("\0", F.lit(version), F.lit(model), F.col("text")), 256)
     return found.withColumn("cache_key", key).join(cache, "cache_key", "left_anti")
+
+
+def timing_by_stage(timing: DataFrame) -> DataFrame:
+    """Seconds per run and stage; with a null stage, all stages of a run."""
+    return timing.rollup("run_id", "stage").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("times")).where("run_id IS NOT NULL")
+
+
+def agreement(result: DataFrame, teacher: DataFrame, by: str) -> DataFrame:
+    """Per ``by``: questions, both totals, mean absolute error and share of equal marks (sheet_id, base; mark, teacher_mark)."""
+    off = F.abs(F.col("mark") - F.col("teacher_mark"))
+    return result.join(teacher, ["sheet_id", "base"]).groupBy(by).agg(
+        F.count(F.lit(1)).alias("questions"), F.sum("mark").alias("total"), F.sum("teacher_mark").alias("teacher_total"), F.round(F.avg(off), 6).alias("mean_error"), F.round(F.avg((off == 0).cast("double")), 6).alias("equal")
+    )
+
+
+def escalation_mix(cascaded: DataFrame) -> DataFrame:
+    """Per reason: questions, and how far the deep mark is from the fast one on average."""
+    return cascaded.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("deep_mark") - F.col("fast_mark")), 6).alias("drift"))
+
+
+def batch_summary(sheet: DataFrame, result: DataFrame, cost: DataFrame) -> DataFrame:
+    """Per sheet (sheet_id, student): awarded and greatest marks, status, and the cost read from its text (like $0.25)."""
+    marks = result.groupBy("sheet_id").agg(F.round(F.sum("mark"), 2).alias("awarded"), F.round(F.sum("marks_max"), 2).alias("maximum"))
+    spent = cost.select("sheet_id", F.regexp_replace("spent", "[$,]", "").try_cast("double").alias("cost"))
+    status = F.when(F.col("awarded").isNull(), "failed").otherwise("done")
+    return sheet.join(marks, "sheet_id", "left").join(spent, "sheet_id", "left").select("sheet_id", "student", "awarded", "maximum", status.alias("status"), "cost")

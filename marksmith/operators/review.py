@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.marks import quantize
@@ -74,3 +74,28 @@ def current_state(snapshot: DataFrame, edited: DataFrame, key: str, value: str)
     """The edited copy's value where there is one, else the snapshot's."""
     e = edited.select(key, F.col(value).alias("edited_value"))
     return snapshot.join(e, key, "left").withColumns({value: F.coalesce("edited_value", value), "is_edited": F.col("edited_value").isNotNull()}).drop("edited_value")
+
+
+def working_copy(snapshot: DataFrame, existing: DataFrame) -> DataFrame:
+    """The edited copies, and for runs without one the snapshot; the machine's mark is stamped once (run_id, base, mark, machine_mark)."""
+    fresh = snapshot.join(existing.select("run_id").distinct(), "run_id", "left_anti")
+    both = existing.select("run_id", "base", "mark", "machine_mark").unionByName(fresh.select("run_id", "base", "mark", F.lit(None).cast("double").alias("machine_mark")))
+    return both.withColumn("machine_mark", F.coalesce("machine_mark", "mark"))
+
+
+def apply_corrections(state: DataFrame, decision: DataFrame) -> DataFrame:
+    """As apply_decisions, but only rejections count."""
+    return apply_decisions(state, decision.where("decision = 'reject'"))
+
+
+def saved_evaluations(run: DataFrame) -> DataFrame:
+    """One row a run (run_id, is_edited, given, read_name, saved_at): the edited copy before the snapshot, the latest of each; newest first."""
+    best = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("is_edited"), F.desc("saved_at")))
+    name = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("given", "read_name")], F.lit("Unknown"))
+    return run.withColumn("k", best).where("k = 1").select("run_id", name.alias("name"), "is_edited", "saved_at").orderBy(F.desc("saved_at"), "run_id")
+
+
+def supersede(runs: DataFrame, replacement: DataFrame) -> DataFrame:
+    """Runs that no other, successful run replaced (old_run, new_run, succeeded)."""
+    gone = replacement.where("succeeded AND old_run <> new_run").select(F.col("old_run").alias("run_id"))
+    return runs.join(gone, "run_id", "left_anti")

@@ -1,0 +1,3 @@
+"""Queries register themselves when their modules are imported."""
+
+from . import more_queries, queries  # noqa: F401

@@ -88,6 +88,12 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT user_id AS review_id, CAST(1 + event_id % 7 AS INT) AS base, event_id AS seq, CASE WHEN event_type IN ('error', 'signup') THEN 'reject' ELSE 'accept' END AS decision,
                   value / 50 AS corrected_marks FROM events""",
     ),
+    "page_question": (
+        ("lineitem",),
+        """SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, CAST(1 + l_partkey % 4 AS INT) AS page_no FROM lineitem
+           UNION SELECT l_orderkey, CAST(l_linenumber AS INT), CAST(1 + l_suppkey % 6 AS INT) FROM lineitem UNION SELECT l_orderkey, CAST(l_linenumber AS INT), CAST(7 + l_linenumber % 2 AS INT) FROM lineitem""",
+    ),
+    "stage_timing": (("events",), "SELECT user_id AS run_id, event_type AS stage, CAST(floor(value * 10) AS DOUBLE) AS seconds, event_id FROM events"),
     "page_text": (("documents",), "SELECT source AS doc, doc_id AS page, text FROM documents"),
     "page_reading": (
         ("conversations",),
