@@ -10,7 +10,7 @@ point has at most 65 classes around it, so either way is linear in the rows, and
 ``drop_near_duplicates`` serves a similarity (Jaccard, of shingles of five words): its fingerprints have
 as many blocks as find a pair of that similarity with probability ``RECALL``, each block's width growing
 with the logarithm of the number of texts, so that the expected candidates of a row stay constant.
-Candidates share a block; they are verified by the Hamming distance of the whole fingerprint, and where
+Candidates are all pairs that share a block and are not tied yet; they are verified by the Hamming distance of the whole fingerprint, and where
 that lies within ``UNSURE`` standard deviations of the limit, by the exact similarity of the two texts.
 
 Defined results: null and empty texts, and those of white space alone, have the fingerprint zero and are
@@ -44,6 +44,8 @@ STEP = 1 << 14
 SIMILAR_WORDS, SIMILARITY, RECALL, NEIGHBOURS, VERIFY_BITS, UNSURE = 5, 0.8, 0.95, 4, 2048, 3.0
 #: Blocks of the first pass, which chains large groups.
 FIRST_BLOCKS = 10
+#: Rows of a part of a crowded key, and rows compared with the others at once.
+PART_ROWS, COMPARED_TOGETHER = 4096, 256
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -164,8 +166,8 @@ def wide_fingerprints(docs: DataFrame, bits: int, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
 
 
-def candidate_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, similarity: float) -> DataFrame:
-    """(u, v) of classes (node, fp, tie) that share a block and whose first 64 bits don't part them; not those that are tied already."""
+def keyed_classes(classes: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(key, node, check, tie) for each block of the classes (node, fp, tie); check is the first 64 bits."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(blocks, dtype=np.uint64)
@@ -181,7 +183,12 @@ def candidate_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int,
                 columns = [keys.view(np.int64).ravel(), nodes[at : at + 1024][row], check[row]]
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, type=pa.int64()) for c in columns], ties[at : at + 1024].take(pa.array(row))], names=["key", "node", "check", "tie"])
 
-    keyed = classes.select("node", "fp", "tie").mapInArrow(cut, "key long, node long, check long, tie long")
+    return classes.select("node", "fp", "tie").mapInArrow(cut, "key long, node long, check long, tie long")
+
+
+def candidate_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, similarity: float) -> DataFrame:
+    """(u, v) of classes (node, fp, tie) that share a block and whose first 64 bits don't part them; not those that are tied already."""
+    keyed = keyed_classes(classes, bits, blocks)
     inside = Window.partitionBy("key").orderBy("node")
     later = F.array(*[F.struct(*[F.lead(c, k).over(inside).alias(c) for c in ("node", "check", "tie")]) for k in range(1, neighbours + 1)])
     share = differing_share(similarity)
@@ -193,6 +200,95 @@ def candidate_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int,
     return beside.where(open_pair & rough).select(F.col("node").alias("u"), F.col("o.node").alias("v")).distinct()
 
 
+def open_pairs(ties: np.ndarray, fps: np.ndarray, apart: np.ndarray, limits: list[tuple[int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows sorted by tie, of different ties, whose words of ``fps`` differ in no more bits than ``limits`` (words, bits) allow.
+
+    ``apart`` numbers the one or two blocks that the rows are of; where there are two, only pairs across them are given.
+    """
+    ends = np.searchsorted(ties, ties, side="right")
+    two = apart.min() != apart.max()
+    first, most = limits[0]
+    at = 0
+    while at < len(ties):
+        # a chunk within one tie starts behind that tie, so that a large group isn't compared with itself
+        to = min(at + COMPARED_TOGETHER, max(ends[at], at + 1) if ends[at] - at >= COMPARED_TOGETHER else len(ties))
+        begin = ends[at] if ends[at] >= to else at
+        if begin < len(ties):
+            d = np.zeros((to - at, len(ties) - begin), dtype=np.uint16)
+            for w in range(first):
+                d += np.bitwise_count(fps[at:to, w, None] ^ fps[None, begin:, w])
+            near = (d <= most) & (ties[at:to, None] < ties[None, begin:])
+            if two:
+                near &= apart[at:to, None] != apart[None, begin:]
+            left, right = np.nonzero(near)
+            for some in range(0, len(left), STEP):
+                i, j = left[some : some + STEP] + at, right[some : some + STEP] + begin
+                for words, bits in limits[1:]:
+                    keep = np.bitwise_count(fps[i, :words] ^ fps[j, :words]).sum(axis=1, dtype=np.int64) <= bits
+                    i, j = i[keep], j[keep]
+                yield i, j
+        at = to
+
+
+def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, similarity: float) -> DataFrame:
+    """(u, v) of classes (node, fp, tie) not tied yet that share a block's key with more than ``neighbours`` others.
+
+    All pairs of such a key are compared, but those of one tie. A key's rows are cut, in the order of
+    their ties, into parts of at most ``PART_ROWS``, and two parts (or one with itself) make a task.
+    """
+    keyed = keyed_classes(classes, bits, blocks).drop("check")
+    key = Window.partitionBy("key")
+    sized = keyed.withColumns({"n": F.count(F.lit(1)).over(key), "lo": F.min("tie").over(key), "hi": F.max("tie").over(key)})
+    crowded = sized.where((F.col("n") > neighbours + 1) & (F.col("lo") < F.col("hi")))
+    number = F.row_number().over(key.orderBy("tie", "node")) - 1
+    rows = written(crowded.select("key", "node", "tie", F.floor(number / PART_ROWS).cast("int").alias("part")), "crowded")
+    spans = rows.groupBy("key", "part").agg(F.min("tie").alias("lo"), F.max("tie").alias("hi"))
+    ahead = spans.select("key", F.col("part").alias("part2"), F.col("hi").alias("hi2"))
+    met = spans.join(ahead, "key").where("part <= part2 AND lo < hi2").select("key", F.col("part").alias("a"), F.col("part2").alias("b"))
+    wanted = met.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("part"))
+    members = rows.join(wanted, ["key", "part"]).join(classes.select("node", "fp"), "node")
+    dealt = members.select("key", "a", "b", "part", "tie", "node", "fp").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "tie", "node")
+
+    share = differing_share(similarity)
+
+    def limit(n: int, widths: float) -> float:
+        return n * share + widths * math.sqrt(n * share * (1 - share))
+
+    def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nodes, ties, parts = (group.column(c).to_numpy() for c in ("node", "tie", "part"))
+        fps = np.frombuffer(b"".join(group.column("fp").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+        n_bits = 8 * fps.shape[1]
+        fps = np.pad(fps, ((0, 0), (0, -fps.shape[1] % 8))).view(np.uint64)
+        for i, j in open_pairs(ties, fps, parts, [(4, limit(256, 3.7)), (fps.shape[1], limit(n_bits, UNSURE))]):
+            yield nodes[i], nodes[j]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last group goes on in the next batch
+
+        def settled(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            named = np.stack([rows.column(c).to_numpy() for c in ("key", "a", "b")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]).any(axis=1)])
+            for begin, end in zip(starts, [*starts[1:], len(named) if last else None]):
+                if end is None:
+                    held[:] = rows.slice(begin).to_batches()
+                    return
+                for u, v in pairs_of(rows.slice(begin, end - begin)):
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u, type=pa.int64()), pa.array(v, type=pa.int64())], names=["u", "v"])
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                same = held and all(batch.column(c)[batch.num_rows - 1] == held[0].column(c)[0] for c in ("key", "a", "b"))
+                held.append(batch)
+                if not same:
+                    yield from settled(pa.Table.from_batches(held), False)
+        if held:
+            yield from settled(pa.Table.from_batches(held), True)
+
+    return dealt.mapInArrow(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def verified_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_bits: int, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (u, v) whose texts, in ``docs``, are as similar as asked: by their distance or, near the limit, exactly."""
 
@@ -219,6 +315,8 @@ def similar_components(classes: DataFrame, docs: DataFrame, bits: int, blocks: i
     A first pass over few blocks chains each class to the next one beside it, which already ties most of a
     large group of copies. The full pass then leaves out pairs within one of those components: their links
     could change nothing, and all pairs that would be compared are as many as the group's rows times the blocks.
+    It compares a class with ``NEIGHBOURS`` others of a key, which is all of them in nearly every key; a last
+    pass compares all pairs of the other keys that are not tied by then.
     """
     n_bits = fingerprint_bits(bits, blocks)
     few = min(FIRST_BLOCKS, blocks)
@@ -226,7 +324,10 @@ def similar_components(classes: DataFrame, docs: DataFrame, bits: int, blocks: i
     tied = components(verified_pairs(chained, classes, docs, n_bits, words, similarity)).select("node", F.col("component").alias("tie"))
     rest = candidate_pairs(classes.join(tied, "node", "left"), bits, blocks, NEIGHBOURS, similarity)
     found = verified_pairs(rest, classes, docs, n_bits, words, similarity)
-    return components(found.unionByName(tied.select(F.col("node").alias("u"), F.col("tie").alias("v"))))
+    known = components(found.unionByName(tied.select(F.col("node").alias("u"), F.col("tie").alias("v"))))
+    reached = classes.join(known, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("tie"))
+    more = verified_pairs(crowded_pairs(reached, bits, blocks, NEIGHBOURS, similarity), classes, docs, n_bits, words, similarity)
+    return components(more.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def exactly_similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:

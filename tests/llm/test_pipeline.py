@@ -1,5 +1,9 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import random
+
+import numpy as np
+
 import corpus_pipeline
 from marksmith.llm import pii, simhash_dedup
 from tests.llm.test_operators import plain_components
@@ -44,3 +48,33 @@ def test_stages(spark):
 
     packed = stages["packing"](spark, covered, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == got
+
+
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    """Pairs of similarity 0.83 whose blocks are crowded by texts of similarity 0.42, which are to stay."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(20000)]
+    passage = rng.choices(words, k=150)
+    rows = [(k, passage + rng.choices(words, k=100)) for k in range(4000)]
+    copies = [(10000 + k, own[:-22] + rng.choices(words, k=22)) for k, own in rows[:4000:80]]
+    docs = spark.createDataFrame([(k, " ".join(own)) for k, own in rows + copies], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert {k for k, _ in rows} <= kept
+    found = sum(k not in kept for k, _ in copies)
+    print(f"{found} of {len(copies)}")
+    assert found >= 0.9 * len(copies), f"{found} of {len(copies)}"
+
+
+def test_open_pairs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for sizes, parts in (([1] * 700, 1), ([600, 1, 2, 300, 1, 5], 1), ([600, 1, 2, 300, 1, 5], 2), ([900], 1), ([1], 1)):
+        ties = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(ties)
+        fps, apart = rng.integers(0, 1 << 63, (n, 8), dtype=np.uint64), (np.arange(n) % parts if parts > 1 else np.zeros(n, dtype=int))
+        limits = [(4, 122), (8, 246)]
+        got = [(i, j) for a, b in simhash_dedup.open_pairs(ties, fps, apart, limits) for i, j in zip(a.tolist(), b.tolist())]
+        ok = np.ones((n, n), dtype=bool)
+        for words, bits in limits:
+            ok &= np.bitwise_count(fps[:, None, :words] ^ fps[None, :, :words]).sum(axis=2, dtype=np.int64) <= bits
+        ok &= (ties[:, None] < ties) & ((apart[:, None] != apart) if parts > 1 else True)
+        assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(ok))))
