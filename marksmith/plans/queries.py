@@ -175,6 +175,24 @@ def e22(key_entry, paper_entry):
     return integrity.reconcile_marks(key, integrity.paper_marks(paper_entry), exams)
 
 
+@query(
+    "e22_reconcile_whole_key",
+    ("key_entry", "paper_entry"),
+    f"""WITH {_KEY}, {_PAPER}, pm AS (SELECT exam_id, base, max(marks) AS paper FROM p GROUP BY 1, 2),
+    e AS (SELECT exam_id, qid, base, marks, count(*) OVER w AS n, sum(marks) OVER w AS total FROM key WINDOW w AS (PARTITION BY exam_id, base)),
+    j AS (SELECT exam_id, base, qid, marks, n, total, paper, CASE exam_id % 3 WHEN 0 THEN 'raise' WHEN 1 THEN 'align_to_paper' ELSE 'trust_key' END AS mode FROM e FULL JOIN pm USING (exam_id, base)),
+    a AS (SELECT *, CASE WHEN mode = 'trust_key' THEN CASE WHEN qid IS NOT NULL THEN 'unchanged' END WHEN qid IS NULL THEN 'injected' WHEN paper IS NULL THEN 'flagged'
+                         WHEN paper - total > 1e-6 THEN CASE WHEN n = 1 THEN 'adjusted' ELSE 'flagged' END
+                         WHEN total - paper > 1e-6 THEN CASE WHEN n = 1 AND mode = 'align_to_paper' THEN 'adjusted' ELSE 'flagged' END ELSE 'unchanged' END AS action FROM j)
+    SELECT exam_id, coalesce(qid, 'Q' || base) AS qid, coalesce(marks, 0) AS old_marks, CASE WHEN action IN ('adjusted', 'injected') THEN paper ELSE marks END AS marks, action FROM a WHERE action IS NOT NULL""",
+)
+def e22_whole(key_entry, paper_entry):
+    key = integrity.canonical_key(key_entry)
+    mode = F.when(F.col("exam_id") % 3 == 0, "raise").when(F.col("exam_id") % 3 == 1, "align_to_paper").otherwise("trust_key")
+    exams = key.select("exam_id").union(paper_entry.select("exam_id")).distinct().withColumn("mode", mode)
+    return integrity.reconcile_marks(key, integrity.paper_marks(paper_entry), exams)
+
+
 _SECTION = f"{_PAPER}, s AS (SELECT p.exam_id, qid, arg_min(section_marks, from_q) AS section_marks FROM p JOIN section_map m ON p.exam_id = m.exam_id AND p.base BETWEEN from_q AND to_q GROUP BY 1, 2)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marksmith.functions.labels import with_qid
 from marksmith.functions.marks import is_valid_mark, quantize
 from marksmith.operators import integrity
-from marksmith.plans.fixtures import BASE_TABLES
+from marksmith.plans.fixtures import BASE_TABLES, fixture
 from marksmith.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,10 @@ def test_reconcile_raises_a_single_entry(spark):
     paper = spark.createDataFrame([(1, 37, 4.0), (1, 5, 2.0)], "exam_id int, base int, marks double")
     rows = integrity.reconcile_marks(key, paper, spark.createDataFrame([(1, "raise")], "exam_id int, mode string")).collect()
     assert {(r.qid, r.old_marks, r.marks, r.action) for r in rows} == {("Q37", 2.0, 4.0, "adjusted"), ("Q9", 1.0, 1.0, "flagged"), ("Q5", 0.0, 2.0, "injected")}
+
+
+def test_reconcile_holds_the_whole_key(spark):
+    rows = QUERIES["e22_reconcile_whole_key"](spark, SF)
+    entries = integrity.canonical_key(fixture(spark, SF, "key_entry"))
+    print(f"{rows.where('action <> \'injected\'').count()} of {entries.count()}, with the cut {QUERIES['e22_reconcile_marks'](spark, SF).where('action <> \'injected\'').count()}")
+    assert rows.where("action <> 'injected'").count() == entries.count()
