@@ -37,6 +37,20 @@ def with_lookahead(page_text: DataFrame, n: int = 1200) -> DataFrame:
     return page_text.where(F.trim("text") != "").withColumn("lookahead", F.coalesce(F.substring(F.lead("text").over(pages), 1, n), F.lit("")))
 
 
+def clean_lookahead(page_text: DataFrame, n: int = 1200, span: int = 4096) -> DataFrame:
+    """(doc, page, lookahead): for each page with text besides boilerplate, the first ``n`` characters of the next such page, without boilerplate.
+
+    Only those first characters are moved, and a document's pages are dealt by runs of ``span`` page numbers;
+    the last page of a run takes the first of the document's next one.
+    """
+    clean = strip_boilerplate(page_text, boilerplate_lines(page_text)).where("text <> ''")
+    heads = clean.select("doc", "page", F.floor(F.col("page") / span).alias("run"), F.substring("text", 1, n).alias("head"))
+    firsts = heads.groupBy("doc", "run").agg(F.min_by("head", "page").alias("head"))
+    behind = firsts.select("doc", "run", F.lead("head").over(Window.partitionBy("doc").orderBy("run")).alias("behind"))
+    inside = heads.withColumn("lookahead", F.lead("head").over(Window.partitionBy("doc", "run").orderBy("page")))
+    return inside.join(behind, ["doc", "run"]).select("doc", "page", F.coalesce("lookahead", "behind", F.lit("")).alias("lookahead"))
+
+
 TAG = r"\[START_Q:[ \t]*([^\]\n]*)\]"
 
 

@@ -293,6 +293,18 @@ def c3(page_text):
     return text.with_lookahead(page_text).select("doc", "page", F.md5("lookahead").alias("lookahead"))
 
 
+@query(
+    "c3_clean_lookahead",
+    ("page_text",),
+    f"""WITH {_LINES}, kept AS (SELECT * FROM lk WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.doc = lk.doc AND bk.key = lk.key)),
+    j AS (SELECT doc, page, string_agg(line, chr(10) ORDER BY pos) AS text FROM kept GROUP BY 1, 2),
+    s AS (SELECT doc, page, trim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10)) AS text FROM j)
+    SELECT doc, page, md5(coalesce(substr(lead(text) OVER (PARTITION BY doc ORDER BY page), 1, 1200), '')) AS lookahead FROM s WHERE text <> ''""",
+)
+def c3_clean(page_text):
+    return text.clean_lookahead(page_text).select("doc", "page", F.md5("lookahead").alias("lookahead"))
+
+
 _CHUNKS = r"""t AS (SELECT sheet_id, page_no, regexp_extract_all(text, '\[START_Q:[ \t]*([^\]\n]*)\]', 1) AS tags, string_split_regex(text, '\[START_Q:[^\]\n]*\]') AS parts FROM page_reading),
 u AS (SELECT sheet_id, page_no, tags, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS pos FROM t),
 c AS (SELECT sheet_id, page_no, pos, CASE WHEN pos > 0 THEN trim(tags[pos]) END AS tag, text FROM u)"""

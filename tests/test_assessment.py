@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marksmith.functions.labels import with_qid
 from marksmith.functions.marks import is_valid_mark, quantize
-from marksmith.operators import integrity
+from marksmith.operators import integrity, text
 from marksmith.plans.fixtures import BASE_TABLES, fixture
 from marksmith.plans.queries import ORACLES, QUERIES
 
@@ -83,3 +83,10 @@ def test_reconcile_holds_the_whole_key(spark):
     entries = integrity.canonical_key(fixture(spark, SF, "key_entry"))
     print(f"{rows.where('action <> \'injected\'').count()} of {entries.count()}, with the cut {QUERIES['e22_reconcile_marks'](spark, SF).where('action <> \'injected\'').count()}")
     assert rows.where("action <> 'injected'").count() == entries.count()
+
+
+def test_lookahead_is_text_and_not_the_header(spark):
+    head = "Mathematics paper of 2024"
+    pages = [("d", 1, f"{head}\none"), ("d", 2, f"{head}\n\n  two"), ("d", 3, head), ("d", 9000, f"{head}\nthree"), ("e", 1, "x"), ("e", 2, None)]
+    rows = text.clean_lookahead(spark.createDataFrame(pages, "doc string, page long, text string"), 3).collect()
+    assert {(r.doc, r.page, r.lookahead) for r in rows} == {("d", 1, "two"), ("d", 2, "thr"), ("d", 9000, ""), ("e", 1, "")}
