@@ -159,10 +159,10 @@ def test_tokenizers_against_their_libraries(spark, odd):
     from marksmith.llm.byte_tokens import ByteTokenizer
 
     library, own, bpe = Tokenizer.from_file(BYTE), ByteTokenizer(BYTE), sentencepiece_bpe.PrefixBpe(PIECE)
-    library.encode_special_tokens = True
     rng = random.Random(1)
     found = [t or "" for t in TEXTS] + ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 9))) for _ in range(5000)]
     found += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [" " * n + "x" for n in (17, 33, 100)]
+    found += [a + space * n + b for space in " \n\t" for n in (4095, 4096, 5000) for a, b in (("x", "y"), ("", ""), ("<|endoftext|>", " y"), ("x", "<|endoftext|>"))]
     for text in found:
         assert own.encode(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         joined, ids = bpe.encode(text)
@@ -175,6 +175,20 @@ def test_tokenizers_against_their_libraries(spark, odd):
             assert rows[doc].decoded_sha256 == hashlib.sha256((bpe.library.decode(ids) if ids else "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t"])
+def test_two_million_spaces(spark, space):
+    """One text of two million spaces, line ends or tabs among others goes through packing and the token store."""
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(BYTE), ["x" + space * 2_000_000 + "y", "a <|endoftext|> b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [np.asarray([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes() for t in texts]
+    rows = token_store.read_tokens(token_store.write_tokens(docs, BYTE)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(w) // 4, zlib.crc32(w)) for w in want]
+    pieces = packing.pack_documents(docs, BYTE).groupBy("doc_id").agg({"length": "sum"}).orderBy("doc_id").collect()
+    assert [r[1] for r in pieces] == [len(w) // 4 for w in want]
+
+
 def test_packing(spark, odd):
     docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100", "text"))
     rows = packing.pack_documents(docs, BYTE, keep_ids=True).collect()
