@@ -88,6 +88,59 @@ def test_pii_added_spans_and_redaction(odd):
     assert pii.redact("9" * 200_000) and pii.redact("a" * 200_000 + "@") and pii.redact("1.1." * 50_000)  # linear
 
 
+def test_pii_ibans_before_further_words():
+    for text, want in (
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00"), ("IBAN DE89370400440532013000 AND MORE", "DE89370400440532013000"),
+        ("iban GB82 WEST 1234 5698 7654 32 2024", "GB82 WEST 1234 5698 7654 32"), ("AB12 DE89370400440532013000 EUR 20", "DE89370400440532013000"),
+    ):
+        assert [text[a:b] for a, b, kind, _ in pii.find(text)[1] if kind == "iban"] == [want]
+    assert not [s for s in pii.find("DE89370400440532013000X")[1] if s[2] == "iban"]
+    assert [s[2] for s in pii.find("api key " + "0af" * 100)[1]] == ["secret"] and not pii.find("commit, not a key: " + "0af" * 20)[1]
+
+
+def plain_added(text):
+    """Every candidate against every base span and accepted span, in the same order of kinds."""
+    taken = [(a, b) for spans in pii.base_spans(text).values() for a, b in spans]
+    out = []
+    tail = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+    found, at = [], 0
+    while at < len(text):
+        m = tail.match(text, at)
+        ends = []
+        if m:
+            for end in range(m.end(), at, -1):
+                bare = text[at:end].replace(" ", "")
+                wanted = pii.IBAN_LENGTHS.get(bare[:2], len(bare))
+                if text[end - 1] != " " and not text[end : end + 1].isalnum() and len(bare) == wanted and pii.mod97(bare):
+                    ends.append(end)
+        if ends:
+            found.append(("iban", at, ends[0]))
+        at = ends[0] if ends else at + 1
+    found += [("secret", *m.span()) for m in pii.SECRET.finditer(text)]
+    found += [("local_phone", *m.span()) for m in pii.LOCAL_PHONE.finditer(text) if 8 <= len(pii.digits_of(m[0])) <= 13]
+    for kind, a, b in found:
+        if all(y <= a or b <= x for x, y in taken) and pii.score_of(text, kind, a, b) >= pii.ACCEPT:
+            out.append((a, b, kind))
+            taken.append((a, b))
+    return sorted(out)
+
+
+def test_pii_added_spans_against_brute_force():
+    rng = random.Random(5)
+    parts = ["IBAN ", "DE89 3704 0044 0532 0130 00", "ZZ", "40", "0", "12", "AB", " ", " ", "tel ", "030 1234567", "+4930 1234567", "key ", "0af1" * 8, "a@b.co", "X", ".", "GB82WEST12345698765432", "4111111111111111"]
+    for text in ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)]:
+        assert sorted((a, b, k) for a, b, k, _ in pii.added_spans(text, [s for x in pii.base_spans(text).values() for s in x])) == plain_added(text), text
+
+
+def test_pii_many_spans_in_one_text():
+    import time
+
+    at = time.monotonic()
+    assert len(pii.find("tel 030 1234567 " * 20_000)[1]) == 20_000
+    assert len(pii.find("call +49 30 1234567 IBAN DE89370400440532013000 AND " * 10_000)[1]) == 20_000
+    assert time.monotonic() - at < 10
+
+
 def test_gif_round_trip_and_rules(spark, odd):
     for n in (64, 64 * 1024, 64 * 1025, 64 * 2500):
         for payload in (os.urandom(n), bytes(n)):
