@@ -3,15 +3,17 @@
 Sampled splitters range-partition the texts, each range is sorted, so equal texts lie next to each
 other, and one pass over neighbours compares them in full. Splitters are the texts' first characters,
 as their bytes compare, and a hash for texts that begin alike: the sample that the driver sees is small
-however long the texts are, and a beginning that many texts share is split over ranges.
+however long the texts are, and a beginning that many texts share is split over ranges. The sorted rows
+carry their ids, so a row learns its group from that one pass, and whole texts are shuffled once.
 
-Before that sort, copies are merged where they are read: rows are aggregated by (text, salt), which
-Spark combines on the map side. A text that a third of all rows share therefore reaches the sort as
-at most ``SALTS`` rows, and no task ever holds a group's members.
+A text with more copies than a quarter of a range's rows would fill a range by itself. Such texts are
+found first, by counting hashes of eight bytes; they number at most four to a range. Their copies don't
+enter the sort: they are aggregated by their full text, which Spark combines where they are read.
 
-Defined results: a null text counts as empty, and empty texts form one group. Rows that repeat both
-id and text count as rows of the group. A null id loses against any other id. An empty table gives an
-empty table. Only the named columns are read, so extra columns may have any names.
+Defined results: a null text counts as empty, and empty texts form one group. Texts may be of any length.
+Rows that repeat both id and text count as rows of the group. A null id loses against any other id. An
+empty table gives an empty table. Extra columns may have any names and types; ``drop_exact_duplicates``
+returns them as they are.
 """
 
 from __future__ import annotations
@@ -21,69 +23,61 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, texts
 
-#: Rows into which one text's copies are pre-aggregated at most.
-SALTS = 8
+#: A text is sorted apart from the others when it has more than this many copies, and a quarter of a range's rows.
+LEAST_FREQUENT = 32
 #: Characters of a text that a splitter holds.
 HEAD_CHARS = 32
 
 
-def content_groups(rows: DataFrame, best: Column) -> DataFrame:
-    """One row per distinct ``text``: the largest ``best`` of its rows and ``group_size``."""
-    salt = F.pmod(F.xxhash64(best), F.lit(SALTS))
-    merged = (
-        rows.select("text", best.alias("best"), salt.alias("salt"))
-        .groupBy("text", "salt")
-        .agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
-        .select("text", "best", "n")
-    )
-    keyed = merged.withColumns({"head": F.substring("text", 1, HEAD_CHARS), "tie": F.xxhash64("text")})
-    ordered = keyed.repartitionByRange(shuffle_partitions(rows.sparkSession), "head", "tie")
-    run = Window.partitionBy("head", "tie", "text").orderBy(F.col("best").desc_nulls_last())
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        ordered.withColumn("rank", F.row_number().over(run))
-        .withColumn("group_size", F.sum("n").over(whole))
-        .where("rank = 1")
-        .select("text", "best", "group_size")
-    )
+def frequent_texts(rows: DataFrame) -> DataFrame:
+    """``tie``, the 64-bit hash, of the texts with more than LEAST_FREQUENT rows and a quarter of a range's.
 
+    At most four for each shuffle partition, so the table may be broadcast. Two frequent texts of one hash
+    are only treated alike; all decisions compare texts in full.
+    """
+    limit = max(LEAST_FREQUENT, rows.count() // (4 * shuffle_partitions(rows.sparkSession)))
+    return rows.groupBy(F.xxhash64("text").alias("tie")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("tie")
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id (largest id of its text), group_size, kept, text_sha256.
 
-    The groups come from the content sort; the join that hands them back to the rows carries the
-    text's SHA-256 in place of the text, so it moves some 60 bytes a row.
-    """
-    rows = texts(docs, id_col, text_col)
-    groups = content_groups(rows, F.col("doc_id")).select(
-        F.sha2("text", 256).alias("text_sha256"), F.col("best").alias("keep_id"), "group_size"
-    )
-    return (
-        rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-        .hint("merge")
-        .join(groups.hint("merge"), "text_sha256")
-        .select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
-    )
+def split_by_frequency(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of frequent texts, all others), with the text's hash as ``tie``."""
+    keyed, frequent = rows.withColumn("tie", F.xxhash64("text")), F.broadcast(frequent_texts(rows))
+    return keyed.join(frequent, "tie", "left_semi"), keyed.join(frequent, "tie", "left_anti")
+
+
+def content_sorted(rows: DataFrame) -> tuple[DataFrame, Window]:
+    """The rows in ranges of their text, and the window of a run of equal neighbours there."""
+    keyed = rows.withColumn("head", F.substring("text", 1, HEAD_CHARS))
+    return keyed.repartitionByRange(shuffle_partitions(rows.sparkSession), "head", "tie"), Window.partitionBy("head", "tie", "text")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id (largest id of its text), group_size, kept, text_sha256."""
+    frequent, others = split_by_frequency(texts(docs, id_col, text_col))
+    ordered, run = content_sorted(others)
+    sha = F.sha2("text", 256).alias("text_sha256")
+    sorted_rows = ordered.select("doc_id", F.max("doc_id").over(run).alias("keep_id"), F.count(F.lit(1)).over(run).alias("group_size"), sha)
+    # as many rows as there are frequent texts, which frequent_texts() bounds
+    groups = frequent.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select(sha, "keep_id", "group_size")
+    of_frequent = frequent.select("doc_id", sha).join(F.broadcast(groups), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
+    return sorted_rows.unionByName(of_frequent).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row per distinct text, that with the largest id; same columns.
 
-    The surviving row travels with its text through the content sort, so no join follows. Of rows
-    equal in id and text, the largest in the remaining columns stays.
+    The surviving row travels with its text through the content sort, so no join follows. Of rows equal in
+    id and text one stays, whichever comes first.
     """
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = F.struct(
-        docs[id_col].alias("id"),
-        docs[text_col].isNull().alias("was_null"),
-        *[docs[c].alias(f"c{i}") for i, c in enumerate(rest)],
-    )
-    rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), packed.alias("row"))
-    kept = content_groups(rows, F.col("row"))
-    place = {c: f"c{i}" for i, c in enumerate(rest)} | {id_col: "id"}
-    return kept.select(
-        *[
-            F.when(~F.col("best.was_null"), F.col("text")).alias(c) if c == text_col else F.col(f"best.{place[c]}").alias(c)
-            for c in docs.columns
-        ]
-    )
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.toDF(*place.values()) if docs.columns else docs
+    rows = named.withColumn("text", F.coalesce(F.col(place[text_col]), F.lit("")))
+    frequent, others = split_by_frequency(rows)
+    ordered, run = content_sorted(others)
+    best = F.row_number().over(run.orderBy(F.col(place[id_col]).desc_nulls_last()))
+    first = ordered.withColumn("rank", best).where("rank = 1").select(*place.values())
+    whole_row: Column = F.struct(*place.values())
+    most = F.max_by(whole_row, F.struct(F.col(place[id_col]).isNotNull(), F.col(place[id_col])))
+    merged = frequent.groupBy("text").agg(most.alias("row")).select("row.*")
+    return first.unionByName(merged).toDF(*docs.columns)

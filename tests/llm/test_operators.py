@@ -178,6 +178,25 @@ def test_exact_dedup(spark, odd):
     assert kept.columns == odd.columns and sorted((r.text or "") for r in kept.collect()) == sorted(groups)
 
 
+def test_exact_dedup_of_frequent_texts_and_awkward_columns(spark):
+    """A third of the rows share a text, some repeat their id too; extra columns have a dot, a clashing name or a map."""
+    rows = [(k, "hot" if k % 3 == 0 else f"t{k // 4}" if k % 3 == 1 else None if k % 7 == 0 else "x" * (k % 5), k, {"k": k}, "head") for k in range(3000)]
+    rows += [(2997, "hot", 1, {}, "tie")] * 50 + [(None, "hot", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, m map<string,int>, head string")
+    best, size = {}, {}
+    for doc, text, *_ in rows:
+        best[text or ""] = max(best.get(text or "", -1), -1 if doc is None else doc)
+        size[text or ""] = size.get(text or "", 0) + 1
+    assert exact_dedup.frequent_texts(docs.fillna("", ["text"])).count() >= 3
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in best}
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, sha[r.text_sha256]) for r in got) == sorted((-1 if d is None else d, t or "") for d, t, *_ in rows)
+    for r in got:
+        assert (r.keep_id, r.group_size, r.kept) == (best[sha[r.text_sha256]], size[sha[r.text_sha256]], r.doc_id == r.keep_id)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.schema == docs.schema and {r.text or "": r.doc_id for r in kept.collect()} == best and kept.count() == len(best)
+
+
 def test_classifiers_on_held_out_rows(spark, odd):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
