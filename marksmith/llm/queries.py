@@ -38,7 +38,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.domain_table(spark))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

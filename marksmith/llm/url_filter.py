@@ -1,12 +1,18 @@
 """URL filter: host rules, then exact list membership by a cascade of Bloom filters; DataFrame operations only.
 
-The cascade knows every host of the corpus. Level 0 encodes the listed hosts; level 1 the hosts not
-listed that level 0 lets through by mistake; level 2 the listed ones that level 1 lets through, and so
-on until a level has no mistakes. A host's number of levels passed, even or odd, is then its exact
-membership, and judging a url needs no join: the filters are bit words in the expression itself.
+The list is a table of domains; a host is listed when it, or a domain above it, is there. The cascade knows
+every host of the corpus, which one join labels when it is built. Level 0 encodes the listed hosts; level 1
+the hosts not listed that level 0 lets through by mistake; level 2 the listed ones that level 1 lets
+through, and so on until a level has no mistakes. A host's number of levels passed, even or odd, is then its
+exact membership, and judging a url needs no join: the filters are bit words in the expression itself.
+
+A cascade's words may take ``MAX_FILTER_BYTES``. Where the listed hosts need more, hosts are dealt to shards
+by their hash, each with a cascade of its own below that bound, and each shard's urls are judged by theirs.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule, and is
-allowed. Repeated rows are judged alike. An empty table gives an empty table.
+allowed. A null or empty domain of the list fits nothing; repeated ones count once. Urls may be of any
+length. Repeated rows are judged alike. An empty table gives an empty table, an empty list blocks nothing.
+Only the id and the url are read, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -25,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Listed domains; a host is listed when it, or a domain above it, is here.
+#: The domains that the registered query lists.
 LISTED_DOMAINS = (
     "ads-track.example.com",
     "adult-x.example.net",
@@ -35,8 +41,8 @@ LISTED_DOMAINS = (
     "spam-farm.example.com",
 )
 
-#: The bit words of all levels together may take this much; beyond it, build() refuses.
-MAX_FILTER_BYTES = 64 << 20
+#: The bit words of a cascade may take this much; listed hosts that need more are dealt to several cascades.
+MAX_FILTER_BYTES = 16 << 20
 FALSE_POSITIVES = 1 / 64
 
 
@@ -57,11 +63,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def listed_by_domain(host: Column, domains=LISTED_DOMAINS) -> Column:
-    """Whether the host or a domain above it is in ``domains``."""
+def domains_of(host: Column) -> Column:
+    """The host and every domain above it."""
     parts = F.split(host, r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.arrays_overlap(above, F.array(*[F.lit(d) for d in domains]))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def labelled_hosts(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """(host, listed) of the distinct hosts of ``universe`` (host); ``listed`` (domain) is the list."""
+    hosts = universe.select("host").distinct()
+    domains = listed.select(F.col("domain").alias("above")).where("above <> ''").distinct()
+    above = hosts.where("host <> ''").select("host", F.explode(F.array_distinct(domains_of(F.col("host")))).alias("above"))
+    hit = above.join(domains, "above", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
+    return hosts.join(hit, "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 @dataclass(frozen=True)
@@ -83,32 +97,34 @@ class Level:
         return every
 
 
+HASHES = max(1, round(-math.log2(FALSE_POSITIVES)))
+
+
+def level_bytes(keys: int) -> int:
+    """What the words of a level for so many keys take."""
+    return 8 * max(1, math.ceil(keys * HASHES / math.log(2) / 64))
+
+
 def _level(keys: DataFrame, count: int, seed: int) -> Level:
-    hashes = max(1, round(-math.log2(FALSE_POSITIVES)))
-    bits = max(64, 64 * math.ceil(count * hashes / math.log(2) / 64))
-    empty = Level((), bits, hashes, seed)
+    bits = 8 * level_bytes(count)
+    empty = Level((), bits, HASHES, seed)
     found = (
         keys.select(F.explode(F.array(*empty.positions(F.col("host")))).alias("p"))
         .groupBy((F.col("p") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("mask"))
     )
     words = [0] * (bits // 64)
-    for row in found.collect():  # at most bits / 64 rows, and bits is checked by build()
+    for row in found.collect():  # at most bits / 64 rows, which the shards keep below MAX_FILTER_BYTES
         words[row["word"]] = row["mask"]
-    return Level(tuple(words), bits, hashes, seed)
+    return Level(tuple(words), bits, HASHES, seed)
 
 
-def build(universe: DataFrame, host: str = "host", listed: Column | None = None) -> list[Level]:
-    """The cascade for the distinct hosts of ``universe``; ``listed`` says which are on the list."""
-    on_list = listed_by_domain(F.col("host")) if listed is None else listed
-    hosts = checkpointed(universe.select(F.col(host).alias("host")).distinct().withColumn("listed", on_list))
+def build(hosts: DataFrame) -> list[Level]:
+    """The cascade for ``hosts`` (host, listed)."""
     levels: list[Level] = []
     inside, outside = hosts.where("listed").select("host"), hosts.where("NOT listed").select("host")
-    spent, left = 0, inside.count()
+    left = inside.count()
     while left:
-        spent += left * round(-math.log2(FALSE_POSITIVES)) / math.log(2) / 8
-        if spent > MAX_FILTER_BYTES:
-            raise ValueError(f"the cascade needs more than {MAX_FILTER_BYTES} bytes; raise the limit or join the list")
         levels.append(_level(inside, left, len(levels)))
         # what this level lets through by mistake is what the next one encodes
         inside, outside = outside.where(levels[-1].passes(F.col("host"))), inside
@@ -116,6 +132,22 @@ def build(universe: DataFrame, host: str = "host", listed: Column | None = None)
     return levels
 
 
+def shard_of(host: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), host), F.lit(shards))
+
+
+def build_shards(hosts: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> list[list[Level]]:
+    """A cascade for each of as many shards of ``hosts`` (host, listed) as keep every cascade below the bound.
+
+    The first level is sized by the listed hosts, the next by a share of FALSE_POSITIVES of the others, and each
+    further pair of levels is that much smaller again.
+    """
+    listed, others = hosts.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    needed = 1.1 * (level_bytes(listed) + level_bytes(math.ceil(others * FALSE_POSITIVES))) if listed else 0
+    shards = max(1, math.ceil(needed / max_bytes))
+    return [build(hosts.where(shard_of(F.col("host"), shards) == k)) for k in range(shards)]
+
+
 def is_member(levels: list[Level], host: Column) -> Column:
     """Exact for every host of the universe that the cascade was built over."""
     answer = F.lit(len(levels) % 2 == 1)
@@ -124,14 +156,23 @@ def is_member(levels: list[Level], host: Column) -> Column:
     return answer
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, listed: Column | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row: the longest rule's verdict, else block for listed hosts."""
+def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """page_id, host, path, rule, verdict for every row: the longest rule's verdict, else block for hosts listed by ``listed`` (domain)."""
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")).select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
-    levels = build(rows, "host", listed)
-    by_list = F.when(is_member(levels, F.col("host")), "block").otherwise("allow")
+    cascades = build_shards(checkpointed(labelled_hosts(rows, listed)), max_bytes)
+    judged = None
+    for k, levels in enumerate(cascades):
+        own = rows.where(shard_of(F.col("host"), len(cascades)) == k) if len(cascades) > 1 else rows
+        own = own.withColumn("by_list", F.when(is_member(levels, F.col("host")), "block").otherwise("allow"))
+        judged = own if judged is None else judged.unionByName(own)
     return (
-        rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-        .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_list).alias("verdict"))
+        judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+        .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.col("by_list")).alias("verdict"))
     )
+
+
+def domain_table(spark: SparkSession, domains=LISTED_DOMAINS) -> DataFrame:
+    """A list given in code as a table (domain)."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(d) for d in domains])).alias("domain"))

@@ -46,7 +46,7 @@ def test_empty_tables(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == quality.quality(empty, labels).count() == 0
     assert simhash_dedup.near_duplicates(empty).count() == simhash_dedup.drop_near_duplicates(empty).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string, host string")
-    assert url_filter.judge_urls(pages).count() == 0
+    assert url_filter.judge_urls(pages, url_filter.domain_table(spark)).count() == 0
 
 
 PATTERNS = {
@@ -330,14 +330,27 @@ def test_url_filter(spark):
         listed = any(host == d or host.endswith("." + d) for d in url_filter.LISTED_DOMAINS)
         return host, path, rule, verdict or ("block" if listed else "allow")
 
-    for r in url_filter.judge_urls(pages).collect():
-        assert (r.host, r.path, r.rule, r.verdict) == judge(urls[r.page_id])
-    # many hosts, a third of them listed: the cascade needs several levels and errs on none
-    hosts = spark.range(3000).selectExpr("concat('h', id, '.test') AS host", "id % 3 = 0 AS want")
+    domains = url_filter.domain_table(spark, [*url_filter.LISTED_DOMAINS, None, "", url_filter.LISTED_DOMAINS[0]])
+    for made in (url_filter.judge_urls(pages, domains), url_filter.judge_urls(pages, domains, max_bytes=8)):  # one cascade, and one for each shard
+        rows = made.collect()
+        assert len(rows) == pages.count()
+        for r in rows:
+            assert (r.host, r.path, r.rule, r.verdict) == judge(urls[r.page_id])
+    assert url_filter.judge_urls(pages, domains.limit(0)).where("rule IS NULL AND verdict = 'block'").count() == 0
+
+
+def test_url_cascades_of_many_hosts(spark):
+    """A third of the hosts are listed: a cascade needs several levels and errs on none, and neither do shards below a bound."""
     from pyspark.sql import functions as F
 
-    levels = url_filter.build(hosts, "host", F.regexp_extract("host", "([0-9]+)", 1).cast("int") % 3 == 0)
-    assert len(levels) > 2 and hosts.where(url_filter.is_member(levels, F.col("host")) != F.col("want")).count() == 0
+    hosts = spark.range(3000).selectExpr("concat('h', id, '.test') AS host", "id % 3 = 0 AS listed")
+    levels = url_filter.build(hosts)
+    assert len(levels) > 2 and hosts.where(url_filter.is_member(levels, F.col("host")) != F.col("listed")).count() == 0
+    shards = url_filter.build_shards(hosts, 512)
+    assert len(shards) > 1 and all(8 * sum(len(level.words) for level in cascade) <= 600 for cascade in shards)
+    for k, cascade in enumerate(shards):
+        mine = hosts.where(url_filter.shard_of(F.col("host"), len(shards)) == k)
+        assert mine.where(url_filter.is_member(cascade, F.col("host")) != F.col("listed")).count() == 0
 
 
 def plain_components(edges):
