@@ -1,11 +1,16 @@
 """GIF columns: payloads stored as animated GIF, and a decoder to timed frames with colour histograms.
 
 The decoder reads palettes, LZW code streams, transparency and disposal, and composes each frame on the
-canvas. The writer stores bytes losslessly as pixels of a grey palette, ``WIDTH`` to a row and up to
+canvas. A code stands for an earlier stretch of the pixels that it is part of, so a stream is decoded without
+a loop over its codes: lengths, and then the place that each pixel is copied from, are resolved by doubling
+pointers. The writer stores bytes losslessly as pixels of a grey palette, ``WIDTH`` to a row and up to
 ``FRAME_ROWS`` rows to a frame, and a frame for each further part.
 
-Defined results: null and empty texts are a payload of one row of zeros. Long payloads take more
-frames. Bytes that are no GIF of this kind raise ValueError.
+Defined results: null and empty texts are a payload of one row of zeros. Long payloads take more frames.
+Rows that repeat an id, or whole rows, are stored and read one by one. An empty table gives an empty table.
+Only the named columns are read, so extra columns may have any names. ``read_gif`` raises ValueError for
+bytes that are no GIF, or one that is cut off or damaged; ``frames`` gives such a row the frames before the
+damage and one last row whose status says what is wrong. A null medium has no frames.
 """
 
 from __future__ import annotations
@@ -75,60 +80,77 @@ def lzw_encode(data: bytes) -> bytes:
     return total[:size].astype(np.uint8).tobytes()
 
 
-def lzw_decode(data: bytes, symbol_bits: int, size: int) -> bytes:
+def _resolved(pointer: np.ndarray) -> np.ndarray:
+    """Where pointers to earlier places, or to themselves, end."""
+    while True:
+        further = pointer[pointer]
+        if np.array_equal(further, pointer):
+            return pointer
+        pointer = further
+
+
+def _stretch(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The pixels of a run of codes behind a clear code.
+
+    Code number i, but for the first, defines entry i - 1: what code i - 1 stands for and the pixel behind that. So an
+    entry is a stretch of the pixels themselves, one longer than the code before it.
+    """
+    n = len(codes)
+    place = np.arange(n)
+    literal = codes < clear
+    defined_by = np.where(literal, place, codes - (clear + 2))
+    if n and ((defined_by >= place) & ~literal).any():
+        raise ValueError("a code is used before it is defined")
+    pointer, length = defined_by, (~literal).astype(np.int64)
+    while True:
+        further = pointer[pointer]
+        if np.array_equal(further, pointer):
+            break
+        length, pointer = length + length[pointer], further
+    length += 1
+    start = length.cumsum() - length
+    source = np.arange(int(length.sum())) + np.repeat(np.where(literal, 0, start[defined_by] - start), length)
+    pixels = np.zeros(len(source), dtype=np.uint8)
+    pixels[start[literal]] = codes[literal]
+    return pixels[_resolved(source)]
+
+
+def lzw_decode(data: bytes, symbol_bits: int, size: int) -> np.ndarray:
     """The first ``size`` pixels of a code stream."""
+    if not 1 <= symbol_bits <= 8:
+        raise ValueError("a code size that GIF doesn't have")
     clear = 1 << symbol_bits
     stop = clear + 1
-    single = [bytes([k & 255]) for k in range(clear)] + [b"", b""]
     padded = np.frombuffer(data + b"\0\0\0\0", dtype=np.uint8).astype(np.uint32)
     widths, offsets = _widths(clear)
-    at, done, have = 0, 0, 0  # bit, codes since the last clear, pixels
-    parts: list[bytes] = []
-    table, previous = single[:], b""
+    at, have, done = 0, 0, 0  # bit, pixels, codes since the last clear code
+    parts: list[np.ndarray] = []
+    begun: list[np.ndarray] = []  # those codes
     while have < size:
-        # the codes up to the next clear code, as far as the table still grows
+        # the codes up to the next clear code, as far as the table still grows; then as many again at the full width
         wide = widths[done:] if done < len(widths) else np.full(len(widths), 12)
         here = offsets[done:-1] - offsets[done] if done < len(widths) else 12 * np.arange(len(widths))
         fits = int(np.searchsorted(here + wide, 8 * len(data) - at, side="right"))
         bit = here[:fits] + at
         byte = bit >> 3
         raw = padded[byte] | padded[byte + 1] << np.uint32(8) | padded[byte + 2] << np.uint32(16)
-        codes = raw >> (bit & 7).astype(np.uint32) & ((1 << wide[:fits]) - 1).astype(np.uint32)
+        codes = (raw >> (bit & 7).astype(np.uint32) & ((1 << wide[:fits]) - 1).astype(np.uint32)).astype(np.int64)
         special = np.flatnonzero((codes == clear) | (codes == stop))
         n = int(special[0]) if len(special) else fits
-        if not fits:
-            raise ValueError("the code stream ends early")
-        run, out = codes[:n].tolist(), []
-        emit, grow = out.append, table.append
-        if run and not done:
-            previous = single[run[0]]
-            emit(previous)
-            del run[0]
-        room = CODES - len(table)
-        for code in run[:room]:
-            try:
-                entry = table[code]
-            except IndexError:
-                if code != len(table):
-                    raise ValueError("a code is used before it is defined") from None
-                entry = previous + previous[:1]
-            emit(entry)
-            grow(previous + entry[:1])
-            previous = entry
-        out += [table[code] for code in run[room:]]
-        parts.append(b"".join(out))
-        have += len(parts[-1])
+        begun.append(codes[:n])
         done += n
-        if len(special):
-            if codes[n] == stop:
-                break
-            at += int(here[n] + wide[n])
-            done, table = 0, single[:]
-        else:
+        if fits and not len(special):
             at += int(here[n - 1] + wide[n - 1])
+            continue
+        parts.append(_stretch(np.concatenate(begun), clear))
+        have += len(parts[-1])
+        if not fits or codes[n] == stop:
+            break
+        at += int(here[n] + wide[n])
+        begun, done = [], 0
     if have < size:
         raise ValueError("the code stream ends early")
-    return b"".join(parts)[:size]
+    return np.concatenate(parts)[:size] if parts else np.zeros(0, dtype=np.uint8)
 
 
 def blocks(data: bytes) -> bytes:
@@ -153,19 +175,27 @@ class Frame:
     top: int
     width: int
     height: int
+    start_cs: int
     delay_cs: int
     disposal: int
     transparent: int | None
     canvas: np.ndarray  # height x width x RGBA of the whole screen, as shown
 
-    def histogram(self) -> np.ndarray:
-        """Pixels of the screen by luma, in BINS equal bins."""
-        red, green, blue = (self.canvas[..., k].astype(np.uint32) for k in range(3))
-        return np.bincount(((299 * red + 587 * green + 114 * blue) // 1000 * BINS // 256).ravel(), minlength=BINS)
+    def histograms(self) -> np.ndarray:
+        """Pixels of the screen by their red, green and blue, each in BINS equal bins."""
+        flat = self.canvas.reshape(-1, 4)[:, :3] // (256 // BINS)
+        return np.bincount((flat + np.arange(3, dtype=np.uint8) * BINS).ravel(), minlength=3 * BINS).reshape(3, BINS)
 
 
 def read_gif(data: bytes) -> Iterator[Frame]:
-    """Frames in order, each with the screen as it is shown."""
+    """Frames in order, each with the screen as it is shown; ValueError where the bytes are no GIF or damaged."""
+    try:
+        yield from _read_gif(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the file ends early") from e
+
+
+def _read_gif(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -175,9 +205,11 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         nonlocal at
         n = 2 << (flag & 7)
         colours = np.full((256, 4), 255, dtype=np.uint8)
+        if len(data) < at + 3 * n:
+            raise IndexError
         colours[:n, :3] = np.frombuffer(data, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3)
         at += 3 * n
-        return colours
+        return colours.view(np.uint32).ravel()
 
     def sub_blocks() -> bytes:
         nonlocal at
@@ -189,9 +221,9 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         return b"".join(parts)
 
     shared = palette(flags) if flags & 0x80 else None
-    canvas = np.zeros((high, wide, 4), dtype=np.uint8)
-    delay, disposal, transparent = 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
+    canvas = np.zeros((high, wide), dtype=np.uint32)  # RGBA in four bytes
+    time, delay, disposal, transparent = 0, 0, 0, None
+    while data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
             label = data[at + 1]
@@ -210,7 +242,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             raise ValueError("a frame without colours, or outside the screen")
         bits = data[at]
         at += 1
-        pixels = np.frombuffer(lzw_decode(sub_blocks(), bits, width * height), dtype=np.uint8).reshape(height, width)
+        pixels = lzw_decode(sub_blocks(), bits, width * height).reshape(height, width)
         if flag & 0x40:  # interlaced: rows come in four passes
             order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, height, step)]
             pixels = pixels[np.argsort(order)]
@@ -221,11 +253,12 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         else:
             drawn = pixels != transparent
             area[drawn] = colours[pixels[drawn]]
-        yield Frame(left, top, width, height, delay, disposal, transparent, canvas.copy())
+        yield Frame(left, top, width, height, time, delay, disposal, transparent, canvas.copy().view(np.uint8).reshape(high, wide, 4))
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
             canvas[:] = before
+        time += delay
         delay, disposal, transparent = 0, 0, None
 
 
@@ -236,7 +269,10 @@ def payload_of(text: str) -> tuple[int, bytes]:
 
 
 STORED = "doc_id long, n_bytes long, media binary"
-FRAMES = "doc_id long, frame int, delay_cs int, width int, height int, disposal int, histogram string, pixels binary"
+FRAMES = (
+    "doc_id long, frame int, status string, start_cs long, delay_cs int, width int, height int, disposal int, "
+    "red array<long>, green array<long>, blue array<long>, pixels binary"
+)
 REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -259,33 +295,42 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per frame of GIFs of any origin: its time, place, colour histogram and RGBA pixels of the screen."""
+    """One row per frame of GIFs of any origin: when it is shown and how long, colour histograms and RGBA pixels of the screen.
+
+    ``status`` is ok; where a file can't be read any further, its last row has the reason there and nulls behind it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-                for k, f in enumerate(read_gif(data.as_py()) if data.is_valid else ()):
-                    row = (doc, k, f.delay_cs, f.canvas.shape[1], f.canvas.shape[0], f.disposal, ",".join(map(str, f.histogram().tolist())), f.canvas.tobytes())
-                    yield from record_batches([row], FRAMES)
+                if not data.is_valid:
+                    continue
+                k = 0
+                try:
+                    for f in read_gif(data.as_py()):
+                        row = (doc, k, "ok", f.start_cs, f.delay_cs, f.canvas.shape[1], f.canvas.shape[0], f.disposal, *f.histograms().tolist(), f.canvas.tobytes())
+                        yield from record_batches([row], FRAMES)
+                        k += 1
+                except ValueError as e:
+                    yield from record_batches([(doc, k, str(e), *[None] * 9)], FRAMES)
 
     return media.select(media[id_col].alias("doc_id"), media[media_col].alias("media")).mapInArrow(run, FRAMES)
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Per document of store(): its payload read from the frames as shown, with checksums and the colour histogram."""
+    """Per document of store(): its payload read from the frames as shown, with checksums and the colour histograms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, n, data in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media")):
-                gif, parts, counts, time = data.as_py(), [], np.zeros(BINS, dtype=np.int64), 0
+                gif, parts, counts, time = data.as_py(), [], np.zeros((3, BINS), dtype=np.int64), 0
                 for f in read_gif(gif):
-                    shown = f.canvas[: f.height, :, 0]
-                    parts.append(shown.tobytes())
-                    counts += np.bincount(shown.ravel() // (256 // BINS), minlength=BINS)
-                    time += f.delay_cs
+                    parts.append(f.canvas[: f.height, :, 0].tobytes())
+                    counts += f.histograms()
+                    time = f.start_cs + f.delay_cs
                 payload = b"".join(parts)
-                feature = f"{len(parts)}x{time}:" + ",".join(map(str, counts.tolist()))
+                feature = f"{len(parts)}x{time}:" + ";".join(",".join(map(str, c)) for c in counts.tolist())
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(gif), hashlib.sha256(gif).hexdigest(), feature))
             yield from record_batches(out, REPORT)
 

@@ -160,8 +160,91 @@ def test_gif_round_trip_and_rules(spark, odd):
         shown = list(gif_media.read_gif(head + frame(disposal, None, 0, 0) + frame(0, 1, 1, 0) + frame(0, None, 1, 1) + b"\x3b"))
         assert shown[0].canvas[0, 0].tolist() == [255, 0, 0, 255] and shown[0].delay_cs == 5
         assert shown[2].canvas[0].tolist() == [first, [0, 255, 0, 255]]
-    media = spark.createDataFrame([(1, gif_media.write_gif(bytes(range(64)))), (2, None)], "doc_id long, media binary")
-    assert [r.histogram for r in gif_media.frames(media).collect()] == [",".join(["16"] * 4 + ["0"] * 12)]
+    whole = gif_media.write_gif(bytes(range(64)) * 1025)
+    media = spark.createDataFrame([(1, whole), (2, None), (3, b"GIF89a\x01"), (4, whole[:-40]), (5, b""), (6, b"x" * 99)], "doc_id long, media binary")
+    rows = sorted(gif_media.frames(media).collect(), key=lambda r: (r.doc_id, r.frame))
+    assert [(r.doc_id, r.frame, r.status == "ok", r.start_cs) for r in rows] == [
+        (1, 0, True, 0), (1, 1, True, 10), (3, 0, False, None), (4, 0, True, 0), (4, 1, False, None), (5, 0, False, None), (6, 0, False, None)
+    ]
+    for r in rows:
+        if r.status == "ok":
+            pixels = np.frombuffer(r.pixels, dtype=np.uint8).reshape(-1, 4)
+            for k, found in enumerate((r.red, r.green, r.blue)):
+                assert found == [int((pixels[:, k] // 16 == b).sum()) for b in range(16)]
+    for end in range(len(whole) - 1):  # every cut is told, none ends in another exception
+        if end < 900 or end % 97 == 0:
+            with pytest.raises(ValueError):
+                list(gif_media.read_gif(whole[:end]))
+
+
+def plain_lzw(data, bits, size):
+    """A decoder by the rule book: a table of strings, one code after the other."""
+    clear, table, out, before, width, at = 1 << bits, [], [], None, bits + 1, 0
+    stream = int.from_bytes(data, "little")
+    while sum(map(len, out)) < size:
+        code = stream >> at & (1 << width) - 1
+        at += width
+        if code == clear:
+            table, before, width = [bytes([k]) for k in range(clear)] + [b"", b""], None, bits + 1
+            continue
+        if code == clear + 1:
+            break
+        entry = table[code] if code < len(table) else before + before[:1]
+        out.append(entry)
+        if before is not None and len(table) < 4096:
+            table.append(before + entry[:1])
+        before = entry
+        if len(table) == 1 << width and width < 12:
+            width += 1
+    return b"".join(out)[:size]
+
+
+def plain_lzw_encode(pixels, bits, clears):
+    """Codes of a table that is cleared when full, or left as it is then."""
+    clear, stream, at, width = 1 << bits, 0, 0, bits + 1
+    table, prefix = {bytes([k]): k for k in range(clear)}, b""
+    free = clear + 2
+
+    def put(code):
+        nonlocal stream, at
+        stream |= code << at
+        at += width
+
+    put(clear)
+    for k in range(len(pixels)):
+        if prefix + pixels[k : k + 1] in table:
+            prefix += pixels[k : k + 1]
+            continue
+        put(table[prefix])
+        if free < 4096:
+            table[prefix + pixels[k : k + 1]] = free
+            free += 1
+            if free == (1 << width) + 1 and width < 12:
+                width += 1
+        elif clears:
+            put(clear)
+            table, free, width = {bytes([k]): k for k in range(clear)}, clear + 2, bits + 1
+        prefix = pixels[k : k + 1]
+    put(table[prefix])
+    if free == 1 << width and width < 12:
+        width += 1
+    put(clear + 1)
+    return stream.to_bytes(at // 8 + 1, "little")
+
+
+def test_lzw_against_a_plain_coder():
+    rng = random.Random(8)
+    for bits in (2, 4, 8):
+        for n in (1, 2, 300, 20_000):
+            for kinds in (1, 2, 1 << bits):
+                pixels = bytes(rng.randrange(kinds) for _ in range(n))
+                for clears in (True, False):
+                    data = plain_lzw_encode(pixels, bits, clears)
+                    assert plain_lzw(data, bits, n) == pixels and gif_media.lzw_decode(data, bits, n).tobytes() == pixels
+                if bits == 8:
+                    assert plain_lzw(gif_media.lzw_encode(pixels), 8, n) == pixels
+        with pytest.raises(ValueError):
+            gif_media.lzw_decode(b"\xff\x0f" * 30, bits, 20)
 
 
 def test_exact_dedup(spark, odd):
