@@ -2,12 +2,14 @@
 
 Documents longer than a window are first cut into full windows; what remains of each is placed, longest
 first, in the open window that it fits tightest, found by a segment tree over remaining capacities.
-Placement runs in blocks of about ``BLOCK_DOCS`` documents dealt by a hash of the id, so a task never
-sees more than one block and the result doesn't depend on how the input is split into files. Only
-lengths and checksums are shuffled, not ids.
-
-Defined results: null and empty texts hold the end id alone and are packed like others. Rows that
-repeat an id are packed as documents of their own. An empty table gives an empty table.
+Placement runs in blocks of about ``BLOCK_PIECES`` pieces dealt by a hash of the piece, so a task never
+sees more than one block. Pieces that are equal in every way are numbered where they are made and dealt by
+that number too, so many repeated rows don't meet in one block either. Only lengths and checksums are
+shuffled, not ids, unless these are asked for.
+
+Defined results: null and empty texts hold the end id alone and are packed like others. Texts may be of any
+length. Rows that repeat an id, and those without one, are packed as documents of their own. An empty table
+gives an empty table. Only the id and the text are read, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,15 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_tokens import tokenizer
 from .common import record_batches, texts
 
-WINDOW, END_ID, BLOCK_DOCS = 2048, 1, 4096
+WINDOW, END_ID, BLOCK_PIECES = 2048, 1, 4096
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
+#: Bytes of text to a token, to estimate the number of pieces with.
+BYTES_A_TOKEN = 3
+#: Slots in which a task counts equal pieces.
+SLOTS, FEW = 1 << 16, 16
 
 
 class OpenWindows:
@@ -79,27 +86,35 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = WINDOW) -> tuple[np
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Each document's ids, the end id last, cut into full windows and a rest; with the ids themselves on demand."""
+    """Each document's ids, the end id last, cut into full windows and a rest; with the ids themselves on demand.
+
+    ``copy`` tells apart pieces that fall into one slot of a task by their id and checksum, ``FEW`` at a time: it is 0 but
+    for rows that are repeated often, or in tasks of some hundred thousand rows.
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode, met, task = tokenizer(path).encode, [0] * SLOTS, TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = encode(text) + end
                 for at in range(0, len(data), 4 * window):
                     part = data[at : at + 4 * window]
-                    out.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4) + ((part,) if keep_ids else ()))
+                    crc = zlib.crc32(part)
+                    slot = (crc ^ hash(doc)) % SLOTS
+                    met[slot] += 1
+                    copy = 0 if met[slot] < FEW else (task << 24) + met[slot] // FEW
+                    out.append((doc, at // 4, len(part) // 4, crc, len(data) // 4, copy) + ((part,) if keep_ids else ()))
             yield from record_batches(out, schema)
 
     schema = PIECES + ", ids binary" * keep_ids
     return texts(docs, id_col, text_col).mapInArrow(cut, schema)
 
 
-def place_pieces(pieces: DataFrame, n_docs: int, window: int = WINDOW, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Adds sequence_id and offset. ``n_docs`` sets the number of blocks only."""
-    blocks = max(1, -(-n_docs // block_docs))
+def place_pieces(pieces: DataFrame, n_pieces: int, window: int = WINDOW, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """Adds sequence_id and offset. ``n_pieces`` sets the number of blocks only."""
+    blocks = max(1, -(-n_pieces // block_pieces))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id_null", "doc_id", "start", "doc_tokens", "ids_crc32"], kind="stable")
@@ -108,15 +123,17 @@ def place_pieces(pieces: DataFrame, n_docs: int, window: int = WINDOW, block_doc
         sequence[full] = np.arange(full.sum())
         windows, offset[~full] = best_fit_decreasing(rows["length"].to_numpy()[~full], window)
         sequence[~full] = windows + full.sum()
-        return rows.drop(columns="block").assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)
+        return rows.drop(columns=["block", "copy"]).assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)
 
     whole = pieces.withColumn("id_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema) + ", sequence_id long, offset long"
-    keyed = whole.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema if f.name != "copy") + ", sequence_id long, offset long"
+    keyed = whole.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(blocks)))
     placed = keyed.groupBy("block").applyInPandas(place, schema)
     return placed.withColumn("doc_id", F.when(~F.col("id_null"), F.col("doc_id"))).drop("id_null")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    return place_pieces(token_pieces(docs, path, id_col, text_col, window, end_id, keep_ids), docs.count(), window)
+    docs_and_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(docs[text_col])), F.lit(0))).first()
+    n_pieces = docs_and_bytes[0] + docs_and_bytes[1] // (BYTES_A_TOKEN * window)
+    return place_pieces(token_pieces(docs, path, id_col, text_col, window, end_id, keep_ids), n_pieces, window)

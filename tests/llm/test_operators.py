@@ -362,6 +362,10 @@ def test_packing(spark, odd):
     for (doc, n), parts in pieces.items():
         if doc not in (None, 3):
             assert sorted(parts) == [(a, min(packing.WINDOW, n - a)) for a in range(0, n, packing.WINDOW)]
+    # rows without id, and rows repeated often, don't meet in one block
+    same = spark.range(0, 40_000, 1, 4).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "IF(id % 4 < 2, 'same text', CONCAT('text ', id)) AS text")
+    placed = packing.pack_documents(same, BYTE).selectExpr("sequence_id >> 40 AS block").groupBy("block").count().collect()
+    assert sum(r[1] for r in placed) == 40_000 and len(placed) >= 8 and max(r[1] for r in placed) <= 4 * packing.BLOCK_PIECES
     # the segment tree against a search of all open windows
     lengths, free, used = np.random.default_rng(5).integers(1, 200, 400), [], []
     for need in sorted(lengths.tolist(), reverse=True):
