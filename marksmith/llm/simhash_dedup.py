@@ -166,8 +166,21 @@ def wide_fingerprints(docs: DataFrame, bits: int, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
 
 
-def keyed_classes(classes: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(key, node, check, tie) for each block of the classes (node, fp, tie); check is the first 64 bits."""
+#: The first bits of a fingerprint, in 64-bit words: they travel with each key and part nearly all candidates.
+CHECK_WORDS = 4
+CHECKS = [f"check{k}" for k in range(CHECK_WORDS)]
+#: How many standard deviations beyond the limit those bits may lie: a close pair is lost once in some 30,000 times.
+ROUGH = 4.0
+
+
+def most_bits(n: int, similarity: float, widths: float) -> float:
+    """Bits of ``n`` that a pair of this similarity differs in, ``widths`` standard deviations above the mean."""
+    share = differing_share(similarity)
+    return n * share + widths * math.sqrt(n * share * (1 - share))
+
+
+def keyed_classes(classes: DataFrame, bits: int, blocks: int, checks: int = CHECK_WORDS) -> DataFrame:
+    """(key, node, tie, and the first ``checks`` words) for each block of the classes (node, fp, tie)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(blocks, dtype=np.uint64)
@@ -177,26 +190,26 @@ def keyed_classes(classes: DataFrame, bits: int, blocks: int) -> DataFrame:
             fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
             for at in range(0, len(nodes), 1024):
                 flat = np.unpackbits(fps[at : at + 1024], axis=1, bitorder="little")
-                check = np.packbits(flat[:, :64], axis=1, bitorder="little").view(np.int64).ravel()
+                words = np.packbits(flat[:, : 64 * checks], axis=1, bitorder="little").view(np.int64).reshape(len(flat), -1)
                 keys = (flat[:, : bits * blocks].reshape(-1, blocks, bits).astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(blocks) + place
                 row = np.repeat(np.arange(len(flat)), blocks)
-                columns = [keys.view(np.int64).ravel(), nodes[at : at + 1024][row], check[row]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, type=pa.int64()) for c in columns], ties[at : at + 1024].take(pa.array(row))], names=["key", "node", "check", "tie"])
+                columns = [keys.view(np.int64).ravel(), nodes[at : at + 1024][row], *[words[:, k][row] for k in range(checks)]]
+                tie = ties[at : at + 1024].take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, type=pa.int64()) for c in columns], tie], names=["key", "node", *CHECKS[:checks], "tie"])
 
-    return classes.select("node", "fp", "tie").mapInArrow(cut, "key long, node long, check long, tie long")
+    return classes.select("node", "fp", "tie").mapInArrow(cut, ", ".join(f"{c} long" for c in ("key", "node", *CHECKS[:checks], "tie")))
 
 
 def candidate_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, similarity: float) -> DataFrame:
-    """(u, v) of classes (node, fp, tie) that share a block and whose first 64 bits don't part them; not those that are tied already."""
+    """(u, v) of classes (node, fp, tie) that share a block and whose first bits don't part them; not those that are tied already."""
     keyed = keyed_classes(classes, bits, blocks)
     inside = Window.partitionBy("key").orderBy("node")
-    later = F.array(*[F.struct(*[F.lead(c, k).over(inside).alias(c) for c in ("node", "check", "tie")]) for k in range(1, neighbours + 1)])
-    share = differing_share(similarity)
-    # the first 64 bits already part nearly all candidates: a close pair passes but for once in some 10,000 times
-    most = math.floor(64 * share + 3.7 * math.sqrt(64 * share * (1 - share)))
-    rough = F.bit_count(F.col("check").bitwiseXOR(F.col("o.check"))) <= most
+    carried = ("node", *CHECKS, "tie")
+    later = F.array(*[F.struct(*[F.lead(c, k).over(inside).alias(c) for c in carried]) for k in range(1, neighbours + 1)])
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o.{c}"))) for c in CHECKS), F.lit(0))
+    rough = differing <= math.floor(most_bits(64 * CHECK_WORDS, similarity, ROUGH))
     open_pair = F.col("o.node").isNotNull() & F.coalesce(F.col("tie") != F.col("o.tie"), F.lit(True))
-    beside = keyed.select("node", "check", "tie", later.alias("later")).select("node", "check", "tie", F.explode("later").alias("o"))
+    beside = keyed.select(*carried, later.alias("later")).select(*carried, F.explode("later").alias("o"))
     return beside.where(open_pair & rough).select(F.col("node").alias("u"), F.col("o.node").alias("v")).distinct()
 
 
@@ -236,7 +249,7 @@ def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, s
     All pairs of such a key are compared, but those of one tie. A key's rows are cut, in the order of
     their ties, into parts of at most ``PART_ROWS``, and two parts (or one with itself) make a task.
     """
-    keyed = keyed_classes(classes, bits, blocks).drop("check")
+    keyed = keyed_classes(classes, bits, blocks, 0)
     key = Window.partitionBy("key")
     sized = keyed.withColumns({"n": F.count(F.lit(1)).over(key), "lo": F.min("tie").over(key), "hi": F.max("tie").over(key)})
     crowded = sized.where((F.col("n") > neighbours + 1) & (F.col("lo") < F.col("hi")))
@@ -249,17 +262,12 @@ def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, s
     members = rows.join(wanted, ["key", "part"]).join(classes.select("node", "fp"), "node")
     dealt = members.select("key", "a", "b", "part", "tie", "node", "fp").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "tie", "node")
 
-    share = differing_share(similarity)
-
-    def limit(n: int, widths: float) -> float:
-        return n * share + widths * math.sqrt(n * share * (1 - share))
-
     def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nodes, ties, parts = (group.column(c).to_numpy() for c in ("node", "tie", "part"))
         fps = np.frombuffer(b"".join(group.column("fp").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
         n_bits = 8 * fps.shape[1]
         fps = np.pad(fps, ((0, 0), (0, -fps.shape[1] % 8))).view(np.uint64)
-        for i, j in open_pairs(ties, fps, parts, [(4, limit(256, 3.7)), (fps.shape[1], limit(n_bits, UNSURE))]):
+        for i, j in open_pairs(ties, fps, parts, [(CHECK_WORDS, most_bits(64 * CHECK_WORDS, similarity, ROUGH)), (fps.shape[1], most_bits(n_bits, similarity, UNSURE))]):
             yield nodes[i], nodes[j]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

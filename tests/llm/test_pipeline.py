@@ -38,7 +38,9 @@ def test_stages(spark):
     least = plain_components(edges)
     want = {d for d, _ in rows if least.get(d, d) == d}
     got = {r.doc_id for r in apart.collect()}
-    assert apart.columns == docs.columns and len(got ^ want) <= 0.05 * max(1, len(rows) - len(want)) + 1
+    gone, missed, wrong = {d for d, _ in rows} - want, got - want, want - got
+    print(f"{len(gone)} near copies, {len(missed)} missed, {len(wrong)} wrongly dropped")
+    assert apart.columns == docs.columns and not wrong and len(missed) <= 0.1 * len(gone)
 
     covered = stages["pii"](spark, apart, SF).cache()
     before = {r.doc_id: r for r in apart.collect()}
@@ -65,6 +67,36 @@ def test_near_copies_among_texts_that_share_a_passage(spark):
     assert found >= 0.9 * len(copies), f"{found} of {len(copies)}"
 
 
+def test_near_copies_among_texts_of_one_template(spark):
+    """1,000 texts filled from a template of 600 words (alike to about 0.72) and a near copy of each (about 0.93): held against all pairs."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    template = rng.choices(words, k=600)
+
+    def filled(base, slots):
+        made = list(base)
+        for k in rng.sample(range(len(made)), slots):
+            made[k] = rng.choice(words)
+        return made
+
+    texts = [filled(template, 10) for _ in range(1000)]
+    texts += [filled(t, 4) for t in texts]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    sets = [shingles(" ".join(t)) for t in texts]
+    number = {x: k for k, x in enumerate(set().union(*sets))}
+    held = np.zeros((len(texts), len(number)), dtype=np.float32)
+    for k, x in enumerate(sets):
+        held[k, [number[y] for y in x]] = 1
+    shared, size = held @ held.T, held.sum(axis=1)
+    close = shared >= simhash_dedup.SIMILARITY * (size[:, None] + size[None, :] - shared)
+    edges = [(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))))]
+    least = plain_components(edges)
+    gone = {k for k in range(len(texts)) if least.get(k, k) != k}
+    got = set(range(len(texts))) - {r.doc_id for r in simhash_dedup.drop_near_duplicates(docs).select("doc_id").collect()}
+    print(f"{len(edges)} links, {len(gone)} to go, {len(got & gone)} found, {len(got - gone)} wrong")
+    assert len(gone) >= 1000 and not got - gone and len(got & gone) >= 0.9 * len(gone)
+
+
 def test_open_pairs_equal_brute_force():
     rng = np.random.default_rng(3)
     for sizes, parts in (([1] * 700, 1), ([600, 1, 2, 300, 1, 5], 1), ([600, 1, 2, 300, 1, 5], 2), ([900], 1), ([1], 1)):
