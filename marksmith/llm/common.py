@@ -38,6 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes a path that scratch_path() gave, before the application ends."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder (cuts the lineage)."""
     path = scratch_path(df.sparkSession, name)
