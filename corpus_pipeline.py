@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage works on all rows that the one before kept; each but the last returns the columns of
-documents. Every stage's rows are written as Parquet and read again as the next one's input.
+documents. Every stage's rows are written as Parquet and read again as the next one's input; a stage's
+table is deleted when the next one's has been written.
+
+Defined results: null and empty texts pass the first stage, are one text in the second, and stay empty; of
+rows that repeat id and text one stays. Rows without id are kept but for exact copies. Texts may be of any
+length. An empty table gives an empty result. Columns besides those of documents are carried to the last
+stage, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marksmith.llm import exact_dedup, packing, pii, simhash_dedup, toxicity
-from marksmith.llm.common import table, written
+from marksmith.llm.common import delete_scratch, scratch_path, table
 from marksmith.llm.queries import BYTE_BPE
 
 
@@ -38,8 +44,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents with their places in windows of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE))
+    """Pieces of tokenised documents, with their ids, and their places in windows of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), keep_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("pii", redact), ("packing", pack)]
@@ -49,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path, made = scratch_path(spark, name), stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete_scratch(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
