@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WORD = r"(?i)^[ \t\r\n]*(?:q(?:ue|ues|uestion)?|ans(?:wer)?|sol(?:n|ution)?|s|a)[ \t\r\n]*[.:-]?[ \t\r\n]*(?=[0-9])"
+#: Words that may stand before a question's number.
+LABEL_WORDS = ("q", "que", "ques", "question", "ans", "answer", "sol", "soln", "solution", "s", "a")
+
+_SPACE = "[ \t\r\n]*"
+#: The longer words first, so that a word isn't taken for a shorter one that it begins with.
+WORD_BEFORE_NUMBER = f"(?i)^{_SPACE}(?:{'|'.join(sorted(LABEL_WORDS, key=len, reverse=True))}){_SPACE}[.:-]?{_SPACE}(?=[0-9])"
 
 
 def bare_label(label: Column) -> Column:
     """Without the subject prefix, and without a label word that stands before a digit."""
-    return F.regexp_replace(F.trim(F.regexp_replace(label, "^[^_]*_", "")), _WORD, "")
+    return F.regexp_replace(F.trim(F.regexp_replace(label, "^[^_]*_", "")), WORD_BEFORE_NUMBER, "")
 
 
 def base_number(label: Column) -> Column:
@@ -47,3 +52,14 @@ def with_qid(df: DataFrame, column: str) -> DataFrame:
 def is_under(sub: Column, member_sub: Column) -> Column:
     """Whether a sub-part is the member's own or a finer one; the bases are equal already."""
     return (sub == member_sub) | sub.startswith(F.concat(member_sub, F.lit("("))) | sub.startswith(F.concat(member_sub, F.lit(".")))
+
+
+def natural_key(text: Column) -> Column:
+    """A text that sorts as ids do: letters without case, numbers by value (up to ten digits)."""
+    padded = F.regexp_replace(F.lower(text), "([0-9]+)", "000000000$1")
+    return F.regexp_replace(padded, "0*([0-9]{10})(?![0-9])", "$1")
+
+
+def sub_tokens(sub: Column) -> Column:
+    """The pieces (x) and .x of a sub-part, in order."""
+    return F.regexp_extract_all(sub, F.lit(r"\([^)]*\)|\.[0-9A-Za-z]+"), 0)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.marks import quantize
 
@@ -31,28 +36,75 @@ def grade_blanks(item: DataFrame) -> DataFrame:
     )
 
 
-def option_id(text: Column) -> Column:
-    """The leading option of an answer, as an upper-case letter, null when it has none."""
-    bare = F.regexp_replace(text, r"(?i)^\s*(?:ans(?:wer)?|option)\s*[:.\-]?\s*", "")
-    bare = F.regexp_replace(bare, r"^\s*\(?\s*[0-9]+\s*[).:\-]\s*(?=\(?[A-Ea-e]\s*[).]?)", "")
-    found = F.regexp_extract(bare, r"^\s*(?:[(\[]\s*([A-Za-z])\s*[)\]]|([A-Za-z])\s*(?:[).:]|$))", 0)
-    letter = F.upper(F.regexp_extract(found, "([A-Za-z])", 1))
-    return F.when(letter != "", letter)
+#: Words that a pupil writes before an answer, and signs behind an option's letter or number.
+ANSWER_WORDS = ("q", "que", "ques", "question", "ans", "answer", "sol", "soln", "solution")
+OPTION_SIGNS = ".):-/–—"
+SIMILAR_LABELS = 0.85
+
+
+def option_text(text: Column) -> Column:
+    """An answer without the label word and number before it, and without a question's number before a one-letter option."""
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    word = F.lower(F.regexp_extract(bare, "^([A-Za-z]+)", 1))
+    behind = F.regexp_replace(bare, "^[A-Za-z]+", "")
+    labelled = word.isin(*ANSWER_WORDS) | ((word == "a") & behind.rlike(r"^\s*\.?\s*[0-9]"))
+    unlabelled = F.when(labelled, F.regexp_replace(behind, r"^\s*\.?\s*[0-9]*\s*[.):-]?\s*", "")).otherwise(bare)
+    return F.regexp_replace(unlabelled, r"^\s*\(?\s*[0-9]{1,3}\s*[.):–—-]\s*(?=\(?\s*[A-Za-z]\b)", "")
+
+
+def with_option(text: Column) -> tuple[Column, Column]:
+    """(identifier or null, label) of an answer: "(c) Both" is c and Both; without a leading option the whole text is the label."""
+    bare = option_text(text)
+    token, signs = r"^\s*\(?\s*([A-Za-z]{1,3}|[0-9]{1,2})\s*", "[" + re.escape(OPTION_SIGNS) + "]"
+    alone = bare.rlike("^(?:[A-Za-z]|[0-9]{1,2})$")
+    led = bare.rlike(token + signs)
+    label = F.when(led, F.regexp_replace(bare, token + signs + r"\s*", "")).when(alone, "").otherwise(bare)
+    return F.when(led, F.regexp_extract(bare, token + signs, 1)).when(alone, bare), F.trim(label, F.lit(" \t\r\n"))
 
 
 def option_letters(text: Column) -> Column:
-    """Distinct option letters A to E that an answer marks, in order."""
-    bare = F.regexp_replace(text, r"^\s*\(?\s*[0-9]+\s*[).:\-]\s*", "")
-    marked = F.array_union(F.regexp_extract_all(bare, F.lit(r"[(\[]\s*([A-Ea-e])\s*[)\]]"), 1), F.regexp_extract_all(bare, F.lit(r"(?:^|\s)([A-Ea-e])\s*[).]"), 1))
-    return F.array_sort(F.array_distinct(F.transform(marked, F.upper)))
+    """Distinct option letters A to E that an answer marks, in order: in brackets, or after white space with a closing sign."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s*\(?\s*[0-9]+\s*[).:-]\s*", "")
+    marked = F.regexp_extract_all(bare, F.lit(r"(?:(?<=[(\[])\s*[A-Ea-e]\s*[)\]]|(?<!\S)[A-Ea-e]\s*[).])"), 0)
+    return F.array_sort(F.array_distinct(F.transform(marked, lambda m: F.upper(F.regexp_extract(m, "([A-Ea-e])", 1)))))
+
+
+@F.pandas_udf(BooleanType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and SequenceMatcher(None, x, y).ratio() >= SIMILAR_LABELS for x, y in zip(a, b)], dtype=bool)
+
+
+def mcq_match(item: DataFrame) -> DataFrame:
+    """Adds option, key_option, id_match and label_match to (answer, key_answer).
+
+    Labels match when they are equal but for case and white space, or similar, unless both have an identifier and these
+    differ. Only pairs that may be similar by their lengths alone are handed to Python.
+    """
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    bare_id = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    option, label = with_option(F.col("answer"))
+    key_option, key_label = with_option(F.col("key_answer"))
+    rows = item.withColumns({"option": option, "key_option": key_option, "_said": plain(label), "_right": plain(key_label)})
+    id_match = F.coalesce(bare_id(F.col("option")) == bare_id(F.col("key_option")), F.lit(False))
+    conflict = F.col("option").isNotNull() & F.col("key_option").isNotNull() & ~id_match
+    both, n, m = (F.col("_said") != "") & (F.col("_right") != ""), F.length("_said"), F.length("_right")
+    open_pair = both & (F.col("_said") != F.col("_right")) & ~conflict & (2 * F.least(n, m) >= SIMILAR_LABELS * (n + m))
+    similar = _similar(F.when(open_pair, F.col("_right")), F.when(open_pair, F.col("_said")))
+    return rows.withColumns({"id_match": id_match, "label_match": (both & (F.col("_said") == F.col("_right"))) | similar}).drop("_said", "_right")
 
 
 def grade_mcq(item: DataFrame) -> DataFrame:
-    """verdict right or wrong for answers with one clean option when the key has one too; defer for all others."""
-    letters, said, right = option_letters(F.col("answer")), option_id(F.col("answer")), option_id(F.col("key_answer"))
-    clean = (F.size(letters) == 1) & said.isNotNull()
-    verdict = F.when(~clean, "defer").when(said == right, "right").when(right.isNotNull(), "wrong").otherwise("defer")
-    return item.withColumn("verdict", verdict).withColumn("marks_awarded", F.when(F.col("verdict") == "right", F.col("marks")).when(F.col("verdict") == "wrong", 0.0))
+    """verdict right or wrong for answers that mark one option and begin with one; defer for all others.
+
+    Right when option or text matches the key, wrong when neither does and the key has one option letter too.
+    """
+    letter = "^[A-Za-z]$"
+    found = mcq_match(item).withColumn("letters", option_letters(F.col("answer")))
+    clean = (F.size("letters") == 1) & F.coalesce(F.col("option").rlike(letter), F.lit(False))
+    matched, keyed = F.col("id_match") | F.col("label_match"), F.coalesce(F.col("key_option").rlike(letter), F.lit(False))
+    verdict = F.when(clean & matched, "right").when(clean & keyed, "wrong").otherwise("defer")
+    marks = F.when(F.col("verdict") == "right", F.col("marks")).when(F.col("verdict") == "wrong", 0.0)
+    return found.withColumn("verdict", verdict).withColumn("marks_awarded", marks).drop("letters", "id_match", "label_match", "option", "key_option")
 
 
 #: Words that route a question to a rubric, tried in this order.
@@ -120,13 +172,58 @@ def starts_like_continuation(answer: Column) -> Column:
     return line.rlike(r"^(?:=|∴|⇒)") | line.rlike(r"(?i)^(?:therefore|hence|thus)\b")
 
 
-def best_of_n(result: DataFrame, n: int) -> DataFrame:
-    """"Answer any n": answers of a sheet beyond the n best (ties by question) are dropped to 0 of 0."""
-    rank = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("marks_awarded"), "base"))
-    dropped = F.col("rank") > n
-    return result.withColumn("rank", rank).withColumns(
-        {"optional_status": F.when(dropped, "Not counted (optional)").otherwise("Counted"), "marks_awarded": F.when(dropped, 0.0).otherwise(F.col("marks_awarded")), "marks_max": F.when(dropped, 0.0).otherwise(F.col("marks_max"))}
-    )
+def choice_rules(instruction: DataFrame) -> DataFrame:
+    """(sheet_id, base, n, m) of instructions (sheet_id, pos, text) such as "Q5 Answer any 2 out of the given 3"; the last for a question counts."""
+    number = lambda pattern: F.regexp_extract("text", pattern, 1).try_cast("int")
+    any_of = r"[Aa]nswer\s+any\s+([0-9]+)\s+out\s+of\s+(?:the\s+given\s+)?[0-9]+"
+    out_of = r"[Aa]nswer\s+any\s+[0-9]+\s+out\s+of\s+(?:the\s+given\s+)?([0-9]+)"
+    rules = instruction.select("sheet_id", "pos", number(r"Q\.?\s*([0-9]+).*?[Aa]nswer\s+any").alias("base"), number(any_of).alias("n"), number(out_of).alias("m"))
+    last = rules.where("base IS NOT NULL AND m IS NOT NULL").groupBy("sheet_id", "base").agg(F.max_by(F.struct("n", "m"), "pos").alias("r"))
+    return last.select("sheet_id", "base", "r.n", "r.m")
+
+
+def best_of_n(result: DataFrame, rules: DataFrame) -> DataFrame:
+    """Parts (sheet_id, base, qorder, answer, marks_awarded, marks_max, needs_review, capture_status) of "answer any n out of m".
+
+    Where a question hasn't m parts, all go to review and nothing else changes. Otherwise the parts beyond the n best, ties
+    in order, count 0 of 0; a blank one of them isn't a lost answer, so it needs no review for that.
+    """
+    parts = Window.partitionBy("sheet_id", "base")
+    rank = F.row_number().over(parts.orderBy(F.desc("marks_awarded"), "qorder"))
+    rows = result.join(rules, ["sheet_id", "base"], "left").withColumns({"parts": F.count(F.lit(1)).over(parts), "rank": rank})
+    odd = F.col("m").isNotNull() & (F.col("parts") != F.col("m"))
+    dropped = F.col("m").isNotNull() & ~odd & (F.col("rank") > F.col("n"))
+    blank = F.trim(F.coalesce("answer", F.lit(""))).isin("", "[BLANK]")
+    lost = dropped & blank & (F.col("capture_status") == "No answer captured")
+    failed = F.concat(F.lit("Instruction Sanity Check Failed (Expected "), F.col("m"), F.lit(" parts, found "), F.col("parts"), F.lit(")"))
+    return rows.withColumns({
+        "optional_status": F.when(odd, failed).when(dropped & blank, "Not Attempted (Optional)").when(dropped, "Attempted but Dropped (Best of N logic)"),
+        "marks_awarded": F.when(dropped, 0.0).otherwise(F.col("marks_awarded")), "marks_max": F.when(dropped, 0.0).otherwise(F.col("marks_max")),
+        "needs_review": F.when(odd, True).when(lost, False).otherwise(F.col("needs_review")),
+        "capture_status": F.when(lost, "Not Attempted (Optional)").otherwise(F.col("capture_status")),
+    }).drop("n", "m", "parts", "rank")
+
+
+def attempted_choice(item: DataFrame) -> DataFrame:
+    """Adds expected to (answer, key_answer, choice_shared, choice_alternatives): the shared text and the one alternative whose label opens a line.
+
+    The whole key where no label or several do, or where labels are missing or repeated.
+    """
+    opening = F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"(?:^|\n)\s*(?:\(\s*[A-Za-z]\s*\)|[A-Za-z]\s*[.):-])"), 0)
+    written = F.transform(opening, lambda x: F.lower(F.regexp_extract(x, "([A-Za-z])", 1)))
+    alternatives = F.coalesce("choice_alternatives", F.array().cast("array<struct<label:string,answer:string>>"))
+    labels = F.transform(alternatives, lambda a: F.lower(F.trim(a["label"])))
+    usable = (F.size(labels) >= 2) & ~F.exists(labels, lambda x: x == "") & (F.size(F.array_distinct(labels)) == F.size(labels))
+    rows = item.withColumn("_hit", F.filter(alternatives, lambda a: F.array_contains(written, F.lower(F.trim(a["label"])))))
+    shared = F.trim(F.coalesce("choice_shared", F.lit("")))
+    one = F.concat(F.when(shared != "", F.concat(shared, F.lit("\n"))).otherwise(""), F.trim(F.get("_hit", F.lit(0))["answer"]))
+    return rows.withColumn("expected", F.when(usable & (F.size("_hit") == 1), one).otherwise(F.col("key_answer"))).drop("_hit")
+
+
+def display_question(question: Column, answer: Column) -> Column:
+    """The question's text, empty where it only repeats the answer."""
+    q, a = (F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\r\n")) for c in (question, answer))
+    return F.when((a != "") & (q == a), "").otherwise(q)
 
 
 def totals_guard(result: DataFrame, key_total: DataFrame) -> DataFrame:

@@ -75,40 +75,76 @@ def cross_check(key_marks: DataFrame, paper: DataFrame) -> DataFrame:
 
 
 def cross_check_issues(checked: DataFrame, shown: int = 12) -> DataFrame:
-    """exam_id, class, n, and the first bases of each class but equal."""
-    found = checked.where("class <> 'equal'").groupBy("exam_id", "class").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("base")).alias("bases"))
-    return found.select("exam_id", "class", "n", F.array_join(F.slice("bases", 1, shown).cast("array<string>"), ",").alias("bases"))
-
-
-def marks_mismatch(checked: DataFrame) -> DataFrame:
+    """exam_id, class, n and the first bases of each class but equal, and total_mismatch; nothing for exams whose paper has no marks."""
+    whole = Window.partitionBy("exam_id")
+    of_paper = checked.withColumn("known", F.count("paper_marks").over(whole)).where("known > 0")
+    found = of_paper.where("class <> 'equal'").groupBy("exam_id", "class").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("base")).alias("bases"))
+    totals = of_paper.groupBy("exam_id").agg(F.abs(F.coalesce(F.sum("key_marks"), F.lit(0.0)) - F.coalesce(F.sum("paper_marks"), F.lit(0.0))).alias("apart"))
+    total = totals.where(F.col("apart") > TOLERANCE).select("exam_id", F.lit("total_mismatch").alias("class"), F.lit(1).cast("long").alias("n"), F.lit("").alias("bases"))
+    return found.select("exam_id", "class", "n", F.array_join(F.slice("bases", 1, shown).cast("array<string>"), ",").alias("bases")).unionByName(total)
+
+
+def marks_mismatch(checked: DataFrame, shown: int = 60) -> DataFrame:
+    """Per exam: both totals, how many questions differ and the first of them, whether anything differs, and which source to trust."""
+    differing = F.array_sort(F.collect_list(F.when(F.col("class") != "equal", F.col("base"))))
     sums = checked.groupBy("exam_id").agg(
-        F.coalesce(F.sum("key_marks"), F.lit(0.0)).alias("key_total"), F.coalesce(F.sum("paper_marks"), F.lit(0.0)).alias("paper_total"), F.count_if(F.col("class") != "equal").alias("differing")
-    )
-    return sums.withColumn("mismatch", F.abs(F.col("key_total") - F.col("paper_total")) > TOLERANCE)
+        F.coalesce(F.sum("key_marks"), F.lit(0.0)).alias("key_total"), F.coalesce(F.sum("paper_marks"), F.lit(0.0)).alias("paper_total"),
+        F.count_if(F.col("class") != "equal").alias("differing"), differing.alias("which"), F.count("paper_marks").alias("known"),
+    )
+    return sums.select(
+        "exam_id", "key_total", "paper_total", "differing",
+        ((F.col("differing") > 0) | (F.abs(F.col("key_total") - F.col("paper_total")) > TOLERANCE)).alias("mismatch"),
+        F.when(F.col("known") == 0, "answer_key").otherwise("question_paper").alias("recommended"),
+        F.array_join(F.transform(F.slice("which", 1, shown), lambda b: F.concat(F.lit("Q"), b)), ",").alias("questions"),
+    )
 
 
 def numbering_gaps(paper_entry: DataFrame) -> DataFrame:
-    """Numbers from 1 to the largest that no question has."""
+    """Runs of numbers (exam_id, kind, lo, hi) that no question has: leading, before the smallest, and internal ones."""
     bases = with_qid(paper_entry, "qid").where("base IS NOT NULL").select("exam_id", "base").distinct()
-    wanted = bases.groupBy("exam_id").agg(F.max("base").alias("top")).select("exam_id", F.explode(F.sequence(F.lit(1), "top")).alias("base"))
-    return wanted.join(bases, ["exam_id", "base"], "left_anti")
-
-
-def missing_ranges(paper_entry: DataFrame, section_map: DataFrame) -> DataFrame:
-    """Runs (lo, hi) of numbers up to the sections' end that no question has."""
-    bases = with_qid(paper_entry, "qid").select("exam_id", "base").distinct()
-    wanted = section_map.groupBy("exam_id").agg(F.max("to_q").alias("top")).select("exam_id", F.explode(F.sequence(F.lit(1), "top")).alias("base"))
-    gone = wanted.join(bases, ["exam_id", "base"], "left_anti")
-    island = F.col("base") - F.row_number().over(Window.partitionBy("exam_id").orderBy("base"))
-    return gone.withColumn("island", island).groupBy("exam_id", "island").agg(F.min("base").alias("lo"), F.max("base").alias("hi")).drop("island")
+    order = Window.partitionBy("exam_id").orderBy("base")
+    before = F.coalesce(F.lag("base").over(order), F.lit(0))
+    gaps = bases.select("exam_id", "base", before.alias("before")).where("base - before > 1")
+    kind = F.when(F.col("before") == 0, "leading").otherwise("internal")
+    return gaps.select("exam_id", kind.alias("kind"), (F.col("before") + 1).alias("lo"), (F.col("base") - 1).alias("hi"))
+
+
+def expected_questions(section_map: DataFrame, exam_text: DataFrame | None = None) -> DataFrame:
+    """(exam_id, top): the sections' end, or else the N of "contains N questions" in the exam's text."""
+    top = section_map.groupBy("exam_id").agg(F.max("to_q").alias("top"))
+    if exam_text is None:
+        return top
+    said = F.regexp_extract("text", r"(?i)contains\s+([0-9]+)\s+questions", 1).try_cast("int")
+    rest = exam_text.select("exam_id", said.alias("top")).where("top IS NOT NULL").join(top, "exam_id", "left_anti")
+    return top.unionByName(rest.groupBy("exam_id").agg(F.max("top").alias("top")))
+
+
+def missing_ranges(paper_entry: DataFrame, section_map: DataFrame, exam_text: DataFrame | None = None) -> DataFrame:
+    """Runs (lo, hi) of numbers from 1 to the expected end that no question has, found from neighbours."""
+    expected = expected_questions(section_map, exam_text)
+    bases = with_qid(paper_entry, "qid").where("base > 0").select("exam_id", "base").distinct()
+    inside = bases.join(expected, "exam_id").where("base <= top").select("exam_id", "base")
+    ends = expected.select("exam_id", F.explode(F.array(F.lit(0), F.col("top") + 1)).alias("base"))
+    after = F.lead("base").over(Window.partitionBy("exam_id").orderBy("base"))
+    gaps = inside.unionByName(ends).withColumn("after", after).where("after - base > 1")
+    return gaps.select("exam_id", (F.col("base") + 1).alias("lo"), (F.col("after") - 1).alias("hi"))
 
 
 def detect_choices(key: DataFrame) -> DataFrame:
-    """Sibling sub-parts (x) of equal marks are taken for a choice: exam_id, base, members."""
+    """Sibling sub-parts (x) of equal marks are taken for a choice: exam_id, base, members. All of them are uncertain."""
     sibling = key.where(F.col("sub").rlike("^\\([^)]*\\)$"))
     return sibling.groupBy("exam_id", "base").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("marks").alias("kinds")).where("members >= 2 AND kinds = 1").drop("kinds")
 
 
+def inline_choices(key: DataFrame) -> DataFrame:
+    """(exam_id, qid): entries outside detected groups with a standalone OR, in capitals, in their question or answer; uncertain as well."""
+    sibling = F.col("sub").rlike("^\\([^)]*\\)$")
+    grouped = detect_choices(key).select("exam_id", "base", F.lit(True).alias("grouped"))
+    text = F.concat_ws("\n", "question", "answer")
+    rows = key.join(grouped, ["exam_id", "base"], "left").where(~(F.coalesce("grouped", F.lit(False)) & sibling))
+    return rows.where(text.rlike(r"(?:^|\s)OR(?:\s|$)")).select("exam_id", "qid")
+
+
 def overlay_questions(key: DataFrame, paper_entry: DataFrame) -> DataFrame:
     """Question text for key entries: of the exact id (the last), else of the base (the first); only non-empty text."""
     paper = with_qid(paper_entry.withColumnRenamed("qid", "paper_id"), "paper_id").where("question <> ''")

@@ -27,8 +27,9 @@ def answer_gaps(answer: DataFrame, questions: DataFrame, sheet: DataFrame) -> Da
 
 
 def expected_by_base(key: DataFrame, chars: int = 800) -> DataFrame:
-    """A base's key answers in key order, one to a line, their first ``chars`` characters."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("qorder", "answer"))), lambda x: x["answer"])
+    """A base's key answers that aren't empty, trimmed, in key order, one to a line, their first ``chars`` characters."""
+    clean = F.trim(F.coalesce("answer", F.lit("")), F.lit(" \t\r\n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(clean != "", F.struct("qorder", clean.alias("answer"))))), lambda x: x["answer"])
     return key.groupBy("exam_id", "base").agg(F.substring(F.array_join(ordered, "\n"), 1, chars).alias("expected"))
 
 
@@ -36,24 +37,46 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0))
 
 
+def _exam_targets(expected: DataFrame) -> DataFrame:
+    """(exam_id, targets, wanted): an exam's targets with their tokens, and all those tokens."""
+    each = expected.select("exam_id", F.struct(F.col("base").alias("target"), tokens(F.col("expected")).alias("want")).alias("t"))
+    by_exam = each.groupBy("exam_id").agg(F.collect_list("t").alias("targets"))
+    return by_exam.withColumn("wanted", F.array_distinct(F.flatten(F.transform("targets", lambda t: t["want"]))))
+
+
+def _share(t: Column, have: Column) -> Column:
+    return F.when(F.size(t["want"]) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t["want"], have)) / F.size(t["want"]))
+
+
+def _with_hits(answer: DataFrame, expected: DataFrame) -> DataFrame:
+    """Answers with text, their exam's targets, and those tokens of an answer that any target wants: it is tokenised once."""
+    asked = answer.where(F.trim("answer") != "").join(_exam_targets(expected), "exam_id")
+    return asked.withColumn("hits", F.array_intersect("wanted", tokens(F.col("answer"))))
+
+
 def key_affinity(answer: DataFrame, expected: DataFrame) -> DataFrame:
     """(sheet_id, base, target, affinity): share of each expected text's tokens that an answer of the exam holds."""
-    a = answer.where(F.trim("answer") != "").select("sheet_id", "exam_id", "base", tokens(F.col("answer")).alias("have"))
-    e = expected.select("exam_id", F.col("base").alias("target"), tokens(F.col("expected")).alias("want"))
-    share = F.when(F.size("want") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("have", "want")) / F.size("want"))
-    return a.join(e, "exam_id").select("sheet_id", "base", "target", share.alias("affinity"))
-
-
-def offtopic_hosts(affinity: DataFrame, gaps: DataFrame, cross: float = 0.5, margin: float = 0.25) -> DataFrame:
-    """Answers that fit a gap's key much better than their own: sheet_id, base, target, affinity, margin, rank."""
-    own = affinity.where("base = target").select("sheet_id", "base", F.col("affinity").alias("own"))
-    to_gap = affinity.join(gaps.withColumnRenamed("base", "target"), ["sheet_id", "target"], "left_semi")
-    best = to_gap.groupBy("sheet_id", "base").agg(F.max(F.struct("affinity", (-F.col("target")).alias("t"))).alias("b"))
-    scored = best.join(own, ["sheet_id", "base"], "left").select(
-        "sheet_id", "base", (-F.col("b.t")).alias("target"), F.col("b.affinity").alias("affinity"), (F.col("b.affinity") - F.coalesce("own", F.lit(0.0))).alias("margin")
+    rows = _with_hits(answer, expected).select("sheet_id", "base", "hits", F.explode("targets").alias("t"))
+    return rows.select("sheet_id", "base", F.col("t.target").alias("target"), _share(F.col("t"), F.col("hits")).alias("affinity"))
+
+
+def offtopic_hosts(answer: DataFrame, expected: DataFrame, gaps: DataFrame, cross: float = 0.5, margin: float = 0.25) -> DataFrame:
+    """Answers that fit a gap's key much better than their own: sheet_id, base, target, affinity, margin, rank.
+
+    Only sheets with gaps are looked at, and an answer is held against the gaps and its own question alone.
+    """
+    blanks = gaps.groupBy("sheet_id").agg(F.collect_set("base").alias("blanks"))
+    rows = _with_hits(answer.join(blanks, "sheet_id"), expected)
+    wanted = F.filter("targets", lambda t: F.array_contains("blanks", t["target"]) | (t["target"] == F.col("base")))
+    scored = F.transform(wanted, lambda t: F.struct(_share(t, F.col("hits")).alias("affinity"), (-t["target"]).alias("t")))
+    scored_rows = rows.select("sheet_id", "base", "blanks", scored.alias("s"))
+    best = F.array_max(F.filter("s", lambda x: F.array_contains("blanks", -x["t"])))
+    own = F.coalesce(F.get(F.filter("s", lambda x: x["t"] == -F.col("base")), F.lit(0))["affinity"], F.lit(0.0))
+    hosts = scored_rows.select("sheet_id", "base", best.alias("b"), own.alias("own")).where("b IS NOT NULL").select(
+        "sheet_id", "base", (-F.col("b.t")).alias("target"), F.col("b.affinity").alias("affinity"), (F.col("b.affinity") - F.col("own")).alias("margin")
     )
     rank = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("margin"), "base"))
-    return scored.where((F.col("affinity") >= cross) & (F.col("margin") >= margin)).withColumn("rank", rank)
+    return hosts.where((F.col("affinity") >= cross) & (F.col("margin") >= margin)).withColumn("rank", rank)
 
 
 def commit_reread(before: DataFrame, after: DataFrame) -> DataFrame:

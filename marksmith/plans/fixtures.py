@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: As many exams as have keys.
+EXAMS = "(SELECT 20 + 20 * CAST(floor(max(p_partkey) / 560) AS BIGINT) FROM part)"
+
 #: name: (tables it needs, query)
 DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "key_entry": (
@@ -34,6 +37,13 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT exam_id, base, pos, 'Q' || base || CASE pos WHEN 0 THEN '(a)' ELSE '(b)' END AS member
            FROM key_base CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos) AS two WHERE (exam_id + base) % 3 = 0""",
     ),
+    "choice_sidecar": (("choice_member",), "SELECT * FROM choice_member WHERE exam_id % 2 = 0"),
+    "paper_delivered": (("paper_entry",), "SELECT * FROM paper_entry WHERE exam_id % 7 <> 0"),
+    "key_mixed": (
+        ("key_entry", "key_base"),
+        """SELECT exam_id, label, marks, type, answer, name, qorder FROM key_entry WHERE exam_id % 2 = 1
+           UNION ALL SELECT exam_id, 'Q' || base AS label, marks, 'Long Answer' AS type, 'all parts' AS answer, 'whole' AS name, p0 AS qorder FROM key_base WHERE exam_id % 2 = 0""",
+    ),
     "paper_entry": (
         ("key_base", "part"),
         """SELECT exam_id, 'Q' || base AS qid, p_name AS question, CAST(coalesce(marks, 0) + 0.5 * (p0 % 4 - 1) AS DOUBLE) AS marks, p0 AS qorder
@@ -45,17 +55,30 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT exam_id, from_q, to_q, CAST(section_marks AS DOUBLE) AS section_marks FROM (SELECT DISTINCT exam_id FROM key_base) AS e CROSS JOIN
            (SELECT 1 AS from_q, 3 AS to_q, 1 AS section_marks UNION ALL SELECT 4, 6, 2 UNION ALL SELECT 7, 8, 3) AS s""",
     ),
+    "section_known": (("section_map",), "SELECT * FROM section_map WHERE exam_id % 2 = 0"),
+    "exam_text": (("key_base",), "SELECT DISTINCT exam_id, 'This paper contains ' || (6 + exam_id % 5) || ' questions.' AS text FROM key_base"),
+    "part_result": (
+        ("result",),
+        """SELECT sheet_id, CAST(CASE WHEN base <= 4 THEN 1 ELSE 2 END AS INT) AS base, CAST(base AS INT) AS qorder, CASE WHEN answer_chars < 6 THEN '[BLANK]' ELSE 'text' END AS answer,
+                  CASE WHEN answer_chars < 6 THEN CAST(0 AS DOUBLE) ELSE marks_max / 2 END AS marks_awarded, marks_max, answer_chars < 6 AS needs_review,
+                  CASE WHEN answer_chars < 6 THEN 'No answer captured' ELSE '' END AS capture_status FROM result""",
+    ),
+    "instruction": (
+        ("sheet",),
+        """SELECT sheet_id, 1 AS pos, 'Q1 Answer any 2 out of the given ' || (3 + sheet_id % 2) AS text FROM sheet UNION ALL
+           SELECT sheet_id, 2 AS pos, CASE WHEN run_failed THEN 'Write clearly' ELSE 'Q2 Answer any 1 out of the given 3' END AS text FROM sheet""",
+    ),
     "sheet": (
-        ("orders", "customer"),
-        "SELECT o_orderkey AS sheet_id, o_orderkey % 20 AS exam_id, c_name AS student FROM orders JOIN customer ON o_custkey = c_custkey",
+        ("orders", "customer", "part"),
+        f"SELECT o_orderkey AS sheet_id, o_orderkey % {EXAMS} AS exam_id, c_name AS student, o_orderstatus = 'P' AS run_failed FROM orders JOIN customer ON o_custkey = c_custkey",
     ),
     "answer": (
-        ("lineitem", "documents"),
-        """SELECT sheet_id, exam_id, base, 'Q' || base AS qid,
+        ("lineitem", "documents", "part"),
+        f"""SELECT sheet_id, exam_id, base, 'Q' || base AS qid,
                   CASE WHEN q <= 4 THEN ' ' WHEN q = 5 THEN 'NA' ELSE
                   CASE pre WHEN 0 THEN 'Therefore ' WHEN 1 THEN '= ' WHEN 2 THEN '(b) ' WHEN 3 THEN '[DIAGRAM: x] ' WHEN 4 THEN '[ambiguous: x] '
                            WHEN 5 THEN '(a) ' WHEN 6 THEN '(b) ' WHEN 7 THEN '(c) ' WHEN 8 THEN '(d) ' ELSE '' END || CASE WHEN base % 3 = 0 THEN '' ELSE coalesce(text, '') END END AS answer
-           FROM (SELECT l_orderkey AS sheet_id, l_orderkey % 20 AS exam_id, CAST(l_linenumber + CASE WHEN max(l_quantity) = 50 THEN 90 ELSE 0 END AS INT) AS base,
+           FROM (SELECT l_orderkey AS sheet_id, l_orderkey % {EXAMS} AS exam_id, CAST(l_linenumber + CASE WHEN max(l_quantity) = 50 THEN 90 ELSE 0 END AS INT) AS base,
                         max(l_quantity) AS q, max(l_partkey) % 10 AS pre, (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM documents) AS doc
                  FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x LEFT JOIN documents ON doc_id = doc""",
     ),
@@ -65,8 +88,8 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                   l_quantity * CAST(0.13 AS DOUBLE) AS mark FROM lineitem""",
     ),
     "result": (
-        ("lineitem",),
-        """SELECT l_orderkey AS sheet_id, l_orderkey % 20 AS exam_id, l_linenumber AS base, 'Q' || l_linenumber AS qid, max(l_quantity) * CAST(0.11 AS DOUBLE) AS raw_mark,
+        ("lineitem", "part"),
+        f"""SELECT l_orderkey AS sheet_id, l_orderkey % {EXAMS} AS exam_id, l_linenumber AS base, 'Q' || l_linenumber AS qid, max(l_quantity) * CAST(0.11 AS DOUBLE) AS raw_mark,
                   CAST(0.5 * (1 + CAST(max(l_quantity) AS INT) % 10) AS DOUBLE) AS marks_max,
                   CASE min(l_returnflag) WHEN 'A' THEN 'High' WHEN 'N' THEN 'Medium' ELSE 'Low' END AS confidence,
                   max(l_tax) >= 0.08 AS off_topic, max(l_discount) >= 0.10 AND max(l_tax) < 0.01 AS injection, max(l_partkey) % 7 = 0 AS bad_handwriting, CAST(max(l_partkey) % 30 AS INT) AS answer_chars

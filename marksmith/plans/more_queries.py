@@ -19,13 +19,13 @@ def _marked(result):
 
 @query(
     "a3_choices_or_detect",
-    ("choice_member", "key_entry"),
-    f"""WITH {_KEY}, own AS (SELECT DISTINCT exam_id, base FROM choice_member WHERE exam_id % 2 = 0),
+    ("choice_sidecar", "key_entry"),
+    f"""WITH {_KEY}, own AS (SELECT DISTINCT exam_id, base FROM choice_sidecar),
     d AS (SELECT exam_id, base FROM key WHERE regexp_full_match(sub, '\\([^)]*\\)') GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT marks) = 1)
     SELECT exam_id, base, FALSE AS uncertain FROM own UNION ALL SELECT exam_id, base, TRUE FROM d WHERE exam_id NOT IN (SELECT exam_id FROM own)""",
 )
-def a3(members, key_entry):
-    return integrity.choices_or_detect(members.where("exam_id % 2 = 0"), integrity.detect_choices(integrity.canonical_key(key_entry)))
+def a3(sidecar, key_entry):
+    return integrity.choices_or_detect(sidecar, integrity.detect_choices(integrity.canonical_key(key_entry)))
 
 
 @query(
@@ -107,21 +107,21 @@ def e26(paper_entry, key_base):
 
 @query(
     "e27_gate",
-    ("key_entry", "paper_entry"),
+    ("key_entry", "paper_delivered"),
     """WITH s AS (SELECT exam_id, count(*) AS total, count(*) FILTER (WHERE coalesce(marks, 0) <= 0) AS missing FROM key_entry GROUP BY 1),
     i AS (SELECT exam_id, missing * 2 >= total AS err FROM s WHERE missing > 0 UNION ALL
           SELECT DISTINCT exam_id, FALSE FROM key_entry WHERE marks > 0 AND marks * 2 <> floor(marks * 2) UNION ALL
-          SELECT exam_id, TRUE FROM s WHERE exam_id NOT IN (SELECT exam_id FROM paper_entry WHERE exam_id % 7 <> 0))
+          SELECT exam_id, TRUE FROM s WHERE exam_id NOT IN (SELECT exam_id FROM paper_delivered))
     SELECT s.exam_id, count(err) AS issues, coalesce(bool_or(err), FALSE) AS blocked FROM s LEFT JOIN i USING (exam_id) GROUP BY 1""",
 )
-def e27(key_entry, paper_entry):
-    return integrity.gate(integrity.check_entries(key_entry), key_entry.select("exam_id").distinct(), paper_entry.where("exam_id % 7 <> 0"))
+def e27(key_entry, paper_delivered):
+    return integrity.gate(integrity.check_entries(key_entry), key_entry.select("exam_id").distinct(), paper_delivered)
 
 
 @query(
     "e28_marks_mode",
     ("key_entry", "choice_member", "paper_entry"),
-    f"""WITH {base._CHECKED}, t AS (SELECT exam_id, abs(coalesce(sum(key_marks), 0) - coalesce(sum(paper_marks), 0)) > 1e-6 AS mismatch FROM chk GROUP BY 1)
+    f"""WITH {base._CHECKED}, t AS (SELECT exam_id, bool_or(class <> 'equal') OR abs(coalesce(sum(key_marks), 0) - coalesce(sum(paper_marks), 0)) > 1e-6 AS mismatch FROM chk GROUP BY 1)
     SELECT exam_id, CASE WHEN exam_id % 5 = 0 THEN 'trust_key' WHEN NOT mismatch THEN 'raise' WHEN exam_id % 3 = 0 THEN 'align_to_paper' WHEN exam_id % 3 = 1 THEN 'trust_key' ELSE 'raise' END AS mode FROM t""",
 )
 def e28(*tables):
@@ -241,12 +241,12 @@ def i4(timing):
 @query(
     "i5_batch_summary",
     ("sheet", "result"),
-    f"""WITH {_MARKED}, m AS (SELECT sheet_id, round(sum(mark), 2) AS awarded, round(sum(marks_max), 2) AS maximum FROM marked WHERE sheet_id % 11 <> 0 GROUP BY 1)
+    f"""WITH {_MARKED}, m AS (SELECT sheet_id, round(sum(mark), 2) AS awarded, round(sum(marks_max), 2) AS maximum FROM marked WHERE sheet_id IN (SELECT sheet_id FROM sheet WHERE NOT run_failed) GROUP BY 1)
     SELECT sheet_id, student, awarded, maximum, CASE WHEN awarded IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN sheet_id % 3 <> 0 THEN CAST(sheet_id AS DOUBLE) END AS cost FROM sheet LEFT JOIN m USING (sheet_id)""",
 )
 def i5(sheet, result):
     spent = F.when(F.expr("sheet_id % 3 = 0"), "unknown").otherwise(F.concat(F.lit("$"), F.col("sheet_id").cast("string")))
-    return reports.batch_summary(sheet, _marked(result).where("sheet_id % 11 <> 0"), sheet.select("sheet_id", spent.alias("spent")))
+    return reports.batch_summary(sheet, _marked(result).join(sheet.where("NOT run_failed"), "sheet_id", "left_semi"), sheet.select("sheet_id", spent.alias("spent")))
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import with_qid
+from ..functions.labels import LABEL_WORDS, with_qid
 from ..functions.marks import is_valid_mark, quantize
 from ..operators import grading, integrity, recovery, reports, review, sheets, text
 from .fixtures import fixture, oracle
@@ -28,11 +28,13 @@ def query(name: str, tables: tuple[str, ...], sql: str | None = None):
     return register
 
 
-_BARE = r"""regexp_replace(trim(regexp_replace({c}, '^[^_]*_', '')), '(?i)^[ \t\r\n]*(?:q(?:ue|ues|uestion)?|ans(?:wer)?|sol(?:n|ution)?|s|a)[ \t\r\n]*[.:-]?[ \t\r\n]*([0-9])', '\1')"""
+_WORDS = "|".join(sorted(LABEL_WORDS, key=len, reverse=True))
+_BARE = r"regexp_replace(trim(regexp_replace({c}, '^[^_]*_', '')), '(?i)^[ \t\r\n]*(?:WORDS)[ \t\r\n]*[.:-]?[ \t\r\n]*([0-9])', '\1')".replace("WORDS", _WORDS)
 _KEY = f"""k0 AS (SELECT *, {_BARE.format(c="label")} AS bare FROM key_entry),
 k AS (SELECT exam_id, label, coalesce(marks, 0) AS marks, marks AS raw_marks, type, answer, name, qorder, bare, CAST(regexp_extract(bare, '^0*([0-9]+)', 1) AS INT) AS base,
              CASE WHEN regexp_matches(regexp_extract(bare, '^[0-9]+(.*)$', 1), '[A-Za-z0-9]') THEN trim(regexp_extract(bare, '^[0-9]+(.*)$', 1)) ELSE '' END AS sub FROM k0),
 key AS (SELECT *, 'Q' || base || sub AS qid FROM k)"""
+_KEY_MIXED = _KEY.replace("FROM key_entry", "FROM key_mixed")
 _PAPER = "p AS (SELECT *, CAST(substr(qid, 2) AS INT) AS base FROM paper_entry)"
 _MARK = "floor({v} / 0.5 + 0.5 + 1e-9) * 0.5"
 
@@ -89,13 +91,13 @@ def e6(key_entry, members):
 
 @query(
     "e7_lost_choices",
-    ("key_entry", "choice_member"),
-    f"""WITH {_EFFECTIVE}
+    ("key_entry", "choice_sidecar"),
+    f"""WITH {_KEY}, leaf AS (SELECT * FROM key WHERE marks > 0)
     SELECT exam_id, base, count(DISTINCT top) AS alternatives FROM (SELECT *, regexp_extract(sub, '^(\\([^)]*\\)|\\.[A-Za-z0-9]+)', 1) AS top FROM leaf) t
-    WHERE top <> '' AND exam_id NOT IN (SELECT exam_id FROM choice_member WHERE base = 1) GROUP BY 1, 2 HAVING count(DISTINCT top) >= 2""",
+    WHERE top <> '' AND exam_id NOT IN (SELECT exam_id FROM choice_sidecar) GROUP BY 1, 2 HAVING count(DISTINCT top) >= 2""",
 )
-def e7(key_entry, members):
-    return integrity.lost_choices(integrity.key_leaves(key_entry), members.where("base = 1"))
+def e7(key_entry, sidecar):
+    return integrity.lost_choices(integrity.key_leaves(key_entry), sidecar)
 
 
 _CHECKED = f"""{_EFFECTIVE}, {_PAPER}, pm AS (SELECT exam_id, base, max(marks) AS marks FROM p GROUP BY 1, 2),
@@ -111,7 +113,9 @@ def _checked(key_entry, members, paper_entry):
 @query(
     "e9_cross_check",
     ("key_entry", "choice_member", "paper_entry"),
-    f"WITH {_CHECKED} SELECT exam_id, class, count(*) AS n, array_to_string(list(base ORDER BY base)[1:12], ',') AS bases FROM chk WHERE class <> 'equal' GROUP BY 1, 2",
+    f"""WITH {_CHECKED}, k2 AS (SELECT * FROM chk WHERE exam_id IN (SELECT exam_id FROM pm WHERE marks IS NOT NULL))
+    SELECT exam_id, class, count(*) AS n, array_to_string(list(base ORDER BY base)[1:12], ',') AS bases FROM k2 WHERE class <> 'equal' GROUP BY 1, 2
+    UNION ALL SELECT exam_id, 'total_mismatch', 1, '' FROM k2 GROUP BY exam_id HAVING abs(coalesce(sum(key_marks), 0) - coalesce(sum(paper_marks), 0)) > 1e-6""",
 )
 def e9(*tables):
     return integrity.cross_check_issues(_checked(*tables))
@@ -120,8 +124,9 @@ def e9(*tables):
 @query(
     "e10_marks_mismatch",
     ("key_entry", "choice_member", "paper_entry"),
-    f"""WITH {_CHECKED} SELECT *, abs(key_total - paper_total) > 1e-6 AS mismatch FROM (SELECT exam_id, coalesce(sum(key_marks), 0) AS key_total, coalesce(sum(paper_marks), 0) AS paper_total,
-        count(*) FILTER (WHERE class <> 'equal') AS differing FROM chk GROUP BY exam_id) s""",
+    f"""WITH {_CHECKED} SELECT exam_id, key_total, paper_total, differing, differing > 0 OR abs(key_total - paper_total) > 1e-6 AS mismatch, CASE WHEN known = 0 THEN 'answer_key' ELSE 'question_paper' END AS recommended, questions
+    FROM (SELECT exam_id, coalesce(sum(key_marks), 0) AS key_total, coalesce(sum(paper_marks), 0) AS paper_total, count(*) FILTER (WHERE class <> 'equal') AS differing, count(paper_marks) AS known,
+          coalesce(array_to_string((list('Q' || base ORDER BY base) FILTER (WHERE class <> 'equal'))[1:60], ','), '') AS questions FROM chk GROUP BY exam_id) s""",
 )
 def e10(*tables):
     return integrity.marks_mismatch(_checked(*tables))
@@ -130,8 +135,8 @@ def e10(*tables):
 @query(
     "e14_numbering_gaps",
     ("paper_entry",),
-    f"""WITH {_PAPER}, top AS (SELECT exam_id, max(base) AS top FROM p GROUP BY 1), w AS (SELECT exam_id, unnest(generate_series(1, top)) AS base FROM top)
-    SELECT exam_id, base FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.exam_id = w.exam_id AND p.base = w.base)""",
+    f"""WITH {_PAPER}, b AS (SELECT DISTINCT exam_id, base FROM p), l AS (SELECT exam_id, base, coalesce(lag(base) OVER (PARTITION BY exam_id ORDER BY base), 0) AS before FROM b)
+    SELECT exam_id, CASE WHEN before = 0 THEN 'leading' ELSE 'internal' END AS kind, before + 1 AS lo, base - 1 AS hi FROM l WHERE base - before > 1""",
 )
 def e14(paper_entry):
     return integrity.numbering_gaps(paper_entry)
@@ -159,17 +164,17 @@ def e16(key_entry, paper_entry):
 
 @query(
     "e22_reconcile_marks",
-    ("key_entry", "paper_entry"),
-    f"""WITH {_KEY}, {_PAPER}, pm AS (SELECT exam_id, base, max(marks) AS paper FROM p GROUP BY 1, 2),
-    e AS (SELECT exam_id, qid, base, marks, count(*) OVER w AS n, sum(marks) OVER w AS total FROM key WHERE sub <> '(c)' AND (base % 2 = 0 OR sub = '(a)') WINDOW w AS (PARTITION BY exam_id, base)),
+    ("key_mixed", "paper_entry"),
+    f"""WITH {_KEY_MIXED}, {_PAPER}, pm AS (SELECT exam_id, base, max(marks) AS paper FROM p GROUP BY 1, 2),
+    e AS (SELECT exam_id, qid, base, marks, count(*) OVER w AS n, sum(marks) OVER w AS total FROM key WINDOW w AS (PARTITION BY exam_id, base)),
     j AS (SELECT exam_id, base, qid, marks, n, total, paper, CASE exam_id % 3 WHEN 0 THEN 'raise' WHEN 1 THEN 'align_to_paper' ELSE 'trust_key' END AS mode FROM e FULL JOIN pm USING (exam_id, base)),
     a AS (SELECT *, CASE WHEN mode = 'trust_key' THEN CASE WHEN qid IS NOT NULL THEN 'unchanged' END WHEN qid IS NULL THEN 'injected' WHEN paper IS NULL THEN 'flagged'
                          WHEN paper - total > 1e-6 THEN CASE WHEN n = 1 THEN 'adjusted' ELSE 'flagged' END
                          WHEN total - paper > 1e-6 THEN CASE WHEN n = 1 AND mode = 'align_to_paper' THEN 'adjusted' ELSE 'flagged' END ELSE 'unchanged' END AS action FROM j)
     SELECT exam_id, coalesce(qid, 'Q' || base) AS qid, coalesce(marks, 0) AS old_marks, CASE WHEN action IN ('adjusted', 'injected') THEN paper ELSE marks END AS marks, action FROM a WHERE action IS NOT NULL""",
 )
-def e22(key_entry, paper_entry):
-    key = integrity.canonical_key(key_entry).where("sub <> '(c)' AND (base % 2 = 0 OR sub = '(a)')")
+def e22(key_mixed, paper_entry):
+    key = integrity.canonical_key(key_mixed)
     mode = F.when(F.col("exam_id") % 3 == 0, "raise").when(F.col("exam_id") % 3 == 1, "align_to_paper").otherwise("trust_key")
     exams = key.select("exam_id").union(paper_entry.select("exam_id")).distinct().withColumn("mode", mode)
     return integrity.reconcile_marks(key, integrity.paper_marks(paper_entry), exams)
@@ -207,14 +212,15 @@ def e23(paper_entry, section_map):
 
 @query(
     "e24_missing_ranges",
-    ("paper_entry", "section_map"),
-    f"""WITH {_PAPER}, t AS (SELECT exam_id, max(to_q) AS top FROM section_map GROUP BY 1), w AS (SELECT exam_id, unnest(generate_series(1, top)) AS base FROM t),
-    g AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.exam_id = w.exam_id AND p.base = w.base)),
+    ("paper_entry", "section_known", "exam_text"),
+    f"""WITH {_PAPER}, t AS (SELECT exam_id, max(to_q) AS top FROM section_known GROUP BY 1 UNION ALL
+        SELECT exam_id, CAST(regexp_extract(text, 'contains ([0-9]+) questions', 1) AS INT) FROM exam_text WHERE exam_id NOT IN (SELECT exam_id FROM section_known)),
+    w AS (SELECT exam_id, unnest(generate_series(1, top)) AS base FROM t), g AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.exam_id = w.exam_id AND p.base = w.base)),
     i AS (SELECT *, base - row_number() OVER (PARTITION BY exam_id ORDER BY base) AS island FROM g)
     SELECT exam_id, min(base) AS lo, max(base) AS hi FROM i GROUP BY exam_id, island""",
 )
-def e24(paper_entry, section_map):
-    return integrity.missing_ranges(paper_entry, section_map)
+def e24(paper_entry, section_map, exam_text):
+    return integrity.missing_ranges(paper_entry, section_map, exam_text)
 
 
 @query(
@@ -361,7 +367,7 @@ def d3(answer, sheet, key_entry, paper_entry):
     return recovery.answer_gaps(answer, d1(key_entry, paper_entry), sheet)
 
 
-_EXPECTED = f"{_KEY}, ex AS (SELECT exam_id, base, substr(string_agg(answer, chr(10) ORDER BY qorder), 1, 800) AS expected FROM key GROUP BY 1, 2)"
+_EXPECTED = f"{_KEY}, ex AS (SELECT exam_id, base, substr(coalesce(string_agg(nullif(trim(answer), ''), chr(10) ORDER BY qorder), ''), 1, 800) AS expected FROM key GROUP BY 1, 2)"
 
 
 @query("d8_expected", ("key_entry",), f"WITH {_EXPECTED} SELECT * FROM ex")
@@ -380,13 +386,13 @@ def d9(answer, key_entry):
 
 
 def d10_rows(answer, sheet, key_entry, paper_entry):
-    return recovery.offtopic_hosts(recovery.key_affinity(answer, d8(key_entry)), d3(answer, sheet, key_entry, paper_entry), cross=0.2, margin=0.1)
+    return recovery.offtopic_hosts(answer, d8(key_entry), d3(answer, sheet, key_entry, paper_entry), cross=0.2, margin=0.1)
 
 
 @query(
     "d10_offtopic_hosts",
     ("answer", "sheet", "key_entry", "paper_entry"),
-    f"""WITH {_GAPS}, ex AS (SELECT exam_id, base, substr(string_agg(answer, chr(10) ORDER BY qorder), 1, 800) AS expected FROM key GROUP BY 1, 2), {_AFFINITY},
+    f"""WITH {_GAPS}, ex AS (SELECT exam_id, base, substr(coalesce(string_agg(nullif(trim(answer), ''), chr(10) ORDER BY qorder), ''), 1, 800) AS expected FROM key GROUP BY 1, 2), {_AFFINITY},
     b AS (SELECT aff.sheet_id, aff.base, aff.target, affinity, row_number() OVER (PARTITION BY aff.sheet_id, aff.base ORDER BY affinity DESC, aff.target) AS k FROM aff JOIN gap ON gap.sheet_id = aff.sheet_id AND gap.base = aff.target),
     m AS (SELECT b.sheet_id, b.base, b.target, b.affinity, b.affinity - coalesce(o.affinity, 0) AS margin FROM b LEFT JOIN aff o ON o.sheet_id = b.sheet_id AND o.base = b.base AND o.target = b.base WHERE k = 1)
     SELECT sheet_id, base, target, round(affinity, 6) AS affinity, round(margin, 6) AS margin, row_number() OVER (PARTITION BY sheet_id ORDER BY margin DESC, base) AS rank FROM m WHERE affinity >= 0.2 AND margin >= 0.1""",
@@ -423,9 +429,41 @@ def f2(*tables):
     return grading.grade_blanks(_items(*tables))
 
 
-@query("f5_grade_mcq", ("key_entry", "answer", "sheet"))
+_SIGN = "[.):/–—-]"
+
+
+def _option_sql(table: str, column: str, name: str) -> str:
+    """CTEs that add {name}_id and {name}_label to a table."""
+    words = "|".join(sorted(grading.ANSWER_WORDS, key=len, reverse=True))
+    return rf"""{name}1 AS (SELECT *, trim(coalesce({column}, ''), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM {table}),
+    {name}2 AS (SELECT *, CASE WHEN regexp_matches(t, '(?i)^(?:{words})(?:[^A-Za-z]|$)') OR regexp_matches(t, '^[aA]\s*\.?\s*[0-9]')
+        THEN regexp_replace(regexp_replace(t, '^[A-Za-z]+', ''), '^\s*\.?\s*[0-9]*\s*[.):-]?\s*', '') ELSE t END AS u FROM {name}1),
+    {name}3 AS (SELECT *, CASE WHEN regexp_matches(u, '^\s*\(?\s*[0-9]{{1,3}}\s*[.):–—-]\s*\(?\s*[A-Za-z](?:[^A-Za-z0-9_]|$)') THEN regexp_replace(u, '^\s*\(?\s*[0-9]{{1,3}}\s*[.):–—-]\s*', '') ELSE u END AS v FROM {name}2),
+    {name} AS (SELECT * EXCLUDE (t, u, v), CASE WHEN regexp_matches(v, '^\s*\(?\s*(?:[A-Za-z]{{1,3}}|[0-9]{{1,2}})\s*{_SIGN}') THEN regexp_extract(v, '^\s*\(?\s*([A-Za-z]{{1,3}}|[0-9]{{1,2}})\s*{_SIGN}', 1)
+        WHEN regexp_full_match(v, '[A-Za-z]|[0-9]{{1,2}}') THEN v END AS {name}_id,
+        lower(regexp_replace(trim(CASE WHEN regexp_matches(v, '^\s*\(?\s*(?:[A-Za-z]{{1,3}}|[0-9]{{1,2}})\s*{_SIGN}') THEN regexp_replace(v, '^\s*\(?\s*(?:[A-Za-z]{{1,3}}|[0-9]{{1,2}})\s*{_SIGN}\s*', '')
+        WHEN regexp_full_match(v, '[A-Za-z]|[0-9]{{1,2}}') THEN '' ELSE v END, ' ' || chr(9) || chr(13) || chr(10)), '\s+', ' ', 'g')) AS {name}_label FROM {name}3)"""
+
+
+_MATCHED = rf"""{_UNIVERSE}, {_option_sql('item', 'answer', 'said')}, {_option_sql('said', 'key_answer', 'rght')},
+bare AS (SELECT *, regexp_replace(coalesce(answer, ''), '^\s*\(?\s*[0-9]+\s*[).:-]\s*', '') AS b, coalesce(regexp_replace(lower(said_id), '[^a-z0-9]', '', 'g') = regexp_replace(lower(rght_id), '[^a-z0-9]', '', 'g'), FALSE) AS id_match FROM rght),
+mm AS (SELECT *, said_label <> '' AND said_label = rght_label AS label_match, list_distinct(list_transform(list_concat(regexp_extract_all(b, '[(\[]\s*([A-Ea-e])\s*[)\]]', 1), regexp_extract_all(b, '(?:^|\s)([A-Ea-e])\s*[).]', 1)), lambda x: upper(x))) AS letters FROM bare)"""
+
+
+@query("f4_mcq_match", ("key_entry", "answer", "sheet"), f"WITH {_MATCHED} SELECT sheet_id, base, said_id AS option, rght_id AS key_option, id_match, label_match FROM mm")
+def f4(*tables):
+    return grading.mcq_match(_items(*tables)).select("sheet_id", "base", "option", "key_option", "id_match", "label_match")
+
+
+@query(
+    "f5_grade_mcq",
+    ("key_entry", "answer", "sheet"),
+    rf"""WITH {_MATCHED}, v AS (SELECT sheet_id, base, marks, CASE WHEN len(letters) = 1 AND regexp_full_match(said_id, '[A-Za-z]') THEN
+        CASE WHEN id_match OR label_match THEN 'right' WHEN regexp_full_match(rght_id, '[A-Za-z]') THEN 'wrong' ELSE 'defer' END ELSE 'defer' END AS verdict FROM mm)
+    SELECT sheet_id, base, verdict, CASE verdict WHEN 'right' THEN marks WHEN 'wrong' THEN 0 END AS marks_awarded FROM v""",
+)
 def f5(*tables):
-    return grading.grade_mcq(_items(*tables)).groupBy("base", "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("marks_awarded").alias("marks_awarded"))
+    return grading.grade_mcq(_items(*tables)).select("sheet_id", "base", "verdict", "marks_awarded")
 
 
 @query(
@@ -491,12 +529,18 @@ def f13(answer):
 
 @query(
     "f14_best_of_n",
-    ("result",),
-    f"""WITH {_FINAL}, r AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY marks_awarded DESC, base) AS rank FROM fin)
-    SELECT sheet_id, base, rank, CASE WHEN rank > 3 THEN 'Not counted (optional)' ELSE 'Counted' END AS optional_status, CASE WHEN rank > 3 THEN 0 ELSE marks_awarded END AS marks_awarded, CASE WHEN rank > 3 THEN 0 ELSE marks_max END AS marks_max FROM r""",
+    ("part_result", "instruction"),
+    f"""WITH ru AS (SELECT sheet_id, CAST(regexp_extract(text, 'Q([0-9]+)', 1) AS INT) AS base, CAST(regexp_extract(text, 'any ([0-9]+)', 1) AS INT) AS n, CAST(regexp_extract(text, 'given ([0-9]+)', 1) AS INT) AS m FROM instruction WHERE text LIKE 'Q%'),
+    r AS (SELECT pr.*, n, m, count(*) OVER (PARTITION BY sheet_id, base) AS parts, row_number() OVER (PARTITION BY sheet_id, base ORDER BY marks_awarded DESC, qorder) AS rank FROM part_result pr LEFT JOIN ru USING (sheet_id, base)),
+    d AS (SELECT *, coalesce(parts <> m, FALSE) AS odd, coalesce(parts = m AND rank > n, FALSE) AS dropped, answer = '[BLANK]' AS blank FROM r)
+    SELECT sheet_id, base, qorder, CASE WHEN odd THEN 'Instruction Sanity Check Failed (Expected ' || m || ' parts, found ' || parts || ')' WHEN dropped AND blank THEN 'Not Attempted (Optional)' WHEN dropped THEN 'Attempted but Dropped (Best of N logic)' END AS optional_status,
+    CASE WHEN dropped THEN 0 ELSE marks_awarded END AS marks_awarded, CASE WHEN dropped THEN 0 ELSE marks_max END AS marks_max,
+    CASE WHEN odd THEN TRUE WHEN dropped AND blank AND capture_status = 'No answer captured' THEN FALSE ELSE needs_review END AS needs_review,
+    CASE WHEN dropped AND blank AND capture_status = 'No answer captured' THEN 'Not Attempted (Optional)' ELSE capture_status END AS capture_status FROM d""",
 )
-def f14(result):
-    return grading.best_of_n(grading.finalize(result), 3).select("sheet_id", "base", "rank", "optional_status", "marks_awarded", "marks_max")
+def f14(part_result, instruction):
+    made = grading.best_of_n(part_result, grading.choice_rules(instruction))
+    return made.select("sheet_id", "base", "qorder", "optional_status", "marks_awarded", "marks_max", "needs_review", "capture_status")
 
 
 @query(
@@ -555,28 +599,28 @@ def h6(orders):
     return review.current_state(run.drop("o_orderstatus"), run.where("o_orderstatus = 'F'").withColumn("total", F.col("total") + 1), "run_id", "total")
 
 
-_APPLIED = f"""st AS (SELECT DISTINCT review_id, base, CAST(base AS DOUBLE) / 2 AS machine_mark, CAST(3 AS DOUBLE) AS marks_max FROM decision WHERE seq % 2 = 0),
-ld AS (SELECT review_id, base, arg_max(decision, seq) AS decision, arg_max(corrected_marks, seq) AS corrected FROM decision GROUP BY 1, 2),
-ap AS (SELECT review_id, base, machine_mark, marks_max, CASE WHEN decision = 'reject' THEN least({_MARK.format(v='greatest(corrected, 0)')}, marks_max) ELSE machine_mark END AS mark, decision = 'reject' AS rejected, true AS reviewed FROM st JOIN ld USING (review_id, base))"""
+_APPLIED = f"""{_FINAL}, ld AS (SELECT review_id, base, arg_max(decision, seq) AS decision, arg_max(corrected_marks, seq) AS corrected FROM decision GROUP BY 1, 2),
+ap AS (SELECT sheet_id AS review_id, f.base, marks_awarded AS machine_mark, marks_max, CASE WHEN decision = 'reject' THEN least({_MARK.format(v='greatest(corrected, 0)')}, marks_max) ELSE marks_awarded END AS mark,
+    coalesce(decision = 'reject', FALSE) AS rejected, decision IS NOT NULL AS reviewed FROM fin f LEFT JOIN ld ON ld.review_id = f.sheet_id AND ld.base = f.base)"""
 
 
-def _applied(decision):
-    state = decision.where("seq % 2 = 0").select("review_id", "base", (F.col("base").cast("double") / 2).alias("machine_mark"), F.lit(3.0).alias("marks_max")).distinct()
+def _applied(result, decision):
+    state = grading.finalize(result).select(F.col("sheet_id").alias("review_id"), "base", F.col("marks_awarded").alias("machine_mark"), "marks_max")
     return review.apply_decisions(state, decision)
 
 
-@query("h7_apply_decisions", ("decision",), f"WITH {_APPLIED} SELECT * FROM ap")
-def h7(decision):
-    return _applied(decision)
+@query("h7_apply_decisions", ("result", "decision"), f"WITH {_APPLIED} SELECT * FROM ap")
+def h7(result, decision):
+    return _applied(result, decision)
 
 
 @query(
     "h7_review_totals",
-    ("decision",),
+    ("result", "decision"),
     f"WITH {_APPLIED} SELECT review_id, sum(mark) AS total, sum(marks_max) AS total_max, count(*) FILTER (WHERE rejected) AS rejected, count(*) FILTER (WHERE reviewed) AS reviewed, count(*) AS questions FROM ap GROUP BY 1",
 )
-def h7_totals(decision):
-    return review.review_totals(_applied(decision))
+def h7_totals(result, decision):
+    return review.review_totals(_applied(result, decision))
 
 
 @query(
