@@ -58,18 +58,19 @@ def split_chunks(page_reading: DataFrame) -> DataFrame:
     """(sheet_id, page_no, pos, tag, text): the text before the first tag at 0 with a null tag, then one chunk for each tag."""
     tags = F.regexp_extract_all("text", F.lit(TAG), 1)
     parts = F.split("text", r"\[START_Q:[^\]\n]*\]")
-    noise = r"(?i)\b(?:contd|continued|part [0-9]+|pg [0-9]+)\b\.?"
+    noise = r"(?i)\s*\(?(?:contd\.?|continued|part\s*[0-9]*|pg\s*[0-9]*)\)?\s*"
     chunk = page_reading.select("sheet_id", "page_no", tags.alias("tags"), F.posexplode(parts).alias("pos", "text"))
-    tag = F.when(F.col("pos") > 0, F.trim(F.regexp_replace(F.get("tags", F.col("pos") - 1), noise, "")))
+    tag = F.when(F.col("pos") > 0, F.rtrim(F.trim(F.regexp_replace(F.get("tags", F.col("pos") - 1), noise, "")), F.lit("-.")))
     return chunk.select("sheet_id", "page_no", "pos", tag.alias("tag"), "text")
 
 
 def clean_chunks(chunk: DataFrame) -> DataFrame:
-    """Without END and BLANK tags and instruction or section lines; the handwriting tag becomes a column."""
-    bad = F.col("text").contains("[BAD_HANDWRITING]")
-    text = F.regexp_replace("text", r"\[(?:END_Q|BLANK|BAD_HANDWRITING)[^\]]*\]", "")
-    text = F.regexp_replace(text, r"(?im)^[ \t]*(?:SECTION [A-E]|\[INSTRUCTION\]:.*)[ \t]*$", "")
-    return chunk.withColumns({"is_bad_handwriting": bad, "text": F.trim(text, F.lit(" \t\r\n"))})
+    """Without END and BLANK PAGE tags and instruction or section lines; the handwriting tag becomes a column."""
+    bad = F.contains("text", F.lit("[BAD_HANDWRITING]"))
+    text = F.regexp_replace(F.regexp_replace("text", r"\[END_Q:[^\]]*\]|\[BAD_HANDWRITING\]", ""), r"(?i)\[BLANK[ _]PAGE\]", "")
+    printed = lambda line: line.rlike(r"(?i)^\s*section\s*[-–—]?\s*[a-e]\s*$") | line.rlike(r"(?i)^\s*\[instruction\]\s*:")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~printed(line)), "\n")
+    return chunk.withColumns({"is_bad_handwriting": bad, "text": F.trim(kept, F.lit(" \t\r\n"))})
 
 
 def orphan_text(chunk: DataFrame) -> DataFrame:

@@ -122,6 +122,20 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         ("conversations",),
         "SELECT conv_id AS sheet_id, turn AS page_no, CASE WHEN role = 'user' THEN '[START_Q: ' || (turn + 1) || ']' || chr(10) || text ELSE text END AS text FROM conversations",
     ),
+    "page_scan": (
+        ("conversations", "part"),
+        f"""SELECT sheet_id, sheet_id % {EXAMS} AS exam_id, page_no, CASE WHEN page_no % 3 = 2 THEN text
+                   WHEN (sheet_id + page_no) % 5 = 0 THEN '[INSTRUCTION]: Q2 Answer any 1 out of 3' || chr(10) || text || chr(10) || '[START_Q: ' || a || ' contd]' || chr(10) || 'SECTION A' || chr(10) || text
+                   WHEN (sheet_id + page_no) % 5 = 1 THEN '[START_Q: ' || a || ']' || text || '[START_Q: ' || b || '(a)]' || chr(10) || '[BAD_HANDWRITING] ' || text
+                   WHEN (sheet_id + page_no) % 5 = 2 THEN '[START_Q: ii]' || text || '[END_Q: 1][START_Q: Ans ' || b || ']'
+                   WHEN (sheet_id + page_no) % 5 = 3 THEN '[BLANK PAGE]' ELSE text || '[START_Q: ' || (a + 80) || ']' || text END AS text
+            FROM (SELECT conv_id AS sheet_id, CAST(turn AS INT) AS page_no, coalesce(text, '') AS text, 1 + (turn * 2 + conv_id) % 8 AS a, 1 + (turn * 3 + conv_id * 5) % 9 AS b FROM conversations) AS t""",
+    ),
+    "key_both": (
+        ("key_entry", "key_base"),
+        """SELECT exam_id, label, marks, type, answer, name, qorder FROM key_entry
+           UNION ALL SELECT exam_id, 'Q' || base AS label, marks, 'Essay' AS type, 'in all' AS answer, 'whole' AS name, p0 AS qorder FROM key_base WHERE exam_id % 3 = 0""",
+    ),
     "price": ((), "SELECT 'small' AS model, CAST(0.1 AS DOUBLE) AS price_in, CAST(0.4 AS DOUBLE) AS price_out UNION ALL SELECT 'medium', 0.3, 2.5 UNION ALL SELECT 'large', 1.25, 5.0"),
 }
 
