@@ -1,3 +1,3 @@
 """Queries register themselves when their modules are imported."""
 
-from . import merge_queries, more_queries, queries  # noqa: F401
+from . import merge_queries, more_queries, queries, recovery_queries  # noqa: F401

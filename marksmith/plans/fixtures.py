@@ -131,6 +131,26 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                    WHEN (sheet_id + page_no) % 5 = 3 THEN '[BLANK PAGE]' ELSE text || '[START_Q: ' || (a + 80) || ']' || text END AS text
             FROM (SELECT conv_id AS sheet_id, CAST(turn AS INT) AS page_no, coalesce(text, '') AS text, 1 + (turn * 2 + conv_id) % 8 AS a, 1 + (turn * 3 + conv_id * 5) % 9 AS b FROM conversations) AS t""",
     ),
+    "page_turned": (
+        ("page_scan", "conversations"),
+        """SELECT p.sheet_id, exam_id, p.page_no, rotation, (p.sheet_id + p.page_no) % 6 = 0 AS wide,
+                  CASE WHEN rotation = 0 AND (p.sheet_id + p.page_no) % 4 = 0 THEN '[START_Q: ' || (80 + p.page_no % 9) || '] ' || chr(10) || substr(text, 1, 3) || ' | ~ /'
+                       WHEN rotation = (90 * ((p.sheet_id + p.page_no) % 4)) THEN text || ' [START_Q: ' || (1 + p.page_no % 7) || ']' WHEN rotation = 0 THEN text ELSE substr(text, 1, 40) || ' = = |' END AS text
+           FROM page_scan AS p CROSS JOIN (SELECT 0 AS rotation UNION ALL SELECT 90 UNION ALL SELECT 180 UNION ALL SELECT 270) AS turns""",
+    ),
+    "header": (
+        ("orders",),
+        """SELECT o_orderkey AS sheet_id, CASE o_orderkey % 4 WHEN 0 THEN 'School of Arts' ELSE 'Student Name: <Ann ' || o_custkey || '>' END || chr(10) || 'CLASS: X' || o_orderkey % 3 || chr(10) || 'Roll No: ' || o_custkey || chr(10) ||
+                  'Date: 1/2/' || (2000 + o_orderkey % 25) || chr(10) || CASE WHEN o_orderkey % 5 = 0 THEN 'Max Marks: ' ELSE 'Marks: 80' END || chr(10) || 'Academic Year: [2024]' || CASE WHEN o_orderkey % 6 = 0 THEN chr(10) || 'name: Bob' ELSE '' END AS text FROM orders""",
+    ),
+    "glued_answer": (
+        ("lineitem", "part"),
+        f"""SELECT l_orderkey AS sheet_id, l_orderkey % {EXAMS} AS exam_id, CAST(l_linenumber AS INT) AS base,
+                   CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN 'A' || l_linenumber || '. (d) one' || chr(10) || 'A' || (l_linenumber + 1) || '. (b) two' || chr(10) || 'A' || (l_linenumber + 2) || '. (c) three' || chr(10) || '[DIAGRAM: x]'
+                        WHEN 1 THEN '(iii) late part' || chr(10) || '(a) own beginning' WHEN 2 THEN 'own text' || chr(10) || 'Q.' || (l_linenumber + 1) || ' buried text' || chr(10) || '12.' || chr(10) || 'rest'
+                        WHEN 3 THEN ' ' WHEN 4 THEN '12.5.2024' || chr(10) || 'Q1 = 4 C' || chr(10) || 'A11 = -2' || chr(10) || 'Ans ' || (l_linenumber + 2) || ') more' ELSE 'plain answer' END AS answer
+            FROM lineitem""",
+    ),
     "key_both": (
         ("key_entry", "key_base"),
         """SELECT exam_id, label, marks, type, answer, name, qorder FROM key_entry

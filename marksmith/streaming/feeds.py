@@ -34,3 +34,23 @@ def progress_stream(spark: SparkSession, path: str) -> DataFrame:
     """Finished and failed sheets of each batch; the counts only rise, whatever the order of completion."""
     done = _lines(spark, path, PROGRESS)
     return done.groupBy("batch_id").agg(F.count(F.lit(1)).alias("finished"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def archive_stream(spark: SparkSession, path: str, schema: str, index_path: str, every: str = "300 seconds"):
+    """A writer that archives each new or changed run of the JSON snapshots below ``path`` (run_id, content, archived_at).
+
+    A run whose content the index has already is passed over; another gets the next version. The index is appended to in
+    one write a batch, and rows that a repeated batch would bring again are the ones passed over, so a failed batch is
+    simply tried again. Call start() on the result.
+    """
+    from ..operators.reports import next_versions
+
+    def archive(batch: DataFrame, _: int) -> None:
+        session = batch.sparkSession
+        last = batch.groupBy("run_id").agg(F.max_by(F.struct("content", "archived_at"), "archived_at").alias("r")).select("run_id", "r.content", "r.archived_at")
+        known = session.read.schema("run_id LONG, content_hash STRING, version INT, archived_at STRING").parquet(index_path)
+        latest = known.groupBy("run_id").agg(F.max_by(F.struct("content_hash", "version"), "version").alias("l")).select("run_id", "l.content_hash", "l.version")
+        new = next_versions(last.select("run_id", "content"), latest).join(last.select("run_id", "archived_at"), "run_id")
+        new.select("run_id", "content_hash", F.col("version").cast("int").alias("version"), "archived_at").write.mode("append").parquet(index_path)
+
+    return spark.readStream.schema(schema).json(path).writeStream.trigger(processingTime=every).foreachBatch(archive)
