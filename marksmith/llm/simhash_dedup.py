@@ -10,12 +10,15 @@ point has at most 65 classes around it, so either way is linear in the rows, and
 ``drop_near_duplicates`` serves a similarity (Jaccard, of shingles of five words): its fingerprints have
 as many blocks as find a pair of that similarity with probability ``RECALL``, each block's width growing
 with the logarithm of the number of texts, so that the expected candidates of a row stay constant.
-Candidates are all pairs that share a block and are not tied yet; they are verified by the Hamming distance of the whole fingerprint, and where
-that lies within ``UNSURE`` standard deviations of the limit, by the exact similarity of the two texts.
+Candidates are all pairs that share a block and are not tied yet, however many share it; they are verified by
+the Hamming distance of the whole fingerprint, and where that lies within ``UNSURE`` standard deviations of the
+limit, by the exact similarity of the two texts.
 
 Defined results: null and empty texts, and those of white space alone, have the fingerprint zero and are
 linked like any other. A text of fewer words than a shingle is one shingle. Rows without id are linked to
-nothing and have no component. An empty table gives an empty table.
+nothing and have no component. Rows that repeat an id with different texts have fingerprints of their own;
+classes of texts whose smallest id is the same are linked by it. Texts may be of any length. An empty table
+gives an empty table. Only the id and the text are read, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -244,7 +247,7 @@ def open_pairs(ties: np.ndarray, fps: np.ndarray, apart: np.ndarray, limits: lis
 
 
 def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, similarity: float) -> DataFrame:
-    """(u, v) of classes (node, fp, tie) not tied yet that share a block's key with more than ``neighbours`` others.
+    """(u, v, d) of classes (node, fp, tie) not tied yet that share a block's key with more than ``neighbours`` others, and their distance.
 
     All pairs of such a key are compared, but those of one tie. A key's rows are cut, in the order of
     their ties, into parts of at most ``PART_ROWS``, and two parts (or one with itself) make a task.
@@ -262,13 +265,13 @@ def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, s
     members = rows.join(wanted, ["key", "part"]).join(classes.select("node", "fp"), "node")
     dealt = members.select("key", "a", "b", "part", "tie", "node", "fp").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "tie", "node")
 
-    def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         nodes, ties, parts = (group.column(c).to_numpy() for c in ("node", "tie", "part"))
         fps = np.frombuffer(b"".join(group.column("fp").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
         n_bits = 8 * fps.shape[1]
         fps = np.pad(fps, ((0, 0), (0, -fps.shape[1] % 8))).view(np.uint64)
         for i, j in open_pairs(ties, fps, parts, [(CHECK_WORDS, most_bits(64 * CHECK_WORDS, similarity, ROUGH)), (fps.shape[1], most_bits(n_bits, similarity, UNSURE))]):
-            yield nodes[i], nodes[j]
+            yield nodes[i], nodes[j], np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last group goes on in the next batch
@@ -280,9 +283,9 @@ def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, s
                 if end is None:
                     held[:] = rows.slice(begin).to_batches()
                     return
-                for u, v in pairs_of(rows.slice(begin, end - begin)):
+                for u, v, d in pairs_of(rows.slice(begin, end - begin)):
                     if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(u, type=pa.int64()), pa.array(v, type=pa.int64())], names=["u", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(u, type=pa.int64()), pa.array(v, type=pa.int64()), pa.array(d, type=pa.int32())], names=["u", "v", "d"])
             held.clear()
 
         for batch in batches:
@@ -294,11 +297,11 @@ def crowded_pairs(classes: DataFrame, bits: int, blocks: int, neighbours: int, s
         if held:
             yield from settled(pa.Table.from_batches(held), True)
 
-    return dealt.mapInArrow(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return dealt.mapInArrow(compare, "u long, v long, d int").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct()
 
 
-def verified_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_bits: int, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose texts, in ``docs``, are as similar as asked: by their distance or, near the limit, exactly."""
+def measured_pairs(pairs: DataFrame, classes: DataFrame, n_bits: int, similarity: float) -> DataFrame:
+    """``pairs`` (u, v) with the distance d of their whole fingerprints, those left out that are too far apart."""
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -309,12 +312,14 @@ def verified_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_bits
     paired = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     wanted = written(classes.select("node", "fp").join(paired, "node", "left_semi"), "paired")
     left, right = (wanted.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
-    share = differing_share(similarity)
-    middle, width = n_bits * share, UNSURE * math.sqrt(n_bits * share * (1 - share))
-    measured = pairs.join(left, "u").join(right, "v").select("u", "v", distance("a", "b").alias("d")).where(F.col("d") <= middle + width)
-    near = written(measured, "near")
-    unsure = near.where(F.col("d") >= middle - width).select("u", "v")
-    return near.where(F.col("d") < middle - width).select("u", "v").unionByName(exactly_similar(unsure, docs, words, similarity))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", distance("a", "b").alias("d")).where(F.col("d") <= most_bits(n_bits, similarity, UNSURE))
+
+
+def verified_pairs(measured: DataFrame, docs: DataFrame, n_bits: int, words: int, similarity: float) -> DataFrame:
+    """Those of ``measured`` (u, v, d) whose texts, in ``docs``, are as similar as asked: by their distance or, near the limit, exactly."""
+    near, sure = written(measured, "near"), most_bits(n_bits, similarity, -UNSURE)
+    unsure = near.where(F.col("d") >= sure).select("u", "v")
+    return near.where(F.col("d") < sure).select("u", "v").unionByName(exactly_similar(unsure, docs, words, similarity))
 
 
 def similar_components(classes: DataFrame, docs: DataFrame, bits: int, blocks: int, words: int, similarity: float) -> DataFrame:
@@ -329,12 +334,13 @@ def similar_components(classes: DataFrame, docs: DataFrame, bits: int, blocks: i
     n_bits = fingerprint_bits(bits, blocks)
     few = min(FIRST_BLOCKS, blocks)
     chained = candidate_pairs(classes.withColumn("tie", F.lit(None).cast("long")), bits, few, 1, similarity)
-    tied = components(verified_pairs(chained, classes, docs, n_bits, words, similarity)).select("node", F.col("component").alias("tie"))
+    verify = lambda measured: verified_pairs(measured, docs, n_bits, words, similarity)
+    tied = components(verify(measured_pairs(chained, classes, n_bits, similarity))).select("node", F.col("component").alias("tie"))
     rest = candidate_pairs(classes.join(tied, "node", "left"), bits, blocks, NEIGHBOURS, similarity)
-    found = verified_pairs(rest, classes, docs, n_bits, words, similarity)
+    found = verify(measured_pairs(rest, classes, n_bits, similarity))
     known = components(found.unionByName(tied.select(F.col("node").alias("u"), F.col("tie").alias("v"))))
     reached = classes.join(known, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("tie"))
-    more = verified_pairs(crowded_pairs(reached, bits, blocks, NEIGHBOURS, similarity), classes, docs, n_bits, words, similarity)
+    more = verify(crowded_pairs(reached, bits, blocks, NEIGHBOURS, similarity))
     return components(more.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
