@@ -78,6 +78,26 @@ def timing_by_stage(timing: DataFrame) -> DataFrame:
     return timing.rollup("run_id", "stage").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("times")).where("run_id IS NOT NULL")
 
 
+def stage_overlap(timing: DataFrame, wall: DataFrame) -> DataFrame:
+    """Per run the stages' seconds in all, its wall time (run_id, wall), and how much of the stages ran beside each other."""
+    total = timing.groupBy("run_id").agg(F.sum("seconds").alias("stages"))
+    return total.join(wall, "run_id").select("run_id", "stages", "wall", F.greatest(F.col("stages") - F.col("wall"), F.lit(0.0)).alias("overlap"))
+
+
+def batch_totals(summary: DataFrame) -> DataFrame:
+    """All sheets of a batch (batch_summary's rows with batch_id) together: how many, how many failed, marks and cost."""
+    return summary.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("sheets"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("awarded").alias("awarded"), F.sum("maximum").alias("maximum"), F.sum("cost").alias("cost")
+    )
+
+
+def run_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
+    """How well two runs over the same questions (sheet_id, base, mark) agree: questions, share of equal marks, mean difference."""
+    off = F.col("mark") - F.col("other")
+    both = first.select("sheet_id", "base", "mark").join(second.select("sheet_id", "base", F.col("mark").alias("other")), ["sheet_id", "base"])
+    return both.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg((off == 0).cast("double")), 6).alias("equal"), F.round(F.avg(F.abs(off)), 6).alias("drift"))
+
+
 def agreement(result: DataFrame, teacher: DataFrame, by: str) -> DataFrame:
     """Per ``by``: questions, both totals, mean absolute error and share of equal marks (sheet_id, base; mark, teacher_mark)."""
     off = F.abs(F.col("mark") - F.col("teacher_mark"))

@@ -32,9 +32,11 @@ def strip_boilerplate(page_text: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def with_lookahead(page_text: DataFrame, n: int = 1200) -> DataFrame:
-    """Each page that isn't empty, with the first ``n`` characters of the next such page."""
-    pages = Window.partitionBy("doc").orderBy("page")
-    return page_text.where(F.trim("text") != "").withColumn("lookahead", F.coalesce(F.substring(F.lead("text").over(pages), 1, n), F.lit("")))
+    """(doc, page, lookahead): each page that isn't empty, with the first ``n`` characters of the next such page.
+
+    Only those first characters are moved, and a document's pages are dealt by runs of page numbers.
+    """
+    return _next_heads(page_text.where(F.trim("text") != "").select("doc", "page", F.substring("text", 1, n).alias("head")))
 
 
 def clean_lookahead(page_text: DataFrame, n: int = 1200, span: int = 4096) -> DataFrame:
@@ -44,7 +46,12 @@ def clean_lookahead(page_text: DataFrame, n: int = 1200, span: int = 4096) -> Da
     the last page of a run takes the first of the document's next one.
     """
     clean = strip_boilerplate(page_text, boilerplate_lines(page_text)).where("text <> ''")
-    heads = clean.select("doc", "page", F.floor(F.col("page") / span).alias("run"), F.substring("text", 1, n).alias("head"))
+    return _next_heads(clean.select("doc", "page", F.substring("text", 1, n).alias("head")), span)
+
+
+def _next_heads(heads: DataFrame, span: int = 4096) -> DataFrame:
+    """(doc, page, lookahead): the head of a document's next page; the last page of a run takes the first of the next run."""
+    heads = heads.withColumn("run", F.floor(F.col("page") / span))
     firsts = heads.groupBy("doc", "run").agg(F.min_by("head", "page").alias("head"))
     behind = firsts.select("doc", "run", F.lead("head").over(Window.partitionBy("doc").orderBy("run")).alias("behind"))
     inside = heads.withColumn("lookahead", F.lead("head").over(Window.partitionBy("doc", "run").orderBy("page")))

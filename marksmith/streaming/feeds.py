@@ -9,6 +9,7 @@ from ..operators.reports import price_calls
 from ..sources.files import COST
 
 DECISION = "review_id LONG, base INT, seq LONG, decision STRING, corrected_marks DOUBLE"
+INDEX = "run_id LONG, content_hash STRING, version INT, archived_at STRING"
 PROGRESS = "batch_id STRING, sheet_no INT, status STRING"
 
 
@@ -48,7 +49,7 @@ def archive_stream(spark: SparkSession, path: str, schema: str, index_path: str,
     def archive(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
         last = batch.groupBy("run_id").agg(F.max_by(F.struct("content", "archived_at"), "archived_at").alias("r")).select("run_id", "r.content", "r.archived_at")
-        known = session.read.schema("run_id LONG, content_hash STRING, version INT, archived_at STRING").parquet(index_path)
+        known = session.read.schema(INDEX).parquet(index_path)
         latest = known.groupBy("run_id").agg(F.max_by(F.struct("content_hash", "version"), "version").alias("l")).select("run_id", "l.content_hash", "l.version")
         new = next_versions(last.select("run_id", "content"), latest).join(last.select("run_id", "archived_at"), "run_id")
         new.select("run_id", "content_hash", F.col("version").cast("int").alias("version"), "archived_at").write.mode("append").parquet(index_path)
