@@ -33,13 +33,13 @@ def expected_by_base(key: DataFrame, chars: int = 800) -> DataFrame:
     return key.groupBy("exam_id", "base").agg(F.substring(F.array_join(ordered, "\n"), 1, chars).alias("expected"))
 
 
-def tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
 
 
 def _exam_targets(expected: DataFrame) -> DataFrame:
-    """(exam_id, targets, wanted): an exam's targets with their tokens, and all those tokens."""
-    each = expected.select("exam_id", F.struct(F.col("base").alias("target"), tokens(F.col("expected")).alias("want")).alias("t"))
+    """(exam_id, targets, wanted): an exam's targets with their distinct tokens, and all those tokens."""
+    each = expected.select("exam_id", F.struct(F.col("base").alias("target"), F.array_distinct(words(F.col("expected"))).alias("want")).alias("t"))
     by_exam = each.groupBy("exam_id").agg(F.collect_list("t").alias("targets"))
     return by_exam.withColumn("wanted", F.array_distinct(F.flatten(F.transform("targets", lambda t: t["want"]))))
 
@@ -48,15 +48,14 @@ def _share(t: Column, have: Column) -> Column:
     return F.when(F.size(t["want"]) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t["want"], have)) / F.size(t["want"]))
 
 
-def _with_hits(answer: DataFrame, expected: DataFrame) -> DataFrame:
-    """Answers with text, their exam's targets, and those tokens of an answer that any target wants: it is tokenised once."""
-    asked = answer.where(F.trim("answer") != "").join(_exam_targets(expected), "exam_id")
-    return asked.withColumn("hits", F.array_intersect("wanted", tokens(F.col("answer"))))
-
-
 def key_affinity(answer: DataFrame, expected: DataFrame) -> DataFrame:
-    """(sheet_id, base, target, affinity): share of each expected text's tokens that an answer of the exam holds."""
-    rows = _with_hits(answer, expected).select("sheet_id", "base", "hits", F.explode("targets").alias("t"))
+    """(sheet_id, base, target, affinity): share of each expected text's tokens that an answer of the exam holds.
+
+    An answer is tokenised once, and only those of its tokens that some target wants go on.
+    """
+    asked = answer.where(F.trim("answer") != "").join(_exam_targets(expected), "exam_id")
+    hit = asked.select("sheet_id", "base", F.array_intersect("wanted", words(F.col("answer"))).alias("hits"), "targets")
+    rows = hit.select("sheet_id", "base", "hits", F.explode("targets").alias("t"))  # behind hits, or they would be found anew for each target
     return rows.select("sheet_id", "base", F.col("t.target").alias("target"), _share(F.col("t"), F.col("hits")).alias("affinity"))
 
 
@@ -66,15 +65,16 @@ def offtopic_hosts(answer: DataFrame, expected: DataFrame, gaps: DataFrame, cros
     Only sheets with gaps are looked at, and an answer is held against the gaps and its own question alone.
     """
     blanks = gaps.groupBy("sheet_id").agg(F.collect_set("base").alias("blanks"))
-    rows = _with_hits(answer.join(blanks, "sheet_id"), expected)
+    asked = answer.where(F.trim("answer") != "").join(_exam_targets(expected), "exam_id").join(blanks, "sheet_id")
     wanted = F.filter("targets", lambda t: F.array_contains("blanks", t["target"]) | (t["target"] == F.col("base")))
-    scored = F.transform(wanted, lambda t: F.struct(_share(t, F.col("hits")).alias("affinity"), (-t["target"]).alias("t")))
-    scored_rows = rows.select("sheet_id", "base", "blanks", scored.alias("s"))
-    best = F.array_max(F.filter("s", lambda x: F.array_contains("blanks", -x["t"])))
-    own = F.coalesce(F.get(F.filter("s", lambda x: x["t"] == -F.col("base")), F.lit(0))["affinity"], F.lit(0.0))
-    hosts = scored_rows.select("sheet_id", "base", best.alias("b"), own.alias("own")).where("b IS NOT NULL").select(
-        "sheet_id", "base", (-F.col("b.t")).alias("target"), F.col("b.affinity").alias("affinity"), (F.col("b.affinity") - F.col("own")).alias("margin")
+    hit = asked.select("sheet_id", "base", "blanks", F.array_intersect("wanted", words(F.col("answer"))).alias("hits"), wanted.alias("targets"))
+    rows = hit.select("sheet_id", "base", "blanks", "hits", F.explode("targets").alias("t"))
+    scored = rows.select("sheet_id", "base", F.col("t.target").alias("target"), F.array_contains("blanks", F.col("t.target")).alias("blank"), _share(F.col("t"), F.col("hits")).alias("affinity"))
+    fits = F.struct("affinity", (-F.col("target")).alias("t"))
+    best = scored.groupBy("sheet_id", "base").agg(
+        F.max(F.when(F.col("blank"), fits)).alias("b"), F.coalesce(F.max(F.when(F.col("target") == F.col("base"), F.col("affinity"))), F.lit(0.0)).alias("own")
     )
+    hosts = best.where("b IS NOT NULL").select("sheet_id", "base", (-F.col("b.t")).alias("target"), F.col("b.affinity").alias("affinity"), (F.col("b.affinity") - F.col("own")).alias("margin"))
     rank = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("margin"), "base"))
     return hosts.where((F.col("affinity") >= cross) & (F.col("margin") >= margin)).withColumn("rank", rank)
 
