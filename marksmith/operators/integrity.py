@@ -16,8 +16,11 @@ def canonical_key(key_entry: DataFrame) -> DataFrame:
     return with_qid(key_entry, "label").withColumn("marks", F.coalesce(F.col("marks").try_cast("double"), F.lit(0.0)))
 
 
-def check_entries(entry: DataFrame) -> DataFrame:
-    """Missing marks (an error from half of the entries on) and marks off the half-mark grid: exam_id, severity, code, n."""
+def check_entries(entry: DataFrame, exams: DataFrame | None = None) -> DataFrame:
+    """Missing marks (an error from half of the entries on) and marks off the half-mark grid: exam_id, severity, code, n.
+
+    Of ``exams`` (exam_id), if given, those without any entry are an error.
+    """
     usable = F.coalesce(F.col("marks").try_cast("double"), F.lit(0.0))
     found = entry.groupBy("exam_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(usable <= 0).alias("missing"), F.count_if((usable > 0) & ~is_valid_mark(usable)).alias("off_grid")
@@ -26,7 +29,11 @@ def check_entries(entry: DataFrame) -> DataFrame:
         F.struct(F.when(F.col("missing") * 2 >= F.col("total"), "error").otherwise("warning").alias("severity"), F.lit("marks_missing").alias("code"), F.col("missing").alias("n")),
         F.struct(F.lit("warning").alias("severity"), F.lit("marks_off_grid").alias("code"), F.col("off_grid").alias("n")),
     )
-    return found.select("exam_id", F.inline(rows)).where("n > 0")
+    issues = found.select("exam_id", F.inline(rows)).where("n > 0")
+    if exams is None:
+        return issues
+    empty = exams.select("exam_id").distinct().join(entry, "exam_id", "left_anti")
+    return issues.unionByName(empty.select("exam_id", F.lit("error").alias("severity"), F.lit("no_questions").alias("code"), F.lit(0).cast("long").alias("n")))
 
 
 def paper_marks(paper_entry: DataFrame) -> DataFrame:
@@ -197,6 +204,13 @@ def reconcile_marks(key: DataFrame, paper: DataFrame, modes: DataFrame) -> DataF
     )
 
 
+def reconcile_summary(reconciled: DataFrame) -> DataFrame:
+    """Per exam the key's total before and after reconciliation, and how many entries were adjusted, injected and flagged."""
+    return reconciled.groupBy("exam_id").agg(
+        F.sum("old_marks").alias("total_before"), F.sum("marks").alias("total_after"), *[F.count_if(F.col("action") == a).alias(a) for a in ("adjusted", "injected", "flagged")]
+    )
+
+
 def choices_or_detect(sidecar: DataFrame, detected: DataFrame) -> DataFrame:
     """Groups (exam_id, base): an exam's own where it has any, else the detected ones, which are uncertain."""
     own = sidecar.select("exam_id", "base").distinct()

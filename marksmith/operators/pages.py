@@ -27,6 +27,14 @@ def bands(page_anchor: DataFrame, bottom: int = 1000) -> DataFrame:
     return page_anchor.select("sheet_id", "page_no", "base", F.col("y").alias("top"), F.coalesce(F.lead("y").over(down), F.lit(bottom)).alias("bottom"))
 
 
+def continuation_bands(page_anchor: DataFrame, continuing: DataFrame, bottom: int = 1000) -> DataFrame:
+    """Bands of a page's anchors, and above the first the one of the question (sheet_id, page_no, base) that goes on there, the first of several."""
+    first = page_anchor.groupBy("sheet_id", "page_no").agg(F.min("y").alias("y"))
+    goes_on = continuing.groupBy("sheet_id", "page_no").agg(F.min("base").alias("base")).join(first, ["sheet_id", "page_no"], "left")
+    above = goes_on.select("sheet_id", "page_no", "base", F.lit(0).alias("top"), F.coalesce("y", F.lit(bottom)).alias("bottom"))
+    return above.unionByName(bands(page_anchor, bottom))
+
+
 def diagram_pages(answer: DataFrame, page_question: DataFrame, most: int = 4) -> DataFrame:
     """The first pages of each question whose answer has a diagram."""
     drawn = answer.where(F.contains("answer", F.lit("[DIAGRAM:"))).select("sheet_id", "base")

@@ -79,11 +79,18 @@ def offtopic_hosts(answer: DataFrame, expected: DataFrame, gaps: DataFrame, cros
     return hosts.where((F.col("affinity") >= cross) & (F.col("margin") >= margin)).withColumn("rank", rank)
 
 
-def commit_reread(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per sheet: whether a re-read is rejected, because some answer (sheet_id, base, answer) got shorter, and the questions that grew, if not."""
+def commit_reread(before: DataFrame, after: DataFrame, targeted: DataFrame | None = None) -> DataFrame:
+    """Per sheet: whether a re-read is rejected, because some answer (sheet_id, base, answer) got shorter, and the questions that grew, if not.
+
+    Of ``targeted`` (sheet_id, base), if given, only those are named.
+    """
     was, now = (F.coalesce(F.length(c), F.lit(0)) for c in ("was", "now"))
     both = before.select("sheet_id", "base", F.col("answer").alias("was")).join(after.select("sheet_id", "base", F.col("answer").alias("now")), ["sheet_id", "base"], "full")
-    grown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(now > was, F.col("base")))), lambda b: b.cast("string")), ",")
+    named = F.lit(True)
+    if targeted is not None:
+        both = both.join(targeted.select("sheet_id", "base", F.lit(True).alias("wanted")).distinct(), ["sheet_id", "base"], "left")
+        named = F.coalesce("wanted", F.lit(False))
+    grown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((now > was) & named, F.col("base")))), lambda b: b.cast("string")), ",")
     found = both.groupBy("sheet_id").agg(F.bool_or(now < was).alias("rejected"), grown.alias("grown"))
     return found.withColumn("grown", F.when(F.col("rejected"), "").otherwise(F.col("grown")))
 

@@ -73,6 +73,12 @@ def pending_by_hash(found: DataFrame, cache: DataFrame, version: str, model: str
     return found.withColumn("cache_key", key).join(cache, "cache_key", "left_anti")
 
 
+def hits_by_hash(found: DataFrame, cache: DataFrame, version: str, model: str) -> DataFrame:
+    """Texts (id, text) that the cache (cache_key, parsed) has, with what was parsed from them."""
+    key = F.sha2(F.concat_ws("\0", F.lit(version), F.lit(model), F.col("text")), 256)
+    return found.withColumn("cache_key", key).join(cache, "cache_key")
+
+
 def timing_by_stage(timing: DataFrame) -> DataFrame:
     """Seconds per run and stage; with a null stage, all stages of a run."""
     return timing.rollup("run_id", "stage").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("times")).where("run_id IS NOT NULL")

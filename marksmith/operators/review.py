@@ -42,8 +42,11 @@ def derive_flags(result: DataFrame, conditions: dict) -> DataFrame:
 
 
 def summarise_flags(result_flag: DataFrame, key: str) -> DataFrame:
-    """Per ``key`` and code: how many questions, the rank, the smallest and largest question."""
-    return result_flag.groupBy(key, "code").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), F.min("base").alias("first_base"), F.max("base").alias("last_base"))
+    """Per ``key`` and code: how many flags, the rank, the smallest and largest question, and each question once, in order."""
+    bases = F.array_join(F.array_sort(F.collect_set("base")).cast("array<string>"), ",")
+    return result_flag.groupBy(key, "code").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), F.min("base").alias("first_base"), F.max("base").alias("last_base"), bases.alias("bases")
+    )
 
 
 def last_decisions(decision: DataFrame) -> DataFrame:
@@ -64,9 +67,14 @@ def review_totals(applied: DataFrame) -> DataFrame:
     )
 
 
+def rejected_rows(applied: DataFrame) -> DataFrame:
+    """The rows that a teacher rejected: review_id, base, the machine's mark and the teacher's."""
+    return applied.where("rejected").select("review_id", "base", "machine_mark", F.col("mark").alias("teacher_mark"))
+
+
 def review_progress(result: DataFrame) -> DataFrame:
     return result.groupBy("sheet_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("needs_review") & ~F.col("bad_handwriting")).alias("needs_review"), F.count_if("injection").alias("injection")
+        F.count(F.lit(1)).alias("total"), F.count_if("reviewed").alias("reviewed"), F.count_if(F.col("needs_review") & ~F.col("bad_handwriting")).alias("needs_review"), F.count_if("injection").alias("injection")
     )
 
 

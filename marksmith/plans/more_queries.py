@@ -183,6 +183,37 @@ def g3(page_question):
     return pages.bands(page_question.withColumn("y", F.expr("40 + 100 * base")))
 
 
+@query(
+    "g3_continuation_bands",
+    ("page_question",),
+    """WITH r AS (SELECT *, page_no = min(page_no) OVER (PARTITION BY sheet_id, base) AS starts FROM page_question), a AS (SELECT sheet_id, page_no, base, 40 + 100 * base AS top FROM r WHERE starts),
+    f AS (SELECT sheet_id, page_no, min(top) AS y FROM a GROUP BY 1, 2), c AS (SELECT sheet_id, page_no, min(base) AS base FROM r WHERE NOT starts GROUP BY 1, 2)
+    SELECT sheet_id, page_no, base, top, coalesce(lead(top) OVER (PARTITION BY sheet_id, page_no ORDER BY base), 1000) AS bottom FROM a
+    UNION ALL SELECT sheet_id, page_no, base, 0, coalesce(y, 1000) FROM c LEFT JOIN f USING (sheet_id, page_no)""",
+)
+def g3_continuation(page_question):
+    roles = pages.page_roles(page_question)
+    return pages.continuation_bands(roles.where("role = 'start'").withColumn("y", F.expr("40 + 100 * base")), roles.where("role = 'continuation'"))
+
+
+@query(
+    "a12_hits",
+    ("page_text",),
+    "SELECT t.page, length(coalesce(t.text, '')) AS parsed FROM page_text t WHERE EXISTS (SELECT 1 FROM page_text c WHERE c.page % 3 = 0 AND coalesce(c.text, '') = coalesce(t.text, ''))",
+)
+def a12_hits(page_text):
+    found = page_text.select("page", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.sha2(F.concat_ws("\0", F.lit("1"), F.lit("large"), F.col("text")), 256)
+    cache = found.where("page % 3 = 0").groupBy(key.alias("cache_key")).agg(F.max(F.length("text")).alias("parsed"))
+    return reports.hits_by_hash(found, cache, "1", "large").select("page", "parsed")
+
+
+@query("c20_targeted_reread", ("answer",), "SELECT sheet_id, FALSE AS rejected, coalesce(string_agg(CAST(base AS VARCHAR), ',' ORDER BY base) FILTER (WHERE base % 2 = 0 AND base % 3 = 0), '') AS grown FROM answer GROUP BY 1")
+def c20_targeted(answer):
+    again = F.when(F.expr("base % 2 = 0"), F.concat(F.coalesce("answer", F.lit("")), F.lit(" more"))).otherwise(F.coalesce("answer", F.lit("")))
+    return recovery.commit_reread(answer, answer.withColumn("answer", again), answer.where("base % 3 = 0").select("sheet_id", "base"))
+
+
 @query("h5_working_copy", ("result",), f"WITH {_MARKED} SELECT sheet_id AS run_id, base, CASE WHEN sheet_id % 4 = 0 AND base % 2 = 0 THEN marks_max ELSE mark END AS mark, mark AS machine_mark FROM marked m WHERE sheet_id % 4 <> 0 OR base % 2 = 0 OR NOT EXISTS (SELECT 1 FROM marked o WHERE o.sheet_id = m.sheet_id AND o.base % 2 = 0)")
 def h5(result):
     marked = _marked(result).withColumnRenamed("sheet_id", "run_id")

@@ -162,17 +162,16 @@ def e16(key_entry, paper_entry):
     return integrity.overlay_questions(integrity.canonical_key(key_entry), paper_entry).select("exam_id", "qid", "question")
 
 
-@query(
-    "e22_reconcile_marks",
-    ("key_mixed", "paper_entry"),
-    f"""WITH {_KEY_MIXED}, {_PAPER}, pm AS (SELECT exam_id, base, max(marks) AS paper FROM p GROUP BY 1, 2),
+ORACLE_E22 = f"""WITH {_KEY_MIXED}, {_PAPER}, pm AS (SELECT exam_id, base, max(marks) AS paper FROM p GROUP BY 1, 2),
     e AS (SELECT exam_id, qid, base, marks, count(*) OVER w AS n, sum(marks) OVER w AS total FROM key WINDOW w AS (PARTITION BY exam_id, base)),
     j AS (SELECT exam_id, base, qid, marks, n, total, paper, CASE exam_id % 3 WHEN 0 THEN 'raise' WHEN 1 THEN 'align_to_paper' ELSE 'trust_key' END AS mode FROM e FULL JOIN pm USING (exam_id, base)),
     a AS (SELECT *, CASE WHEN mode = 'trust_key' THEN CASE WHEN qid IS NOT NULL THEN 'unchanged' END WHEN qid IS NULL THEN 'injected' WHEN paper IS NULL THEN 'flagged'
                          WHEN paper - total > 1e-6 THEN CASE WHEN n = 1 THEN 'adjusted' ELSE 'flagged' END
                          WHEN total - paper > 1e-6 THEN CASE WHEN n = 1 AND mode = 'align_to_paper' THEN 'adjusted' ELSE 'flagged' END ELSE 'unchanged' END AS action FROM j)
-    SELECT exam_id, coalesce(qid, 'Q' || base) AS qid, coalesce(marks, 0) AS old_marks, CASE WHEN action IN ('adjusted', 'injected') THEN paper ELSE marks END AS marks, action FROM a WHERE action IS NOT NULL""",
-)
+    SELECT exam_id, coalesce(qid, 'Q' || base) AS qid, coalesce(marks, 0) AS old_marks, CASE WHEN action IN ('adjusted', 'injected') THEN paper ELSE marks END AS marks, action FROM a WHERE action IS NOT NULL"""
+
+
+@query("e22_reconcile_marks", ("key_mixed", "paper_entry"), ORACLE_E22)
 def e22(key_mixed, paper_entry):
     key = integrity.canonical_key(key_mixed)
     mode = F.when(F.col("exam_id") % 3 == 0, "raise").when(F.col("exam_id") % 3 == 1, "align_to_paper").otherwise("trust_key")
@@ -198,6 +197,16 @@ def e22_whole(key_entry, paper_entry):
     return integrity.reconcile_marks(key, integrity.paper_marks(paper_entry), exams)
 
 
+@query(
+    "e22_reconcile_summary",
+    ("key_mixed", "paper_entry"),
+    ORACLE_E22.replace("SELECT exam_id, coalesce(qid", "SELECT exam_id, sum(old_marks) AS total_before, sum(marks) AS total_after, count(*) FILTER (WHERE action = 'adjusted') AS adjusted, count(*) FILTER (WHERE action = 'injected') AS injected, count(*) FILTER (WHERE action = 'flagged') AS flagged FROM (SELECT exam_id, coalesce(qid", 1)
+    + ") z GROUP BY 1",
+)
+def e22_summary(*tables):
+    return integrity.reconcile_summary(e22(*tables))
+
+
 _SECTION = f"{_PAPER}, s AS (SELECT p.exam_id, qid, arg_min(section_marks, from_q) AS section_marks FROM p JOIN section_map m ON p.exam_id = m.exam_id AND p.base BETWEEN from_q AND to_q GROUP BY 1, 2)"
 
 
@@ -563,20 +572,36 @@ def f25(*tables):
     return grading.pending_items(items, grading.grade_blanks(items)).select("sheet_id", "base", "marks")
 
 
-_FLAGS = f"""{_FINAL}, fl AS (SELECT sheet_id, exam_id, base, 'injection' AS code, 0 AS severity, 0 AS rank FROM fin WHERE injection
-UNION ALL SELECT sheet_id, exam_id, base, 'misplaced_answer', 1, 1002 FROM fin WHERE off_topic
-UNION ALL SELECT sheet_id, exam_id, base, 'illegible', 1, 1006 FROM fin WHERE bad_handwriting
-UNION ALL SELECT sheet_id, exam_id, base, 'marks_capped', 1, 1012 FROM fin WHERE marks_capped
-UNION ALL SELECT sheet_id, exam_id, base, 'low_confidence', 2, 2020 FROM fin WHERE confidence = 'Low' AND NOT (injection OR off_topic OR bad_handwriting OR marks_capped)
-UNION ALL SELECT sheet_id, exam_id, base, 'needs_review', 1, 1021 FROM fin WHERE answer_chars < 5 AND confidence <> 'Low' AND NOT (injection OR off_topic OR bad_handwriting OR marks_capped))"""
+@query(
+    "f25_pending_replies",
+    ("key_entry", "answer", "sheet", "result"),
+    rf"""WITH {_MATCHED} SELECT sheet_id, base FROM mm WHERE {_SAID} NOT IN ('[BLANK]', '', 'NA', 'N/A', 'NONE')
+    AND NOT (len(letters) = 1 AND coalesce(regexp_full_match(said_id, '[A-Za-z]'), FALSE) AND (id_match OR label_match OR coalesce(regexp_full_match(rght_id, '[A-Za-z]'), FALSE)))
+    AND NOT EXISTS (SELECT 1 FROM result r WHERE r.sheet_id = mm.sheet_id AND r.base = mm.base AND r.confidence = 'High')""",
+)
+def f25_replies(key_entry, answer, sheet, result):
+    items = _items(key_entry, answer, sheet)
+    sure = grading.grade_mcq(items).where("verdict <> 'defer'")
+    replied = result.where("confidence = 'High'").select("sheet_id", "base")
+    return grading.pending_items(grading.pending_items(grading.pending_items(items, grading.grade_blanks(items)), sure), replied).select("sheet_id", "base")
+
+
+#: Codes that the registered queries derive, with the fixture's condition for each.
+_CONDITIONS = {
+    "injection": "injection", "misplaced_answer": "off_topic", "illegible": "bad_handwriting", "marks_capped": "marks_capped", "no_answer_captured": "answer_chars = 0",
+    "not_in_paper": "base = 7 AND answer_chars % 4 = 1", "key_integrity": "answer_chars % 13 = 5", "ocr_symbol_uncertain": "answer_chars % 17 = 9", "ocr_ambiguous": "answer_chars % 19 = 7", "mixed_answer": "answer_chars = 21",
+    "boundary": "answer_chars = 22", "orientation": "answer_chars = 23", "optional_status": "answer_chars = 24", "uncertain_choice": "answer_chars = 25", "incomplete_reply": "answer_chars = 26", "question_number_misread": "answer_chars = 27",
+    "recovered": "answer_chars % 11 = 8", "recovered_from": "answer_chars = 12", "rehomed": "answer_chars = 13", "grading_spread": "answer_chars = 14",
+}
+_EACH_FLAG = "\nUNION ALL ".join(f"SELECT sheet_id, exam_id, base, '{k}' AS code, {review.severity(k)} AS severity, {review.rank(k)} AS rank FROM fin WHERE {c}" for k, c in _CONDITIONS.items())
+_FLAGS = f"""{_FINAL}, f0 AS ({_EACH_FLAG}),
+f1 AS (SELECT * FROM f0 UNION ALL SELECT sheet_id, exam_id, base, 'low_confidence', 2, {review.rank('low_confidence')} FROM fin WHERE confidence = 'Low' AND NOT EXISTS (SELECT 1 FROM f0 WHERE f0.sheet_id = fin.sheet_id AND f0.base = fin.base AND severity < 2)),
+fl AS (SELECT * FROM f1 UNION ALL SELECT sheet_id, exam_id, base, 'needs_review', 1, {review.rank('needs_review')} FROM fin WHERE answer_chars < 5 AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.sheet_id = fin.sheet_id AND f1.base = fin.base))"""
 
 
 def _flags(result):
-    c = F.col
-    return review.derive_flags(
-        grading.finalize(result),
-        {"injection": c("injection"), "misplaced_answer": c("off_topic"), "illegible": c("bad_handwriting"), "marks_capped": c("marks_capped"), "low_confidence": c("confidence") == "Low", "needs_review": c("answer_chars") < 5},
-    )
+    conditions = {k: F.expr(c) for k, c in _CONDITIONS.items()}
+    return review.derive_flags(grading.finalize(result), conditions | {"low_confidence": F.col("confidence") == "Low", "needs_review": F.col("answer_chars") < 5})
 
 
 @query("h1_derive_flags", ("result",), f"WITH {_FLAGS} SELECT * FROM fl")
@@ -584,7 +609,7 @@ def h1(result):
     return _flags(result)
 
 
-@query("h3_summarise_flags", ("result",), f"WITH {_FLAGS} SELECT exam_id, code, count(*) AS n, min(rank) AS rank, min(base) AS first_base, max(base) AS last_base FROM fl GROUP BY 1, 2")
+@query("h3_summarise_flags", ("result",), f"WITH {_FLAGS} SELECT exam_id, code, count(*) AS n, min(rank) AS rank, min(base) AS first_base, max(base) AS last_base, array_to_string(list_sort(list(DISTINCT base)), ',') AS bases FROM fl GROUP BY 1, 2")
 def h3(result):
     return review.summarise_flags(_flags(result), "exam_id")
 
@@ -623,13 +648,20 @@ def h7_totals(result, decision):
     return review.review_totals(_applied(result, decision))
 
 
+@query("h7_rejected_rows", ("result", "decision"), f"WITH {_APPLIED} SELECT review_id, base, machine_mark, mark AS teacher_mark FROM ap WHERE rejected")
+def h7_rejected(result, decision):
+    return review.rejected_rows(_applied(result, decision))
+
+
 @query(
     "h9_review_progress",
-    ("result",),
-    f"WITH {_FINAL} SELECT sheet_id, count(*) AS total, count(*) FILTER (WHERE needs_review AND NOT bad_handwriting) AS needs_review, count(*) FILTER (WHERE injection) AS injection FROM fin GROUP BY 1",
+    ("result", "decision"),
+    f"""WITH {_FINAL} SELECT sheet_id, count(*) AS total, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM decision d WHERE d.review_id = fin.sheet_id AND d.base = fin.base)) AS reviewed,
+    count(*) FILTER (WHERE needs_review AND NOT bad_handwriting) AS needs_review, count(*) FILTER (WHERE injection) AS injection FROM fin GROUP BY 1""",
 )
-def h9(result):
-    return review.review_progress(grading.finalize(result))
+def h9(result, decision):
+    decided = decision.select(F.col("review_id").alias("sheet_id"), "base", F.lit(True).alias("decided")).distinct()
+    return review.review_progress(grading.finalize(result).join(decided, ["sheet_id", "base"], "left").withColumn("reviewed", F.coalesce("decided", F.lit(False))))
 
 
 _PRICED = """pr AS (SELECT c.*, CAST(CAST(CAST(input_tokens AS DECIMAL(14, 0)) * CAST(coalesce(price_in, 1.5) AS DECIMAL(8, 4)) + CAST(output_tokens AS DECIMAL(14, 0)) * CAST(coalesce(price_out, 9.0) AS DECIMAL(8, 4)) AS DECIMAL(24, 4)) * CAST(0.000001 AS DECIMAL(7, 6)) AS DECIMAL(28, 10)) AS estimate FROM cost_event c LEFT JOIN price USING (model)),
