@@ -8,8 +8,10 @@ Labels are of documents, so training first fits a logistic model with each line
 document, then relabels as good the lines of bad documents that this model finds good (all but the
 worst line), and fits the field to those sequences. The id, source, lang and labels are not inputs.
 
-Defined results: null and empty texts are one empty line. With no labelled rows of both kinds every
-score is 1. An empty table gives an empty table.
+Defined results: null and empty texts are one empty line. Texts may be of any length, and lines too; equal texts
+get equal scores, and rows that repeat an id are scored one by one. With no labelled rows of both kinds every
+score is 1. An empty table gives an empty table. Only the id and the text are read, so extra columns may have
+any names.
 """
 
 from __future__ import annotations

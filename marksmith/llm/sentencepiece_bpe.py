@@ -10,7 +10,9 @@ first) is encoded alone; words are remembered per worker, up to a bound. Runs of
 than one have pieces of one equal score, for which the leftmost merge goes first; they are merged so.
 The file's normaliser is the identity with a leading space mark, which loading checks.
 
-Defined results: null and empty texts have no ids and decode to the empty text.
+Defined results: null and empty texts have no ids and decode to the empty text. Words of any length are encoded
+in time linear in it, runs of space marks in n log n. Rows that repeat an id are encoded one by one. An empty
+table gives an empty table. Only the id and the text are read, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from .common import record_batches, texts
 
 MARK = "▁"
-#: Words and pairs that a worker remembers, and the longest word that it remembers.
-MEMO_WORDS, MEMO_PAIRS, MEMO_CHARS = 350_000, 400_000, 40
+#: Words and pairs that a worker remembers, the longest word and the longest run of spaces that it remembers.
+MEMO_WORDS, MEMO_PAIRS, MEMO_CHARS, MEMO_RUN = 350_000, 400_000, 40, 1000
 #: Characters that are split off a word's end, when a letter stands before them.
 TAIL = ".,;:!?#$%&*|)"
 #: An unknown character's place in the prefix table; its ids are the bytes.
@@ -113,26 +115,29 @@ class PrefixBpe:
 
     def run_ids(self, n: int) -> list[int]:
         """Ids of n space marks: pieces of equal score, so the leftmost pair that can merge goes first."""
-        if n not in self.runs:
-            sizes, known = [1] * n, {len(p) for p in self.marks}
-            after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-            heap = [k for k in range(n - 1) if 2 in known]
-            sizes_at = {k: 2 for k in heap}
-            while heap:
-                k = heapq.heappop(heap)
-                r = after[k] if alive[k] else n
-                if not alive[k] or r >= n or sizes[k] + sizes[r] != sizes_at.get(k):
-                    continue
-                sizes[k] += sizes[r]
-                alive[r], after[k] = False, after[r]
-                if after[k] < n:
-                    before[after[k]] = k
-                for left in (before[k], k):
-                    if left >= 0 and after[left] < n and sizes[left] + sizes[after[left]] in known:
-                        sizes_at[left] = sizes[left] + sizes[after[left]]
-                        heapq.heappush(heap, left)
-            self.runs[n] = [self.id[MARK * sizes[k]] for k in range(n) if alive[k]]
-        return self.runs[n]
+        if n in self.runs:
+            return self.runs[n]
+        sizes, known = [1] * n, {len(p) for p in self.marks}
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap = [k for k in range(n - 1) if 2 in known]
+        sizes_at = {k: 2 for k in heap}
+        while heap:
+            k = heapq.heappop(heap)
+            r = after[k] if alive[k] else n
+            if not alive[k] or r >= n or sizes[k] + sizes[r] != sizes_at.get(k):
+                continue
+            sizes[k] += sizes[r]
+            alive[r], after[k] = False, after[r]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n and sizes[left] + sizes[after[left]] in known:
+                    sizes_at[left] = sizes[left] + sizes[after[left]]
+                    heapq.heappush(heap, left)
+        found = [self.id[MARK * sizes[k]] for k in range(n) if alive[k]]
+        if n <= MEMO_RUN:
+            self.runs[n] = found
+        return found
 
     def word(self, word: str, marks: int) -> list[int]:
         """Ids of ``marks`` space marks and a word behind them."""

@@ -8,8 +8,10 @@ language, told from the text's own function words: the logit is shifted so that
 best threshold on training rows that the weights were not fitted to. The id, source, lang column and
 labels are not inputs of a score.
 
-Defined results: null and empty texts have no words and get the score of an empty window. With no
-labelled rows of both kinds every score is 0. An empty table gives an empty table.
+Defined results: null and empty texts have no words and get the score of an empty window. Texts may be of any
+length; equal texts get equal scores, and rows that repeat an id are scored one by one. With no labelled rows of
+both kinds every score is 0. An empty table gives an empty table. Only the id and the text are read, so extra
+columns may have any names; ``drop_toxic`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -151,6 +153,36 @@ class Scorer:
         return sigmoid(self.net.logits(docs, self.added) - self.net.shift[spoken])
 
 
+def gradients(weights: dict[str, np.ndarray], parts: np.ndarray, batch: list[np.ndarray], labels: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the sum of the documents' log losses, each times its importance, by every weight; the padding's row stays 0."""
+    e = weights["embedding"]
+    ids, starts = laid_out(batch)
+    n = len(ids) - max(WIDTHS) + 1
+    ends = np.append(starts[1:], n)
+    used, where = np.unique(ids, return_inverse=True)
+    rows_e = e[parts[used]].sum(axis=1)
+    pooled, at = [], []
+    for w in WIDTHS:
+        total = sum((rows_e @ weights[f"filter{w}"][j])[where[j : j + n]] for j in range(w))
+        best = np.stack([a + total[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
+        at.append(best)
+        pooled.append(np.take_along_axis(total, best, axis=0))
+    z = np.concatenate(pooled, axis=1) + weights["bias"]
+    h = np.maximum(z, 0)
+    error = (sigmoid(h @ weights["out"] + weights["out_bias"][0]) - labels) * importance
+    back = error[:, None] * weights["out"] * (z > 0)
+    grads = {"out": h.T @ error, "out_bias": np.array([error.sum()]), "bias": back.sum(axis=0), "embedding": np.zeros_like(e)}
+    for i, w in enumerate(WIDTHS):
+        f, g = weights[f"filter{w}"], back[:, i * FILTERS : (i + 1) * FILTERS]
+        grads[f"filter{w}"] = np.zeros_like(f)
+        for j in range(w):
+            top = parts[ids[at[i] + j]]  # document x filter x part
+            grads[f"filter{w}"][j] = np.einsum("dfk,df->kf", e[top].sum(axis=2), g)
+            np.add.at(grads["embedding"], top, (g[:, :, None] * f[j].T[None])[:, :, None])
+    grads["embedding"][PAD] = 0
+    return grads
+
+
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Cnn | None:
     """A network fitted to (text, label) rows; every fifth row only sets the thresholds. None without both labels."""
     words = Vocabulary()
@@ -181,33 +213,10 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Cnn | None:
     for _ in range(EPOCHS):
         for some in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH_DOCS)):
             batch = [np.where(rng.random(len(docs[k])) < DROPPED_WORDS, PAD, docs[k]).astype(np.int32) for k in some]
-            ids, starts = laid_out(batch)
-            n = len(ids) - max(WIDTHS) + 1
-            ends = np.append(starts[1:], n)
-            used, where = np.unique(ids, return_inverse=True)
-            rows_e = e[parts[used]].sum(axis=1)
-            pooled, at = [], []
-            for w in WIDTHS:
-                total = sum((rows_e @ weights[f"filter{w}"][j])[where[j : j + n]] for j in range(w))
-                best = np.stack([a + total[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
-                at.append(best)
-                pooled.append(np.take_along_axis(total, best, axis=0))
-            z = np.concatenate(pooled, axis=1) + weights["bias"]
-            h = np.maximum(z, 0)
-            error = (sigmoid(h @ weights["out"] + weights["out_bias"][0]) - labels[some]) * weight_of[some] / len(some)
-            back = error[:, None] * weights["out"] * (z > 0)
-            grads = {"out": h.T @ error + DECAY * weights["out"], "out_bias": np.array([error.sum()]), "bias": back.sum(axis=0)}
-            ge = np.zeros_like(e)
-            for i, w in enumerate(WIDTHS):
-                f, g = weights[f"filter{w}"], back[:, i * FILTERS : (i + 1) * FILTERS]
-                gf = np.zeros_like(f)
-                for j in range(w):
-                    top = parts[ids[at[i] + j]]  # document x filter x part
-                    gf[j] = np.einsum("dfk,df->kf", e[top].sum(axis=2), g)
-                    np.add.at(ge, top, (g[:, :, None] * f[j].T[None])[:, :, None])
-                grads[f"filter{w}"] = gf + DECAY * f
-            ge[PAD] = 0
-            adam.step(grads | {"embedding": ge})
+            grads = gradients(weights, parts, batch, labels[some], weight_of[some] / len(some))
+            for name in ("out", *(f"filter{w}" for w in WIDTHS)):
+                grads[name] += DECAY * weights[name]
+            adam.step(grads)
     logits, spoken = net.logits(docs, net.added(parts)), np.array([language(votes[d]) for d in docs])
     judged = kept_out if labels[kept_out].sum() >= LEAST_POSITIVES else np.ones(len(rows), dtype=bool)
     common = best_threshold(logits[judged], labels[judged])

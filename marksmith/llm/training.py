@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts
 
 #: Labelled documents that a classifier is trained on at most (the rows with the smallest hash of their id).
 TRAIN_DOCS = 4000
+#: Bytes of text that such a sample holds at most: documents that would go beyond it are left out, in the same order.
+TRAIN_BYTES = 64 << 20
 FOLDS = 5
 
 
@@ -19,7 +21,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``limit`` labelled documents outside fold 0, in order of id."""
+    """(text, label) of at most ``limit`` labelled documents outside fold 0, and at most TRAIN_BYTES of text, in order of id."""
     chosen = (
         labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -31,7 +33,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     )
     # at most ``limit`` ids, so this side is small whatever the tables' size
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+    # at most ``limit`` rows, so one task sums up their sizes
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    small = rows.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).where(F.col("upto") <= TRAIN_BYTES)
+    return [(r["text"], r["label"]) for r in sorted(small.collect(), key=lambda r: r["doc_id"])]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
