@@ -12,7 +12,17 @@ _KEY, _PAPER = base._KEY, base._PAPER
 _KEY_BOTH = _KEY.replace("FROM key_entry", "FROM key_both")
 
 
-@query("c8_clean_chunks", ("page_scan",))
+_NOISE = r"(?i)\s*\(?(?:contd\.?|continued|part\s*[0-9]*|pg\s*[0-9]*)\)?\s*"
+_SPLIT = base._CHUNKS.replace("FROM page_reading", "FROM page_scan").replace("trim(tags[pos])", f"rtrim(trim(regexp_replace(tags[pos], '{_NOISE}', '', 'g')), '-.')")
+
+
+@query(
+    "c8_clean_chunks",
+    ("page_scan",),
+    rf"""WITH {_SPLIT} SELECT sheet_id, page_no, pos, tag, contains(text, '[BAD_HANDWRITING]') AS is_bad_handwriting,
+    md5(trim(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(text, '\[END_Q:[^\]]*\]|\[BAD_HANDWRITING\]', '', 'g'), '(?i)\[BLANK[ _]PAGE\]', '', 'g'), chr(10)),
+        lambda x: NOT regexp_matches(x, '(?i)^\s*section\s*[-–—]?\s*[a-e]\s*$') AND NOT regexp_matches(x, '(?i)^\s*\[instruction\]\s*:')), chr(10)), ' ' || chr(9) || chr(13) || chr(10))) AS text FROM c""",
+)
 def c8(page_scan):
     found = text.clean_chunks(text.split_chunks(page_scan))
     return found.select("sheet_id", "page_no", "pos", "tag", F.md5("text").alias("text"), "is_bad_handwriting")
@@ -92,7 +102,12 @@ def c6_key(key_entry):
     return assembly.merge_canonical_key(key).join(sizes, ["exam_id", "qid"]).select("exam_id", "qid", "marks", "entries")
 
 
-@query("c6_merged_key_text", ("key_entry",))
+@query(
+    "c6_merged_key_text",
+    ("key_entry",),
+    f"""WITH {_KEY} SELECT exam_id, 'Q' || base AS qid, arg_min(marks, qorder) AS marks,
+    list_reduce(list(answer ORDER BY qorder), lambda x, y: CASE WHEN trim(y) = '' OR contains(x, trim(y)) THEN x ELSE x || chr(10) || 'OR' || chr(10) || trim(y) END) AS answer FROM key GROUP BY exam_id, base""",
+)
 def c6_text(key_entry):
     key = integrity.canonical_key(key_entry).select("exam_id", F.concat(F.lit("Q"), "base").alias("qid"), "marks", "answer", "qorder")
     return assembly.merge_canonical_key(key)

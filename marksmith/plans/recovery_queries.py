@@ -134,7 +134,16 @@ def d6(glued, key_entry, paper_entry):
     return splits.recover_gaps(glued, recovery.answer_gaps(glued, _set(key_entry, paper_entry), sheets))
 
 
-@query("d7_label_lines", ("glued_answer",))
+_HEADER_CASES = ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN TRY_CAST(regexp_extract(line, '{p}', 1) AS INT) END" for p in splits.HEADERS.values())
+_NO_HEADER = " OR ".join(f"regexp_matches(line, '{p}')" for p in splits.NO_HEADER)
+
+
+@query(
+    "d7_label_lines",
+    ("glued_answer",),
+    f"""WITH l AS (SELECT sheet_id, base, unnest(string_split(coalesce(answer, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(answer, ''), chr(10)), 1) - 1 AS line_no FROM glued_answer)
+    SELECT sheet_id, base, line_no, number FROM (SELECT *, CASE WHEN NOT ({_NO_HEADER}) THEN coalesce({_HEADER_CASES}) END AS number FROM l) t WHERE number IS NOT NULL""",
+)
 def d7(glued):
     return splits.label_lines(glued)
 
