@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The scale of anchors and the limits of bands and boxes.
@@ -36,23 +36,27 @@ def fit_bands(band: DataFrame, ink: DataFrame) -> DataFrame:
     """Bands (sheet_id, page_no, qid, top, bottom in rows) snapped to the middle of the nearest blank run and trimmed to inked rows.
 
     ink (sheet_id, page_no, profile array of int, eps): a row with no more than eps of ink is blank. A band without ink
-    has null ends.
+    has null ends. A page's profile stays one array; nothing is exploded by rows.
     """
-    rows = ink.select(*PAGE, "eps", F.posexplode("profile").alias("row", "amount")).withColumn("blank", F.col("amount") <= F.col("eps"))
-    order = Window.partitionBy(*PAGE).orderBy("row")
-    island = F.col("row") - F.row_number().over(Window.partitionBy(*PAGE, "blank").orderBy("row"))
-    runs = rows.withColumn("island", island).where("blank").groupBy(*PAGE, "island").agg(F.min("row").alias("a"), (F.max("row") + 1).alias("b"))
-    ends = band.select(*PAGE, F.explode(F.array("top", "bottom")).alias("y")).distinct()
-    apart = F.when((F.col("y") >= F.col("a")) & (F.col("y") < F.col("b")), 0).otherwise(F.least(F.abs(F.col("y") - F.col("a")), F.abs(F.col("y") - F.col("b") + 1)))
-    near = ends.join(runs, list(PAGE)).withColumn("apart", apart).where(F.col("apart") <= SNAP_WINDOW)
-    snapped = near.groupBy(*PAGE, "y").agg(F.min_by(F.floor((F.col("a") + F.col("b")) / 2), F.struct("apart", "a")).alias("s"))
-    of = lambda c: ends.join(snapped, [*PAGE, "y"], "left").select(*PAGE, F.col("y").alias(c), F.coalesce("s", "y").cast("int").alias(f"new_{c}"))
-    cut = band.join(of("top"), [*PAGE, "top"]).join(of("bottom"), [*PAGE, "bottom"])
-    inked = rows.where("NOT blank").select(*PAGE, "row")
-    held = cut.join(inked, list(PAGE), "left").where("row IS NULL OR (row >= new_top AND row < new_bottom)").groupBy(*PAGE, "qid").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
-    height = ink.select(*PAGE, F.size("profile").alias("h"))
-    fitted = cut.join(held, [*PAGE, "qid"], "left").join(height, list(PAGE))
-    return fitted.select(*PAGE, "qid", F.greatest(F.lit(0), F.col("lo") - PAD).alias("top"), F.least(F.col("h"), F.col("hi") + 1 + PAD).alias("bottom"))
+    h = F.size("profile")
+    blank = lambda i: F.get("profile", i) <= F.col("eps")
+    starts = F.filter(F.sequence(F.lit(0), h - 1), lambda i: blank(i) & ((i == 0) | ~blank(i - 1)))
+    ends = F.filter(F.sequence(F.lit(1), h), lambda i: blank(i - 1) & ((i == h) | ~blank(i)))
+    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    page = ink.where(h > 0).select(*PAGE, "profile", "eps", F.transform(runs, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("runs"))
+    rows = band.join(page, list(PAGE))
+
+    def snapped(y: Column) -> Column:
+        apart = lambda r: F.when((y >= r["a"]) & (y < r["b"]), 0).otherwise(F.least(F.abs(y - r["a"]), F.abs(y - r["b"] + 1)))
+        near = F.filter(F.transform("runs", lambda r: F.struct(apart(r).alias("d"), r["a"].alias("a"), F.floor((r["a"] + r["b"]) / 2).cast("int").alias("s"))), lambda x: x["d"] <= SNAP_WINDOW)
+        return F.coalesce(F.array_min(near)["s"], y)
+
+    cut = rows.withColumns({"lo": snapped(F.col("top")), "hi": snapped(F.col("bottom"))})
+    inside = F.when(F.col("hi") > F.col("lo"), F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.get("profile", i) > F.col("eps")))
+    held = cut.withColumn("inked", inside)
+    return held.select(
+        *PAGE, "qid", F.greatest(F.lit(0), F.array_min("inked") - PAD).alias("_top"), F.least(h, F.array_max("inked") + 1 + PAD).alias("_bottom"), F.coalesce(F.size("inked") > 0, F.lit(False)).alias("has")
+    ).select(*PAGE, "qid", F.when(F.col("has"), F.col("_top")).alias("top"), F.when(F.col("has"), F.col("_bottom")).alias("bottom"))
 
 
 def accept_bands(fitted: DataFrame, ink: DataFrame, page_role: DataFrame) -> DataFrame:

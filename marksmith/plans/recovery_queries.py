@@ -388,7 +388,8 @@ def g2(page_question):
 
 def _ink(page_question):
     amount = F.expr("transform(sequence(0, 999), r -> CAST(CASE WHEN (r + sheet_id) % 100 < 12 THEN 1 WHEN r % 17 = 0 THEN 40 ELSE 5 + (r + page_no) % 9 END AS INT))")
-    return page_question.select("sheet_id", "page_no").distinct().select("sheet_id", "page_no", amount.alias("profile"), F.lit(2).alias("eps"))
+    # made before distinct(), so that it is a column of its own and isn't made anew wherever a row of it is looked at
+    return page_question.select("sheet_id", "page_no", amount.alias("profile"), F.lit(2).alias("eps")).distinct()
 
 
 def _bands(page_question):
