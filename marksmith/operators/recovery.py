@@ -98,3 +98,13 @@ def commit_reread(before: DataFrame, after: DataFrame, targeted: DataFrame | Non
 def merge_flags(flag: DataFrame) -> DataFrame:
     """The first layer's reason for each question (sheet_id, base, layer, reason)."""
     return flag.groupBy("sheet_id", "base").agg(F.min_by("reason", "layer").alias("reason"))
+
+
+def merge_side_flags(flag: DataFrame) -> DataFrame:
+    """One row a question of ``flag`` (sheet_id, base, kind: mixed, recovered or symbol, layer, note): mixed, whether any layer says so, and reason and symbol, the first layer's note that isn't empty.
+
+    Flags without a number belong to no question and are left out.
+    """
+    said = F.when(F.trim(F.coalesce("note", F.lit(""))) != "", F.col("note"))
+    first = lambda kind: F.min_by(said, F.when((F.col("kind") == kind) & said.isNotNull(), F.col("layer")))
+    return flag.where("base IS NOT NULL").groupBy("sheet_id", "base").agg(F.bool_or(F.col("kind") == "mixed").alias("mixed"), first("recovered").alias("reason"), first("symbol").alias("symbol"))

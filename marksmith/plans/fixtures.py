@@ -151,6 +151,19 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                         WHEN 3 THEN ' ' WHEN 4 THEN '12.5.2024' || chr(10) || 'Q1 = 4 C' || chr(10) || 'A11 = -2' || chr(10) || 'Ans ' || (l_linenumber + 2) || ') more' ELSE 'plain answer' END AS answer
             FROM lineitem""",
     ),
+    "glued_entry": (
+        ("glued_answer",),
+        """SELECT sheet_id, exam_id, 'Q' || base AS qid, base, CAST(10 * base AS INT) AS pos, answer, CASE WHEN answer LIKE 'plain%' AND base > 1 THEN 'Q' || (base - 1) END AS recovered_from FROM glued_answer
+           UNION ALL SELECT sheet_id, exam_id, 'Q' || base || '(b)', base, CAST(10 * base + 1 AS INT), 'second part' || chr(10) || 'Ans ' || (base + 2) || ': lifted from a sub-part' || chr(10) || 'Q.No. ' || (base + 3) || chr(10) || 'and the next', CAST(NULL AS VARCHAR(9))
+           FROM glued_answer WHERE answer LIKE 'plain%'
+           UNION ALL SELECT DISTINCT sheet_id, exam_id, '_unassigned_', CAST(NULL AS INT), 0, 'loose words' || chr(10) || '(Ques 6) on a loose page' || chr(10) || '  7. (c) and more', CAST(NULL AS VARCHAR(9)) FROM glued_answer WHERE answer = ' '""",
+    ),
+    "matcher_reply": (
+        ("lineitem",),
+        """SELECT sheet_id, host, CAST(ask_no AS INT) AS ask_no, CAST(1 + (part + 3 * ask_no) % 8 AS INT) AS target, CASE WHEN part % 4 = 0 THEN ' ' ELSE note || ' ' || ask_no END AS text
+           FROM (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS host, max(l_partkey) AS part, max(l_comment) AS note FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x
+           CROSS JOIN (SELECT 1 AS ask_no UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS asked""",
+    ),
     "key_both": (
         ("key_entry", "key_base"),
         """SELECT exam_id, label, marks, type, answer, name, qorder FROM key_entry

@@ -118,36 +118,6 @@ def _set(key_entry, paper_entry):
     return recovery.question_set(integrity.canonical_key(key_entry), paper_entry)
 
 
-@query("d4_split_lists", ("glued_answer", "key_entry", "paper_entry"))
-def d4(glued, key_entry, paper_entry):
-    return splits.split_objective_lists(glued, _set(key_entry, paper_entry))
-
-
-@query("d5_reattach", ("glued_answer", "key_entry", "paper_entry"))
-def d5(glued, key_entry, paper_entry):
-    return splits.reattach_continuation(glued, _set(key_entry, paper_entry)).drop("exam_id")
-
-
-@query("d6_recover_gaps", ("glued_answer", "key_entry", "paper_entry"))
-def d6(glued, key_entry, paper_entry):
-    sheets = glued.select("sheet_id", "exam_id").distinct()
-    return splits.recover_gaps(glued, recovery.answer_gaps(glued, _set(key_entry, paper_entry), sheets))
-
-
-_HEADER_CASES = ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN TRY_CAST(regexp_extract(line, '{p}', 1) AS INT) END" for p in splits.HEADERS.values())
-_NO_HEADER = " OR ".join(f"regexp_matches(line, '{p}')" for p in splits.NO_HEADER)
-
-
-@query(
-    "d7_label_lines",
-    ("glued_answer",),
-    f"""WITH l AS (SELECT sheet_id, base, unnest(string_split(coalesce(answer, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(answer, ''), chr(10)), 1) - 1 AS line_no FROM glued_answer)
-    SELECT sheet_id, base, line_no, number FROM (SELECT *, CASE WHEN NOT ({_NO_HEADER}) THEN coalesce({_HEADER_CASES}) END AS number FROM l) t WHERE number IS NOT NULL""",
-)
-def d7(glued):
-    return splits.label_lines(glued)
-
-
 _HOSTS = f"""{base._GAPS}, known AS (SELECT sheet_id, base FROM answer a WHERE trim(answer) <> '' AND EXISTS (SELECT 1 FROM qs WHERE qs.exam_id = a.exam_id AND qs.base = a.base)),
 nb AS (SELECT sheet_id, base - 1 AS base FROM gap UNION SELECT sheet_id, base + 1 FROM gap), mx AS (SELECT DISTINCT sheet_id, base FROM page_question WHERE page_no = 7),
 c AS (SELECT sheet_id, base, 0 AS src, base AS o FROM (SELECT * FROM nb WHERE NOT EXISTS (SELECT 1 FROM gap WHERE gap.sheet_id = nb.sheet_id AND gap.base = nb.base) UNION SELECT * FROM mx) t WHERE EXISTS (SELECT 1 FROM known k WHERE k.sheet_id = t.sheet_id AND k.base = t.base)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from marksmith.operators import assembly, grading, integrity, keyedits, merges, notes, orientation, recovery, regions, splits
+from marksmith.operators import assembly, grading, integrity, keyedits, merges, notes, orientation, recovery, regions
 from marksmith.plans.fixtures import fixture
 from marksmith.plans.recovery_queries import _scores
 from marksmith.sources import archive
@@ -109,42 +109,6 @@ def test_assembly_equals_the_plain_walk(spark):
         assert (got.get(sheet, {}), odd.get(sheet, set())) == (want, marked), sheet
 
 
-def answers_of(spark, texts):
-    return spark.createDataFrame([(7, 1, b, t) for b, t in texts.items()], "sheet_id long, exam_id long, base int, answer string")
-
-
-def test_lists_of_options_are_split(spark):
-    run = "A15. (d) x\nQ.16 (C) y\n17 (b)\nmore\n[DIAGRAM: d]"
-    split = lambda texts, numbers: {(r.host, r.base): r.answer for r in splits.split_objective_lists(answers_of(spark, texts), question_set(spark, numbers)).collect()}
-    assert split({15: run}, [15, 16, 17]) == {(15, 15): "(d) x", (15, 16): "(C) y", (15, 17): "(b)\nmore\n[DIAGRAM: d]"} or split({15: run}, [15, 16, 17])[(15, 17)].startswith("(b)\nmore")
-    assert split({3: run}, [15, 16, 17])[(3, 3)] == "[DIAGRAM: d]"
-    assert split({3: run}, [15, 16]) == {}  # one isn't a multiple choice question
-    assert split({3: run, 16: "own"}, [15, 16, 17]) == {}  # one has an answer of its own
-    assert split({3: "1. long prose without any option in it\n2. more\n3. end"}, [1, 2, 3]) == {}
-
-
-def test_swallowed_beginnings_go_back(spark):
-    texts = {34: "(a) own", 35: "(iii) late part\nof it\n(a) mine", 36: "(a) fine\n(b) too", 40: "(b) no one before\n(a) mine"}
-    rows = splits.reattach_continuation(answers_of(spark, texts), question_set(spark, [34, 35, 36, 40])).collect()
-    assert {r.base: (r.answer, r.moved) for r in rows} == {34: ("(a) own\n(iii) late part\nof it", True), 35: ("(a) mine", True), 36: (texts[36], False), 40: (texts[40], False)}
-
-
-def test_gaps_are_recovered_by_their_own_number(spark):
-    texts = {15: "host text\nQ.17 (D) 43\nmore\nAns 18) deep", 20: "30 cm\nQ1 = 4 C\n12.5.2024\nA11 = -2"}
-    gaps = spark.createDataFrame([(7, n) for n in (17, 18, 1, 12, 11, 30)], "sheet_id long, base int")
-    rows = splits.recover_gaps(answers_of(spark, texts), gaps).collect()
-    assert {r.base: (r.answer, r.recovered_from) for r in rows} == {
-        15: ("host text", None), 17: ("(D) 43\nmore", 15), 18: ("deep", 17), 20: (texts[20], None)
-    }
-
-
-@pytest.mark.parametrize("line, number", [("37.", 37), ("Q.37", 37), ("(Ques 32) text", 32), ("Ans 37)", 37), ("Q No 17", 17), ("A1. x", 1), ("37. (vi) x", 37), ("A11 = -2", None), ("Q1 = 3", None), ("30 cm", None), ("12.5.2024", None), ("plain", None)])
-def test_header_lines(spark, line, number):
-    from pyspark.sql import functions as F
-
-    assert spark.createDataFrame([(line,)], "line string").select(splits.header_number(F.col("line")).alias("n")).first().n == number == splits._opens(line)
-
-
 def test_fragments(spark):
     assert assembly.merged_text("alpha beta", "alpha  beta") in ("alpha beta", "alpha  beta") and assembly.merged_text("", "x") == "x"
     assert assembly.merged_text("begin-a-shared-run-of-words", "a-shared-run-of-words-end") == "begin-a-shared-run-of-words-end"
