@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The scale of anchors and the limits of bands and boxes.
 SCALE, SNAP_WINDOW, PAD, LEAST_BAND, LEAST_INK_ROWS, PEAK_SHARE, WHOLE_PAGE = 1000, 80, 8, 40, 6, 0.10, 0.98
 LEAST_AREA, MOST_AREA, LEAST_SIDE, MOST_ASPECT, PAD_SHARE = 0.02, 0.20, 40.0, 6.0, 0.012
+MOST_STARTS = 99
 PAGE = ("sheet_id", "page_no")
 
 
@@ -32,31 +37,78 @@ def anchors(page_anchor: DataFrame) -> DataFrame:
     return each.select(*PAGE, "qid", "pos", F.get("y", F.col("pos")).alias("y"), "exact")
 
 
+class Ink:
+    """A page's rows of ink: blank runs, and sums of inked rows, so that both ends of a band are found by search."""
+
+    def __init__(self, profile: np.ndarray, eps: int, eps_content: int):
+        self.h, self.profile = len(profile), profile
+        edge = np.diff(np.concatenate([[0], (profile <= eps).astype(np.int8), [0]]))
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.inked_rows = np.flatnonzero(profile > eps_content)
+
+    def snap(self, y: int) -> int:
+        """The middle of the nearest blank run within SNAP_WINDOW rows, of equally near ones the upper; else y."""
+        k = int(np.searchsorted(self.ends, y, side="right"))  # the run that y is in, or the first below it
+        best, distance = y, SNAP_WINDOW + 1
+        for i in (k - 1, k):
+            if 0 <= i < len(self.starts):
+                a, b = int(self.starts[i]), int(self.ends[i])
+                d = 0 if a <= y < b else min(abs(y - a), abs(y - b + 1))
+                if d < distance:
+                    best, distance = (a + b) // 2, d
+        return best
+
+    def trim(self, top: int, bottom: int) -> tuple[int, int] | None:
+        """The band from its first inked row to its last, PAD rows around them; None without ink."""
+        top, bottom = max(0, top), min(bottom, self.h)
+        first, after = np.searchsorted(self.inked_rows, [top, bottom])
+        if bottom <= top or first == after:
+            return None
+        return max(0, int(self.inked_rows[first]) - PAD), min(self.h, int(self.inked_rows[after - 1]) + 1 + PAD)
+
+    def refused(self, top: int, bottom: int, several: bool) -> bool:
+        first, after = np.searchsorted(self.inked_rows, [top, bottom])
+        peak, page_peak = (int(x.max()) if len(x) else 0 for x in (self.profile[top:bottom], self.profile))
+        high = bottom - top
+        return high < LEAST_BAND or (several and high >= self.h * WHOLE_PAGE) or after - first < LEAST_INK_ROWS or peak < page_peak * PEAK_SHARE
+
+
+def _by_page(rows: DataFrame, item: list[str], ink: DataFrame, schema: str, read: Callable[[Ink | None, list[dict]], list[tuple]], how: str = "inner") -> DataFrame:
+    """What ``read`` makes of each page's rows (their ``item`` columns) and its ink. A page is a row to Spark, and its ink is looked at once."""
+    content = F.col("eps_content") if "eps_content" in ink.columns else F.col("eps")
+    listed = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("items"))
+    pages = listed.join(ink.where(F.size("profile") > 0).select(*PAGE, "profile", "eps", content.alias("eps_content")), list(PAGE), how)
+    out = pa.schema([("sheet_id", pa.int64()), ("page_no", pa.int32()), *[(n, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[k]) for n, k in (x.split() for x in schema.split(", "))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, profiles = [], batch.column("profile")
+            given = zip(*[batch.column(c).to_pylist() for c in (*PAGE, "items", "eps", "eps_content")])
+            for k, (sheet, page, items, eps, eps_content) in enumerate(given):
+                found = Ink(np.asarray(profiles[k].values), eps, eps_content) if profiles[k].is_valid else None
+                made += [(sheet, page, *row) for row in read(found, items)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made), out)], schema=out)
+
+    typed = pages.withColumns({"sheet_id": F.col("sheet_id").cast("long"), "page_no": F.col("page_no").cast("int"), "profile": F.col("profile").cast("array<int>")})
+    return typed.select(*PAGE, "items", "profile", "eps", "eps_content").mapInArrow(run, f"sheet_id long, page_no int, {schema}")
+
+
 def fit_bands(band: DataFrame, ink: DataFrame) -> DataFrame:
-    """Bands (sheet_id, page_no, qid, top, bottom in rows) snapped to the middle of the nearest blank run and trimmed to inked rows.
+    """Bands (sheet_id, page_no, qid, top, bottom in rows) whose ends, but for the page's bottom, are snapped to the middle of the nearest blank run, trimmed to inked rows.
 
-    ink (sheet_id, page_no, profile array of int, eps): a row with no more than eps of ink is blank. A band without ink
-    has null ends. A page's profile stays one array; nothing is exploded by rows.
+    ink (sheet_id, page_no, profile array of int, eps and perhaps eps_content): a row with no more than eps of ink is blank, one with more than eps_content (eps, if not given)
+    is inked. A band without ink has null ends; bands of pages without a profile aren't in the result.
     """
-    h = F.size("profile")
-    blank = lambda i: F.get("profile", i) <= F.col("eps")
-    starts = F.filter(F.sequence(F.lit(0), h - 1), lambda i: blank(i) & ((i == 0) | ~blank(i - 1)))
-    ends = F.filter(F.sequence(F.lit(1), h), lambda i: blank(i - 1) & ((i == h) | ~blank(i)))
-    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
-    page = ink.where(h > 0).select(*PAGE, "profile", "eps", F.transform(runs, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("runs"))
-    rows = band.join(page, list(PAGE))
-
-    def snapped(y: Column) -> Column:
-        apart = lambda r: F.when((y >= r["a"]) & (y < r["b"]), 0).otherwise(F.least(F.abs(y - r["a"]), F.abs(y - r["b"] + 1)))
-        near = F.filter(F.transform("runs", lambda r: F.struct(apart(r).alias("d"), r["a"].alias("a"), F.floor((r["a"] + r["b"]) / 2).cast("int").alias("s"))), lambda x: x["d"] <= SNAP_WINDOW)
-        return F.coalesce(F.array_min(near)["s"], y)
-
-    cut = rows.withColumns({"lo": snapped(F.col("top")), "hi": snapped(F.col("bottom"))})
-    inside = F.when(F.col("hi") > F.col("lo"), F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.get("profile", i) > F.col("eps")))
-    held = cut.withColumn("inked", inside)
-    return held.select(
-        *PAGE, "qid", F.greatest(F.lit(0), F.array_min("inked") - PAD).alias("_top"), F.least(h, F.array_max("inked") + 1 + PAD).alias("_bottom"), F.coalesce(F.size("inked") > 0, F.lit(False)).alias("has")
-    ).select(*PAGE, "qid", F.when(F.col("has"), F.col("_top")).alias("top"), F.when(F.col("has"), F.col("_bottom")).alias("bottom"))
+
+    def read(page: Ink, items: list[dict]) -> list[tuple]:
+        ends = [(x["qid"], page.trim(page.snap(x["top"]), page.snap(x["bottom"]) if x["bottom"] < page.h else page.h)) for x in items]
+        return [(qid, *(found or (None, None))) for qid, found in ends]
+
+    return _by_page(band, ["qid", "top", "bottom"], ink, "qid string, top int, bottom int", read)
+
+
+REGION = "qid string, top int, bottom int, method string, reason string"
 
 
 def accept_bands(fitted: DataFrame, ink: DataFrame, page_role: DataFrame) -> DataFrame:
@@ -65,18 +117,53 @@ def accept_bands(fitted: DataFrame, ink: DataFrame, page_role: DataFrame) -> Dat
     A band is taken when it is high enough, isn't the whole of a page with several, has inked rows, and a peak of ink
     in relation to the page's.
     """
-    profile = ink.select(*PAGE, "profile", "eps", F.size("profile").alias("h"), F.array_max("profile").alias("page_peak"))
-    several = F.count(F.lit(1)).over(Window.partitionBy(*PAGE)) > 1
-    part = F.slice("profile", F.col("top") + 1, F.greatest(F.col("bottom") - F.col("top"), F.lit(0)))
-    rows = fitted.withColumn("several", several).join(profile, list(PAGE)).withColumn("part", F.when(F.col("top").isNotNull(), part))
-    high, inked = F.col("bottom") - F.col("top"), F.size(F.filter("part", lambda x: x > F.col("eps")))
-    odd = (high < LEAST_BAND) | (F.col("several") & (high >= F.col("h") * WHOLE_PAGE)) | (inked < LEAST_INK_ROWS) | (F.array_max("part") < F.col("page_peak") * PEAK_SHARE)
-    reason = F.when(F.col("top").isNull(), "band had no ink").when(odd, "implausible band").otherwise("")
-    judged = rows.select(*PAGE, "qid", "top", "bottom", reason.alias("reason"))
-    every = page_role.select(*PAGE, "qid").distinct().join(ink.select(*PAGE, F.size("profile").alias("h")), list(PAGE)).join(judged, [*PAGE, "qid"], "left")
-    why = F.coalesce("reason", F.lit("not placed"))
-    good = why == ""
-    return every.select(*PAGE, "qid", F.when(good, F.col("top")).otherwise(0).alias("top"), F.when(good, F.col("bottom")).otherwise(F.col("h")).alias("bottom"), F.when(good, "band").otherwise("page").alias("method"), why.alias("reason"))
+    every = page_role.select(*PAGE, "qid").distinct().join(fitted.withColumn("placed", F.lit(True)), [*PAGE, "qid"], "left")
+
+    def read(page: Ink, items: list[dict]) -> list[tuple]:
+        several = sum(bool(x["placed"]) for x in items) > 1
+        return [_judged(page, x["qid"], (x["top"], x["bottom"]) if x["top"] is not None else None, several) if x["placed"] else (x["qid"], 0, page.h, "page", "not placed") for x in items]
+
+    return _by_page(every, ["qid", "top", "bottom", "placed"], ink, REGION, read)
+
+
+def _judged(page: Ink, qid: str, band: tuple[int, int] | None, several: bool) -> tuple:
+    if band is None:
+        return qid, 0, page.h, "page", "band had no ink"
+    return (qid, 0, page.h, "page", "implausible band") if page.refused(*band, several) else (qid, *band, "band", "")
+
+
+def page_regions(anchor: DataFrame, ink: DataFrame, most_starts: int = MOST_STARTS) -> DataFrame:
+    """region (sheet_id, page_no, qid, top, bottom, method, reason) for each answer on a page.
+
+    anchor (sheet_id, page_no, pos, qid, role, y): answers that start on the page, y where they begin, and such that continue from an earlier one, y where they end, both in
+    thousandths of its height, null where none could be kept. Starts run to the next start, the last to the page's bottom. Answers that continue lie one below the other
+    in the region above the first start; if there is one alone, above a start, it fills that region and needs no y. A page with
+    ``most_starts`` starts or more isn't cut. Pages without a profile have regions without ends.
+    """
+
+    def read(page: Ink | None, items: list[dict]) -> list[tuple]:
+        if page is None:
+            return [(x["qid"], None, None, "page", "no page") for x in items]
+        starts, goes_on = ([x for x in items if x["role"] == role] for role in ("start", "continuation"))
+        if len(starts) >= most_starts:
+            return [(x["qid"], 0, page.h, "page", "dense page") for x in items]
+        row = lambda y: page.snap(int(y / SCALE * page.h))
+        tops = sorted([(row(x["y"]), k, x["qid"]) for k, x in enumerate(starts) if x["y"] is not None], key=lambda t: t[0])
+        region, bands, top = (tops[0][0] if tops else page.h), [], 0
+        if len(goes_on) == 1 and starts:
+            bands.append((goes_on[0]["qid"], 0, region))
+        else:
+            for x in goes_on:
+                bottom = min(row(x["y"]), region) if x["y"] is not None else top
+                if bottom > top:
+                    bands.append((x["qid"], top, bottom))
+                    top = bottom
+        bands += [(qid, y, tops[k + 1][0] if k + 1 < len(tops) else page.h) for k, (y, _, qid) in enumerate(tops)]
+        made = [_judged(page, qid, page.trim(a, b), len(bands) > 1) for qid, a, b in bands]
+        placed = {qid for qid, _, _ in bands}
+        return made + [(x["qid"], 0, page.h, "page", "anchor rejected") for x in items if x["qid"] not in placed]
+
+    return _by_page(anchor, ["pos", "qid", "role", "y"], ink, REGION, read, "left")
 
 
 BOXES = "array<struct<bbox_2d:array<double>,xmin:double,ymin:double,xmax:double,ymax:double>>"

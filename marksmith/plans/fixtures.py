@@ -160,8 +160,8 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "matcher_reply": (
         ("lineitem",),
-        """SELECT sheet_id, host, CAST(ask_no AS INT) AS ask_no, CAST(1 + (part + 3 * ask_no) % 8 AS INT) AS target, CASE WHEN part % 4 = 0 THEN ' ' ELSE note || ' ' || ask_no END AS text
-           FROM (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS host, max(l_partkey) AS part, max(l_comment) AS note FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x
+        """SELECT sheet_id, host, CAST(ask_no AS INT) AS ask_no, CAST(1 + (part + 3 * ask_no) % 8 AS INT) AS target, CASE WHEN part % 4 = 0 THEN ' ' ELSE 'found by ' || host || ' in ' || part END AS text
+           FROM (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS host, max(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x
            CROSS JOIN (SELECT 1 AS ask_no UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS asked""",
     ),
     "key_both": (

@@ -76,16 +76,16 @@ def c24(page_scan):
 
 @query(
     "c10_snap_candidates",
-    ("page_question", "key_entry", "paper_entry"),
-    f"""WITH {base._SET}, n AS (SELECT DISTINCT sheet_id % 20 AS exam_id, CAST(10 * page_no + base AS INT) AS number FROM page_question UNION SELECT DISTINCT sheet_id % 20, CAST(page_no + 8 AS INT) FROM page_question),
+    ("page_question", "sheet", "key_entry", "paper_entry"),
+    f"""WITH {base._SET}, pe AS (SELECT exam_id, page_no, base FROM page_question JOIN sheet USING (sheet_id)), n AS (SELECT DISTINCT exam_id, CAST(10 * page_no + base AS INT) AS number FROM pe UNION SELECT DISTINCT exam_id, CAST(page_no + 8 AS INT) FROM pe),
     o AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM qs WHERE qs.exam_id = n.exam_id AND qs.base = n.number)),
     s AS (SELECT exam_id, base FROM qs UNION SELECT exam_id, base + 20 FROM qs)
     SELECT o.exam_id, number, min(s.base) AS snap FROM o JOIN s ON s.exam_id = o.exam_id AND length(CAST(s.base AS VARCHAR)) = length(CAST(number AS VARCHAR)) AND levenshtein(CAST(s.base AS VARCHAR), CAST(number AS VARCHAR)) = 1
     WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.exam_id = o.exam_id AND x.base = number) GROUP BY 1, 2 HAVING count(*) = 1""",
 )
-def c10(page_question, key_entry, paper_entry):
-    exam = F.expr("sheet_id % 20").alias("exam_id")
-    numbers = page_question.select(exam, F.expr("CAST(10 * page_no + base AS INT)").alias("number")).union(page_question.select(exam, F.expr("CAST(page_no + 8 AS INT)")))
+def c10(page_question, sheet, key_entry, paper_entry):
+    pages = page_question.join(sheet.select("sheet_id", "exam_id"), "sheet_id")
+    numbers = pages.select("exam_id", F.expr("CAST(10 * page_no + base AS INT)").alias("number")).union(pages.select("exam_id", F.expr("CAST(page_no + 8 AS INT)")))
     known = base.d1(key_entry, paper_entry)
     return assembly.snap_candidates(numbers, known.union(known.select("exam_id", F.col("base") + 20)).distinct())
 
@@ -126,17 +126,14 @@ def c6_answers(answer):
 @query(
     "c19_incomplete_answers",
     ("answer", "key_entry"),
-    rf"""WITH {_KEY}, kb AS (SELECT exam_id, base, string_agg(answer, chr(10) ORDER BY qorder) AS expected FROM key GROUP BY 1, 2),
-    a AS (SELECT exam_id, base, list_transform(string_split_regex(expected, '(?:^|\s)OR(?:\s|$)'), lambda p: list_distinct(regexp_extract_all(p, '\(([a-d])\)', 1))) AS asked FROM kb),
-    w AS (SELECT exam_id, base, list_reduce(asked, lambda x, y: list_intersect(x, y)) AS wanted FROM a),
-    m AS (SELECT sheet_id, base, list_sort(list_filter(wanted, lambda x: NOT list_contains(regexp_extract_all(coalesce(answer, ''), '(?:^|\n)[ \t]*\(?([a-d])\)', 1), x))) AS missing FROM answer JOIN w USING (exam_id, base))
+    rf"""WITH {_KEY}, kp AS (SELECT exam_id, base, qorder, list_transform(string_split(regexp_replace(chr(10) || coalesce(answer, '') || chr(10), '([\s|)\]])OR([\s|(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+                         lambda p: list_distinct(regexp_extract_all(p, '(?:^|\n)[ \t]*[(\[]?[ \t]*([a-d])[ \t]*[)\].]', 1))) AS asked FROM key),
+    w AS (SELECT exam_id, base, list(DISTINCT part) AS wanted FROM (SELECT exam_id, base, unnest(list_reduce(asked, lambda x, y: list_intersect(x, y))) AS part FROM kp) t GROUP BY 1, 2),
+    m AS (SELECT sheet_id, base, list_sort(list_filter(wanted, lambda x: NOT list_contains(regexp_extract_all(coalesce(answer, ''), '(?:^|\n)[ \t]*[(\[]?[ \t]*([a-d])[ \t]*[)\].]', 1), x))) AS missing FROM answer JOIN w USING (exam_id, base))
     SELECT sheet_id, base, array_to_string(missing, ',') AS missing FROM m WHERE len(missing) > 0""",
 )
 def c19(answer, key_entry):
-    key = integrity.canonical_key(key_entry).groupBy("exam_id", "base").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qorder", "answer"))), lambda x: x["answer"]), "\n").alias("answer")
-    )
-    return assembly.incomplete_answers(answer, key)
+    return assembly.incomplete_answers(answer, integrity.canonical_key(key_entry).select("exam_id", "base", "answer"))
 
 
 @query(

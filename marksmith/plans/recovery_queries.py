@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.marks import quantize
@@ -351,15 +354,26 @@ def _page_anchor(page_question):
     return page_question.groupBy("sheet_id", "page_no").agg(ordered.alias("o")).select("sheet_id", "page_no", F.transform("o", lambda x: x["q"]).alias("wanted"), F.transform("o", lambda x: x["y"]).alias("ys"))
 
 
-@query("g2_anchors", ("page_question",))
+_ANCHORED = f"""{_YS}, v AS (SELECT sheet_id, page_no, len(ys) AS n, unnest(wanted) AS qid, unnest(ys) AS yt, generate_subscripts(ys, 1) AS pos FROM ys),
+v1 AS (SELECT *, CASE WHEN TRY_CAST(yt AS INT) BETWEEN 0 AND 1000 THEN TRY_CAST(yt AS INT) END AS y FROM v),
+v2 AS (SELECT *, CASE WHEN y = lag(y) OVER p OR y = lead(y) OVER p THEN NULL ELSE y END AS z FROM v1 WINDOW p AS (PARTITION BY sheet_id, page_no ORDER BY pos)),
+v3 AS (SELECT *, CASE WHEN z > coalesce(max(z) OVER (PARTITION BY sheet_id, page_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN z END AS k FROM v2),
+anchor AS (SELECT sheet_id, page_no, qid, pos, CASE WHEN 3 * count(k) OVER w >= 2 * n THEN k END AS y, count(k) OVER w = n AS exact FROM v3 WINDOW w AS (PARTITION BY sheet_id, page_no))"""
+
+
+@query("g2_anchors", ("page_question",), f"WITH {_ANCHORED} SELECT sheet_id, page_no, qid, CAST(pos - 1 AS INT) AS pos, y, exact FROM anchor")
 def g2(page_question):
     return regions.anchors(_page_anchor(page_question))
 
 
+#: Rows of ink that pages are cut from, each at its sheet's offset.
+_ROWS = [1 if r % 100 < 12 else 40 if r % 17 == 0 else 5 + r % 9 for r in range(1100)]
+
+
 def _ink(page_question):
-    amount = F.expr("transform(sequence(0, 999), r -> CAST(CASE WHEN (r + sheet_id) % 100 < 12 THEN 1 WHEN r % 17 = 0 THEN 40 ELSE 5 + (r + page_no) % 9 END AS INT))")
-    # made before distinct(), so that it is a column of its own and isn't made anew wherever a row of it is looked at
-    return page_question.select("sheet_id", "page_no", amount.alias("profile"), F.lit(2).alias("eps")).distinct()
+    rows = F.from_json(F.lit(json.dumps(_ROWS)), "array<int>")
+    pages = page_question.select("sheet_id", "page_no").distinct()
+    return pages.select("sheet_id", "page_no", F.slice(rows, (F.col("sheet_id") % 100 + 1).cast("int"), 1000).alias("profile"), F.lit(2).alias("eps"))
 
 
 def _bands(page_question):
@@ -369,17 +383,53 @@ def _bands(page_question):
     return bands(placed).join(placed.select("sheet_id", "page_no", "base", "qid"), ["sheet_id", "page_no", "base"]).drop("base")
 
 
-@query("g4_fit_bands", ("page_question",))
+#: A page's ink depends on its sheet's offset alone, so runs and bands are found once for each.
+_FITTED = f"""{_ANCHORED}, placed AS (SELECT sheet_id, page_no, qid, y AS top, coalesce(lead(y) OVER (PARTITION BY sheet_id, page_no ORDER BY y, qid), 1000) AS bottom FROM anchor WHERE y IS NOT NULL),
+rows AS (SELECT o, r, CASE WHEN (r + o) % 100 < 12 THEN 1 WHEN (r + o) % 17 = 0 THEN 40 ELSE 5 + (r + o) % 9 END AS ink FROM range(100) AS x(o), range(1000) AS z(r)),
+g AS (SELECT o, r, r - row_number() OVER (PARTITION BY o ORDER BY r) AS island FROM rows WHERE ink <= 2),
+runs AS (SELECT o, min(r) AS a, max(r) + 1 AS b FROM g GROUP BY o, island),
+cuts AS (SELECT DISTINCT sheet_id % 100 AS o, unnest([top, bottom]) AS y FROM placed),
+near AS (SELECT c.o, c.y, arg_min((a + b) // 2, (CASE WHEN c.y >= a AND c.y < b THEN 0 ELSE least(abs(c.y - a), abs(c.y - b + 1)) END) * 10000 + a) AS s FROM cuts c JOIN runs ON runs.o = c.o
+         WHERE CASE WHEN c.y >= a AND c.y < b THEN 0 ELSE least(abs(c.y - a), abs(c.y - b + 1)) END <= 80 GROUP BY 1, 2),
+cut AS (SELECT c.o, c.y, CASE WHEN c.y >= 1000 THEN 1000 ELSE coalesce(s, c.y) END AS s FROM cuts c LEFT JOIN near ON near.o = c.o AND near.y = c.y),
+band AS (SELECT p.*, sheet_id % 100 AS o, t.s AS lo, u.s AS hi FROM placed p JOIN cut t ON t.o = sheet_id % 100 AND t.y = top JOIN cut u ON u.o = sheet_id % 100 AND u.y = bottom),
+kind AS (SELECT DISTINCT o, lo, hi FROM band),
+trim_ AS (SELECT k.o, k.lo, k.hi, min(r) AS first, max(r) AS last FROM kind k LEFT JOIN rows ON rows.o = k.o AND r >= lo AND r < hi AND ink > 2 GROUP BY 1, 2, 3),
+fitted AS (SELECT sheet_id, page_no, qid, CAST(greatest(0, first - 8) AS INT) AS top, CAST(least(1000, last + 9) AS INT) AS bottom, b.o FROM (SELECT b.*, t.first, t.last FROM band b JOIN trim_ t ON t.o = b.o AND t.lo = b.lo AND t.hi = b.hi) b)"""
+
+
+@query("g4_fit_bands", ("page_question",), f"WITH {_FITTED} SELECT sheet_id, page_no, qid, CASE WHEN bottom IS NULL THEN NULL ELSE top END AS top, bottom FROM fitted")
 def g4(page_question):
     return regions.fit_bands(_bands(page_question), _ink(page_question))
 
 
-@query("g6_accept_bands", ("page_question",))
+_ACCEPTED = f"""{_FITTED}, sized AS (SELECT DISTINCT o, top, bottom FROM fitted WHERE bottom IS NOT NULL),
+size AS (SELECT z.o, z.top, z.bottom, count(*) FILTER (WHERE ink > 2) AS inked, max(ink) AS peak FROM sized z JOIN rows ON rows.o = z.o AND r >= top AND r < bottom GROUP BY 1, 2, 3),
+judged AS (SELECT f.*, CASE WHEN f.bottom IS NULL THEN 'band had no ink'
+              WHEN f.bottom - f.top < 40 OR (count(*) OVER (PARTITION BY sheet_id, page_no) > 1 AND f.bottom - f.top >= 980) OR inked < 6 OR peak < 4 THEN 'implausible band' ELSE '' END AS reason
+           FROM fitted f LEFT JOIN size z ON z.o = f.o AND z.top = f.top AND z.bottom = f.bottom),
+every AS (SELECT DISTINCT sheet_id, page_no, 'Q' || base AS qid FROM page_question)"""
+
+
+@query(
+    "g6_accept_bands",
+    ("page_question",),
+    f"""WITH {_ACCEPTED} SELECT e.sheet_id, e.page_no, e.qid, CASE WHEN reason = '' THEN top ELSE 0 END AS top, CASE WHEN reason = '' THEN bottom ELSE 1000 END AS bottom,
+        CASE WHEN reason = '' THEN 'band' ELSE 'page' END AS method, coalesce(reason, 'not placed') AS reason FROM every e LEFT JOIN judged USING (sheet_id, page_no, qid)""",
+)
 def g6(page_question):
     ink = _ink(page_question)
     return regions.accept_bands(regions.fit_bands(_bands(page_question), ink), ink, page_question.select("sheet_id", "page_no", F.concat(F.lit("Q"), "base").alias("qid")))
 
 
+@query("g6_page_regions", ("page_question",))
+def g6_regions(page_question):
+    start = F.min("page_no").over(Window.partitionBy("sheet_id", "base")) == F.col("page_no")
+    roles = page_question.withColumn("role", F.when(start, "start").otherwise("continuation")).withColumn("qid", F.concat(F.lit("Q"), "base"))
+    anchors = roles.join(g2(page_question).select("sheet_id", "page_no", "qid", "pos", "y"), ["sheet_id", "page_no", "qid"])
+    return regions.page_regions(anchors, _ink(page_question))
+
+
 @query(
     "g5_pick_boxes",
     ("page_question",),
