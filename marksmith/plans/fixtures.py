@@ -151,12 +151,13 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                         WHEN 3 THEN ' ' WHEN 4 THEN '12.5.2024' || chr(10) || 'Q1 = 4 C' || chr(10) || 'A11 = -2' || chr(10) || 'Ans ' || (l_linenumber + 2) || ') more' ELSE 'plain answer' END AS answer
             FROM lineitem""",
     ),
+    "glued_once": (("glued_answer",), "SELECT sheet_id, exam_id, base, min(answer) AS answer FROM glued_answer GROUP BY sheet_id, exam_id, base"),
     "glued_entry": (
-        ("glued_answer",),
-        """SELECT sheet_id, exam_id, 'Q' || base AS qid, base, CAST(10 * base AS INT) AS pos, answer, CASE WHEN answer LIKE 'plain%' AND base > 1 THEN 'Q' || (base - 1) END AS recovered_from FROM glued_answer
+        ("glued_once",),
+        """SELECT sheet_id, exam_id, 'Q' || base AS qid, base, CAST(10 * base AS INT) AS pos, answer, CASE WHEN answer LIKE 'plain%' AND base > 1 THEN 'Q' || (base - 1) END AS recovered_from FROM glued_once
            UNION ALL SELECT sheet_id, exam_id, 'Q' || base || '(b)', base, CAST(10 * base + 1 AS INT), 'second part' || chr(10) || 'Ans ' || (base + 2) || ': lifted from a sub-part' || chr(10) || 'Q.No. ' || (base + 3) || chr(10) || 'and the next', CAST(NULL AS VARCHAR(9))
-           FROM glued_answer WHERE answer LIKE 'plain%'
-           UNION ALL SELECT DISTINCT sheet_id, exam_id, '_unassigned_', CAST(NULL AS INT), 0, 'loose words' || chr(10) || '(Ques 6) on a loose page' || chr(10) || '  7. (c) and more', CAST(NULL AS VARCHAR(9)) FROM glued_answer WHERE answer = ' '""",
+           FROM glued_once WHERE answer LIKE 'plain%'
+           UNION ALL SELECT DISTINCT sheet_id, exam_id, '_unassigned_', CAST(NULL AS INT), 0, 'loose words' || chr(10) || '(Ques 6) on a loose page' || chr(10) || '  7. (c) and more', CAST(NULL AS VARCHAR(9)) FROM glued_once WHERE answer = ' '""",
     ),
     "matcher_reply": (
         ("lineitem",),
@@ -164,6 +165,17 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
            FROM (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS host, max(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x
            CROSS JOIN (SELECT 1 AS ask_no UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS asked""",
     ),
+    "tagged_answer": (
+        ("lineitem",),
+        """SELECT sheet_id, base, CASE part % 6 WHEN 0 THEN 'see [CODE: total_of = rows[0]]' || chr(10) || 'done' WHEN 1 THEN 'a [x] ] [DIAGRAM: box [x]' WHEN 2 THEN 'only [prose] = 4'
+                  WHEN 3 THEN 'def f(x):' || chr(10) || '    return x' || chr(10) || chr(10) || 'as asked' WHEN 4 THEN '    H' || chr(10) || '    |' || chr(10) || 'H - N - H' || chr(10) || 'is ammonia'
+                  ELSE '[CODE: a-b' || chr(10) || 'b] and [DIAGRAM: c [d]] end' END AS answer FROM (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, max(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x""",
+    ),
+    "formula_answer": (
+        ("lineitem",),
+        """SELECT sheet_id, base, 'x = ' || supp || chr(10) || 'the sum is known' || chr(10) || 'y^2 = ' || part AS text,
+                  'x =  ' || supp || chr(10) || 'the sum is known' || chr(10) || CASE WHEN part % 3 = 0 THEN 'y^2 = ' ELSE 'y2 = ' END || part AS again FROM (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, max(l_partkey) AS part, max(l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x""",
+    ),
     "key_both": (
         ("key_entry", "key_base"),
         """SELECT exam_id, label, marks, type, answer, name, qorder FROM key_entry

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, grading, integrity, keyedits, merges, notes, recovery, review, text
+from ..operators import assembly, grading, integrity, keyedits, merges, notes, recovery, review, segments, text
 from . import queries as base
 from .queries import query
 
@@ -148,9 +148,20 @@ def c21(answer):
     return assembly.symbol_flags(made)
 
 
-@query("c16_tag_spans", ("answer",), """SELECT sheet_id, base, 'DIAGRAM' AS kind, 0 AS start, 12 AS stop, 'x' AS inner_text, TRUE AS terminated FROM answer WHERE starts_with(answer, '[DIAGRAM: x]')""")
-def c16(answer):
-    return assembly.tag_spans(answer).withColumnRenamed("inner", "inner_text")
+@query(
+    "c16_tag_spans",
+    ("tagged_answer",),
+    r"""WITH w AS (SELECT sheet_id, base, answer, string_split(answer, '') AS c FROM tagged_answer WHERE regexp_matches(answer, '\[(CODE|DIAGRAM):')),
+    ch AS (SELECT sheet_id, base, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM w),
+    -- tags here nest in no other tag, so a tag opens at depth zero of its own text and closes where as many brackets closed as opened since
+    op AS (SELECT sheet_id, base, i, regexp_extract(substr(answer, i), '^\[(CODE|DIAGRAM):', 1) AS kind FROM ch JOIN w USING (sheet_id, base) WHERE ch.c = '[' AND regexp_matches(substr(answer, i), '^\[(CODE|DIAGRAM):')),
+    d AS (SELECT o.sheet_id, o.base, o.i AS o, kind, ch.i, sum(CASE ch.c WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END) OVER (PARTITION BY o.sheet_id, o.base, o.i ORDER BY ch.i) AS depth FROM op o JOIN ch ON ch.sheet_id = o.sheet_id AND ch.base = o.base AND ch.i >= o.i),
+    e AS (SELECT sheet_id, base, o, kind, min(i) FILTER (WHERE depth = 0) AS e FROM d GROUP BY 1, 2, 3, 4)
+    SELECT sheet_id, base, kind, CAST(o - 1 AS INT) AS start, CAST(coalesce(e, length(answer)) AS INT) AS stop,
+           trim(substr(answer, o + length(kind) + 2, coalesce(e, length(answer) + 1) - o - length(kind) - 2), ' ' || chr(9) || chr(13) || chr(10)) AS inner_text, e IS NOT NULL AS terminated FROM e JOIN w USING (sheet_id, base)""",
+)
+def c16(tagged):
+    return segments.tag_spans(tagged).withColumnRenamed("inner", "inner_text")
 
 
 @query(
@@ -172,15 +183,35 @@ def c17(answer, page_question, page_scan):
     return assembly.reading_agreement(span, asked, second).withColumn("line", F.md5("line"))
 
 
-@query("c18_apply_arbiter", ("answer",))
-def c18(answer):
-    again = answer.select("sheet_id", "base", F.expr("CASE WHEN base % 2 = 0 THEN translate(answer, '=', '-') ELSE answer || chr(10) || 'x' END").alias("text"))
-    return assembly.apply_arbiter(answer.select("sheet_id", "base", F.col("answer").alias("text")), again).withColumn("text", F.md5("text"))
+_SECOND = "CASE WHEN base % 3 = 0 THEN '[NO CODE]' WHEN base % 3 = 1 THEN answer ELSE replace(answer, '_', '-') END"
+_THIRD = "CASE WHEN base % 2 = 0 THEN 'total_of = rows[0]' ELSE 'total_of = rows[0' END"
+
+
+@query("c18_code_arbiter", ("tagged_answer",))
+def c18_code(tagged):
+    answer = tagged.select("sheet_id", "base", F.col("answer").alias("text"), F.expr("CASE WHEN base % 5 = 0 THEN 2 ELSE 1 END").alias("pages"))
+    return segments.apply_code_arbiter(answer, tagged.selectExpr("sheet_id", "base", f"{_SECOND} AS text"), tagged.selectExpr("sheet_id", "base", f"{_THIRD} AS text"))
+
+
+@query(
+    "c17_math_agreement",
+    ("formula_answer",),
+    r"""WITH l AS (SELECT sheet_id, base, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, regexp_replace(again, '\s+', '', 'g') AS page FROM formula_answer)
+    SELECT sheet_id, base, CAST(line_no AS INT) AS line_no, line, contains(page, regexp_replace(line, '\s+', '', 'g')) AS confirmed FROM l WHERE contains(line, '=') OR contains(line, '^')""",
+)
+def c17_math(formula):
+    return segments.math_agreement(formula.select("sheet_id", "base", "text"), formula.select("sheet_id", "base", F.col("again").alias("text")))
+
+
+@query("c18_math_arbiter", ("formula_answer",))
+def c18_math(formula):
+    third = formula.selectExpr("sheet_id", "base", "1 AS page_no", "CASE WHEN base % 2 = 0 THEN again ELSE again || ' so' END AS text")
+    return segments.apply_math_arbiter(formula.select("sheet_id", "base", "text"), formula.select("sheet_id", "base", F.col("again").alias("text")), third)
 
 
-@query("c22_answer_segments", ("page_scan",))
-def c22(page_scan):
-    return assembly.answer_segments(page_scan.select("sheet_id", F.col("page_no").alias("base"), F.col("text").alias("answer"))).withColumn("text", F.md5("text"))
+@query("c22_answer_segments", ("tagged_answer",))
+def c22(tagged):
+    return segments.answer_segments(tagged)
 
 
 @query("c23_best_reread", ("page_scan",))

@@ -115,12 +115,6 @@ def test_fragments(spark):
     assert assembly.merged_text("one row", "another thing altogether") == "one row\nanother thing altogether"
 
 
-def test_balanced_spans(spark):
-    rows = spark.createDataFrame([(1, 1, "see [CODE: a[0] = [1]] and [DIAGRAM: box"), (1, 2, "plain [x]")], "sheet_id long, base int, answer string")
-    got = {(r.base, r.kind, r.inner, r.terminated) for r in assembly.tag_spans(rows).collect()}
-    assert got == {(1, "CODE", "a[0] = [1]", True), (1, "DIAGRAM", "box", False)}
-
-
 def test_options_and_verdicts(spark):
     cases = [
         ("(b) mitochondria", "(a) mitochondria", "right"), ("(8) (c) QR:QP", "c", "right"), ("Q2. (A) 2x1", "A – two by one", "right"), ("(a)", "(b)", "wrong"), ("(a) and (b)", "(a)", "defer"), ("so the answer is (c)", "(c)", "defer"),
