@@ -69,6 +69,56 @@ def apply_key_edits(key: DataFrame, edits: DataFrame) -> DataFrame:
     return both.withColumns({"key_parse_missing": by_hand, "reconcile_note": F.when(by_hand, NOTE)})
 
 
+#: Within one event the teacher's changes count in this order.
+_ACTIONS = ("remove", "marks", "add")
+
+
+def since_reset(edits: DataFrame) -> DataFrame:
+    """The rows of an edit log (exam_id, seq, action, ..) that come after the last reset of their exam."""
+    last = edits.where("action = 'reset'").groupBy("exam_id").agg(F.max("seq").alias("_reset"))
+    return edits.where("action <> 'reset'").join(last, "exam_id", "left").where("_reset IS NULL OR seq > _reset").drop("_reset")
+
+
+def replay_edits(key: DataFrame, choice_group: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, choice groups) after a log of edits: key (exam_id, qid, marks, answer) and choice_group (exam_id, group_no, parent, members) as they were parsed.
+
+    edits (exam_id, seq, action, label, marks, answer, groups): events in order of seq, each with any number of rows. remove takes an entry away, marks sets those of an entry that is there at that time
+    (on the half-mark grid), add puts one in under its canonical id, in place of an earlier one; groups (an array of groups of ids) takes the place of all the exam's groups,
+    and the last one counts; reset goes back to what was parsed. Each entry's events are folded in order, so an exam with many edits isn't one group.
+    """
+    log = since_reset(edits)
+    id_ = F.when(F.col("action") == "add", canonical_id(F.trim("label"))).otherwise(F.col("label"))
+    rank = F.array_position(F.array(*[F.lit(a) for a in _ACTIONS]), F.col("action"))
+    event = F.struct("seq", rank.alias("rank"), "action", quantize(F.col("marks")).alias("marks"), F.col("marks").try_cast("double").isNotNull().alias("valid"), F.trim(F.coalesce("answer", F.lit(""))).alias("answer"))
+    events = log.where(F.col("action").isin(*_ACTIONS) & (F.trim("label") != "")).groupBy("exam_id", id_.alias("qid")).agg(F.array_sort(F.collect_list(event)).alias("events"))
+    parsed = key.select("exam_id", "qid", F.struct(F.lit(True).alias("there"), F.col("marks").cast("double").alias("marks"), "answer", F.lit(False).alias("added")).alias("start"))
+    absent = F.struct(F.lit(False).alias("there"), F.lit(None).cast("double").alias("marks"), F.lit(None).cast("string").alias("answer"), F.lit(False).alias("added"))
+
+    def step(acc, e):
+        gone = F.struct(F.lit(False).alias("there"), acc["marks"].alias("marks"), acc["answer"].alias("answer"), F.lit(False).alias("added"))
+        marked = F.struct(acc["there"].alias("there"), e["marks"].alias("marks"), acc["answer"].alias("answer"), acc["added"].alias("added"))
+        put = F.struct(F.lit(True).alias("there"), F.when(e["valid"], e["marks"]).otherwise(F.lit(0.0)).alias("marks"), e["answer"].alias("answer"), F.lit(True).alias("added"))
+        return F.when(e["action"] == "remove", gone).when(e["action"] == "add", put).when(acc["there"] & e["valid"], marked).otherwise(acc)
+
+    both = parsed.join(events, ["exam_id", "qid"], "full").withColumns({"start": F.coalesce("start", absent), "events": F.coalesce("events", F.expr("array()").cast(events.schema["events"].dataType))})
+    folded = both.withColumn("s", F.aggregate("events", F.col("start"), step)).where("s.there")
+    by_hand = F.col("teacher_added") & (F.col("answer") == "")
+    new_key = folded.select("exam_id", "qid", "s.marks", "s.answer", F.col("s.added").alias("teacher_added")).withColumns({"key_parse_missing": by_hand, "reconcile_note": F.when(by_hand, NOTE)})
+    chosen = log.where("action = 'groups'").groupBy("exam_id").agg(F.max_by("groups", "seq").alias("groups"))
+    listed = chosen.select("exam_id", F.posexplode(F.filter("groups", lambda g: F.size(g) > 0)).alias("group_no", "members"))
+    kept = choice_group.select("exam_id", "group_no", "parent", "members").join(chosen.select("exam_id"), "exam_id", "left_anti")
+    return new_key, kept.unionByName(collapse_members(listed))
+
+
+def marks_choice(edits: DataFrame) -> DataFrame:
+    """(exam_id, source, edited) from an edit log: whether anything was edited since the last reset, and the last source that was chosen since (action source, label paper or key)."""
+    log = since_reset(edits)
+    source = F.max_by("label", F.when(F.col("action") == "source", F.col("seq")))
+    exams = edits.select("exam_id").distinct()
+    found = log.groupBy("exam_id").agg(source.alias("source"), F.bool_or(F.col("action") != "source").alias("edited"))
+    return exams.join(found, "exam_id", "left").select("exam_id", "source", F.coalesce("edited", F.lit(False)).alias("edited"))
+
+
 def collapse_members(selection: DataFrame) -> DataFrame:
     """(exam_id, group_no, parent, members) of the entries that a teacher ticked (exam_id, group_no, members).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 MONEY, PRICE = "decimal(28,10)", "decimal(8,4)"
 #: Dollars per million tokens of a model that the price table lacks.
 UNKNOWN_IN, UNKNOWN_OUT = 1.5, 9.0
@@ -36,10 +38,34 @@ def spend_report(priced: DataFrame) -> DataFrame:
     return stages.select("stage", "calls", "tokens", F.col("cost").cast("double").alias("cost"), F.round(share, 6).alias("share"))
 
 
+def exact_quantile(values: DataFrame, column: str, q: float) -> DataFrame:
+    """One row (value): the q-quantile of a column, in between two values where it falls so; null without values.
+
+    By rank over ranges: equal values are counted first, ranges of values are counted next, and only the ranges that hold the two ranks are looked at, so
+    neither a task nor an aggregate holds more than a range.
+    """
+    spark, path = values.sparkSession, scratch(values.sparkSession, "ranges")
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.schema("v double, n long, part int").parquet(path)
+    sizes = ranges.groupBy("part").agg(F.sum("n").alias("size"))  # a row for each range
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("total", F.sum("size").over(Window.partitionBy()))
+    at = (F.col("total") - 1) * F.lit(q)
+    wanted = placed.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
+    upto = Window.partitionBy("part", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = ranges.join(F.broadcast(wanted.select("part", "rank", "before", at.alias("at"))), "part").withColumn("upto", F.col("before") + F.sum("n").over(upto))
+    hit = near.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    return hit.agg((low + (high - low) * (F.max("at") - F.min("rank"))).alias("value"))
+
+
 def spend_per_run(priced: DataFrame) -> DataFrame:
     """Median, mean, least and most cost of a run."""
     runs = priced.groupBy("run_id").agg(F.sum("cost").cast("double").alias("cost"))
-    return runs.agg(F.round(F.percentile("cost", 0.5), 6).alias("median"), F.round(F.avg("cost"), 6).alias("mean"), F.min("cost").alias("least"), F.max("cost").alias("most"), F.count(F.lit(1)).alias("runs"))
+    whole = runs.agg(F.round(F.avg("cost"), 6).alias("mean"), F.min("cost").alias("least"), F.max("cost").alias("most"), F.count(F.lit(1)).alias("runs"))
+    median = exact_quantile(runs, "cost", 0.5).select(F.round("value", 6).alias("median"))
+    return median.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k").select("median", "mean", "least", "most", "runs")  # a row each
 
 
 def stage_overruns(timing: DataFrame, ceilings: DataFrame, default: float = 1200.0) -> DataFrame:

@@ -71,7 +71,7 @@ def a10(timing):
     path, by_run = scratch(timing.sparkSession, "snapshots"), timing.groupBy("run_id")
     archive.write_snapshot(by_run.agg(F.sum("seconds").alias("seconds")).where("run_id % 3 = 0"), path)
     archive.write_snapshot(by_run.agg(F.min("seconds").alias("seconds")), path)  # runs that are there already stay
-    return timing.sparkSession.read.parquet(path).select(F.col("run_id").cast("long").alias("run_id"), "seconds")
+    return archive.read_snapshots(timing.sparkSession, path)
 
 
 @query("a11_replace_runs", ("stage_timing",), "SELECT run_id, stage, max(seconds) AS seconds FROM stage_timing WHERE run_id % 2 = 0 GROUP BY 1, 2 UNION ALL SELECT run_id, stage, min(seconds) FROM stage_timing WHERE run_id % 2 = 1 GROUP BY 1, 2")
@@ -79,7 +79,7 @@ def a11(timing):
     path, by_stage = scratch(timing.sparkSession, "runs"), timing.groupBy("run_id", "stage")
     files.replace_runs(by_stage.agg(F.max("seconds").alias("seconds")), path)
     files.replace_runs(by_stage.agg(F.min("seconds").alias("seconds")).where("run_id % 2 = 1"), path)
-    return timing.sparkSession.read.parquet(path).select(F.col("run_id").cast("long").alias("run_id"), "stage", "seconds")
+    return files.read_runs(timing.sparkSession, path).select("run_id", "stage", "seconds")
 
 
 @query(
@@ -127,12 +127,11 @@ def s4(page_verdict):
 def s1(cost_event):
     spark, path = _json_lines(cost_event.select("run_id", F.col("event_id").cast("string").alias("content"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("archived_at")), "states")
     index = scratch(spark, "index")
-    spark.createDataFrame([], feeds.INDEX).write.parquet(index)
     schema = "run_id LONG, content STRING, archived_at STRING"
     for state in ("sweep", "again"):  # the second sweep starts anew and finds nothing to archive
         writer = feeds.archive_stream(spark, path, schema, index).option("checkpointLocation", scratch(spark, state)).trigger(availableNow=True)
         writer.start().awaitTermination()
-    return spark.read.parquet(index).select("run_id", "content_hash", "version")
+    return feeds.archived(spark, index).select(F.col("run_id").cast("long").alias("run_id"), "content_hash", "version")
 
 
 @query("c4_merge_fragments", ("answer",))

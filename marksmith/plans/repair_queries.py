@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, recovery, splits
+from ..operators import integrity, keyedits, recovery, splits
 from . import queries as base
 from .queries import query
 
@@ -120,3 +120,47 @@ _KIND = "CASE event_id % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'recovered' ELSE 'sym
 def d14(cost_event):
     note = F.expr("CASE WHEN model = 'other' THEN '' ELSE model END").alias("note")
     return recovery.merge_side_flags(cost_event.select(F.col("run_id").alias("sheet_id"), (1 + F.col("event_id") % 7).alias("base"), F.expr(_KIND).alias("kind"), F.col("event_id").alias("layer"), note))
+
+
+#: A log over all parts: removals, marks and additions of entries, and a reset of some exams midway.
+_LOG = """SELECT exam_id, qorder AS seq, CASE p % 5 WHEN 0 THEN 'remove' WHEN 1 THEN 'marks' WHEN 2 THEN 'add' WHEN 3 THEN 'add' ELSE CASE WHEN marks > 3.5 THEN 'reset' ELSE 'marks' END END AS action,
+CASE WHEN p % 5 = 3 THEN 'ques ' || (p % 9 + 20) ELSE qid END AS label, CASE WHEN p % 4 = 0 THEN 'x' ELSE '2.5' END AS marks, CASE WHEN p % 2 = 0 THEN ' given ' ELSE '' END AS answer FROM {key}"""
+
+
+def _log(key):
+    rows = key.withColumn("p", F.expr("CAST(qorder % 1000 AS INT)"))
+    return rows.selectExpr(*[f"{x}" for x in (
+        "exam_id", "qorder AS seq", "CASE p % 5 WHEN 0 THEN 'remove' WHEN 1 THEN 'marks' WHEN 2 THEN 'add' WHEN 3 THEN 'add' ELSE CASE WHEN marks > 3.5 THEN 'reset' ELSE 'marks' END END AS action",
+        "CASE WHEN p % 5 = 3 THEN 'ques ' || (p % 9 + 20) ELSE qid END AS label", "CASE WHEN p % 4 = 0 THEN 'x' ELSE '2.5' END AS marks", "CASE WHEN p % 2 = 0 THEN ' given ' ELSE '' END AS answer", "CAST(NULL AS ARRAY<ARRAY<STRING>>) AS groups",
+    )])
+
+
+@query(
+    "e12_replayed_key",
+    ("key_entry",),
+    f"""WITH {base._KEY}, kk AS (SELECT *, CAST(qorder % 1000 AS INT) AS p FROM key), lg AS ({_LOG.format(key="kk")}),
+    rs AS (SELECT exam_id, max(seq) AS r FROM lg WHERE action = 'reset' GROUP BY 1), ev AS (SELECT lg.* FROM lg LEFT JOIN rs USING (exam_id) WHERE action <> 'reset' AND (r IS NULL OR seq > r)),
+    e2 AS (SELECT exam_id, seq, action, CASE WHEN starts_with(label, 'ques ') THEN 'Q' || substr(label, 6) ELSE label END AS qid, TRY_CAST(marks AS DOUBLE) AS m, trim(answer) AS answer FROM ev),
+    la AS (SELECT exam_id, qid, max(seq) FILTER (WHERE action = 'add') AS added, max(seq) FILTER (WHERE action = 'remove') AS removed FROM e2 GROUP BY 1, 2),
+    ids AS (SELECT exam_id, qid FROM key UNION SELECT exam_id, qid FROM la),
+    st AS (SELECT i.exam_id, i.qid, k.qid IS NOT NULL AS parsed, k.marks AS pm, k.answer AS pa, added, removed FROM ids i LEFT JOIN key k USING (exam_id, qid) LEFT JOIN la USING (exam_id, qid)),
+    al AS (SELECT *, coalesce(added > removed, added IS NOT NULL) AS by_teacher FROM st WHERE CASE WHEN removed IS NULL THEN parsed OR added IS NOT NULL ELSE coalesce(added > removed, FALSE) END),
+    mk AS (SELECT al.exam_id, al.qid, arg_max(m, seq) AS m FROM al JOIN e2 ON e2.exam_id = al.exam_id AND e2.qid = al.qid AND ((action = 'marks' AND m IS NOT NULL) OR (action = 'add' AND seq = added)) AND seq >= CASE WHEN by_teacher THEN added ELSE -1 END GROUP BY 1, 2),
+    ans AS (SELECT al.exam_id, al.qid, arg_max(answer, seq) AS a FROM al JOIN e2 ON e2.exam_id = al.exam_id AND e2.qid = al.qid AND action = 'add' GROUP BY 1, 2)
+    SELECT al.exam_id, al.qid, CASE WHEN mk.qid IS NOT NULL THEN coalesce(mk.m, 0) ELSE CAST(pm AS DOUBLE) END AS marks, CASE WHEN by_teacher THEN a ELSE pa END AS answer, by_teacher AS teacher_added, by_teacher AND a = '' AS key_parse_missing
+    FROM al LEFT JOIN mk USING (exam_id, qid) LEFT JOIN ans USING (exam_id, qid)""",
+)
+def e12_replayed(key_entry):
+    key = integrity.canonical_key(key_entry)
+    none = key.select("exam_id", F.lit(0).alias("group_no"), F.lit("").alias("parent"), F.array(F.lit("")).alias("members")).limit(0)
+    return keyedits.replay_edits(key, none, _log(key))[0].drop("reconcile_note")
+
+
+@query(
+    "e28_marks_choice",
+    ("key_entry",),
+    f"""WITH {base._KEY}, kk AS (SELECT *, CAST(qorder % 1000 AS INT) AS p FROM key), lg AS ({_LOG.format(key="kk")}), rs AS (SELECT exam_id, max(seq) AS r FROM lg WHERE action = 'reset' GROUP BY 1)
+    SELECT exam_id, CAST(NULL AS VARCHAR) AS source, coalesce(bool_or(action <> 'reset' AND (r IS NULL OR seq > r)), false) AS edited FROM lg LEFT JOIN rs USING (exam_id) GROUP BY 1""",
+)
+def e28_choice(key_entry):
+    return keyedits.marks_choice(_log(integrity.canonical_key(key_entry)))

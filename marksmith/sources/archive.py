@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runs import RunStore
+
 #: A reply's fields and the columns that they become.
 REPLY_FIELDS = {
     "Marks Awarded": "marks_awarded", "Confidence (Low/Medium/High)": "confidence", "Justification": "justification", "Feedback": "feedback",
@@ -13,18 +17,43 @@ REPLY_FIELDS = {
 PAIRS = "map<string,string>"
 
 
+#: A quoted text with its escapes, read once, and the rest of a reply up to the next bracket or quote.
+_QUOTED, _TOKEN = r'"(?:[^"\\]++|\\.)*+"', r'(?s)"(?:[^"\\]++|\\.)*+"|[{}]|[^{}"]++|"'
+_VALUE = rf'{_QUOTED}|-?[0-9]+(?:\.[0-9]+)?|true|false|null'
+
+
+def leading_object(text: Column) -> Column:
+    """The object that a text begins with, to the brace that closes it: braces within quoted texts don't count, escaped quotes don't end one. Null when none closes."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = acc["at"] + F.length(token)
+        return F.when(acc["end"].isNotNull(), acc).otherwise(F.struct(at.alias("at"), depth.alias("depth"), F.when((token == "}") & (depth == 0), at).alias("end")))
+
+    end = F.aggregate(tokens, start, step)["end"]
+    return F.when(text.startswith("{") & end.isNotNull(), F.substring(text, F.lit(1), end))
+
+
 def parse_replies(reply: DataFrame) -> DataFrame:
-    """reply (.., raw) with one column a field and parse_status: clean, repaired (stray backslashes doubled), salvaged (from its whole pairs) or failed."""
+    """reply (.., raw) with one column a field and parse_status: clean, repaired, salvaged or failed.
+
+    Text between the first and the last brace is tried as it is, then with stray backslashes doubled (repaired), then the object alone that it begins with, whatever prose follows
+    (repaired), and at last its whole pairs of key and value (salvaged), quotes within values included. Fields that hold objects or lists keep their JSON.
+    """
     block = F.regexp_extract(F.coalesce("raw", F.lit("")), r"(?s)(\{.*\})", 1)
     text = F.when(block != "", block).otherwise(F.coalesce("raw", F.lit("")))
-    repaired = F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
-    pair = r'"[^"\n]+"\s*:\s*(?:"[^"\\\n]*"|-?[0-9]+(?:\.[0-9]+)?|true|false|null)'
-    whole = F.regexp_extract_all(text, F.lit(pair), 0)
+    doubled = lambda t: F.regexp_replace(t, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    whole = F.regexp_extract_all("_text", F.lit(rf"{_QUOTED}\s*:\s*(?:{_VALUE})"), F.lit(0))
     salvaged = F.when(F.size(whole) > 0, F.concat(F.lit("{"), F.array_join(whole, ","), F.lit("}")))
-    tries = [F.from_json(t, PAIRS) for t in (text, repaired, salvaged)]
-    usable = [F.when(F.size(t) > 0, t) for t in tries]
-    status = F.coalesce(*[F.when(u.isNotNull(), F.lit(s)) for u, s in zip(usable, ("clean", "repaired", "salvaged"))], F.lit("failed"))
-    rows = reply.withColumns({"parse_status": status, "_m": F.coalesce(*usable)})
+    rows = reply.withColumn("_text", text).withColumn("_lead", leading_object(F.col("_text")))
+    alone = F.when(F.col("_lead") == F.col("_text"), F.col("_text"))  # what follows an object isn't looked at by the parser
+    tries = [F.from_json(t, PAIRS) for t in (alone, doubled(alone), F.col("_lead"), doubled(F.col("_lead")), salvaged)]
+    rows = rows.withColumns({f"_t{k}": F.when(F.size(t) > 0, t) for k, t in enumerate(tries)})
+    names = ("clean", "repaired", "repaired", "repaired", "salvaged")
+    status = F.coalesce(*[F.when(F.col(f"_t{k}").isNotNull(), F.lit(s)) for k, s in enumerate(names)], F.lit("failed"))
+    rows = rows.withColumns({"parse_status": status, "_m": F.coalesce(*[f"_t{k}" for k in range(len(names))])})
     return rows.select(*[c for c in reply.columns if c != "raw"], "parse_status", *[F.col("_m")[F.lit(f)].alias(c) for f, c in REPLY_FIELDS.items()])
 
 
@@ -37,13 +66,11 @@ def scan_completed(spark: SparkSession, path: str) -> DataFrame:
 
 def write_rejected(rejected: DataFrame, reviews: DataFrame, path: str) -> None:
     """Puts the rejected rows of ``reviews`` (review_id) in place of what the table has of them; reviews without any lose theirs."""
-    rows = reviews.select("review_id").distinct().join(rejected, "review_id", "left")
-    rows.write.partitionBy("review_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    RunStore(reviews.sparkSession, path, ("review_id",)).commit(uuid.uuid4().hex, {"rejected": rejected}, reviews)
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:
-    """The rejected rows; the row of nulls that stands for a review without any is left out."""
-    return spark.read.parquet(path).where("qid IS NOT NULL")
+    return RunStore(spark, path, ("review_id",)).read("rejected")
 
 
 def upsert_index(index: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,12 +81,28 @@ def upsert_index(index: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def write_snapshot(result: DataFrame, path: str) -> None:
-    """Writes runs' results once: runs that the table has already stay as they are."""
-    spark, rows = result.sparkSession, result
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        rows = result.join(spark.read.parquet(path).select("run_id").distinct(), "run_id", "left_anti")
-    rows.write.partitionBy("run_id").mode("append").parquet(path)
+    """Writes runs' results once: runs that the table has already stay as they are, also when two jobs write at the same time."""
+    RunStore(result.sparkSession, path).commit(uuid.uuid4().hex, {"result": result}, result, once=True)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return RunStore(spark, path).read("result")
+
+
+def write_index(new: DataFrame, path: str) -> None:
+    """Upserts the archive's index by (run_id, content_hash), the last of several counts; only the buckets of its keys are written."""
+    store = RunStore(new.sparkSession, path, ("run_id", "content_hash"))
+    last = new.groupBy("run_id", "content_hash").agg(F.max_by(F.struct(*new.columns), "archived_at").alias("r")).select("r.*")
+    store.commit(uuid.uuid4().hex, {"index": last}, last)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return RunStore(spark, path, ("run_id", "content_hash")).read("index")
+
+
+def index_lines(new: DataFrame) -> DataFrame:
+    """(line): a CSV line of each archive event, in the order of the columns, for appending to a readable log."""
+    return new.orderBy("archived_at", "run_id").select(F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in new.columns])).alias("line"))
 
 
 def run_stamp(run: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runs import RunStore
+
 #: Entries of a key file that aren't questions.
 NOT_QUESTIONS = ("_instructions_", "metadata")
 ENTRY = "MAP<STRING, STRUCT<question: STRING, answer: STRING, marks: STRING, type: STRING>>"
@@ -46,9 +51,26 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def run_manifest(found: DataFrame, root: str) -> DataFrame:
+    """(run_id, files, n_files, bytes, has_pdf, has_evidence) of files (file, sha256, bytes) below ``root``: a run is a folder there, its evidence what lies in its folder evidence.
+
+    Files that lie in no run's folder belong to none. files has name (below the run's folder), sha256 and bytes, by name.
+    """
+    below = F.regexp_extract("file", f"{re.escape(root.rstrip('/'))}/(.+)$", 1)
+    parts = found.withColumn("_b", below).withColumns({"run_id": F.regexp_extract("_b", "^([^/]+)/", 1), "name": F.regexp_extract("_b", "^[^/]+/(.+)$", 1)}).where("run_id <> ''")
+    return parts.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("name", "sha256", "bytes"))).alias("files"), F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"),
+        F.bool_or(F.lower("name").endswith(".pdf")).alias("has_pdf"), F.bool_or(F.col("name").startswith("evidence/")).alias("has_evidence"),
+    )
+
+
 def replace_runs(result: DataFrame, path: str) -> None:
-    """Writes the rows of each run in place of those that the run had; other runs stay."""
-    result.write.partitionBy("run_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Writes the rows of each run in place of those that the run had; other runs stay. Several tables at once: runs.replace_run_tables()."""
+    RunStore(result.sparkSession, path).commit(uuid.uuid4().hex, {"result": result}, result)
+
+
+def read_runs(spark: SparkSession, path: str, table: str = "result") -> DataFrame:
+    return RunStore(spark, path).read(table)
 
 
 def destination(class_name: str, subject: str) -> list:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reports import price_calls
 from ..sources.files import COST
+from ..sources.runs import RunStore, write_bundles
 
 DECISION = "review_id LONG, base INT, seq LONG, decision STRING, corrected_marks DOUBLE"
-INDEX = "run_id LONG, content_hash STRING, version INT, archived_at STRING"
 PROGRESS = "batch_id STRING, sheet_no INT, status STRING"
 
 
@@ -38,20 +40,23 @@ def progress_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_stream(spark: SparkSession, path: str, schema: str, index_path: str, every: str = "300 seconds"):
-    """A writer that archives each new or changed run of the JSON snapshots below ``path`` (run_id, content, archived_at).
+    """A writer that archives each new or changed run of the JSON snapshots below ``path`` (run_id, content, archived_at) as bundles; see write_bundles().
 
-    A run whose content the index has already is passed over; another gets the next version. The index is appended to in
-    one write a batch, and rows that a repeated batch would bring again are the ones passed over, so a failed batch is
-    simply tried again. Call start() on the result.
+    A batch is committed under its number and the name of its query, so one that was killed, wherever, is repeated without a second version. Call start() on the result.
     """
-    from ..operators.reports import next_versions
+    name = hashlib.sha256(path.encode()).hexdigest()[:16]
 
-    def archive(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        last = batch.groupBy("run_id").agg(F.max_by(F.struct("content", "archived_at"), "archived_at").alias("r")).select("run_id", "r.content", "r.archived_at")
-        known = session.read.schema(INDEX).parquet(index_path)
-        latest = known.groupBy("run_id").agg(F.max_by(F.struct("content_hash", "version"), "version").alias("l")).select("run_id", "l.content_hash", "l.version")
-        new = next_versions(last.select("run_id", "content"), latest).join(last.select("run_id", "archived_at"), "run_id")
-        new.select("run_id", "content_hash", F.col("version").cast("int").alias("version"), "archived_at").write.mode("append").parquet(index_path)
+    def archive(batch: DataFrame, number: int) -> None:
+        write_bundles(RunStore(batch.sparkSession, index_path), f"{name}-{number}-{_state_of(batch)}", batch)
 
     return spark.readStream.schema(schema).json(path).writeStream.trigger(processingTime=every).foreachBatch(archive)
+
+
+def _state_of(batch: DataFrame) -> str:
+    """The id of the query that a batch belongs to: it stays with the query's checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+def archived(spark: SparkSession, index_path: str) -> DataFrame:
+    """(run_id, content_hash, version, archived_at, content, files) of all bundles."""
+    return RunStore(spark, index_path).read("bundle", "run_id string, content_hash string, version int, archived_at string, content string, files array<struct<name:string,sha256:string,bytes:bigint>>")

@@ -42,7 +42,7 @@ def test_runs_are_replaced_alone(spark, tmp_path):
     path = str(tmp_path / "results")
     files.replace_runs(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "run_id string, mark int"), path)
     files.replace_runs(spark.createDataFrame([("a", 9)], "run_id string, mark int"), path)
-    assert {(r.run_id, r.mark) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", 3)}
+    assert {(r.run_id, r.mark) for r in files.read_runs(spark, path).collect()} == {("a", 9), ("b", 3)}
 
 
 def test_destination(spark):
