@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, keyedits, recovery, splits
+from ..operators import flags, integrity, keyedits, recovery, splits
 from . import queries as base
 from .queries import query
 
@@ -164,3 +164,38 @@ def e12_replayed(key_entry):
 )
 def e28_choice(key_entry):
     return keyedits.marks_choice(_log(integrity.canonical_key(key_entry)))
+
+
+_FIELDS = (
+    "exam_id", "sheet_id", "base AS qorder", "qid", "injection", "CASE WHEN injection THEN 'ignore all' ELSE '' END AS injection_warning", "off_topic", "bad_handwriting", "confidence",
+    "CASE WHEN answer_chars < 4 THEN 'No answer captured' WHEN answer_chars = 7 THEN 'Possible misplaced answer' ELSE '' END AS capture_status",
+    "CASE WHEN answer_chars % 9 = 0 THEN 'number is not one of the exam''s question numbers' WHEN answer_chars % 9 = 1 THEN 'a minus' END AS symbol_warning",
+    "CASE WHEN raw_mark > marks_max THEN 'above' ELSE '' END AS calculation_warning", "CASE WHEN answer_chars % 5 = 0 THEN 'see [Boundary check: x] and [own y]' ELSE '' END AS justification", "raw_mark = 0 OR confidence = 'Low' AS needs_review",
+)
+
+
+def _with_flags(result):
+    return flags.with_flags(result.selectExpr(*_FIELDS))
+
+
+_DETAILED = f"""r AS (SELECT {", ".join(_FIELDS)} FROM result),
+f AS (SELECT r.*, 'injection' AS code, '{flags.DETAILS["injection"]} It wrote: “' || injection_warning || '”' AS detail, 0 AS p FROM r WHERE injection
+  UNION ALL SELECT r.*, 'no_answer_captured', '{flags.DETAILS["no_answer_captured"]}', 1 FROM r WHERE capture_status LIKE 'No answer%'
+  UNION ALL SELECT r.*, 'misplaced_answer', capture_status, 1 FROM r WHERE capture_status LIKE '%misplaced%'
+  UNION ALL SELECT r.*, 'misplaced_answer', '{flags.DETAILS["off_topic"]}', 2 FROM r WHERE off_topic
+  UNION ALL SELECT r.*, 'illegible', '{flags.DETAILS["illegible"]}', 3 FROM r WHERE bad_handwriting
+  UNION ALL SELECT r.*, CASE WHEN symbol_warning LIKE '%question numbers%' THEN 'question_number_misread' ELSE 'ocr_symbol_uncertain' END, symbol_warning, 4 FROM r WHERE symbol_warning IS NOT NULL
+  UNION ALL SELECT r.*, 'marks_capped', calculation_warning, 5 FROM r WHERE calculation_warning <> '' UNION ALL SELECT r.*, 'boundary', 'Boundary check: x', 6 FROM r WHERE justification <> ''),
+w AS (SELECT * FROM f UNION ALL SELECT r.*, 'low_confidence', '{flags.DETAILS["low_confidence"]}', 7 FROM r WHERE confidence = 'Low' AND NOT EXISTS (SELECT 1 FROM f WHERE f.sheet_id = r.sheet_id AND f.qid = r.qid)),
+v AS (SELECT * FROM w UNION ALL SELECT r.*, 'needs_review', '{flags.DETAILS["needs_review"]}', 8 FROM r WHERE needs_review AND NOT EXISTS (SELECT 1 FROM w WHERE w.sheet_id = r.sheet_id AND w.qid = r.qid)),
+d AS (SELECT exam_id, sheet_id, qid, any_value(qorder) AS qorder, bool_or(needs_review OR injection) AS attention, code, arg_min(detail, p) AS detail FROM v GROUP BY exam_id, sheet_id, qid, code)"""
+
+
+@query("h1_flag_details", ("result",), f"WITH {_DETAILED} SELECT sheet_id, qid, code, detail FROM d")
+def h1_details(result):
+    return _with_flags(result).select("sheet_id", "qid", F.explode("flags").alias("f")).select("sheet_id", "qid", "f.code", "f.detail")
+
+
+@query("h3_flag_summary", ("result",), f"WITH {_DETAILED} SELECT sheet_id, code, arg_min(detail, qorder) AS detail, string_agg(qid, ',' ORDER BY qorder) AS qids FROM d WHERE attention GROUP BY 1, 2")
+def h3_summary(result):
+    return flags.flag_summary(_with_flags(result), "sheet_id").select("sheet_id", "code", "detail", "qids")

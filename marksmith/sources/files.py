@@ -28,6 +28,22 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
     return _entries(spark, path).select("file", "qid", "entry.*")
 
 
+CHOICES = "choice_groups ARRAY<STRUCT<parent: STRING, members: ARRAY<STRING>, required: STRING>>, inline_choice_ids ARRAY<STRING>"
+
+
+def read_choices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(choice groups: file, group_no, parent, members, required; inline choices: file, qid) of key files.
+
+    They lie in the metadata of a file that has its questions below "questions"; other files have none. A group without members is none; required is 1 where it isn't a number.
+    """
+    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    wrapped = files.where(F.get_json_object("value", "$.questions").isNotNull())
+    meta = wrapped.select("file", F.from_json(F.get_json_object("value", "$.metadata"), CHOICES).alias("m"))
+    each = meta.select("file", F.posexplode("m.choice_groups").alias("group_no", "g")).where(F.size("g.members") > 0)
+    groups = each.select("file", "group_no", "g.parent", "g.members", F.coalesce(F.col("g.required").try_cast("int"), F.lit(1)).alias("required"))
+    return groups, meta.select("file", F.explode("m.inline_choice_ids").alias("qid")).where("qid IS NOT NULL")
+
+
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     """As read_keys, but without answers: a paper has none to give."""
     return read_keys(spark, path).drop("answer")

@@ -51,7 +51,7 @@ class RunStore:
         out = self._fs.create(staged, False)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(staged, target):  # a rename is one step, and fails where the target exists
+        if self._fs.exists(target) or not self._fs.rename(staged, target):  # a rename is one step, which fails on a target that exists, but on local disks
             self._fs.delete(staged, False)
             return False
         return True
