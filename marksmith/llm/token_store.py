@@ -15,8 +15,13 @@ order, and the table of segments lies in a Parquet table in the shared folder, w
 which any file system can hold. A document's start is its place in the segment, plus the segments
 before it in its shard, plus the shards before.
 
+A document is read without the others of its segment: the index says where the blocks that hold its ids
+begin, and only those are decoded (``unpack_range``, ``read_documents``).
+
 Defined results: null and empty texts hold the end id alone. Null ids come first. Rows that repeat an
-id are stored one behind the other, ordered by text. An empty table gives an empty table.
+id are stored one behind the other, in a fixed order; ranges part them by their texts, and equal rows by where they
+were read, so that no task gets all rows of one id, or all without. Texts may be of any length; a segment holds a document whole. An
+empty table gives an empty table. Only the id and the text are read, so extra columns may have any names and types.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from .byte_tokens import tokenizer
 from .common import record_batches, shuffle_partitions, texts, written
 
 BLOCK, PACKED_SHARE, SEGMENT_IDS, END_ID = 256, 0.9, 1 << 18, 2
+HEAD_CHARS = 32
 MAGIC = b"PFR1"
 SEGMENTS = "shard int, segment int, n_ids long, payload binary"
 
@@ -72,36 +78,56 @@ def pack_segment(ids: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, len
     return b"".join([head, documents, index, *parts])
 
 
+class Segment:
+    """A segment's head, documents and index; its blocks are decoded as they are asked for."""
+
+    def __init__(self, data: bytes):
+        magic, self.n_ids, n_docs, self.n_blocks = struct.unpack_from("<4sIII", data)
+        if magic != MAGIC:
+            raise ValueError("not a segment of this format")
+        self.data, at = data, struct.calcsize("<4sIII")
+
+        def column(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(data, dtype=kind, count=n, offset=at)
+            at += found.nbytes
+            return found
+
+        self.doc_ids, self.doc_null, self.lengths = column("<i8", n_docs), column("u1", n_docs), column("<u4", n_docs)
+        self.starts, self.lowest = column("<u4", self.n_blocks + 1), column("<u4", self.n_blocks)
+        self.width, self.n_out = column("u1", self.n_blocks), column("<u2", self.n_blocks)
+        self.body = at
+
+    def blocks(self, first: int, last: int) -> np.ndarray:
+        """The ids of the blocks from ``first`` up to ``last``, padding included."""
+        n, width = last - first, self.width[first:last]
+        ids = np.zeros((n, BLOCK), dtype=np.uint32)
+        planes = np.zeros((int(width.max(initial=0)), n, BLOCK // 8), dtype=np.uint8)
+        patches = []
+        for k, (start, w, out) in enumerate(zip((self.starts[first:last].astype(np.int64) + self.body).tolist(), width.tolist(), self.n_out[first:last].tolist())):
+            size = w * BLOCK // 8
+            planes[:w, k] = np.frombuffer(self.data, dtype=np.uint8, count=size, offset=start).reshape(w, BLOCK // 8)
+            if out:
+                position = np.frombuffer(self.data, dtype=np.uint8, count=out, offset=start + size)
+                patches.append((k, position, np.frombuffer(self.data, dtype="<u4", count=out, offset=start + size + out) << np.uint32(w)))
+        for j, plane in enumerate(planes):
+            ids |= np.unpackbits(plane, axis=1, bitorder="little").astype(np.uint32) << np.uint32(j)
+        for k, position, high in patches:
+            ids[k, position] |= high
+        ids += self.lowest[first:last, None]
+        return ids.reshape(-1)
+
+
 def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, doc_ids, doc_null, lengths) from a segment's bytes."""
-    magic, n_ids, n_docs, n_blocks = struct.unpack_from("<4sIII", data)
-    if magic != MAGIC:
-        raise ValueError("not a segment of this format")
-    at = struct.calcsize("<4sIII")
-
-    def column(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(data, dtype=kind, count=n, offset=at)
-        at += found.nbytes
-        return found
-
-    doc_ids, doc_null, lengths = column("<i8", n_docs), column("u1", n_docs), column("<u4", n_docs)
-    starts, lowest, width, n_out = column("<u4", n_blocks + 1), column("<u4", n_blocks), column("u1", n_blocks), column("<u2", n_blocks)
-    ids = np.zeros((n_blocks, BLOCK), dtype=np.uint32)
-    planes = np.zeros((int(width.max(initial=0)), n_blocks, BLOCK // 8), dtype=np.uint8)
-    patches = []
-    for k, (start, w, n) in enumerate(zip((starts[:-1].astype(np.int64) + at).tolist(), width.tolist(), n_out.tolist())):
-        size = w * BLOCK // 8
-        planes[:w, k] = np.frombuffer(data, dtype=np.uint8, count=size, offset=start).reshape(w, BLOCK // 8)
-        if n:
-            position = np.frombuffer(data, dtype=np.uint8, count=n, offset=start + size)
-            patches.append((k, position, np.frombuffer(data, dtype="<u4", count=n, offset=start + size + n) << np.uint32(w)))
-    for j, plane in enumerate(planes):
-        ids |= np.unpackbits(plane, axis=1, bitorder="little").astype(np.uint32) << np.uint32(j)
-    for k, position, high in patches:
-        ids[k, position] |= high
-    ids += lowest[:, None]
-    return ids.reshape(-1)[:n_ids], doc_ids, doc_null, lengths
+    segment = Segment(data)
+    return segment.blocks(0, segment.n_blocks)[: segment.n_ids], segment.doc_ids, segment.doc_null, segment.lengths
+
+
+def unpack_range(segment: Segment, start: int, length: int) -> np.ndarray:
+    """``length`` ids from ``start`` on, from the blocks that hold them."""
+    first, last = start // BLOCK, -(-(start + length) // BLOCK)
+    return segment.blocks(first, last)[start - first * BLOCK :][:length]
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -133,7 +159,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield flush()
 
     rows = texts(docs, id_col, text_col)
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    keys = {"head": F.substring("text", 1, HEAD_CHARS), "tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
+    order = ("doc_id", *keys)  # beyond the id, what parts rows that repeat it
+    ordered = rows.withColumns(keys).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     flat = ordered.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("id_null"), "text")
     return written(flat.mapInArrow(segments, SEGMENTS), "tokens")
 
@@ -168,3 +196,29 @@ def read_tokens(segments: DataFrame, keep_ids: bool = False) -> DataFrame:
     return found.select(
         F.when(~F.col("id_null"), F.col("id")).alias("doc_id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * keep_ids)
     )
+
+
+def read_documents(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids: uint32 bytes) of the stored documents whose id is in ``wanted`` (doc_id).
+
+    Segments' heads are read for their documents' ids; of those that hold a wanted one, only the blocks with its ids are decoded.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, number, payload in zip(batch["shard"], batch["segment"], batch["payload"]):
+                s = Segment(payload)
+                ends = s.lengths.cumsum(dtype=np.int64)
+                yield pd.DataFrame({"shard": shard, "segment": number, "id": s.doc_ids, "start": ends - s.lengths, "n": s.lengths.astype(np.int64)})[s.doc_null == 0]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for payload, places in zip(batch["payload"], batch["places"]):
+                s = Segment(payload)
+                rows = [(p["id"], p["n"], unpack_range(s, p["start"], p["n"]).astype("<u4").tobytes()) for p in places]
+                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"])
+
+    places = segments.select("shard", "segment", "payload").mapInPandas(listed, "shard int, segment int, id long, start long, n long")
+    asked = places.join(wanted.select(wanted["doc_id"].cast("long").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_semi")
+    by_segment = asked.groupBy("shard", "segment").agg(F.collect_list(F.struct("id", "start", "n")).alias("places"))  # at most a segment's documents
+    return segments.join(by_segment, ["shard", "segment"]).select("payload", "places").mapInPandas(cut, "doc_id long, n_tokens long, ids binary")

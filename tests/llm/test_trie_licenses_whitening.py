@@ -251,3 +251,34 @@ def test_vectors_are_right_where_roots_lie_close():
         exact = Fraction(root, 1 << whitening.ROOT_BITS)
         off = max(abs(sum(m[i][j] * v[j] for j in range(d)) - exact * v[i]) for i in range(d))
         assert off < 10**12 * 1e-14 and abs(sqrt(float(sum(x * x for x in v))) - 1) < 1e-15
+
+
+def test_blocks_and_documents_are_read_alone(spark):
+    import public_tokenizers
+
+    from marksmith.llm import token_store
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(3)
+    ids = rng.geometric(0.01, 5000).astype(np.uint32)
+    ids[::41] = 2**32 - 1
+    segment = token_store.Segment(token_store.pack_segment(ids, np.array([1]), np.array([False]), np.array([5000])))
+    for start, length in ((0, 1), (0, 5000), (255, 2), (256, 256), (4999, 1), (1000, 3000), (7, 0)):
+        assert (token_store.unpack_range(segment, start, length) == ids[start : start + length]).all()
+    rows = [(k % 50, f"text {k} " * (k % 7)) for k in range(200)] + [(None, "no id")] * 40 + [(7, "again")] * 60
+    segments = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    whole = sorted((r.doc_id, bytes(r.ids)) for r in token_store.read_tokens(segments, keep_ids=True).where("doc_id IN (7, 31)").collect())
+    wanted = spark.createDataFrame([(7,), (31,), (7,), (None,), (9999,)], "doc_id long")
+    found = token_store.read_documents(segments, wanted).collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in found) == whole and len(whole) == 68 and all(4 * r.n_tokens == len(r.ids) for r in found)
+    assert token_store.read_documents(segments, wanted.limit(0)).count() == 0
+
+
+def test_rows_without_id_are_parted(spark):
+    import public_tokenizers
+
+    from marksmith.llm import token_store
+
+    rows = [(None, f"text {k}") for k in range(400)] + [(None, "same")] * 400
+    segments = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert segments.count() >= 6  # of eight ranges
