@@ -82,6 +82,21 @@ def a11(timing):
     return files.read_runs(timing.sparkSession, path).select("run_id", "stage", "seconds")
 
 
+@query(
+    "a13_run_manifest",
+    ("stage_timing",),
+    """WITH t AS (SELECT run_id, string_agg(stage || ' ' || CAST(event_id AS VARCHAR) || chr(10), '' ORDER BY event_id) AS body FROM stage_timing GROUP BY 1)
+    SELECT run_id, 1 AS n_files, length(body) AS bytes, FALSE AS has_pdf, FALSE AS has_evidence, sha256(body) AS sha256 FROM t""",
+)
+def a13(timing):
+    root = scratch(timing.sparkSession, "bundles")
+    lines = timing.select("run_id", "event_id", F.concat_ws(" ", "stage", F.col("event_id").cast("string")).alias("value"))
+    lines.repartition("run_id").sortWithinPartitions("run_id", "event_id").select("run_id", "value").write.partitionBy("run_id").text(root)
+    found = files.file_manifest(timing.sparkSession, root).where(F.col("file").contains("run_id="))
+    rows = files.run_manifest(found, "/" + root.split("/")[-1])
+    return rows.select(F.regexp_extract("run_id", "=(.+)$", 1).cast("long").alias("run_id"), "n_files", "bytes", "has_pdf", "has_evidence", F.get("files", F.lit(0))["sha256"].alias("sha256"))
+
+
 @query(
     "a15_destination",
     ("key_entry",),

@@ -11,6 +11,7 @@ from ..functions.marks import quantize
 from ..operators import grading, identity, integrity, notes, orientation, recovery, regions, reports, splits
 from ..sources import archive
 from . import queries as base
+from .merge_queries import _MERGED
 from .queries import query
 
 _MARK = "floor({v} / 0.5 + 0.5 + 1e-9) * 0.5"
@@ -42,7 +43,27 @@ def c12_quality(*tables):
     return _scores(*tables).withColumn("legibility", F.round("legibility", 6))
 
 
-@query("c13_rotation_vote", _TURNED)
+_VOTED = f"""{_QUALITY}, fp AS (SELECT sheet_id, page_no FROM quality WHERE rotation = 0 AND out_of_set > 0),
+vt AS (SELECT sheet_id, rotation, sum(in_set - out_of_set) AS s, sum(out_of_set) AS o, CASE rotation WHEN 180 THEN 1 WHEN 90 THEN 2 ELSE 3 END AS turn_no FROM quality q WHERE EXISTS (SELECT 1 FROM fp WHERE fp.sheet_id = q.sheet_id AND fp.page_no = q.page_no) GROUP BY 1, 2),
+pk AS (SELECT t.sheet_id, coalesce(arg_min(t.rotation, t.turn_no) FILTER (WHERE t.o = 0 AND t.s > 0), arg_max(t.rotation, t.s * 10 - t.turn_no) FILTER (WHERE t.s > z.s)) AS rotation
+       FROM vt t JOIN vt z ON z.sheet_id = t.sheet_id AND z.rotation = 0 WHERE t.rotation <> 0 GROUP BY 1),
+al AS (SELECT sheet_id, rotation, sum(out_of_set) AS o FROM quality GROUP BY 1, 2),
+voted AS (SELECT pk.sheet_id, pk.rotation FROM pk JOIN al n ON n.sheet_id = pk.sheet_id AND n.rotation = pk.rotation JOIN al b ON b.sheet_id = pk.sheet_id AND b.rotation = 0 WHERE b.o >= 2 AND n.o < b.o)"""
+
+
+def _probed(now: str, voted: str) -> str:
+    """The probe of single pages from how they are read by then; ``voted``: the CTEs that come before."""
+    return f"""{voted}, qn AS (SELECT q.*, {now} AS now FROM quality q LEFT JOIN voted USING (sheet_id)), ls AS (SELECT DISTINCT sheet_id, page_no FROM page_turned WHERE wide),
+pb AS (SELECT sheet_id, page_no, in_set AS in0, out_of_set AS out0, legibility AS leg0 FROM qn WHERE rotation = now),
+tr AS (SELECT t.*, pb.in0, pb.out0, pb.leg0, CASE WHEN pb.out0 > 0 THEN 'out-of-set' WHEN ls.sheet_id IS NOT NULL THEN 'landscape' END AS reason, (t.rotation - t.now + 360) % 360 AS turn
+       FROM qn t JOIN pb ON pb.sheet_id = t.sheet_id AND pb.page_no = t.page_no LEFT JOIN ls ON ls.sheet_id = t.sheet_id AND ls.page_no = t.page_no),
+ps AS (SELECT *, turn > 0 AND (reason <> 'landscape' OR turn IN (90, 270)) AND legibility > 0 AND out_of_set <= out0 AND (in_set > in0 OR (legibility > leg0 AND legibility >= leg0 * 1.15)) AS passes,
+              CASE WHEN reason = 'landscape' THEN CASE WHEN turn = 90 THEN 2 ELSE 1 END ELSE CASE turn WHEN 180 THEN 3 WHEN 270 THEN 2 ELSE 1 END END AS early FROM tr WHERE reason IS NOT NULL),
+bs AS (SELECT sheet_id, page_no, reason, out0, now, (array_agg(rotation ORDER BY legibility DESC, early DESC, rotation DESC) FILTER (WHERE passes))[1] AS b FROM ps GROUP BY 1, 2, 3, 4, 5),
+probed AS (SELECT sheet_id, page_no, coalesce(b, now) AS rotation, CASE WHEN b IS NOT NULL THEN 'rotated' ELSE 'uncertain' END AS action, reason FROM bs WHERE b IS NOT NULL OR out0 > 0)"""
+
+
+@query("c13_rotation_vote", _TURNED, f"WITH {_VOTED} SELECT sheet_id, rotation FROM voted")
 def c13(*tables):
     return orientation.rotation_vote(_scores(*tables))
 
@@ -63,12 +84,17 @@ def _landscape(page_turned):
     return page_turned.where("wide").select("sheet_id", "page_no").distinct()
 
 
-@query("c15_rotation_probe", _TURNED)
+@query("c15_rotation_probe", _TURNED, f"WITH {_probed('0', _VOTED)} SELECT * FROM probed")
 def c15(page_turned, *rest):
     return orientation.rotation_probe(_scores(page_turned, *rest), _landscape(page_turned))
 
 
-@query("c26_orient", _TURNED)
+@query(
+    "c26_orient",
+    _TURNED,
+    f"""WITH {_probed('coalesce(voted.rotation, 0)', _VOTED)} SELECT sheet_id, page_no, rotation, action FROM probed
+    UNION ALL SELECT DISTINCT q.sheet_id, q.page_no, voted.rotation, 'voted' FROM quality q JOIN voted ON voted.sheet_id = q.sheet_id WHERE NOT EXISTS (SELECT 1 FROM probed p WHERE p.sheet_id = q.sheet_id AND p.page_no = q.page_no)""",
+)
 def c26(page_turned, *rest):
     return orientation.orient(_scores(page_turned, *rest), _landscape(page_turned), autofix=False)
 
@@ -328,6 +354,12 @@ def h12(result):
 @query(
     "f15_attempted_choice",
     ("answer", "key_entry", "choice_member"),
+    rf"""WITH {_MERGED}, lb AS (SELECT exam_id, base, label, trim(alt_text) AS alt_text FROM alt), us AS (SELECT exam_id, base, count(*) >= 2 AND bool_and(trim(label) <> '') AND count(DISTINCT lower(trim(label))) = count(*) AS usable FROM lb GROUP BY 1, 2),
+    wr AS (SELECT sheet_id, exam_id, base, list_transform(regexp_extract_all(coalesce(answer, ''), '(?:^|\n)\s*(?:\(\s*[A-Za-z]\s*\)|[A-Za-z]\s*[.):-])'), lambda x: lower(regexp_extract(x, '([A-Za-z])', 1))) AS written FROM answer),
+    ht AS (SELECT wr.sheet_id, wr.exam_id, wr.base, count(*) AS n, any_value(alt_text) AS chosen FROM wr JOIN lb ON lb.exam_id = wr.exam_id AND lb.base = wr.base AND list_contains(written, lower(trim(label))) GROUP BY 1, 2, 3),
+    ex AS (SELECT wr.sheet_id, wr.base, m.answer AS whole, CASE WHEN usable AND ht.n = 1 THEN CASE WHEN trim(choice_shared) <> '' THEN trim(choice_shared) || chr(10) ELSE '' END || chosen ELSE m.answer END AS expected
+           FROM wr JOIN merged m ON m.exam_id = wr.exam_id AND m.base = wr.base JOIN us ON us.exam_id = wr.exam_id AND us.base = wr.base LEFT JOIN ht ON ht.sheet_id = wr.sheet_id AND ht.base = wr.base)
+    SELECT sheet_id, base, md5(expected) AS expected, expected <> whole AS narrowed FROM ex""",
 )
 def f15(answer, key_entry, members):
     from ..operators import merges
