@@ -146,11 +146,15 @@ def consensus(vote: DataFrame) -> DataFrame:
     return middle.join(first, ["sheet_id", "base"]).withColumn("differs", F.col("lo") < F.col("hi"))
 
 
-def escalation_reason(mark: Column, marks_max: Column, confidence: Column, off_topic: Column, injection: Column, chars: Column, partial: bool = False) -> Column:
-    """Why a fast result is graded again, the first that holds; null when none does."""
-    number = mark.try_cast("double")
+def escalation_reason(mark: Column, marks_max: Column, confidence: Column, off_topic: Column, injection: Column, chars: Column, partial: bool = False, parsed: Column | None = None) -> Column:
+    """Why a fast result is graded again, the first that holds; null when none does.
+
+    parsed: whether the reply could be read at all. A mark that a reply doesn't give, or gives as an empty text, counts as 0.
+    """
+    number = F.coalesce(F.nullif(F.trim(mark.cast("string")), F.lit("")), F.lit("0")).try_cast("double")
+    unread = F.lit(False) if parsed is None else ~F.coalesce(parsed, F.lit(False))
     reason = (
-        F.when(number.isNull(), "non_numeric_mark").when(F.isnan(number) | (F.abs(number) == float("inf")), "non_finite_mark")
+        F.when(unread, "unparseable_result").when(number.isNull(), "non_numeric_mark").when(F.isnan(number) | (F.abs(number) == float("inf")), "non_finite_mark")
         .when(~F.coalesce(F.lower(F.trim(confidence)), F.lit("")).isin("high", "medium"), "low_confidence").when(off_topic, "off_topic").when(injection, "prompt_injection")
         .when((number <= 0) & (marks_max >= 1) & (chars >= 10), "substantive_zero")
     )

@@ -143,6 +143,16 @@ def detect_choices(key: DataFrame) -> DataFrame:
     return sibling.groupBy("exam_id", "base").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("marks").alias("kinds")).where("members >= 2 AND kinds = 1").drop("kinds")
 
 
+def choice_members(key: DataFrame) -> DataFrame:
+    """(exam_id, base, group_no, parent, members, required) of the groups that detect_choices() finds, their ids in key order; one of them is to be answered."""
+    found = detect_choices(key).select("exam_id", "base")
+    siblings = key.where(F.col("sub").rlike("^\\([^)]*\\)$")).join(found, ["exam_id", "base"], "left_semi")
+    members = F.transform(F.array_sort(F.collect_list(F.struct("qorder", "qid"))), lambda x: x["qid"])
+    groups = siblings.groupBy("exam_id", "base").agg(members.alias("members"))
+    number = F.row_number().over(Window.partitionBy("exam_id").orderBy("base")) - 1
+    return groups.select("exam_id", "base", number.alias("group_no"), F.concat(F.lit("Q"), F.col("base").cast("string")).alias("parent"), "members", F.lit(1).alias("required"))
+
+
 def inline_choices(key: DataFrame) -> DataFrame:
     """(exam_id, qid): entries outside detected groups with a standalone OR, in capitals, in their question or answer; uncertain as well."""
     sibling = F.col("sub").rlike("^\\([^)]*\\)$")

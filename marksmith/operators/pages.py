@@ -52,3 +52,17 @@ def evidence_images(crop: DataFrame) -> DataFrame:
     """Per question the files (sheet_id, base, page_no, file) in page order, each once."""
     ordered = F.array_sort(F.collect_set(F.struct("page_no", "file")))
     return crop.groupBy("sheet_id", "base").agg(F.array_join(F.transform(ordered, lambda x: x["file"]), ",").alias("files"))
+
+
+def evidence_by_id(crop: DataFrame, sheet_key: DataFrame) -> DataFrame:
+    """(sheet_id, qid, files) of crops (sheet_id, qid, page_no, file), in page order, each once.
+
+    A sub-part's crops go to its parent, the id before the first dot, where the sheet's key (sheet_id, qid) has that one and not the sub-part.
+    """
+    known = sheet_key.select("sheet_id", "qid").distinct()
+    parent = F.split_part("qid", F.lit("."), F.lit(1))
+    own = crop.select("sheet_id", "qid", "page_no", "file", parent.alias("parent")).join(known.withColumn("has_own", F.lit(True)), ["sheet_id", "qid"], "left")
+    both = own.join(known.select("sheet_id", F.col("qid").alias("parent"), F.lit(True).alias("has_parent")), ["sheet_id", "parent"], "left")
+    target = F.when(F.col("has_own").isNull() & F.col("has_parent"), F.col("parent")).otherwise(F.col("qid"))
+    once = both.where("file <> ''").groupBy("sheet_id", target.alias("qid"), "file").agg(F.min("page_no").alias("page_no"))
+    return once.groupBy("sheet_id", "qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "file"))), lambda x: x["file"]), ",").alias("files"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flags, integrity, keyedits, recovery, splits
+from ..operators import flags, integrity, keyedits, pages, recovery, splits
 from . import queries as base
 from .queries import query
 
@@ -199,3 +199,26 @@ def h1_details(result):
 @query("h3_flag_summary", ("result",), f"WITH {_DETAILED} SELECT sheet_id, code, arg_min(detail, qorder) AS detail, string_agg(qid, ',' ORDER BY qorder) AS qids FROM d WHERE attention GROUP BY 1, 2")
 def h3_summary(result):
     return flags.flag_summary(_with_flags(result), "sheet_id").select("sheet_id", "code", "detail", "qids")
+
+
+@query(
+    "e15_choice_members",
+    ("key_entry",),
+    rf"""WITH {base._KEY}, s AS (SELECT * FROM key WHERE regexp_full_match(sub, '\([^)]*\)')), g AS (SELECT exam_id, base FROM s GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT marks) = 1)
+    SELECT exam_id, base, CAST(dense_rank() OVER (PARTITION BY exam_id ORDER BY base) - 1 AS INT) AS group_no, 'Q' || base AS parent, string_agg(qid, ',' ORDER BY qorder) AS members FROM s JOIN g USING (exam_id, base) GROUP BY exam_id, base""",
+)
+def e15_members(key_entry):
+    return integrity.choice_members(integrity.canonical_key(key_entry)).select("exam_id", "base", "group_no", "parent", F.array_join("members", ",").alias("members"))
+
+
+@query(
+    "f26_evidence_by_id",
+    ("page_question",),
+    """WITH c AS (SELECT sheet_id, CASE WHEN page_no % 3 = 0 THEN 'Q' || base || '.a' ELSE 'Q' || base END AS qid, page_no, 'crop_' || (page_no % 4) AS file, base FROM page_question),
+    k AS (SELECT DISTINCT sheet_id, CASE WHEN base % 2 = 0 THEN 'Q' || base || '.a' ELSE 'Q' || base END AS qid FROM page_question),
+    t AS (SELECT c.sheet_id, CASE WHEN NOT EXISTS (SELECT 1 FROM k WHERE k.sheet_id = c.sheet_id AND k.qid = c.qid) AND EXISTS (SELECT 1 FROM k WHERE k.sheet_id = c.sheet_id AND k.qid = split_part(c.qid, '.', 1)) THEN split_part(c.qid, '.', 1) ELSE c.qid END AS qid, file, min(page_no) AS page_no FROM c GROUP BY ALL)
+    SELECT sheet_id, qid, string_agg(file, ',' ORDER BY page_no, file) AS files FROM t GROUP BY 1, 2""",
+)
+def f26_by_id(page_question):
+    crop = page_question.selectExpr("sheet_id", "CASE WHEN page_no % 3 = 0 THEN 'Q' || base || '.a' ELSE 'Q' || base END AS qid", "page_no", "'crop_' || (page_no % 4) AS file")
+    return pages.evidence_by_id(crop, page_question.selectExpr("sheet_id", "CASE WHEN base % 2 = 0 THEN 'Q' || base || '.a' ELSE 'Q' || base END AS qid"))

@@ -58,3 +58,15 @@ def test_choices_of_key_files(spark, tmp_path):
     groups, inline = files.read_choices(spark, str(tmp_path))
     assert [(r.group_no, r.parent, r.members, r.required) for r in groups.orderBy("group_no").collect()] == [(0, "Q3", ["Q3(a)", "Q3(b)"], 1), (2, "Q5", ["Q5(a)"], 2)]
     assert [r.qid for r in inline.collect()] == ["Q7"]
+
+
+def test_reasons_to_grade_again(spark):
+    from pyspark.sql import functions as F
+
+    from marksmith.operators.grading import escalation_reason
+
+    cases = [("2", True, None), ("2", False, "unparseable_result"), ("two", True, "non_numeric_mark"), ("NaN", True, "non_finite_mark"), (None, True, "substantive_zero"), ("", True, "substantive_zero"), ("2", None, "unparseable_result")]
+    table = spark.createDataFrame([(k, m, p) for k, (m, p, _) in enumerate(cases)], "k int, mark string, parsed boolean")
+    no = F.lit(False)
+    got = table.orderBy("k").select(escalation_reason(F.col("mark"), F.lit(3.0), F.lit("High"), no, no, F.lit(40), parsed=F.col("parsed")).alias("r")).collect()
+    assert [r.r for r in got] == [c[2] for c in cases]
