@@ -84,6 +84,30 @@ def current_state(snapshot: DataFrame, edited: DataFrame, key: str, value: str)
     return snapshot.join(e, key, "left").withColumns({value: F.coalesce("edited_value", value), "is_edited": F.col("edited_value").isNotNull()}).drop("edited_value")
 
 
+def effective_state(snapshot: DataFrame, working: DataFrame) -> DataFrame:
+    """What counts of each run (run_id, qid, question, ..): its working copy if it has one, as a whole, else its snapshot; with is_edited.
+
+    Both have the same columns. A question's text that a working copy lacks comes from the snapshot's question of the same id; nothing else is filled in.
+    """
+    edited = working.select("run_id").distinct()
+    shown = snapshot.where("trim(question) <> ''").groupBy("run_id", "qid").agg(F.first("question").alias("_question"))
+    copies = working.join(shown, ["run_id", "qid"], "left").withColumn("question", F.coalesce(F.nullif("question", F.lit("")), "_question")).select(snapshot.columns)
+    pristine = snapshot.join(edited, "run_id", "left_anti").select(snapshot.columns)
+    return copies.withColumn("is_edited", F.lit(True)).unionByName(pristine.withColumn("is_edited", F.lit(False)))
+
+
+def superseded_reports(runs: DataFrame, replacement: DataFrame) -> DataFrame:
+    """(run_id, report_path, report_removed) of the runs (run_id, report_path) that leave the current view, replaced by another, successful one (old_run, new_run, succeeded).
+
+    Their report goes only where the new run is known to have written another one: reports bear the pupil's name, so two runs may share the file.
+    """
+    gone = replacement.where("succeeded AND old_run <> new_run").groupBy(F.col("old_run").alias("run_id")).agg(F.max("new_run").alias("new_run"))
+    new = runs.select(F.col("run_id").alias("new_run"), F.col("report_path").alias("new_path"))
+    rows = runs.join(gone, "run_id").join(new, "new_run", "left")
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return rows.select("run_id", "report_path", (given("report_path") & given("new_path") & (F.col("report_path") != F.coalesce("new_path", F.lit("")))).alias("report_removed"))
+
+
 def working_copy(snapshot: DataFrame, existing: DataFrame) -> DataFrame:
     """The edited copies, and for runs without one the snapshot; the machine's mark is stamped once (run_id, base, mark, machine_mark)."""
     fresh = snapshot.join(existing.select("run_id").distinct(), "run_id", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flags, integrity, keyedits, pages, recovery, splits
+from ..operators import flags, integrity, keyedits, pages, recovery, review, splits
 from . import queries as base
 from .queries import query
 
@@ -222,3 +222,32 @@ def e15_members(key_entry):
 def f26_by_id(page_question):
     crop = page_question.selectExpr("sheet_id", "CASE WHEN page_no % 3 = 0 THEN 'Q' || base || '.a' ELSE 'Q' || base END AS qid", "page_no", "'crop_' || (page_no % 4) AS file")
     return pages.evidence_by_id(crop, page_question.selectExpr("sheet_id", "CASE WHEN base % 2 = 0 THEN 'Q' || base || '.a' ELSE 'Q' || base END AS qid"))
+
+
+_SNAPSHOT = "sheet_id AS run_id, qid, CASE WHEN answer_chars % 3 = 0 THEN '' ELSE 'asked ' || qid END AS question, raw_mark AS mark"
+_WORKING = "sheet_id AS run_id, qid, CASE WHEN answer_chars % 2 = 0 THEN '' ELSE 'old ' || qid END AS question, raw_mark + 1 AS mark"
+
+
+@query(
+    "h6_effective_state",
+    ("result",),
+    f"""WITH s AS (SELECT {_SNAPSHOT} FROM result), w AS (SELECT {_WORKING} FROM result WHERE sheet_id IN (SELECT sheet_id FROM result WHERE injection))
+    SELECT w.run_id, w.qid, coalesce(nullif(w.question, ''), nullif(s.question, '')) AS question, w.mark, TRUE AS is_edited FROM w LEFT JOIN s ON s.run_id = w.run_id AND s.qid = w.qid
+    UNION ALL SELECT run_id, qid, question, mark, FALSE FROM s WHERE run_id NOT IN (SELECT run_id FROM w)""",
+)
+def h6_effective(result):
+    edited = result.where("injection").select("sheet_id").distinct()
+    return review.effective_state(result.selectExpr(*_SNAPSHOT.split(", ")), result.join(edited, "sheet_id", "left_semi").selectExpr(*_WORKING.split(", ")))
+
+
+@query(
+    "h11_superseded_reports",
+    ("sheet",),
+    """WITH r AS (SELECT sheet_id AS run_id, CASE WHEN student LIKE '%7' THEN '' ELSE student || '.pdf' END AS report_path FROM sheet),
+    p AS (SELECT sheet_id AS old_run, sheet_id + exam_id % 4 AS new_run, NOT run_failed AS succeeded FROM sheet)
+    SELECT o.run_id, o.report_path, o.report_path <> '' AND coalesce(n.report_path, '') <> '' AND o.report_path <> coalesce(n.report_path, '') AS report_removed
+    FROM p JOIN r o ON o.run_id = p.old_run LEFT JOIN r n ON n.run_id = p.new_run WHERE succeeded AND old_run <> new_run""",
+)
+def h11_reports(sheet):
+    runs = sheet.selectExpr("sheet_id AS run_id", "CASE WHEN student LIKE '%7' THEN '' ELSE student || '.pdf' END AS report_path")
+    return review.superseded_reports(runs, sheet.selectExpr("sheet_id AS old_run", "sheet_id + exam_id % 4 AS new_run", "NOT run_failed AS succeeded"))
