@@ -270,7 +270,11 @@ def test_exact_dedup_of_frequent_texts_and_awkward_columns(spark):
     for doc, text, *_ in rows:
         best[text or ""] = max(best.get(text or "", -1), -1 if doc is None else doc)
         size[text or ""] = size.get(text or "", 0) + 1
-    assert exact_dedup.frequent_texts(docs.fillna("", ["text"])).count() >= 3
+    filled = docs.fillna("", ["text"])
+    assert exact_dedup.frequent_texts(filled).count() >= 3
+    ordered, _ = exact_dedup.content_sorted(exact_dedup.with_parts(filled), "doc_id")
+    hot = ordered.where("text = 'hot'").groupBy("part").count().collect()
+    assert len(hot) > 3 and max(r["count"] for r in hot) < size["hot"] / 2
     sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in best}
     got = exact_dedup.exact_duplicates(docs).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, sha[r.text_sha256]) for r in got) == sorted((-1 if d is None else d, t or "") for d, t, *_ in rows)
