@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,6 +31,8 @@ WINDOW, END_ID, BLOCK_PIECES = 2048, 1, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
 #: Bytes of text to a token, to estimate the number of pieces with.
 BYTES_A_TOKEN = 3
+#: Bytes of ids after which a task hands on its pieces.
+HELD_BYTES = 4 << 20
 #: Slots in which a task counts equal pieces.
 SLOTS, FEW = 1 << 16, 16
 
@@ -97,6 +98,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         encode, met, task = tokenizer(path).encode, [0] * SLOTS, TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = encode(text) + end
                 for at in range(0, len(data), 4 * window):
@@ -106,6 +108,10 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     met[slot] += 1
                     copy = 0 if met[slot] < FEW else (task << 24) + met[slot] // FEW
                     out.append((doc, at // 4, len(part) // 4, crc, len(data) // 4, copy) + ((part,) if keep_ids else ()))
+                    held += len(part)
+                    if held >= HELD_BYTES:
+                        yield from record_batches(out, schema)
+                        out, held = [], 0
             yield from record_batches(out, schema)
 
     schema = PIECES + ", ids binary" * keep_ids
@@ -116,19 +122,24 @@ def place_pieces(pieces: DataFrame, n_pieces: int, window: int = WINDOW, block_p
     """Adds sequence_id and offset. ``n_pieces`` sets the number of blocks only."""
     blocks = max(1, -(-n_pieces // block_pieces))
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id_null", "doc_id", "start", "doc_tokens", "ids_crc32"], kind="stable")
-        full = (rows["length"] == window).to_numpy()
-        sequence, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
-        sequence[full] = np.arange(full.sum())
-        windows, offset[~full] = best_fit_decreasing(rows["length"].to_numpy()[~full], window)
-        sequence[~full] = windows + full.sum()
-        return rows.drop(columns=["block", "copy"]).assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        # rows stay where they are and only their places are worked out, so ids are neither copied nor made Python objects
+        order = np.lexsort([rows.column(c).to_numpy() for c in ("ids_crc32", "doc_tokens", "start", "doc_id", "id_null")])
+        lengths = rows.column("length").to_numpy()[order]
+        full = lengths == window
+        in_order, offset = np.zeros((2, len(order)), dtype=np.int64)
+        in_order[full] = np.arange(full.sum())
+        windows, offset[~full] = best_fit_decreasing(lengths[~full], window)
+        in_order[~full] = windows + full.sum()
+        sequence, offsets = np.empty((2, len(order)), dtype=np.int64)
+        sequence[order], offsets[order] = (key[0].as_py() << 40) + in_order, offset
+        return rows.select(kept).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
     whole = pieces.withColumn("id_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema if f.name != "copy") + ", sequence_id long, offset long"
+    kept = [f.name for f in whole.schema if f.name != "copy"]
+    schema = ", ".join(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id long, offset long"
     keyed = whole.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(blocks)))
-    placed = keyed.groupBy("block").applyInPandas(place, schema)
+    placed = keyed.groupBy("block").applyInArrow(place, schema)
     return placed.withColumn("doc_id", F.when(~F.col("id_null"), F.col("doc_id"))).drop("id_null")
 
 
