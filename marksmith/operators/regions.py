@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,18 +42,20 @@ class Ink:
     """A page's rows of ink: blank runs, and sums of inked rows, so that both ends of a band are found by search."""
 
     def __init__(self, profile: np.ndarray, eps: int, eps_content: int):
-        self.h, self.profile = len(profile), profile
         edge = np.diff(np.concatenate([[0], (profile <= eps).astype(np.int8), [0]]))
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.inked_rows = np.flatnonzero(profile > eps_content)
+        self._hold(profile, np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), np.flatnonzero(profile > eps_content))
+
+    def _hold(self, profile: np.ndarray, starts: list[int], ends: list[int], inked_rows: np.ndarray) -> Ink:
+        self.h, self.profile, self.starts, self.ends, self.inked_rows = len(profile), profile, starts, ends, inked_rows
+        return self
 
     def snap(self, y: int) -> int:
         """The middle of the nearest blank run within SNAP_WINDOW rows, of equally near ones the upper; else y."""
-        k = int(np.searchsorted(self.ends, y, side="right"))  # the run that y is in, or the first below it
+        k = bisect_right(self.ends, y)  # the run that y is in, or the first below it
         best, distance = y, SNAP_WINDOW + 1
         for i in (k - 1, k):
             if 0 <= i < len(self.starts):
-                a, b = int(self.starts[i]), int(self.ends[i])
+                a, b = self.starts[i], self.ends[i]
                 d = 0 if a <= y < b else min(abs(y - a), abs(y - b + 1))
                 if d < distance:
                     best, distance = (a + b) // 2, d
@@ -61,18 +64,37 @@ class Ink:
     def trim(self, top: int, bottom: int) -> tuple[int, int] | None:
         """The band from its first inked row to its last, PAD rows around them; None without ink."""
         top, bottom = max(0, top), min(bottom, self.h)
-        first, after = np.searchsorted(self.inked_rows, [top, bottom])
+        first, after = self.inked_rows.searchsorted((top, bottom))
         if bottom <= top or first == after:
             return None
         return max(0, int(self.inked_rows[first]) - PAD), min(self.h, int(self.inked_rows[after - 1]) + 1 + PAD)
 
     def refused(self, top: int, bottom: int, several: bool) -> bool:
-        first, after = np.searchsorted(self.inked_rows, [top, bottom])
+        first, after = self.inked_rows.searchsorted((top, bottom))
         peak, page_peak = (int(x.max()) if len(x) else 0 for x in (self.profile[top:bottom], self.profile))
         high = bottom - top
         return high < LEAST_BAND or (several and high >= self.h * WHOLE_PAGE) or after - first < LEAST_INK_ROWS or peak < page_peak * PEAK_SHARE
 
 
+def inks(profiles: pa.ListArray, eps: pa.Array, eps_content: pa.Array) -> list[Ink | None]:
+    """The Ink of each page (its profile, eps and eps_content), None without a profile; all pages of a batch are looked at in the same array operations."""
+    sizes = profiles.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ink = profiles.flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    limit = lambda values: np.repeat(values.fill_null(0).to_numpy(zero_copy_only=False), sizes)
+    blank, opens = ink <= limit(eps), np.zeros(len(ink) + 1, bool)
+    opens[at] = True  # a run ends with its page
+    starts = np.flatnonzero(blank & (opens[:-1] | ~np.concatenate([[False], blank[:-1]])))
+    ends = np.flatnonzero(blank & (opens[1:] | ~np.concatenate([blank[1:], [False]]))) + 1
+    inked = np.flatnonzero(ink > limit(eps_content))
+    runs, rows = starts.searchsorted(at), inked.searchsorted(at)
+    made: list[Ink | None] = []
+    for k, there in enumerate(profiles.is_valid().to_pylist()):
+        lo, (a, b), (c, d) = at[k], runs[k : k + 2], rows[k : k + 2]
+        made.append(Ink.__new__(Ink)._hold(ink[lo : at[k + 1]], (starts[a:b] - lo).tolist(), (ends[a:b] - lo).tolist(), inked[c:d] - lo) if there else None)
+    return made
+
+
 def _by_page(rows: DataFrame, item: list[str], ink: DataFrame, schema: str, read: Callable[[Ink | None, list[dict]], list[tuple]], how: str = "inner") -> DataFrame:
     """What ``read`` makes of each page's rows (their ``item`` columns) and its ink. A page is a row to Spark, and its ink is looked at once."""
     content = F.col("eps_content") if "eps_content" in ink.columns else F.col("eps")
@@ -82,11 +104,9 @@ def _by_page(rows: DataFrame, item: list[str], ink: DataFrame, schema: str, read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, profiles = [], batch.column("profile")
-            given = zip(*[batch.column(c).to_pylist() for c in (*PAGE, "items", "eps", "eps_content")])
-            for k, (sheet, page, items, eps, eps_content) in enumerate(given):
-                found = Ink(np.asarray(profiles[k].values), eps, eps_content) if profiles[k].is_valid else None
-                made += [(sheet, page, *row) for row in read(found, items)]
+            made, found = [], inks(*[batch.column(c) for c in ("profile", "eps", "eps_content")])
+            for sheet, page, items, ink_of in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "items")], found):
+                made += [(sheet, page, *row) for row in read(ink_of, items)]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made), out)], schema=out)
 

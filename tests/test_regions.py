@@ -1,6 +1,7 @@
 """Bands on ink against plain loops, and regions of pages: dense pages, stacked continuations, anchors that are null."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marksmith.operators import regions
@@ -76,3 +77,11 @@ def test_dense_blank_and_missing_pages(spark):
     ruled = [1 if k < 500 else 9 for k in range(1000)]
     thin = regions_of(spark, [("Q1", "start", 0), ("Q2", "start", 500)], profile=[v if k != 250 else 3 for k, v in enumerate(ruled)])
     assert thin["Q1"][2:] == ("page", "implausible band") and thin["Q2"][2] == "band"
+
+
+def test_inks_of_a_batch():
+    """Runs that end with their page, an empty profile, none at all, and a batch cut from a larger one."""
+    profiles = [[9], [0, 5, 0, 0], [0, 0], [], None, [7, 0], [0, 9, 9]]
+    column = pa.array(profiles, pa.list_(pa.int32())).slice(1)
+    found = regions.inks(column, pa.array([0] * 6, pa.int32()), pa.array([5] * 6, pa.int32()))
+    assert [x and (x.h, x.starts, x.ends, x.inked_rows.tolist()) for x in found] == [(4, [0, 2], [1, 4], []), (2, [0], [2], []), (0, [], [], []), None, (2, [1], [2], [0]), (3, [0], [1], [1, 2])]
