@@ -5,7 +5,9 @@ Brackets are followed by a fold over a text's bracket-led pieces, which keeps th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,stop:int,terminated:boolean>>"
@@ -83,6 +85,54 @@ _DRAWN = rf"^(?:\s|[{BONDS.replace(chr(92), chr(92) * 2)}#+.,*()\[\]]|[0-9₀-
 _BOND_ROW = r"^[\s|/\\]*[|/\\][\s|/\\]*$"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _islands(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Stretches of items over which ``key``, never null, stays the same."""
+    cut = lambda held: F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (key(F.get(held, i)) != key(F.get(held, i - 1))))
+    piece = lambda held, starts: F.transform(starts, lambda at, k: F.slice(held, at + 1, F.coalesce(F.get(starts, k + 1), F.size(held)) - at))
+    return _let(items, lambda held: _let(cut(held), lambda starts: piece(held, starts)))
+
+
+def _line_pieces(text: Column) -> Column:
+    """array<struct<kind, text>> of a text between tagged spans, by its lines; all within the row, so no line is shuffled or sorted."""
+    named = lambda kind, x: F.struct(kind.alias("kind"), x["line"].alias("line"))
+    is_code = lambda x: F.coalesce(x["code"], F.lit(False))
+    places = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: is_code(F.get(lines, i)))
+
+    def told(line: Column) -> Column:
+        drawn = (F.trim(line, F.lit(BLANK)) != "") & line.rlike(_DRAWN) & line.rlike(rf"[A-Za-z{BONDS.replace(chr(92), chr(92) * 2)}]")
+        looks = lambda core: core.rlike(rf"^\s*(?:{_CODE_LINE})") | line.rlike(r"^(?:\t| {4,})\S")
+        code = _let(F.regexp_replace(line, _LABELS, ""), lambda core: F.when(F.trim(core, F.lit(BLANK)) != "", looks(core)))
+        return F.struct(line.alias("line"), drawn.alias("drawn"), code.alias("code"))
+
+    def built(stretch: Column) -> Column:
+        """A stretch with whether it is a structure."""
+        structure = F.get(stretch, F.lit(0))["drawn"] & (F.size(stretch) >= 2) & F.exists(stretch, lambda x: x["line"].rlike(_BOND_ROW))
+        return _let(structure, lambda held: F.transform(stretch, lambda x: F.struct(x["line"].alias("line"), x["code"].alias("code"), held.alias("structure"))))
+
+    def between(lines: Column, held: Callable[[Column], Column]) -> Column:
+        """Lines as code from the first to the last that look like it, where ``held`` of their places says so; else as text."""
+        inside = lambda i, at: F.coalesce(held(at) & (i >= F.get(at, F.lit(0))) & (i <= F.get(at, F.size(at) - 1)), F.lit(False))
+        return _let(places(lines), lambda at: F.transform(lines, lambda x, i: named(F.when(inside(i, at), "code").otherwise("text"), x)))
+
+    def coded(block: Column) -> Column:
+        n_code, n_told = F.size(F.filter(block, is_code)), F.size(F.filter(block, lambda x: x["code"].isNotNull()))
+        mostly = (n_code >= LEAST_CODE_LINES) & (n_code / n_told >= CODE_SHARE)
+        sure = lambda lines, at: (F.size(at) >= 2) | F.get(lines, F.get(at, F.lit(0)))["line"].rlike(_SURE_LINE)
+        reaches = _islands(block, lambda x: F.coalesce(x["code"], F.lit(True)))  # lines that are no code part the reaches
+        return F.when(mostly, between(block, lambda at: F.lit(True))).otherwise(F.flatten(F.transform(reaches, lambda lines: between(lines, lambda at: sure(lines, at)))))
+
+    stretches = F.flatten(F.transform(_islands(F.transform(F.split(text, "\n"), told), lambda x: x["drawn"]), built))
+    blocks = _islands(stretches, lambda x: x["structure"])
+    kinds = F.flatten(F.transform(blocks, lambda b: F.when(F.get(b, F.lit(0))["structure"], F.transform(b, lambda x: named(F.lit("structure"), x))).otherwise(coded(b))))
+    joined = lambda run: F.struct(F.get(run, F.lit(0))["kind"].alias("kind"), F.array_join(F.transform(run, lambda x: x["line"]), "\n").alias("text"))
+    return F.filter(F.transform(_islands(kinds, lambda x: x["kind"]), joined), lambda p: (p["kind"] != "text") | (F.trim(p["text"], F.lit(BLANK)) != ""))
+
+
 def answer_segments(answer: DataFrame) -> DataFrame:
     """(sheet_id, base, seg_no, kind, text): an answer's pieces, each of text, code, diagram or structure.
 
@@ -96,42 +146,8 @@ def answer_segments(answer: DataFrame) -> DataFrame:
     pairs = F.transform("_s", lambda s, k: F.array(piece(F.lit("text"), F.substring("_a", before(s, k) + 1, s["start"] - before(s, k))), piece(F.lower(s["kind"]), F.trim(inner(F.col("_a"), s), F.lit(BLANK)))))
     end = F.coalesce(F.array_max(F.transform("_s", lambda s: s["stop"])), F.lit(0))
     every = F.concat(F.flatten(pairs), F.array(piece(F.lit("text"), F.substring("_a", end + 1, F.length("_a")))))
-    parts = rows.select("sheet_id", "base", F.posexplode(every).alias("part", "p")).select("sheet_id", "base", "part", "p.kind", "p.text")
-    tagged = parts.where("kind <> 'text'").select("sheet_id", "base", "part", F.lit(0).alias("run"), "kind", "text")
-
-    lines = parts.where("kind = 'text'").select("sheet_id", "base", "part", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    drawn = (F.trim("line", F.lit(BLANK)) != "") & F.col("line").rlike(_DRAWN) & F.col("line").rlike(rf"[A-Za-z{BONDS.replace(chr(92), chr(92) * 2)}]")
-    core = F.regexp_replace("line", _LABELS, "")
-    neutral = F.trim(core, F.lit(BLANK)) == ""
-    looks = core.rlike(rf"^\s*(?:{_CODE_LINE})") | F.col("line").rlike(r"^(?:\t| {4,})\S")
-    lines = lines.withColumns({"drawn": drawn, "bonds": F.col("line").rlike(_BOND_ROW), "code": F.when(~neutral, looks), "sure": F.col("line").rlike(_SURE_LINE)})
-    whole = Window.partitionBy("sheet_id", "base", "part").orderBy("pos")
-
-    def islands(df: DataFrame, flag: Column, name: str) -> DataFrame:
-        """Numbers the stretches over which ``flag`` stays the same."""
-        changed = F.coalesce((flag != F.lag(flag).over(whole)).cast("int"), F.lit(0))
-        return df.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(whole)).drop("_changed")
-
-    lines = islands(lines, F.col("drawn"), "stretch")
-    stretch = Window.partitionBy("sheet_id", "base", "part", "stretch")
-    structure = F.col("drawn") & (F.count(F.lit(1)).over(stretch) >= 2) & F.max(F.col("bonds")).over(stretch)
-    lines = islands(lines.withColumn("structure", structure), F.col("structure"), "block")
-    block = Window.partitionBy("sheet_id", "base", "part", "block")
-    is_code = F.coalesce("code", F.lit(False))
-    place = F.when(is_code, F.col("pos"))
-    n_code, n_told = F.count_if(is_code).over(block), F.count("code").over(block)
-    within = lambda w: F.col("pos").between(F.min(place).over(w), F.max(place).over(w))
-    lines = lines.withColumn("mostly", (n_code >= LEAST_CODE_LINES) & (n_code / n_told >= CODE_SHARE)).withColumn("in_block", within(block))
-    lines = islands(lines, F.struct("block", F.coalesce("code", F.lit(True))), "reach")  # lines that are no code part the reaches
-    reach = Window.partitionBy("sheet_id", "base", "part", "reach")
-    lines = lines.withColumn("_first", F.min(place).over(reach)).withColumn("run_code", within(reach) & ((F.count_if(is_code).over(reach) >= 2) | F.max(F.col("sure") & (F.col("pos") == F.col("_first"))).over(reach)))
-    kind = F.when(F.col("structure"), "structure").when(F.when(F.col("mostly"), F.col("in_block")).otherwise(F.coalesce("run_code", F.lit(False))), "code").otherwise("text")
-    lines = islands(lines.withColumn("kind", kind), F.col("kind"), "run")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    made = lines.groupBy("sheet_id", "base", "part", "run", "kind").agg(text.alias("text"))
-    kept = tagged.unionByName(made.where((F.col("kind") != "text") | (F.trim("text", F.lit(BLANK)) != "")))
-    order = Window.partitionBy("sheet_id", "base").orderBy("part", "run")
-    return kept.select("sheet_id", "base", (F.row_number().over(order) - 1).alias("seg_no"), "kind", "text")
+    found = F.flatten(F.transform(every, lambda p: F.when(p["kind"] == "text", _line_pieces(p["text"])).otherwise(F.array(p))))
+    return rows.select("sheet_id", "base", F.posexplode(found).alias("seg_no", "p")).select("sheet_id", "base", "seg_no", "p.kind", "p.text")
 
 
 # --- a third reading ---

@@ -69,6 +69,13 @@ def test_segments(spark):
     assert {texts[k]: v for k, v in got.items()} == CASES
 
 
+def test_segments_shuffle_no_lines(spark):
+    made = segments.answer_segments(frame(spark, [CODE, "a\n" * 30_000]))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Sort"))
+    assert [len(r.text.split("\n")) for r in made.orderBy("base").collect()] == [5, 30_001]
+
+
 def code(spark, text, second, third, pages=1):
     one = lambda t: spark.createDataFrame([(1, 1, t)], "sheet_id long, base int, text string")
     return segments.apply_code_arbiter(one(text).withColumn("pages", F.lit(pages)), one(second), one(third)).first()
