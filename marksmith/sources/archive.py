@@ -33,7 +33,8 @@ def leading_object(text: Column) -> Column:
         return F.when(acc["end"].isNotNull(), acc).otherwise(F.struct(at.alias("at"), depth.alias("depth"), F.when((token == "}") & (depth == 0), at).alias("end")))
 
     end = F.aggregate(tokens, start, step)["end"]
-    return F.when(text.startswith("{") & end.isNotNull(), F.substring(text, F.lit(1), end))
+    alone = text.rlike(r"\A\{[^{}]*\}\z")  # no brace but the first and the last, which no quoted text can hold then
+    return F.when(alone, text).when(text.startswith("{"), F.substring(text, F.lit(1), end))
 
 
 def parse_replies(reply: DataFrame) -> DataFrame:
@@ -49,11 +50,16 @@ def parse_replies(reply: DataFrame) -> DataFrame:
     salvaged = F.when(F.size(whole) > 0, F.concat(F.lit("{"), F.array_join(whole, ","), F.lit("}")))
     rows = reply.withColumn("_text", text).withColumn("_lead", leading_object(F.col("_text")))
     alone = F.when(F.col("_lead") == F.col("_text"), F.col("_text"))  # what follows an object isn't looked at by the parser
-    tries = [F.from_json(t, PAIRS) for t in (alone, doubled(alone), F.col("_lead"), doubled(F.col("_lead")), salvaged)]
-    rows = rows.withColumns({f"_t{k}": F.when(F.size(t) > 0, t) for k, t in enumerate(tries)})
-    names = ("clean", "repaired", "repaired", "repaired", "salvaged")
-    status = F.coalesce(*[F.when(F.col(f"_t{k}").isNotNull(), F.lit(s)) for k, s in enumerate(names)], F.lit("failed"))
-    rows = rows.withColumns({"parse_status": status, "_m": F.coalesce(*[f"_t{k}" for k in range(len(names))])})
+    tries = {"clean": [alone], "repaired": [doubled(alone), F.col("_lead"), doubled(F.col("_lead"))], "salvaged": [salvaged]}
+
+    def read(t: Column, status: str) -> Column:
+        """The pairs with their status, null where there are none; each text is parsed once, and only when the tries before it failed."""
+        held = F.filter(F.array(F.from_json(t, PAIRS)), lambda m: F.size(m) > 0)
+        return F.get(F.transform(held, lambda m: F.struct(F.lit(status).alias("status"), m.alias("m"))), F.lit(0))
+
+    found = F.coalesce(*[read(t, status) for status, texts in tries.items() for t in texts])
+    rows = rows.select("*", F.explode(F.array(found)).alias("_read"))  # or a later filter by the status would be moved before this and read the reply again
+    rows = rows.withColumns({"parse_status": F.coalesce("_read.status", F.lit("failed")), "_m": F.col("_read.m")})
     return rows.select(*[c for c in reply.columns if c != "raw"], "parse_status", *[F.col("_m")[F.lit(f)].alias(c) for f, c in REPLY_FIELDS.items()])
 
 

@@ -2,8 +2,10 @@
 
 import json
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marksmith.sources import archive, files, runs
 from marksmith.streaming import feeds
@@ -133,3 +135,18 @@ def test_replies(spark):
     assert got == dict(enumerate(REPLIES.values()))
     nested = archive.parse_replies(rows.where("k = 3")).first()
     assert json.loads(nested.justification) == {"a": {"b": 1}}
+
+
+def test_replies_are_read_once_whatever_filters_follow(spark):
+    """Five readings in all, each behind the failure of those before it; a filter by the status reads none again."""
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(REPLIES)], "k int, raw string").where("k >= 0").repartition(2)
+    kept = archive.parse_replies(rows).where("parse_status <> 'failed'")
+    said = kept._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert len(re.findall("from_json|jsontostructs", said)) == 5
+    assert kept.count() == sum(v[0] != "failed" for v in REPLIES.values())
+
+
+def test_objects_without_inner_braces(spark):
+    texts = ['{"a": "b}', '{"a"}', "{}", '{"a"} ', '{"a\n"}\n', '{"}"}', '{"a": "{"}', '"{}"', "{", '{"a": 1}}']
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(archive.leading_object(F.col("t")).alias("o")).collect()
+    assert [r.o for r in got] == ['{"a": "b}', '{"a"}', "{}", '{"a"}', '{"a\n"}', '{"}"}', '{"a": "{"}', None, None, '{"a": 1}']
