@@ -59,10 +59,13 @@ def evidence_by_id(crop: DataFrame, sheet_key: DataFrame) -> DataFrame:
 
     A sub-part's crops go to its parent, the id before the first dot, where the sheet's key (sheet_id, qid) has that one and not the sub-part.
     """
-    known = sheet_key.select("sheet_id", "qid").distinct()
-    parent = F.split_part("qid", F.lit("."), F.lit(1))
-    own = crop.select("sheet_id", "qid", "page_no", "file", parent.alias("parent")).join(known.withColumn("has_own", F.lit(True)), ["sheet_id", "qid"], "left")
-    both = own.join(known.select("sheet_id", F.col("qid").alias("parent"), F.lit(True).alias("has_parent")), ["sheet_id", "parent"], "left")
-    target = F.when(F.col("has_own").isNull() & F.col("has_parent"), F.col("parent")).otherwise(F.col("qid"))
-    once = both.where("file <> ''").groupBy("sheet_id", target.alias("qid"), "file").agg(F.min("page_no").alias("page_no"))
-    return once.groupBy("sheet_id", "qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "file"))), lambda x: x["file"]), ",").alias("files"))
+    parent = F.split_part("qid", F.lit("."), F.lit(1)).alias("parent")
+    # an id and its parent have the same parent, so sheet and parent part all of this: the two sides meet once, and the groups need no further shuffle
+    known = sheet_key.select("sheet_id", parent, "qid").groupBy("sheet_id", "parent").agg(F.collect_set("qid").alias("ids"))
+    first = crop.where("file <> ''").select("sheet_id", parent, "qid", "page_no", "file").join(known, ["sheet_id", "parent"], "left")
+    target = F.when(~F.array_contains("ids", F.col("qid")) & F.array_contains("ids", F.col("parent")), F.col("parent")).otherwise(F.col("qid"))
+    rows = first.select("sheet_id", "parent", target.alias("qid"), F.struct("file", F.col("page_no").isNull().alias("unknown"), "page_no").alias("at"))
+    by_id = rows.groupBy("sheet_id", "parent", "qid").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    once = F.filter("at", lambda x, k: (k == 0) | (F.get("at", k - 1)["file"] != x["file"]))  # a file's first page
+    files = F.transform(F.array_sort(F.transform(once, lambda x: F.struct(x["page_no"].alias("page_no"), x["file"].alias("file")))), lambda x: x["file"])
+    return by_id.select("sheet_id", "qid", F.array_join(files, ",").alias("files"))

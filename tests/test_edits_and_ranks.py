@@ -3,7 +3,7 @@
 import random
 import statistics
 
-from marksmith.operators import keyedits, reports
+from marksmith.operators import keyedits, pages, reports
 
 LOG = "exam_id long, seq long, action string, label string, marks string, answer string, groups array<array<string>>"
 
@@ -75,3 +75,15 @@ def test_exact_quantiles(spark):
         got = reports.exact_quantile(frame, "v", 0.5).first().value
         assert got == (statistics.median(known) if known else None)
     assert reports.exact_quantile(spark.range(11).selectExpr("CAST(id AS DOUBLE) AS v"), "v", 0.25).first().value == 2.5
+
+
+def test_evidence_meets_the_key_once(spark):
+    """Files go to the parent only where the key lacks the sub-part; a file counts at its first known page."""
+    crop = spark.createDataFrame(
+        [(1, "Q1.a", 3, "f"), (1, "Q1", 1, "g"), (1, "Q1.a", 2, "f"), (1, "Q1.a", None, "f"), (1, "Q2.a", 5, "h"), (1, "Q2", 4, "i"), (1, "Q3.a", 1, "j"), (1, "Q1", 9, ""), (2, "Q1.a", 1, "k"), (2, "Q4", None, "l"), (2, None, 1, "m")],
+        "sheet_id long, qid string, page_no int, file string",
+    )
+    key = spark.createDataFrame([(1, "Q1"), (1, "Q2"), (1, "Q2.a"), (1, "Q3.b"), (2, "Q2"), (2, None)], "sheet_id long, qid string")
+    found = pages.evidence_by_id(crop, key)
+    assert {(r.sheet_id, r.qid): r.files for r in found.collect()} == {(1, "Q1"): "g,f", (1, "Q2.a"): "h", (1, "Q2"): "i", (1, "Q3.a"): "j", (2, "Q1.a"): "k", (2, "Q4"): "l", (2, None): "m"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
