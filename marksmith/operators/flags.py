@@ -52,7 +52,7 @@ def with_flags(result: DataFrame) -> DataFrame:
     Read from the columns in TEXTS, TRUTHS and LISTS that there are; fields count before notes, notes by their phrases. low_confidence counts only beside flags of
     information, needs_review only when there is no other, so no question has a flag without words.
     """
-    flag = lambda code, detail: F.struct(F.lit(code).alias("code"), detail.alias("detail"))
+    flag = lambda code, detail: F.struct(F.lit(rank(code)).cast("int").alias("rank"), F.lit(code).alias("code"), detail.alias("detail"))
     said = lambda c: F.col(f"_{c}")
     default = lambda code: F.lit(DETAILS[code])
     capture = F.lower(said("capture_status"))
@@ -72,24 +72,23 @@ def with_flags(result: DataFrame) -> DataFrame:
     ]
     bracketed = F.regexp_extract_all(said("justification"), F.lit(r"\[([^\[\]]+)\]"), 1)
     notes = F.filter(F.transform(F.concat(said("review_notes"), bracketed), lambda n: F.trim(n)), lambda n: n != "")
-    code_of = lambda n: F.coalesce(*[F.when(F.contains(n, F.lit(phrase)), F.lit(k)) for k, phrase in NOTE_PHRASES])
-    noted = F.filter(F.transform(notes, lambda n: F.struct(code_of(n).alias("code"), n.alias("detail"))), lambda x: x["code"].isNotNull())
+    noted = F.array_compact(F.transform(notes, lambda n: F.coalesce(*[F.when(F.contains(n, F.lit(phrase)), flag(k, n)) for k, phrase in NOTE_PHRASES])))
     last = [F.when(said("choice_uncertain"), flag("uncertain_choice", default("uncertain_choice"))), F.when(said("incomplete_reply"), flag("incomplete_reply", default("incomplete_reply")))]
     rows = _filled(result).withColumn("_found", F.concat(F.array_compact(F.array(*fields)), noted, F.array_compact(F.array(*last))))
     explained = F.exists("_found", lambda x: ~x["code"].isin(*INFO))
     low = F.when((F.lower(said("confidence")) == "low") & ~explained, F.array(flag("low_confidence", default("low_confidence"))))
-    nothing = F.array().cast("array<struct<code:string,detail:string>>")
+    nothing = F.array().cast("array<struct<rank:int,code:string,detail:string>>")
     rows = rows.withColumn("_found", F.concat("_found", F.coalesce(low, nothing)))
     rows = rows.withColumn("_found", F.when((F.size("_found") == 0) & said("needs_review"), F.array(flag("needs_review", default("needs_review")))).otherwise(F.col("_found")))
-    table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    labels, ranks, kinds = table(LABELS), table({c: rank(c) for c in CODES}), table({c: SEVERITIES[severity(c)] for c in CODES})
+    at = lambda values, r: F.element_at(F.array(*[F.lit(v) for v in values]), r % 1000 + 1)  # noqa: E731  # a rank ends in its code's place
+    labels, kinds = [LABELS[c] for c in CODES], [SEVERITIES[severity(c)] for c in CODES]
 
-    def first(code: Column) -> Column:
-        details = F.filter("_found", lambda x: (x["code"] == code) & (x["detail"] != ""))
-        return F.struct(ranks[code].cast("int").alias("r"), F.struct(code.alias("code"), labels[code].alias("label"), F.get(details, 0)["detail"].alias("detail"), kinds[code].alias("severity"), ranks[code].cast("int").alias("rank")).alias("f"))
+    def first(r: Column) -> Column:
+        details = F.filter("_found", lambda x: (x["rank"] == r) & (x["detail"] != ""))
+        return F.struct(at(CODES, r).alias("code"), at(labels, r).alias("label"), F.get(details, F.lit(0))["detail"].alias("detail"), at(kinds, r).alias("severity"), r.alias("rank"))
 
-    codes = F.array_distinct(F.transform("_found", lambda x: x["code"]))
-    return rows.withColumn("flags", F.transform(F.array_sort(F.transform(codes, first)), lambda x: x["f"]).cast(FLAG)).select(*result.columns, "flags")
+    ranks = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["rank"])))
+    return rows.withColumn("flags", F.transform(ranks, first).cast(FLAG)).select(*result.columns, "flags")
 
 
 def flag_summary(flagged: DataFrame, key: str, order: str = "qorder") -> DataFrame:

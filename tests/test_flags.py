@@ -70,3 +70,10 @@ def test_reasons_to_grade_again(spark):
     no = F.lit(False)
     got = table.orderBy("k").select(escalation_reason(F.col("mark"), F.lit(3.0), F.lit("High"), no, no, F.lit(40), parsed=F.col("parsed")).alias("r")).collect()
     assert [r.r for r in got] == [c[2] for c in cases]
+
+
+def test_flags_look_nothing_up_by_name(spark):
+    """Labels, severities and ranks of codes are read by place; no map is searched for each flag."""
+    found = flags.with_flags(rows(spark, {"symbol_warning": "x"}, {"off_topic": True}))
+    assert "keys: [" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f.label == flags.LABELS[f.code] and f.rank == flags.rank(f.code) and f.severity == flags.SEVERITIES[flags.severity(f.code)] for r in found.collect() for f in r.flags)
