@@ -1,6 +1,6 @@
 """What is found within a row isn't shuffled, and what is shuffled is no text."""
 
-from marksmith.operators import splits
+from marksmith.operators import recovery, splits
 from marksmith.plans.fixtures import fixture
 
 from .test_repairs import RUN, entries, question_set
@@ -22,3 +22,23 @@ def test_glued_entries_are_grouped_by_keys_alone(spark):
     whole, brief = (fixture(spark, SF, n) for n in ("glued_entry", "glued_entry_brief"))
     assert rows_of(whole) == rows_of(brief.select(whole.columns))
     assert not any("answer" in c for c in exchanged(brief))
+
+
+def test_gaps_by_sheet_are_those_of_rows(spark):
+    answer = entries(spark, [(7, "Q1", "x"), (7, "Q2", " "), (8, "Q9", None)])
+    questions, sheet = question_set(spark, [1, 2, 3]), answer.select("sheet_id", "exam_id").distinct()
+    want = {}
+    for r in recovery.answer_gaps(answer, questions, sheet).collect():
+        want.setdefault(r.sheet_id, set()).add(r.base)
+    assert {r.sheet_id: r.gaps for r in recovery.gaps_by_sheet(answer, questions).collect()} == {k: sorted(v) for k, v in want.items()} == {7: [2, 3], 8: [1, 2, 3]}
+
+
+def test_texts_are_sent_once_to_their_sheets(spark):
+    answer = entries(spark, [(7, "Q1", "own\nQ4 buried"), (7, "Q2", "x")])
+    gaps = spark.createDataFrame([(7, 4)], "sheet_id long, base int")
+    made = splits.recover_gaps(answer, gaps)
+    assert sum(bool({"answer", "whole", "text", "lines"} & c) for c in exchanged(made)) == 1
+    assert {(r.qid, r.answer) for r in made.collect()} == {("Q1", "own"), ("Q2", "x"), ("Q4", "buried")}
+    first = splits.first_lifts(answer, gaps)
+    assert not any("answer" in c for c in exchanged(first))
+    assert rows_of(first) == [(7, 4, "Q1", 1)]
