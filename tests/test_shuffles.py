@@ -42,3 +42,10 @@ def test_texts_are_sent_once_to_their_sheets(spark):
     first = splits.first_lifts(answer, gaps)
     assert not any("answer" in c for c in exchanged(first))
     assert rows_of(first) == [(7, 4, "Q1", 1)]
+
+
+def test_continuations_move_within_their_sheets(spark):
+    answer = entries(spark, [(7, "Q34", "(a) own"), (7, "Q35", "(iii) late part\n(a) mine")])
+    made = splits.reattach_continuation(answer, question_set(spark, [34, 35]))
+    assert sum("answer" in c for c in exchanged(made)) == 1
+    assert {(r.qid, r.answer, r.moved) for r in made.collect()} == {("Q34", "(a) own\n(iii) late part", True), ("Q35", "(a) mine", True)}
