@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The scale of anchors and the limits of bands and boxes.
@@ -201,21 +201,23 @@ def pick_boxes(box: DataFrame) -> DataFrame:
     boxes = F.when(text.startswith("{"), single).otherwise(listed)
     numbers = F.transform(boxes, lambda b: F.coalesce(F.when(F.size(b["bbox_2d"]) == 4, b["bbox_2d"]), F.array(b["xmin"], b["ymin"], b["xmax"], b["ymax"])))
     whole = F.filter(numbers, lambda v: ~F.exists(v, lambda x: x.isNull()))
-    each = box.select(*PAGE, "page_w", "page_h", F.posexplode_outer(whole).alias("pos", "v"))
-    v = lambda k: F.get("v", F.lit(k))
-    each = each.select(*PAGE, "page_w", "page_h", "pos", F.least(v(0), v(2)).alias("a"), F.least(v(1), v(3)).alias("b"), F.greatest(v(0), v(2)).alias("c"), F.greatest(v(1), v(3)).alias("d"))
-    w, h = F.col("c") - F.col("a"), F.col("d") - F.col("b")
-    area = w * h / SCALE / SCALE
-    aspect = (w / SCALE * F.col("page_w")) / F.greatest(F.lit(1.0), h / SCALE * F.col("page_h"))
-    refused = (
-        F.when((w < LEAST_SIDE) & (h < LEAST_SIDE), "too small").when(area < LEAST_AREA, "a stray mark").when(area > MOST_AREA, "text, not a figure").when(aspect > MOST_ASPECT, "a line of text")
-    )
-    judged = each.where("pos IS NULL").unionByName(each.where((F.col("pos").isNotNull()) & (w > 0) & (h > 0))).withColumns({"area": area, "refused": refused})
-    ok = F.col("pos").isNotNull() & F.col("refused").isNull()
-    best = judged.groupBy(*PAGE, "page_w", "page_h").agg(
-        F.max_by(F.when(ok, F.struct("a", "b", "c", "d")), F.when(ok, F.struct("area", (-F.col("pos")).alias("p")))).alias("k"), F.max_by("refused", F.when(F.col("refused").isNotNull(), F.col("pos"))).alias("refused")
-    )
-    every = box.select(*PAGE, "page_w", "page_h").distinct().join(best, [*PAGE, "page_w", "page_h"], "left")
+
+    def judged(v: Column, pos: Column) -> Column:
+        a, c, b, d = (f(v[i], v[i + 2]) for i in (0, 1) for f in (F.least, F.greatest))
+        w, h = c - a, d - b
+        area = w * h / SCALE / SCALE
+        aspect = (w / SCALE * F.col("page_w")) / F.greatest(F.lit(1.0), h / SCALE * F.col("page_h"))
+        refused = (
+            F.when((w < LEAST_SIDE) & (h < LEAST_SIDE), "too small").when(area < LEAST_AREA, "a stray mark").when(area > MOST_AREA, "text, not a figure").when(aspect > MOST_ASPECT, "a line of text")
+        )
+        return F.when((w > 0) & (h > 0), F.struct(area.alias("area"), (-pos).alias("p"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), refused.alias("refused")))
+
+    # each reply is judged within its row, and a page is grouped once; its replies are one, as a rule
+    sized = F.col("page_w").isNotNull() & F.col("page_h").isNotNull()
+    each = box.select(*PAGE, "page_w", "page_h", F.when(sized, F.array_compact(F.transform(whole, judged))).alias("boxes"))
+    best = F.array_max(F.filter("boxes", lambda x: x["refused"].isNull()))
+    last = F.array_max(F.transform(F.filter("boxes", lambda x: x["refused"].isNotNull()), lambda x: F.struct((-x["p"]).alias("pos"), x["refused"].alias("refused"))))
+    every = each.select(*PAGE, "page_w", "page_h", best.alias("k"), last.alias("l")).groupBy(*PAGE, "page_w", "page_h").agg(F.max("k").alias("k"), F.max("l")["refused"].alias("refused"))
     pad = PAD_SHARE * F.greatest("page_w", "page_h")
     low = lambda c, size: F.greatest(F.lit(0), (F.col(f"k.{c}") / SCALE * F.col(size) - pad).cast("int"))
     far = lambda c, size: F.least(F.col(size), (F.col(f"k.{c}") / SCALE * F.col(size) + pad).cast("int"))

@@ -128,6 +128,12 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, CAST(1 + l_partkey % 4 AS INT) AS page_no FROM lineitem
            UNION SELECT l_orderkey, CAST(l_linenumber AS INT), CAST(1 + l_suppkey % 6 AS INT) FROM lineitem UNION SELECT l_orderkey, CAST(l_linenumber AS INT), CAST(7 + l_linenumber % 2 AS INT) FROM lineitem""",
     ),
+    # page_question dealt by sheet before its rows are made and told apart, so what groups by sheet, or by sheet and page, needs no other shuffle; for Spark only
+    "page_question_dealt": (
+        ("lineitem",),
+        """SELECT DISTINCT sheet_id, base, page_no FROM (SELECT sheet_id, base, explode(array(a, b, c)) AS page_no FROM
+           (SELECT /*+ REPARTITION(sheet_id) */ l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, CAST(1 + l_partkey % 4 AS INT) AS a, CAST(1 + l_suppkey % 6 AS INT) AS b, CAST(7 + l_linenumber % 2 AS INT) AS c FROM lineitem) AS x) AS y""",
+    ),
     "stage_timing": (("events",), "SELECT user_id AS run_id, event_type AS stage, CAST(floor(value * 10) AS DOUBLE) AS seconds, event_id FROM events"),
     "page_text": (("documents",), "SELECT source AS doc, doc_id AS page, text FROM documents"),
     "page_reading": (

@@ -1,7 +1,8 @@
 """What is found within a row isn't shuffled, and what is shuffled is no text."""
 
-from marksmith.operators import recovery, splits
+from marksmith.operators import recovery, regions, splits
 from marksmith.plans.fixtures import fixture
+from marksmith.plans.queries import QUERIES
 
 from .test_repairs import RUN, entries, question_set
 from .test_texts import SF, exchanged
@@ -49,3 +50,17 @@ def test_continuations_move_within_their_sheets(spark):
     made = splits.reattach_continuation(answer, question_set(spark, [34, 35]))
     assert sum("answer" in c for c in exchanged(made)) == 1
     assert {(r.qid, r.answer, r.moved) for r in made.collect()} == {("Q34", "(a) own\n(iii) late part", True), ("Q35", "(a) mine", True)}
+
+
+def test_pages_are_dealt_by_sheet_once(spark):
+    whole, dealt = (fixture(spark, SF, n) for n in ("page_question", "page_question_dealt"))
+    assert rows_of(whole) == rows_of(dealt.select(whole.columns))
+    for name in ("g2_anchors", "g5_pick_boxes"):
+        assert len(exchanged(QUERIES[name](spark, SF))) == 1, name
+
+
+def test_of_several_replies_the_largest_box_counts(spark):
+    replies = ['{"bbox_2d": [100, 100, 300, 400]}', '[{"bbox_2d": [200, 200, 500, 600]}, {"bbox_2d": [1, 1, 30, 30]}]', "[]"]
+    box = spark.createDataFrame([(1, 1, r, 1000, 2000) for r in replies] + [(1, 2, '[{"bbox_2d": [0, 0, 900, 900]}, {"bbox_2d": [5, 5, 5, 9]}]', 1000, 2000), (1, 3, None, 1000, 2000)], "sheet_id long, page_no int, reply string, page_w int, page_h int")
+    made = {r.page_no: tuple(r)[2:] for r in regions.pick_boxes(box).collect()}
+    assert made == {1: (176, 376, 524, 1224, ""), 2: (None, None, None, None, "text, not a figure"), 3: (None, None, None, None, "no diagram found")}
