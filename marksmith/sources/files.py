@@ -16,16 +16,36 @@ ENTRY = "MAP<STRING, STRUCT<question: STRING, answer: STRING, marks: STRING, typ
 COST = "run_id STRING, stage STRING, model STRING, input_tokens LONG, output_tokens LONG, billed DOUBLE, malformed STRING"
 
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
+def write_packs(small: DataFrame, path: str) -> None:
+    """Keeps small files (file: a path below the pack's, content binary) as rows of large ones, as many as ``small`` has partitions.
+
+    To make, list and open a file takes tens of milliseconds whatever it holds, so a job that does so for each exam or run has no time for much else.
+    """
+    small.select("file", "content").write.parquet(path)
+
+
+def _packed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of what write_packs() kept, with ``path`` before the names."""
+    return spark.read.schema("file STRING, content BINARY").parquet(path).withColumn("file", F.concat(F.lit(path.rstrip("/") + "/"), "file"))
+
+
+def _whole_texts(spark: SparkSession, path: str, packed: bool) -> DataFrame:
+    """(value, file) of the files at ``path``, or in the packs there."""
+    if packed:
+        return _packed(spark, path).select(F.decode("content", "UTF-8").alias("value"), "file")
+    return spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def _entries(spark: SparkSession, path: str, packed: bool) -> DataFrame:
     """(file, qid, entry) of JSON files that map ids to entries, bare or below "questions"; a file that is no JSON has none."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    files = _whole_texts(spark, path, packed)
     inner = F.get_json_object("value", "$.questions")
     parsed = F.from_json(F.coalesce(inner, F.col("value")), ENTRY)
     return files.select("file", F.explode(parsed).alias("qid", "entry")).where(~F.col("qid").isin(*NOT_QUESTIONS) & F.col("entry").isNotNull())
 
 
-def read_keys(spark: SparkSession, path: str) -> DataFrame:
-    return _entries(spark, path).select("file", "qid", "entry.*")
+def read_keys(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    return _entries(spark, path, packed).select("file", "qid", "entry.*")
 
 
 CHOICES = "choice_groups ARRAY<STRUCT<parent: STRING, members: ARRAY<STRING>, required: STRING>>, inline_choice_ids ARRAY<STRING>"
@@ -44,9 +64,9 @@ def read_choices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return groups, meta.select("file", F.explode("m.inline_choice_ids").alias("qid")).where("qid IS NOT NULL")
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
+def read_papers(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """As read_keys, but without answers: a paper has none to give."""
-    return read_keys(spark, path).drop("answer")
+    return read_keys(spark, path, packed).drop("answer")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +81,10 @@ def read_costs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COST).option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, bytes) of every file below ``path``."""
+def file_manifest(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(file, sha256, bytes) of every file below ``path``, or in the packs there."""
+    if packed:
+        return _packed(spark, path).select("file", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return found.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
