@@ -136,6 +136,12 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT DISTINCT sheet_id, base, page_no FROM (SELECT sheet_id, base, explode(array(a, b, c)) AS page_no FROM
            (SELECT /*+ REPARTITION(sheet_id) */ l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, CAST(1 + l_partkey % 4 AS INT) AS a, CAST(1 + l_suppkey % 6 AS INT) AS b, CAST(7 + l_linenumber % 2 AS INT) AS c FROM lineitem) AS x) AS y""",
     ),
+    # the same for a lineitem that is dealt by its l_orderkey
+    "page_question_by_sheet": (
+        ("lineitem",),
+        """SELECT DISTINCT sheet_id, base, page_no FROM
+           (SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS base, explode(array(CAST(1 + l_partkey % 4 AS INT), CAST(1 + l_suppkey % 6 AS INT), CAST(7 + l_linenumber % 2 AS INT))) AS page_no FROM lineitem) AS x""",
+    ),
     "stage_timing": (("events",), "SELECT user_id AS run_id, event_type AS stage, CAST(floor(value * 10) AS DOUBLE) AS seconds, event_id FROM events"),
     "page_text": (("documents",), "SELECT source AS doc, doc_id AS page, text FROM documents"),
     "page_reading": (
