@@ -95,6 +95,17 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                         max(l_quantity) AS q, max(l_partkey) % 10 AS pre, (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM documents) AS doc
                  FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x""",
     ),
+    # the same with the number of every answer's text, and whether its opening stands alone: where texts come twice, so do the answers that they are joined to
+    "answer_ref_every": (
+        ("lineitem", "documents", "part"),
+        f"""SELECT sheet_id, exam_id, base, 'Q' || base AS qid,
+                  CASE WHEN q <= 4 THEN ' ' WHEN q = 5 THEN 'NA' ELSE
+                  CASE pre WHEN 0 THEN 'Therefore ' WHEN 1 THEN '= ' WHEN 2 THEN '(b) ' WHEN 3 THEN '[DIAGRAM: x] ' WHEN 4 THEN '[ambiguous: x] '
+                           WHEN 5 THEN '(a) ' WHEN 6 THEN '(b) ' WHEN 7 THEN '(c) ' WHEN 8 THEN '(d) ' ELSE '' END END AS opening, doc, q <= 4 OR q = 5 OR base % 3 = 0 AS alone
+           FROM (SELECT l_orderkey AS sheet_id, l_orderkey % {EXAMS} AS exam_id, CAST(l_linenumber + CASE WHEN max(l_quantity) = 50 THEN 90 ELSE 0 END AS INT) AS base,
+                        max(l_quantity) AS q, max(l_partkey) % 10 AS pre, (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM documents) AS doc
+                 FROM lineitem GROUP BY l_orderkey, l_linenumber) AS x""",
+    ),
     "answer_text": (("documents",), "SELECT doc_id AS doc, text FROM documents"),
     "vote": (
         ("lineitem",),

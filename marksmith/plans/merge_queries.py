@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.texts import with_text
 from ..operators import assembly, grading, integrity, keyedits, merges, notes, recovery, review, segments, text
 from . import queries as base
 from .queries import query
@@ -133,10 +134,12 @@ def c6_answers(ref, texts, lineitem):
     w AS (SELECT exam_id, base, list(DISTINCT part) AS wanted FROM (SELECT exam_id, base, unnest(list_reduce(asked, lambda x, y: list_intersect(x, y))) AS part FROM kp) t GROUP BY 1, 2),
     m AS (SELECT sheet_id, base, list_sort(list_filter(wanted, lambda x: NOT list_contains(regexp_extract_all(coalesce(answer, ''), '(?:^|\n)[ \t]*[(\[]?[ \t]*([a-d])[ \t]*[)\].]', 1), x))) AS missing FROM answer JOIN w USING (exam_id, base))
     SELECT sheet_id, base, array_to_string(missing, ',') AS missing FROM m WHERE len(missing) > 0""",
-    (*base.REFS, "key_entry"),
+    ("answer_ref_every", "answer_text", "key_entry"),
 )
 def c19(ref, texts, key_entry):
-    return assembly.incomplete_answers(ref.drop("qid"), integrity.canonical_key(key_entry).select("exam_id", "base", "answer"), lambda rows: base.answered(rows, texts))
+    whole = F.concat("opening", F.when(F.col("alone"), "").otherwise(F.coalesce("text", F.lit(""))))
+    fill = lambda rows: with_text(rows, texts, "sheet_id").withColumn("answer", whole)
+    return assembly.incomplete_answers(ref.drop("qid"), integrity.canonical_key(key_entry).select("exam_id", "base", "answer"), fill)
 
 
 @query(

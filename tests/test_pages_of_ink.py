@@ -36,7 +36,7 @@ def test_measured_bands_are_judged_without_their_ink(spark):
     """What accept_bands makes of measured bands is what it makes of the ink itself: questions that aren't placed, bands without ink, too low, whole, of pages without a profile."""
     lines = [0 if k % 25 >= 20 else 9 for k in range(1000)]
     ink = spark.createDataFrame([(1, 1, lines, 2), (1, 2, [0] * 900 + [9] * 100, 2), (2, 1, lines, 2), (3, 1, [], 2), (3, 2, None, 2), (5, 1, lines, 2)], INK)
-    band = [(1, 1, "Q1", 100, 400), (1, 1, "Q2", 400, 1000), (1, 2, "Q1", 0, 500), (1, 2, "Q2", 940, 1000), (2, 1, "Q1", 0, 1000), (5, 1, "Q1", 0, 22), (3, 1, "Q1", 0, 10), (3, 2, "Q1", 0, 10), (4, 1, "Q1", 0, 10)]
+    band = [(1, 1, "Q1", 100, 400), (1, 1, "Q2", 400, 1000), (1, 2, "Q1", 0, 500), (1, 2, "Q2", 940, 1000), (2, 1, "Q1", 0, 1000), (5, 1, "Q1", 22, 47), (3, 1, "Q1", 0, 10), (3, 2, "Q1", 0, 10), (4, 1, "Q1", 0, 10)]
     unplaced = [(1, 1, "Q3", None, None), (2, 1, "Q4", None, 1000)]
     bands, every = spark.createDataFrame(band, BAND), spark.createDataFrame(band + unplaced, BAND)
     short = regions.accept_bands(regions.fit_bands(every, ink, measured=True), ink)
